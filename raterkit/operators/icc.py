@@ -43,7 +43,7 @@ def icc_by_model(aligned: DataFrame) -> DataFrame:
     xe = (
         x.withColumn("n_e", F.count(F.lit(1)).over(essay))
         .withColumn("m_e", F.avg("x").over(essay))
-        .withColumn("first_of_essay", F.row_number().over(essay.orderBy("run")) == 1)
+        .withColumn("first_of_essay", F.col("run") == F.min("run").over(essay))
         .join(raters, "model")
     )
     counts = xe.groupBy("model").agg(

@@ -119,7 +119,7 @@ def parse_failure_rate(aligned: DataFrame) -> DataFrame:
     per_essay = aligned.groupBy("model", "essay_id").agg(
         F.count("total_score").alias("_scored"),
         F.count(F.lit(1)).alias("_responses"),
-        F.sum(is_error(F.col("raw")).cast("int")).alias("_errors"),
+        F.sum((F.col("is_error") if "is_error" in aligned.columns else is_error(F.col("raw"))).cast("int")).alias("_errors"),
     )
     return per_essay.groupBy("model").agg(
         F.count(F.lit(1)).alias("submitted"),

@@ -11,12 +11,22 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
+from raterkit.functions.parse import is_error
 from raterkit.operators import bias, icc, metrics
 from raterkit.operators.align import align_inputs, category_source, sample_map
 from raterkit.plans import responses as rsp
 from raterkit.session import cut_lineage
 
 
+# Columns every result table needs; the raw and response texts are dropped before the cut.
+NARROW_COLUMNS = [
+    "model", "essay_id", "run", "total_score", "respondent_id", "question_id", "sample_row",
+    "prompt_category", "prompt_question", "is_error",
+]
+
+
 @dataclass
 class Analysis:
     aligned: DataFrame
@@ -35,6 +45,16 @@ class Analysis:
         self._essays = cut_lineage(self.essays)
         return self
 
+    def materialize(self) -> "Analysis":
+        """Write the narrow aligned responses once (reliable checkpoint) so that the many
+        result tables read them instead of re-scanning and re-parsing the raw responses.
+        Each result branch prunes different columns, so without this cut Spark could not
+        reuse one scan across them."""
+        keep = [c for c in NARROW_COLUMNS if c in self.aligned.columns]
+        self.aligned = cut_lineage(self.aligned.select(*keep))
+        self._essays = None
+        return self
+
     @property
     def routed(self) -> DataFrame:
         return metrics.apply_hitl(self.essays, self.cv_threshold, self.range_threshold, self.unscored)
@@ -74,5 +94,5 @@ def testdata_analysis(spark: SparkSession, sf_dir: str, **kwargs) -> Analysis:
         rsp.responses(spark, sf_dir),
         sample_map(rsp.part_samples(spark, sf_dir)),
         source="samples.category",
-    )
+    ).withColumn("is_error", is_error(F.col("raw")))
     return Analysis(aligned, **kwargs)

@@ -116,12 +116,12 @@ def q_hitl_distribution(spark, sf_dir):
 
 @query("icc_by_model")
 def q_icc_by_model(spark, sf_dir):
-    return rounded(testdata_analysis(spark, sf_dir).icc)
+    return rounded(testdata_analysis(spark, sf_dir).materialize().icc)
 
 
 @query("model_summary")
 def q_model_summary(spark, sf_dir):
-    return rounded(testdata_analysis(spark, sf_dir).summary)
+    return rounded(testdata_analysis(spark, sf_dir).materialize().summary)
 
 
 # --------------------------------------------------------------------------- bias
