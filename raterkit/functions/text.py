@@ -77,7 +77,8 @@ def renormalize(normalized: Column) -> Column:
     return F.when(normalized.rlike(_RENORMALIZE_HINT), normalize_text(normalized)).otherwise(normalized)
 
 
-def _token_count(normalized: Column) -> Column:
+def token_count(normalized: Column) -> Column:
+    """Tokens of already-normalized text (single spaces, stripped); 0 for ''."""
     return F.when(normalized == "", F.lit(0)).otherwise(F.size(F.split(normalized, " ")))
 
 
@@ -88,7 +89,7 @@ def word_count(c: Column | str, normalized: bool = False) -> Column:
     (rarely effective) second normalization is applied only where it matters.
     """
     n = renormalize(_col(c)) if normalized else normalize_text(c)
-    return _token_count(n)
+    return token_count(n)
 
 
 def ustrip(c: Column | str) -> Column:
@@ -153,7 +154,8 @@ def is_gibberish(c: Column | str) -> Column:
     raw = _col(c).cast("string")
     t = ustrip(raw)
     n = F.length(t)
-    symbols = n - F.length(F.regexp_replace(t, _ALNUM_OR_SPACE, ""))
+    # what is left after removing letters, digits and blanks
+    symbols = F.length(F.regexp_replace(t, _ALNUM_OR_SPACE, ""))
     mash = F.lower(t).rlike("|".join(GIBBERISH_FRAGMENTS))
     tokens = F.split(t, r"(?U)[\s\x1c-\x1f]+")
     n_tokens = F.when(n == 0, F.lit(0)).otherwise(F.size(tokens))

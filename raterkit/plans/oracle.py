@@ -368,3 +368,217 @@ SELECT prompt_category, array_to_string(list_sort(list(prompt_question)), chr(10
 FROM (SELECT DISTINCT prompt_category, prompt_question FROM essays2
       WHERE prompt_category IS NOT NULL AND prompt_question IS NOT NULL) d
 GROUP BY prompt_category""")
+
+
+# --------------------------------------------------------------------------- text functions
+# RE2 has ASCII \s; these classes spell out Unicode White_Space (plus U+001C-U+001F,
+# which Python counts as blank) to agree with Python's str methods.
+from raterkit.functions.text import (  # noqa: E402  (fixed word lists and thresholds)
+    CATEGORY_RULES, DEFAULT_SALT, GIBBERISH_FRAGMENTS,
+)
+from raterkit.plans.queries import FRENCH_STOPWORDS, SAMPLE_N  # noqa: E402
+
+_BL = r"\s\x{0B}\x{85}\pZ\x{1C}-\x{1F}"
+_WS = r"\s\x{0B}\x{85}\pZ"
+
+
+def norm_sql(x: str) -> str:
+    s = f"replace(replace(COALESCE(CAST({x} AS VARCHAR), ''), '@CAPS1', ''), '@CAPS2', '')"
+    s = f"regexp_replace({s}, '[\\x00-\\x1f\\x7f]+', ' ', 'g')"
+    s = f"replace(replace(replace(replace({s}, '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>')"
+    s = f"regexp_replace({s}, '[{_WS}]+', ' ', 'g')"
+    return f"trim({s})"
+
+
+def renorm_sql(n: str) -> str:
+    return f"(CASE WHEN regexp_matches({n}, '@CAPS[12]|&(nbsp|amp|lt|gt);') THEN {norm_sql(n)} ELSE {n} END)"
+
+
+def tokens_sql(n: str) -> str:
+    return f"(CASE WHEN {n} = '' THEN 0 ELSE len(string_split({n}, ' ')) END)"
+
+
+def ustrip_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^[{_BL}]+|[{_BL}]+$', '', 'g')"
+
+
+def gib_sql(x: str) -> str:
+    st = ustrip_sql(x)
+    toks = f"regexp_split_to_array({st}, '[{_BL}]+')"
+    return (
+        f"(CASE WHEN {x} IS NULL OR {x} = '' THEN false "
+        f"WHEN length({st}) = 0 THEN true "
+        f"WHEN length(regexp_replace({st}, '[\\pL\\pN{_BL}]', '', 'g')) / length({st}) > 0.3 THEN true "
+        f"WHEN regexp_matches(lower({st}), '{'|'.join(GIBBERISH_FRAGMENTS)}') THEN true "
+        f"WHEN len(list_filter({toks}, lambda t: length(t) = 1)) / len({toks}) > 0.4 THEN true "
+        f"ELSE false END)"
+    )
+
+
+def stop_hits_sql(n: str, words) -> str:
+    arr = "[" + ", ".join(_q(w) for w in words) + "]"
+    return f"len(list_intersect(string_split(lower({n}), ' '), {arr}))"
+
+
+def stop_lang_sql(raw: str, n: str, words, min_hits: int = 2) -> str:
+    return f"(CASE WHEN {raw} IS NULL OR {raw} = '' THEN false ELSE {stop_hits_sql(n, words)} >= {min_hits} END)"
+
+
+def category_sql(x: str) -> str:
+    parts = [f"CASE WHEN {x} IS NULL OR {x} = '' THEN 'unknown'"]
+    for label, kws in CATEGORY_RULES:
+        cond = " OR ".join(f"contains(lower({x}), {_q(k)})" for k in kws)
+        parts.append(f"WHEN {cond} THEN {_q(label)}")
+    return " ".join(parts) + " ELSE 'other' END"
+
+
+def anon_sql(x: str, salt: str = DEFAULT_SALT) -> str:
+    return f"(CASE WHEN {x} IS NULL THEN NULL ELSE substr(sha256({x} || {_q(salt)}), 1, 12) END)"
+
+
+TEXTS = """
+texts AS (
+  SELECT 'documents' AS src, doc_id AS id, CAST(0 AS BIGINT) AS id2, text FROM documents
+  UNION ALL SELECT 'conversations', conv_id, turn, text FROM conversations
+  UNION ALL SELECT 'pages', page_id, CAST(0 AS BIGINT), html FROM pages
+)"""
+
+ORACLE["normalize_text"] = f"WITH {TEXTS} SELECT src, id, id2, {norm_sql('text')} AS normalized FROM texts"
+ORACLE["word_count"] = f"WITH {TEXTS} SELECT src, id, id2, CAST({tokens_sql(norm_sql('text'))} AS BIGINT) AS word_count FROM texts"
+ORACLE["gibberish"] = f"WITH {TEXTS} SELECT src, id, id2, {gib_sql('text')} AS is_gibberish FROM texts"
+ORACLE["stopword_language"] = f"""WITH {TEXTS}
+SELECT src, id, id2, CAST({stop_hits_sql(norm_sql('text'), FRENCH_STOPWORDS)} AS BIGINT) AS stopword_hits,
+       {stop_lang_sql('text', norm_sql('text'), FRENCH_STOPWORDS)} AS is_stopword_language
+FROM texts"""
+ORACLE["noisy_text"] = f"""WITH {TEXTS}, n AS (SELECT src, id, id2, {norm_sql('text')} AS norm FROM texts)
+SELECT src, id, id2, ({gib_sql('norm')} OR {stop_lang_sql('norm', renorm_sql('norm'), FRENCH_STOPWORDS)}) AS is_noisy
+FROM n"""
+ORACLE["detect_category"] = f"""
+SELECT 'documents' AS src, doc_id AS id, {category_sql('text')} AS category FROM documents
+UNION ALL SELECT 'benchmark', item_id, {category_sql('text')} FROM benchmark"""
+ORACLE["anonymize"] = f"""
+SELECT c_custkey, {anon_sql('c_name')} AS anon_default, {anon_sql('c_name', 's3cret')} AS anon_salted FROM customer"""
+ORACLE["short_hash"] = "SELECT doc_id, substr(sha256(text), 1, 16) AS short_hash, sha256(text) AS full_hash FROM documents"
+ORACLE["path_safe_names"] = """
+SELECT page_id, translate(url, '/\\', '__') AS path_safe, regexp_extract(url, '[^/]*$') AS short_name,
+       lower(replace('Flagged for ' || url, ' ', '_')) AS status_column
+FROM pages"""
+
+# --------------------------------------------------------------------------- cleaning
+
+ANSWERS = """
+answers AS (
+  SELECT doc_id * 2 + 1 AS row, text AS textResponse, source AS questionText, source AS questionId,
+         lang AS questionType, CAST(doc_id % 101 AS VARCHAR) AS nim, CAST(NULL AS VARCHAR) AS audioResponseUrl
+  FROM documents
+  UNION ALL
+  SELECT page_id * 2 + 2, NULL, NULL, NULL, 'audio', CAST(page_id % 101 AS VARCHAR), url FROM pages
+)"""
+
+
+def classified_sql(resp="textResponse", q="questionText", typ="questionType", who="nim",
+                   qid="questionId", words=FRENCH_STOPWORDS, min_length=40, source_file="'documents+pages'") -> str:
+    qid_expr = f"NULLIF({qid}, '')" if qid else "CAST(NULL AS VARCHAR)"
+    return f"""
+c0 AS (
+  SELECT row, {norm_sql(resp)} AS norm1, NULLIF({q}, '') AS raw_q, NULLIF({typ}, '') AS raw_type,
+         NULLIF({who}, '') AS raw_who, NULLIF(audioResponseUrl, '') AS audio, {qid_expr} AS question_id
+  FROM answers
+),
+c1 AS (SELECT *, {renorm_sql('norm1')} AS norm2 FROM c0),
+c2 AS (
+  SELECT *,
+         CASE WHEN norm1 = '' AND audio IS NOT NULL THEN 'audio_only'
+              WHEN norm1 = '' OR {tokens_sql('norm2')} < {min_length} THEN 'short_or_empty'
+              WHEN {gib_sql('norm1')} OR {stop_lang_sql('norm1', 'norm2', words)} THEN 'filtered_noisy'
+              ELSE 'kept' END AS status,
+         CASE WHEN raw_q IS NOT NULL THEN {norm_sql('raw_q')} END AS question
+  FROM c1
+),
+classified AS (
+  SELECT CAST(row AS BIGINT) AS row, status, question, question_id, raw_type AS type,
+         CASE WHEN status <> 'audio_only' THEN {category_sql("COALESCE(raw_q, '')")} END AS category,
+         CASE WHEN status <> 'audio_only' THEN norm1 END AS response,
+         CASE WHEN status = 'audio_only' THEN 'audio' ELSE 'text' END AS response_type,
+         CASE WHEN status = 'audio_only' THEN audio END AS audio_url,
+         {anon_sql('raw_who')} AS respondent_id,
+         CAST(NULL AS VARCHAR) AS submission_id, CAST(NULL AS VARCHAR) AS exam_id, CAST(NULL AS VARCHAR) AS submitted_at,
+         CAST({source_file} AS VARCHAR) AS source_file,
+         sha256(CASE WHEN status = 'audio_only' THEN 'audio:' || audio
+                     ELSE 'text:' || COALESCE(question_id, question, '') || '|' || norm1 END) AS dedupe_key
+  FROM c2
+)"""
+
+
+_RECORD_COLS = ("question, question_id, type, category, response, response_type, audio_url, respondent_id, "
+                "submission_id, exam_id, submitted_at, source_file, row")
+
+ORACLE["clean_records"] = f"""WITH {ANSWERS}, {classified_sql()}
+SELECT {_RECORD_COLS} FROM (
+  SELECT *, row_number() OVER (PARTITION BY dedupe_key ORDER BY row) AS rn
+  FROM classified WHERE status IN ('audio_only', 'kept')) d
+WHERE rn = 1"""
+ORACLE["clean_records_all"] = f"""WITH {ANSWERS}, {classified_sql()}
+SELECT {_RECORD_COLS} FROM classified WHERE status IN ('audio_only', 'kept')"""
+ORACLE["clean_counters"] = f"""WITH {ANSWERS}, {classified_sql()}
+SELECT count(*) AS total_rows,
+       CAST(sum(CASE WHEN status = 'audio_only' THEN 1 ELSE 0 END) AS BIGINT) AS audio_only,
+       CAST(sum(CASE WHEN status = 'short_or_empty' THEN 1 ELSE 0 END) AS BIGINT) AS short_or_empty,
+       CAST(sum(CASE WHEN status = 'filtered_noisy' THEN 1 ELSE 0 END) AS BIGINT) AS filtered_noisy,
+       CAST(sum(CASE WHEN status IN ('audio_only', 'kept') THEN 1 ELSE 0 END)
+            - count(DISTINCT CASE WHEN status IN ('audio_only', 'kept') THEN dedupe_key END) AS BIGINT) AS deduped,
+       CAST(count(DISTINCT CASE WHEN status IN ('audio_only', 'kept') THEN dedupe_key END) AS BIGINT) AS kept
+FROM classified"""
+ORACLE["dedupe_exact"] = """
+SELECT text_hash, doc_id, source FROM (
+  SELECT sha256(text) AS text_hash, doc_id, source,
+         row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS rn FROM documents) d
+WHERE rn = 1"""
+ORACLE["resolve_columns"] = f"""WITH {ANSWERS}, {classified_sql(qid=None, source_file='NULL')}
+SELECT row, status, question, type, category, respondent_id, dedupe_key FROM classified"""
+
+# --------------------------------------------------------------------------- sampling
+
+DOC_QUESTIONS = f"""
+top3 AS (
+  SELECT question_id, n_answers, question_rank FROM (
+    SELECT question_id, n_answers, row_number() OVER (ORDER BY n_answers DESC, question_id ASC) AS question_rank
+    FROM (SELECT CAST(questionId AS VARCHAR) AS question_id, count(*) AS n_answers FROM answers
+          WHERE COALESCE({ustrip_sql('textResponse')} <> '', false) AND questionId IS NOT NULL
+          GROUP BY 1) c) r
+  WHERE question_rank <= 3
+),
+valid AS (
+  SELECT a.*, CAST(a.questionId AS VARCHAR) AS question_id, {norm_sql('a.textResponse')} AS norm
+  FROM answers a
+  WHERE CAST(a.questionId AS VARCHAR) IN (SELECT question_id FROM top3)
+    AND {tokens_sql(norm_sql('a.textResponse'))} >= 40
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY sha256('42|' || CAST(row AS VARCHAR)), row) AS sample_rank
+  FROM valid
+),
+samples AS (
+  SELECT {anon_sql("NULLIF(nim, '')")} AS respondent_id, {norm_sql('questionText')} AS question, question_id,
+         questionType AS type, {category_sql(norm_sql('questionText'))} AS category, norm AS response,
+         CAST(NULL AS VARCHAR) AS submitted_at, CAST(NULL AS VARCHAR) AS source_file, CAST(row AS BIGINT) AS row,
+         sample_rank
+  FROM ranked WHERE sample_rank <= {SAMPLE_N}
+)"""
+
+ORACLE["detect_questions_by_type"] = """
+SELECT CAST(o_custkey AS VARCHAR) AS question_id, min(o_orderkey + 1) AS first_row
+FROM orders WHERE regexp_matches(lower(o_orderpriority), 'urgent') AND o_custkey IS NOT NULL
+GROUP BY 1"""
+ORACLE["top_questions"] = f"WITH {ANSWERS}, {DOC_QUESTIONS} SELECT question_id, n_answers, question_rank FROM top3"
+ORACLE["sample_per_question"] = f"WITH {ANSWERS}, {DOC_QUESTIONS} SELECT * FROM samples"
+ORACLE["sampling_summary"] = f"""WITH {ANSWERS}, {DOC_QUESTIONS}
+SELECT question_id, count(*) AS total_valid, CAST(least(count(*), {SAMPLE_N}) AS BIGINT) AS sampled
+FROM valid GROUP BY question_id"""
+ORACLE["select_samples"] = f"""WITH {ANSWERS}, {DOC_QUESTIONS},
+files AS (SELECT DISTINCT 'question_' || question_id || '_samples.jsonl' AS sample_file FROM samples),
+first_files AS (SELECT sample_file FROM (SELECT sample_file, row_number() OVER (ORDER BY sample_file) AS r FROM files) f
+                WHERE r <= 2)
+SELECT 'question_' || question_id || '_samples.jsonl' AS sample_file, question_id, row, sample_rank
+FROM samples
+WHERE 'question_' || question_id || '_samples.jsonl' IN (SELECT sample_file FROM first_files) AND sample_rank <= 5"""

@@ -178,3 +178,162 @@ def q_topic_range(spark, sf_dir):
 @query("category_questions")
 def q_category_questions(spark, sf_dir):
     return bias.category_questions(testdata_analysis(spark, sf_dir).essays)
+
+
+# --------------------------------------------------------------------------- text functions
+
+from raterkit.functions import text as TX  # noqa: E402
+from raterkit.operators import clean as CL  # noqa: E402
+from raterkit.operators import sample as SA  # noqa: E402
+from raterkit.plans.tables import table  # noqa: E402
+
+# A French stop-word list: the test documents hold no Indonesian, so the language
+# filter is exercised with French (the list is a parameter of the operator).
+FRENCH_STOPWORDS = [
+    "le", "la", "les", "de", "des", "du", "et", "un", "une", "en",
+    "que", "qui", "dans", "pour", "sur", "avec", "est", "pas", "au", "aux",
+]
+SAMPLE_N = 20
+
+
+def _texts(spark, sf_dir):
+    """Whole texts of documents, conversation turns and web pages, keyed (src, id, id2)."""
+    d = table(spark, sf_dir, "documents").select(F.lit("documents").alias("src"), F.col("doc_id").alias("id"),
+                                                  F.lit(0).cast("long").alias("id2"), F.col("text"))
+    c = table(spark, sf_dir, "conversations").select(F.lit("conversations").alias("src"), F.col("conv_id").alias("id"),
+                                                      F.col("turn").alias("id2"), F.col("text"))
+    p = table(spark, sf_dir, "pages").select(F.lit("pages").alias("src"), F.col("page_id").alias("id"),
+                                              F.lit(0).cast("long").alias("id2"), F.col("html").alias("text"))
+    return d.unionByName(c).unionByName(p)
+
+
+@query("normalize_text")
+def q_normalize_text(spark, sf_dir):
+    return _texts(spark, sf_dir).select("src", "id", "id2", TX.normalize_text("text").alias("normalized"))
+
+
+@query("word_count")
+def q_word_count(spark, sf_dir):
+    return _texts(spark, sf_dir).select("src", "id", "id2", TX.word_count("text").cast("long").alias("word_count"))
+
+
+@query("gibberish")
+def q_gibberish(spark, sf_dir):
+    return _texts(spark, sf_dir).select("src", "id", "id2", TX.is_gibberish("text").alias("is_gibberish"))
+
+
+@query("stopword_language")
+def q_stopword_language(spark, sf_dir):
+    t = _texts(spark, sf_dir)
+    return t.select("src", "id", "id2",
+                    TX.stopword_hits("text", FRENCH_STOPWORDS).cast("long").alias("stopword_hits"),
+                    TX.contains_stopword_language("text", FRENCH_STOPWORDS).alias("is_stopword_language"))
+
+
+@query("noisy_text")
+def q_noisy_text(spark, sf_dir):
+    t = _texts(spark, sf_dir).select("src", "id", "id2", TX.normalize_text("text").alias("norm"))
+    return t.select("src", "id", "id2", TX.is_noisy_text("norm", FRENCH_STOPWORDS, normalized=True).alias("is_noisy"))
+
+
+@query("detect_category")
+def q_detect_category(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.lit("documents").alias("src"), F.col("doc_id").alias("id"), "text")
+    b = table(spark, sf_dir, "benchmark").select(F.lit("benchmark").alias("src"), F.col("item_id").alias("id"), "text")
+    return d.unionByName(b).select("src", "id", TX.detect_category("text").alias("category"))
+
+
+@query("anonymize")
+def q_anonymize(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    return c.select("c_custkey", TX.anonymize_id("c_name").alias("anon_default"),
+                    TX.anonymize_id("c_name", "s3cret").alias("anon_salted"))
+
+
+@query("short_hash")
+def q_short_hash(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", TX.short_hash("text").alias("short_hash"), TX.short_hash("text", 64).alias("full_hash"))
+
+
+@query("path_safe_names")
+def q_path_safe_names(spark, sf_dir):
+    """T10-T12 over names built from the data (pages URLs stand in for model names)."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url")
+    return p.select("page_id", TX.path_safe("url").alias("path_safe"), TX.short_model_name("url").alias("short_name"),
+                    TX.status_column_name(F.concat(F.lit("Flagged for "), F.col("url"))).alias("status_column"))
+
+
+# --------------------------------------------------------------------------- cleaning
+
+def _clean_kwargs():
+    return dict(anonymize=True, min_length=40, stopwords=FRENCH_STOPWORDS, source_file="documents+pages")
+
+
+@query("clean_records")
+def q_clean_records(spark, sf_dir):
+    return CL.clean_records(rsp.document_answers(spark, sf_dir), dedupe=True, **_clean_kwargs())
+
+
+@query("clean_records_all")
+def q_clean_records_all(spark, sf_dir):
+    """Same cleaning without dedupe: every kept and audio row."""
+    return CL.clean_records(rsp.document_answers(spark, sf_dir), dedupe=False, **_clean_kwargs())
+
+
+@query("clean_counters")
+def q_clean_counters(spark, sf_dir):
+    return CL.clean_counters(rsp.document_answers(spark, sf_dir), dedupe=True, **_clean_kwargs())
+
+
+@query("dedupe_exact")
+def q_dedupe_exact(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(TX.short_hash("text", 64).alias("text_hash"), "doc_id", "source")
+    return CL.dedupe_first(d, "text_hash", order="doc_id")
+
+
+@query("resolve_columns")
+def q_resolve_columns(spark, sf_dir):
+    """Classify an answer sheet whose columns carry other names (resolved from the
+    candidate lists: 'answer' -> response, 'prompt' -> question, 'examType' -> type)."""
+    a = rsp.document_answers(spark, sf_dir).select(
+        "row", F.col("textResponse").alias("answer"), F.col("questionText").alias("prompt"),
+        F.col("questionType").alias("examType"), F.col("nim").alias("participant"), "audioResponseUrl",
+    )
+    c = CL.classify(a, anonymize=True, stopwords=FRENCH_STOPWORDS)
+    return c.select("row", "status", "question", "type", "category", "respondent_id", "dedupe_key")
+
+
+# --------------------------------------------------------------------------- sampling
+
+def _doc_questions(answers):
+    return SA.detect_essay_questions(answers.where(F.col("questionType") != "audio"))
+
+
+@query("detect_questions_by_type")
+def q_detect_questions_by_type(spark, sf_dir):
+    return SA.detect_questions_by_type(rsp.order_answers(spark, sf_dir), pattern="urgent")
+
+
+@query("top_questions")
+def q_top_questions(spark, sf_dir):
+    return SA.top_questions(rsp.document_answers(spark, sf_dir))
+
+
+@query("sample_per_question")
+def q_sample_per_question(spark, sf_dir):
+    a = rsp.document_answers(spark, sf_dir)
+    return SA.sample_per_question(a, _doc_questions(a), n=SAMPLE_N)
+
+
+@query("sampling_summary")
+def q_sampling_summary(spark, sf_dir):
+    a = rsp.document_answers(spark, sf_dir)
+    return SA.sampling_summary(a, _doc_questions(a), n=SAMPLE_N)
+
+
+@query("select_samples")
+def q_select_samples(spark, sf_dir):
+    a = rsp.document_answers(spark, sf_dir)
+    s = SA.sample_per_question(a, _doc_questions(a), n=SAMPLE_N)
+    return SA.select_samples(s, max_questions=2, per_question=5).select("sample_file", "question_id", "row", "sample_rank")
