@@ -91,7 +91,7 @@ def raw_json_field(raw: Column | str, key: str) -> Column:
 def score_field(parsed: Column | str, raw: Column | str, key: str) -> Column:
     """R3 + R4: parsed[key] when parsed exists, else raw JSON's key; coerced to double, failures NULL."""
     p = _col(parsed)
-    from_parsed = p.getField(key).cast("double")
+    from_parsed = p.getField(key).try_cast("double")
     from_raw = raw_json_field(raw, key).try_cast("double")
     return F.when(p.isNotNull(), from_parsed).otherwise(from_raw)
 

@@ -582,3 +582,105 @@ first_files AS (SELECT sample_file FROM (SELECT sample_file, row_number() OVER (
 SELECT 'question_' || question_id || '_samples.jsonl' AS sample_file, question_id, row, sample_rank
 FROM samples
 WHERE 'question_' || question_id || '_samples.jsonl' IN (SELECT sample_file FROM first_files) AND sample_rank <= 5"""
+
+
+# --------------------------------------------------------------------------- scoring plan
+from raterkit.operators.scoring import PROMPT_HEADER  # noqa: E402
+from raterkit.functions.parse import DRY_RUN_TEXT  # noqa: E402
+from raterkit.plans.queries import PLAN_MODELS  # noqa: E402
+
+_MODELS_VALUES = ", ".join(f"({_q(m)})" for m in PLAN_MODELS)
+
+CSAMPLES = f"""
+csamples AS (
+  SELECT a.turn AS row, CAST(a.conv_id % 3 AS VARCHAR) AS question_id, CAST(a.conv_id AS VARCHAR) AS respondent_id,
+         u.text AS question, a.text AS response
+  FROM conversations a
+  LEFT JOIN conversations u ON u.conv_id = a.conv_id AND u.turn + 1 = a.turn AND u.role = 'user'
+  WHERE a.role = 'assistant'
+),
+prompts AS (
+  SELECT *, {_q(PROMPT_HEADER)} || 'Question: ' || COALESCE(question, 'None') || chr(10) || chr(10) || 'Response: '
+            || COALESCE(response, 'None') || chr(10) AS prompt
+  FROM csamples
+),
+plan AS (
+  SELECT m.model, CAST(r.run AS INTEGER) AS run, p.row AS sample_row, p.question_id, p.respondent_id,
+         p.question, p.response, p.prompt, 'question_' || COALESCE(p.question_id, '') AS stem,
+         translate(m.model, '/\\', '__') AS model_safe
+  FROM prompts p CROSS JOIN (VALUES {_MODELS_VALUES}) m(model) CROSS JOIN range(1, 4) r(run)
+),
+dry AS (
+  SELECT *, {_q(DRY_RUN_TEXT)} AS raw, 7.0 AS grammar, 7.0 AS lexical, 7.0 AS coherence, 7.0 AS task,
+         28.0 AS total_score,
+         COALESCE(respondent_id, '') || '|' || COALESCE(question_id, '') || '|' || COALESCE(CAST(sample_row AS VARCHAR), '') AS essay_id
+  FROM plan
+)"""
+
+ORACLE["prompt_text"] = f"WITH {CSAMPLES} SELECT row, question_id, respondent_id, prompt FROM prompts"
+ORACLE["score_plan"] = f"""WITH {CSAMPLES}
+SELECT model, run, sample_row, question_id, respondent_id, stem, model_safe, sha256(prompt) AS prompt_sha256 FROM plan"""
+ORACLE["resume_antijoin"] = f"""WITH {CSAMPLES}
+SELECT model, run, sample_row, question_id, respondent_id FROM plan
+WHERE NOT (run <= 2 OR model = {_q(PLAN_MODELS[1])})"""
+ORACLE["dry_run_scores"] = f"""WITH {CSAMPLES}
+SELECT model, run, sample_row, question_id, respondent_id, grammar, lexical, coherence, task, total_score FROM dry"""
+ORACLE["response_records"] = f"""WITH {CSAMPLES}
+SELECT model, run, sample_row, question_id, respondent_id, response, raw,
+       CAST(7 AS BIGINT) AS parsed_grammar, CAST(7 AS BIGINT) AS parsed_lexical,
+       CAST(7 AS BIGINT) AS parsed_coherence, CAST(7 AS BIGINT) AS parsed_task
+FROM dry"""
+ORACLE["dry_run_summary"] = f"""WITH {CSAMPLES},
+e AS (SELECT model, essay_id, avg(total_score) AS mean_total FROM dry GROUP BY model, essay_id)
+SELECT model, count(*) AS n_essays, round(avg(mean_total), 9) AS mean_total, round(stddev_samp(mean_total), 9) AS sd_total,
+       0.0 AS mean_sd, 0.0 AS mean_range, 0.0 AS mean_cv, CAST(NULL AS DOUBLE) AS icc_total,
+       count(*) AS icc_n_essays_total, count(*) AS icc_n_essays_balanced, CAST({3} AS BIGINT) AS icc_n_raters,
+       100.0 AS "auto-approve", CAST(NULL AS DOUBLE) AS flagged_for_review
+FROM e GROUP BY model"""
+ORACLE["dry_run_ttest"] = f"""WITH {CSAMPLES}
+SELECT min(model) AS model_1, max(model) AS model_2, 0.0 AS tstat, 1.0 AS pvalue,
+       count(DISTINCT essay_id) AS n_pairs, true AS degenerate
+FROM dry"""
+
+# --------------------------------------------------------------------------- report tables
+
+ORACLE["boxplot_summary"] = with_analysis(f"""
+SELECT model, count(mean_total) AS n_scored,
+       {r('quantile_cont(mean_total, 0.0)', 'q_min')}, {r('quantile_cont(mean_total, 0.25)', 'q1')},
+       {r('quantile_cont(mean_total, 0.5)', 'median')}, {r('quantile_cont(mean_total, 0.75)', 'q3')},
+       {r('quantile_cont(mean_total, 1.0)', 'q_max')}
+FROM essays2 GROUP BY model""")
+
+_LONG = """
+long AS (
+  SELECT 'mean_total' AS metric, model, mean_total AS value FROM summary
+  UNION ALL SELECT 'icc_total', model, icc_total FROM summary
+  UNION ALL SELECT 'auto-approve', model, "auto-approve" FROM summary
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY metric ORDER BY value DESC NULLS LAST, model) AS rk,
+         max(value) OVER (PARTITION BY metric) AS best
+  FROM long
+)"""
+
+ORACLE["leaderboard"] = with_analysis(f""", {_LONG.strip()}
+SELECT metric, model AS best_model, {r('value', 'best_value')}, regexp_extract(model, '[^/]*$') AS best_model_short
+FROM ranked WHERE rk = 1 AND value IS NOT NULL""")
+ORACLE["relative_to_best"] = with_analysis(f""", {_LONG.strip()}
+SELECT metric, model, {r('value')},
+       {r('CASE WHEN best > 0 THEN value / best * 100.0 ELSE 0.0 END', 'pct_of_best')},
+       (rk = 1 AND value IS NOT NULL) AS is_best
+FROM ranked""")
+ORACLE["badges"] = with_analysis(f""", {_LONG.strip()}
+SELECT s.model,
+       CASE WHEN s.model = (SELECT model FROM ranked WHERE metric = 'icc_total' AND rk = 1 AND value IS NOT NULL)
+            THEN 'Most Reliable'
+            WHEN s.model = (SELECT model FROM ranked WHERE metric = 'mean_total' AND rk = 1 AND value IS NOT NULL)
+            THEN 'Highest Score' END AS badge,
+       regexp_extract(s.model, '[^/]*$') AS model_short
+FROM summary s""")
+ORACLE["exec_summary"] = with_analysis(f"""
+SELECT count(*) AS n_models, CAST(sum(n_essays) AS BIGINT) AS total_essays, {r('avg("auto-approve")', 'avg_auto_approve')},
+       max(CASE WHEN rk = 1 THEN regexp_extract(model, '[^/]*$') END) AS most_reliable,
+       {r('max(CASE WHEN rk = 1 THEN icc_total END)', 'most_reliable_icc')}
+FROM (SELECT *, row_number() OVER (ORDER BY icc_total DESC NULLS LAST, model) AS rk FROM summary) s""")

@@ -337,3 +337,106 @@ def q_select_samples(spark, sf_dir):
     a = rsp.document_answers(spark, sf_dir)
     s = SA.sample_per_question(a, _doc_questions(a), n=SAMPLE_N)
     return SA.select_samples(s, max_questions=2, per_question=5).select("sample_file", "question_id", "row", "sample_rank")
+
+
+# --------------------------------------------------------------------------- scoring plan
+
+from raterkit.operators import report as RP  # noqa: E402
+from raterkit.operators import scoring as SC  # noqa: E402
+from raterkit.operators.align import align_inputs  # noqa: E402
+from raterkit.plans.analysis import Analysis  # noqa: E402
+
+# Model names to plan requests for (the reference compares these two).
+PLAN_MODELS = ["openai/gpt-oss-120b", "qwen/qwen3-32b"]
+PLAN_RUNS = 3
+
+
+def _plan(spark, sf_dir, runs=PLAN_RUNS, models=PLAN_MODELS):
+    return SC.score_plan(rsp.conversation_samples(spark, sf_dir), models, runs)
+
+
+def _dry_run_records(spark, sf_dir):
+    return SC.response_records(SC.score(_plan(spark, sf_dir), dry_run=True))
+
+
+@query("prompt_text")
+def q_prompt_text(spark, sf_dir):
+    s = rsp.conversation_samples(spark, sf_dir)
+    return s.select("row", "question_id", "respondent_id", SC.build_prompt(s).alias("prompt"))
+
+
+@query("score_plan")
+def q_score_plan(spark, sf_dir):
+    p = _plan(spark, sf_dir)
+    return p.select("model", "run", "sample_row", "question_id", "respondent_id", "stem", "model_safe",
+                    F.sha2(F.col("prompt"), 256).alias("prompt_sha256"))
+
+
+@query("resume_antijoin")
+def q_resume_antijoin(spark, sf_dir):
+    """Resume after an interrupted job: model 2 finished its 3 runs, model 1 only 2."""
+    done_two_runs = SC.response_records(SC.score(_plan(spark, sf_dir, runs=2), dry_run=True))
+    done_model_2 = SC.response_records(SC.score(_plan(spark, sf_dir, models=PLAN_MODELS[1:]), dry_run=True))
+    done = done_two_runs.unionByName(done_model_2)
+    todo = SC.pending_requests(_plan(spark, sf_dir), done)
+    return todo.select("model", "run", "sample_row", "question_id", "respondent_id")
+
+
+@query("dry_run_scores")
+def q_dry_run_scores(spark, sf_dir):
+    r = P.with_scores(_dry_run_records(spark, sf_dir))
+    return rounded(r.select("model", "run", "sample_row", "question_id", "respondent_id",
+                            *P.SCORE_FIELDS, "total_score"))
+
+
+@query("response_records")
+def q_response_records(spark, sf_dir):
+    r = _dry_run_records(spark, sf_dir)
+    return r.select("model", "run", "sample_row", "question_id", "respondent_id", "response", "raw",
+                    *[F.col("parsed").getField(k).alias(f"parsed_{k}") for k in P.SCORE_FIELDS])
+
+
+def _dry_run_analysis(spark, sf_dir):
+    return Analysis(align_inputs(_dry_run_records(spark, sf_dir), None, source="question_id"))
+
+
+@query("dry_run_summary")
+def q_dry_run_summary(spark, sf_dir):
+    return rounded(_dry_run_analysis(spark, sf_dir).materialize().summary)
+
+
+@query("dry_run_ttest")
+def q_dry_run_ttest(spark, sf_dir):
+    t = _dry_run_analysis(spark, sf_dir).ttest
+    return rounded(t.select("model_1", "model_2", "tstat", "pvalue", "n_pairs", "degenerate"))
+
+
+# --------------------------------------------------------------------------- report tables
+
+def _summary(spark, sf_dir):
+    return testdata_analysis(spark, sf_dir).materialize().summary
+
+
+@query("boxplot_summary")
+def q_boxplot_summary(spark, sf_dir):
+    return rounded(RP.boxplot_summary(testdata_analysis(spark, sf_dir).essays))
+
+
+@query("leaderboard")
+def q_leaderboard(spark, sf_dir):
+    return rounded(RP.leaderboard(_summary(spark, sf_dir)))
+
+
+@query("relative_to_best")
+def q_relative_to_best(spark, sf_dir):
+    return rounded(RP.relative_to_best(_summary(spark, sf_dir)))
+
+
+@query("badges")
+def q_badges(spark, sf_dir):
+    return RP.badges(_summary(spark, sf_dir))
+
+
+@query("exec_summary")
+def q_exec_summary(spark, sf_dir):
+    return rounded(RP.exec_summary(_summary(spark, sf_dir)))
