@@ -96,6 +96,27 @@ def score_field(parsed: Column | str, raw: Column | str, key: str) -> Column:
     return F.when(p.isNotNull(), from_parsed).otherwise(from_raw)
 
 
+# The strict object anywhere in the text, rewritten to "g,l,c,t" in one regex pass.
+_STRICT_WHOLE = r"^[\s\S]*?" + STRICT_PATTERN + r"[\s\S]*$"
+
+
+def with_parsed(df, raw: str = "raw", out: str = "parsed"):
+    """``parse_scores`` as staged columns: each regex runs once per row (the strict test,
+    one rewrite for matching rows, one digit scan for the others). Intermediate columns
+    are referenced several times, so Catalyst keeps them computed once."""
+    r = F.col(raw)
+    staged = df.withColumn("_p_strict", strict_match(r))
+    staged = staged.withColumn(
+        "_p_vals",
+        F.when(F.col("_p_strict"), F.split(F.regexp_replace(r, _STRICT_WHOLE, "$1,$2,$3,$4"), ","))
+        .otherwise(digit_tokens(r)),
+    )
+    v = F.col("_p_vals")
+    fields = [_to_long(F.element_at(v, i + 1)).alias(k) for i, k in enumerate(SCORE_FIELDS)]
+    parsed = F.when(F.col("_p_strict") | (F.size(v) >= 4), F.struct(*fields))
+    return staged.withColumn(out, parsed).drop("_p_strict", "_p_vals")
+
+
 def with_scores(df, parsed: str = "parsed", raw: str = "raw"):
     """R3/R4 on a DataFrame: adds the four score columns and ``total_score`` (NULL unless all four)."""
     out = df

@@ -93,4 +93,4 @@ def align_inputs(responses: DataFrame, prompt_map: DataFrame | None = None, sour
         df = df.withColumn("prompt_question", pq.cast("string"))
     return df.withColumn(
         "essay_id", essay_id(F.col("respondent_id"), F.col("question_id"), F.col("sample_row"))
-    )
+    ).withColumn("prompt_category_source", F.lit(source))

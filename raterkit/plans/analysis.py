@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from raterkit.functions.parse import is_error
 from raterkit.operators import bias, icc, metrics
-from raterkit.operators.align import align_inputs, category_source, sample_map
+from raterkit.operators.align import align_inputs, sample_map
 from raterkit.plans import responses as rsp
 from raterkit.session import cut_lineage
 
@@ -23,7 +23,7 @@ from raterkit.session import cut_lineage
 # Columns every result table needs; the raw and response texts are dropped before the cut.
 NARROW_COLUMNS = [
     "model", "essay_id", "run", "total_score", "respondent_id", "question_id", "sample_row",
-    "prompt_category", "prompt_question", "is_error",
+    "prompt_category", "prompt_question", "is_error", "prompt_category_source",
 ]
 
 
@@ -85,7 +85,8 @@ class Analysis:
 
     @property
     def category_source(self) -> DataFrame:
-        return category_source(self.aligned)
+        """P10 provenance, as decided when the responses were aligned (one row)."""
+        return self.aligned.select("prompt_category_source").limit(1)
 
 
 def testdata_analysis(spark: SparkSession, sf_dir: str, **kwargs) -> Analysis:

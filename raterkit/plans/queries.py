@@ -15,7 +15,6 @@ from pyspark.sql import types as T
 
 from raterkit.functions import parse as P
 from raterkit.operators import bias, metrics
-from raterkit.operators.align import category_source
 from raterkit.plans import responses as rsp
 from raterkit.plans.analysis import testdata_analysis
 
@@ -96,7 +95,7 @@ def q_essay_identity(spark, sf_dir):
 
 @query("category_source")
 def q_category_source(spark, sf_dir):
-    return category_source(testdata_analysis(spark, sf_dir).aligned)
+    return testdata_analysis(spark, sf_dir).category_source
 
 
 @query("essay_metrics")

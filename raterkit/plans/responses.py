@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raterkit.functions.parse import parse_scores
+from raterkit.functions.parse import with_parsed
 from raterkit.plans.tables import table
 
 # Model label is the return flag; each model adds its own offset to the task score.
@@ -72,7 +72,7 @@ def raw_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Checkpoint-shaped records: raw text plus the ``parsed`` struct a scorer run stores."""
-    return raw_responses(spark, sf_dir).withColumn("parsed", parse_scores("raw"))
+    return with_parsed(raw_responses(spark, sf_dir))
 
 
 def part_samples(spark: SparkSession, sf_dir: str) -> DataFrame:

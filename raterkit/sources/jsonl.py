@@ -85,7 +85,8 @@ def read_responses(spark: SparkSession, path: str, checkpoint: str | None = None
         if checkpoint:
             ck = checkpoint.rstrip("/")
             df = df.where(~F.col("_source_file").contains(ck.split("://")[-1] + "/"))
-        if df.isEmpty():
+        # probe a parsed field (a query reading only the corrupt-record column is not allowed)
+        if df.where(F.col("model").isNotNull()).select("model").isEmpty():
             ck_path = checkpoint or f"{path.rstrip('/')}/{CHECKPOINT_NAME}"
             df = read_jsonl(spark, ck_path, RESPONSE_SCHEMA, recursive=not ck_path.endswith(".jsonl"))
     return df.where(F.col("model").isNotNull())
