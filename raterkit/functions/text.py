@@ -130,9 +130,12 @@ def detect_category(c: Column | str, rules: Sequence[tuple[str, Sequence[str]]]
     return F.when(q.isNull() | (q == ""), F.lit(CATEGORY_EMPTY)).otherwise(expr)
 
 
-def stopword_hits(c: Column | str, words: Sequence[str] = INDONESIAN_STOPWORDS, normalized: bool = False) -> Column:
-    """Number of distinct stop words present as whole tokens of the lower-cased normalized text."""
-    n = renormalize(_col(c)) if normalized else normalize_text(c)
+def stopword_hits(c: Column | str, words: Sequence[str] = INDONESIAN_STOPWORDS, normalized: bool = False,
+                  already: bool = False) -> Column:
+    """Number of distinct stop words present as whole tokens of the lower-cased normalized text.
+
+    ``already=True``: the input went through both normalizations (use it as is)."""
+    n = _col(c) if already else renormalize(_col(c)) if normalized else normalize_text(c)
     tokens = F.split(F.lower(n), " ")
     return F.size(F.array_intersect(tokens, F.array(*[F.lit(w) for w in words])))
 
@@ -149,14 +152,23 @@ def contains_stopword_language(
     return F.when(raw.isNull() | (raw == ""), F.lit(False)).otherwise(hits >= min_hits)
 
 
+def symbol_count(t: Column) -> Column:
+    """Characters that are neither letters, digits nor blanks."""
+    return F.length(F.regexp_replace(t, _ALNUM_OR_SPACE, ""))
+
+
+def keyboard_mash(t: Column) -> Column:
+    """A keyboard-mash fragment occurs in the lower-cased text."""
+    return F.lower(t).rlike("|".join(GIBBERISH_FRAGMENTS))
+
+
 def is_gibberish(c: Column | str) -> Column:
     """NULL/'' false; blank-only true; symbol share > 0.3; keyboard mash; single-char token share > 0.4."""
     raw = _col(c).cast("string")
     t = ustrip(raw)
     n = F.length(t)
-    # what is left after removing letters, digits and blanks
-    symbols = F.length(F.regexp_replace(t, _ALNUM_OR_SPACE, ""))
-    mash = F.lower(t).rlike("|".join(GIBBERISH_FRAGMENTS))
+    symbols = symbol_count(t)
+    mash = keyboard_mash(t)
     tokens = F.split(t, r"(?U)[\s\x1c-\x1f]+")
     n_tokens = F.when(n == 0, F.lit(0)).otherwise(F.size(tokens))
     singles = F.size(F.filter(tokens, lambda x: F.length(x) == 1))

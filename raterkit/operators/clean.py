@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from raterkit.functions import text as T
+from raterkit.operators.staging import keep_where
 from raterkit.operators.columns import (
     AUDIO_COL, DEFAULTS, EXAM_COL, QUESTION_ID_COL, SUBMISSION_COL, SUBMITTED_AT_COL, resolve_columns,
 )
@@ -63,42 +64,61 @@ def classify(
     audio = _opt(answers, AUDIO_COL)
     qid = _opt(answers, QUESTION_ID_COL)
 
-    resp = T.normalize_text(raw_resp)
-    words = T.word_count(resp, normalized=True)
-    noisy = T.is_noisy_text(resp, stopwords, min_hits, normalized=True)
-    status = (
-        F.when((resp == "") & audio.isNotNull(), F.lit(STATUS_AUDIO))
-        .when((resp == "") | (words < min_length), F.lit(STATUS_SHORT))
-        .when(noisy, F.lit(STATUS_NOISY))
-        .otherwise(F.lit(STATUS_KEPT))
-    )
-    is_audio = F.col("status") == STATUS_AUDIO
-    question = F.when(raw_q.isNotNull(), T.normalize_text(raw_q))
-    respondent = T.anonymize_id(raw_resp_id, salt) if anonymize else F.lit(None).cast("string")
-    staged = answers.select(
+    # Stage 1: the normalized response (computed once, referenced by every feature).
+    stage = answers.select(
         F.col("row").cast("long").alias("row"),
-        status.alias("status"),
-        resp.alias("_resp"),
-        question.alias("question"),
+        T.normalize_text(raw_resp).alias("_resp"),
+        raw_q.alias("_raw_q"),
         qid.alias("question_id"),
         raw_type.alias("type"),
-        T.detect_category(F.coalesce(raw_q, F.lit(""))).alias("_category"),
         audio.alias("_audio"),
-        respondent.alias("respondent_id"),
+        (T.anonymize_id(raw_resp_id, salt) if anonymize else F.lit(None).cast("string")).alias("respondent_id"),
         _opt(answers, SUBMISSION_COL).alias("submission_id"),
         _opt(answers, EXAM_COL).alias("exam_id"),
         _opt(answers, SUBMITTED_AT_COL).alias("submitted_at"),
     )
+    # Stage 2: each text feature once. The response is normalized, so it is already
+    # stripped and single-spaced: its tokens are split on ' '.
+    resp = F.col("_resp")
+    renorm = T.renormalize(resp)
+    stage = stage.withColumn("_renorm", renorm).withColumn("_tokens", F.split(resp, " "))
+    toks = F.col("_tokens")
+    stage = stage.select(
+        "*",
+        F.length(resp).alias("_len"),
+        T.symbol_count(resp).alias("_symbols"),
+        F.size(F.filter(toks, lambda x: F.length(x) == 1)).alias("_singles"),
+        T.keyboard_mash(resp).alias("_mash"),
+        T.token_count(F.col("_renorm")).alias("_words"),
+        T.stopword_hits(F.col("_renorm"), stopwords, normalized=True, already=True).alias("_hits"),
+    )
+    n, n_tok = F.col("_len"), F.when(F.col("_len") == 0, F.lit(0)).otherwise(F.size(toks))
+    gib = (
+        (n > 0)
+        & ((F.col("_symbols") / n > T.GIBBERISH_SYMBOL_RATIO) | F.col("_mash")
+           | ((n_tok > 0) & (F.col("_singles") / n_tok > T.GIBBERISH_SINGLE_CHAR_RATIO)))
+    )
+    noisy = gib | ((resp != "") & (F.col("_hits") >= min_hits))
+    status = (
+        F.when((resp == "") & F.col("_audio").isNotNull(), F.lit(STATUS_AUDIO))
+        .when((resp == "") | (F.col("_words") < min_length), F.lit(STATUS_SHORT))
+        .when(noisy, F.lit(STATUS_NOISY))
+        .otherwise(F.lit(STATUS_KEPT))
+    )
+    staged = stage.withColumn("status", status).withColumn(
+        "question", F.when(F.col("_raw_q").isNotNull(), T.normalize_text(F.col("_raw_q")))
+    )
+    is_audio = F.col("status") == STATUS_AUDIO
     key = F.when(
         is_audio, F.concat(F.lit("audio:"), F.col("_audio"))
     ).otherwise(
-        F.concat(F.lit("text:"), F.coalesce(F.col("question_id"), F.col("question"), F.lit("")), F.lit("|"), F.col("_resp"))
+        F.concat(F.lit("text:"), F.coalesce(F.col("question_id"), F.col("question"), F.lit("")), F.lit("|"), resp)
     )
     return staged.select(
         "row", "status",
         "question", "question_id", "type",
-        F.when(~is_audio, F.col("_category")).alias("category"),
-        F.when(~is_audio, F.col("_resp")).alias("response"),
+        F.when(~is_audio, T.detect_category(F.coalesce(F.col("_raw_q"), F.lit("")))).alias("category"),
+        F.when(~is_audio, resp).alias("response"),
         F.when(is_audio, F.lit("audio")).otherwise(F.lit("text")).alias("response_type"),
         F.when(is_audio, F.col("_audio")).alias("audio_url"),
         "respondent_id", "submission_id", "exam_id", "submitted_at",
@@ -107,22 +127,31 @@ def classify(
     )
 
 
-def dedupe_first(df: DataFrame, key: str, order: str = "row") -> DataFrame:
-    """Keep the first row (smallest ``order``) per ``key``.
+def dedupe_first(df: DataFrame, key: str, order: str = "row", eligible: Column | None = None) -> DataFrame:
+    """Keep the first row (smallest ``order``) per ``key`` among ``eligible`` rows.
 
     A ``min_by`` aggregate: partial aggregation keeps one candidate per key and map
     task, so a key holding a third of all rows is reduced before the shuffle.
+    Ineligible rows carry a NULL ordering (ignored by ``min_by``); keys without an
+    eligible row are dropped after the aggregate.
     """
     others = [c for c in df.columns if c != key]
-    best = F.min_by(F.struct(*[F.col(c) for c in others]), F.col(order))
-    return df.groupBy(key).agg(best.alias("_first")).select(key, *[F.col(f"_first.{c}").alias(c) for c in others])
+    ordering = F.col(order) if eligible is None else F.when(eligible, F.col(order))
+    best = F.min_by(F.struct(*[F.col(c) for c in others]), ordering)
+    agg = df.groupBy(key).agg(best.alias("_first"))
+    if eligible is not None:
+        agg = agg.where(F.col("_first").isNotNull())
+    return agg.select(key, *[F.col(f"_first.{c}").alias(c) for c in others])
 
 
 def clean_records(answers: DataFrame, *, dedupe: bool = False, **kwargs) -> DataFrame:
     """The cleaned records (kept text rows and audio rows), optionally deduplicated."""
-    c = classify(answers, **kwargs).where(F.col("status").isin(STATUS_AUDIO, STATUS_KEPT))
+    c = classify(answers, **kwargs)
+    passed = F.col("status").isin(STATUS_AUDIO, STATUS_KEPT)
     if dedupe:
-        c = dedupe_first(c.drop("status"), "dedupe_key")
+        c = dedupe_first(c, "dedupe_key", eligible=passed)
+    else:
+        c = keep_where(c, passed)
     return c.select(*RECORD_COLUMNS)
 
 

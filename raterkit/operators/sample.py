@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from raterkit.functions import text as T
 from raterkit.operators.columns import DEFAULTS
+from raterkit.operators.staging import keep_where
 
 ESSAY_TYPE_PATTERN = "essay|writing"
 TOP_QUESTIONS = 3
@@ -74,7 +75,7 @@ def _valid_answers(answers: DataFrame, questions: DataFrame, qid_col: str, resp_
     a = answers.withColumn("question_id", F.col(qid_col).cast("string")).withColumn("_norm", norm)
     a = a.join(questions.select("question_id"), "question_id", "left_semi")
     # the sampler counts the tokens of the once-normalized text
-    return a.where(T.token_count(F.col("_norm")) >= min_length)
+    return keep_where(a, T.token_count(F.col("_norm")) >= min_length)
 
 
 def sample_per_question(

@@ -42,7 +42,7 @@ class Analysis:
         return self._essays
 
     def persist_essays(self) -> "Analysis":
-        self._essays = cut_lineage(self.essays)
+        self._essays = cut_lineage(self.essays, "essays")
         return self
 
     def materialize(self) -> "Analysis":
@@ -51,7 +51,7 @@ class Analysis:
         Each result branch prunes different columns, so without this cut Spark could not
         reuse one scan across them."""
         keep = [c for c in NARROW_COLUMNS if c in self.aligned.columns]
-        self.aligned = cut_lineage(self.aligned.select(*keep))
+        self.aligned = cut_lineage(self.aligned.select(*keep), "aligned")
         self._essays = None
         return self
 
