@@ -1,17 +1,28 @@
 """ICC(3,1) per model over balanced essays.
 
 Two-way mixed, consistency, single rater; targets = essays, raters = runs.
-With n balanced essays, k runs, essay means m_e, run means m_r and grand mean g:
+With n balanced essays, k runs, cells x, essay means m_e, run means m_r and
+grand mean g:
 
-    MSB = k * sum_e (m_e - g)^2 / (n - 1)
-    MSE = sum (x - m_e - m_r + g)^2 / ((n - 1)(k - 1))
+    SSB = k * sum_e (m_e - g)^2          MSB = SSB / (n - 1)
+    SSW = sum (x - m_e)^2                (within essays)
+    SSC = n * sum_r (m_r - g)^2          (between runs)
+    SSE = SSW - SSC                      MSE = SSE / ((n - 1)(k - 1))
     ICC = (MSB - MSE) / (MSB + (k - 1) MSE)
 
-Plan: duplicate runs collapse with a partial aggregate on (model, essay, run);
-after that an essay has at most k rows, so the essay window is bounded. Run
-means and grand means are (model x run) / (model) tables, joined back as small
-sides (AQE broadcasts them after measuring); nothing is windowed over a whole
-model. Residuals are centred for precision at scale.
+Plan (one scan, two shuffles of the data, no join back to it):
+
+1. A2: duplicate runs collapse with a partial aggregate on (model, essay, run);
+   afterwards an essay has at most k rows, so the essay window is bounded.
+2. Window over (model, essay): essay size and mean.
+3. The per-model run count k is a (model)-grain table; AQE broadcasts it after
+   measuring it.
+4. One aggregate on (model, run): in a balanced design every essay has exactly
+   one cell per run, so each run group sees all n essay means (their population
+   variance gives SSB) plus the run mean and the within-essay squares.
+5. One aggregate per model over the tiny (model x run) table.
+
+Every variance is a centred, numerically stable Spark aggregate.
 """
 
 from __future__ import annotations
@@ -36,52 +47,53 @@ def icc_by_model(aligned: DataFrame) -> DataFrame:
     ICC is NULL when k < 2, n < 2 or the denominator is 0.
     """
     models = aligned.where(F.col("model").isNotNull()).select("model").distinct()
-    x = collapse_runs(aligned)
-    raters = x.select("model", "run").distinct().groupBy("model").agg(F.count(F.lit(1)).alias("k"))
+    scored = aligned.where(F.col("total_score").isNotNull())
+    raters = scored.select("model", "run").distinct().groupBy("model").agg(F.count(F.lit(1)).alias("k"))
 
     essay = Window.partitionBy("model", "essay_id")
-    xe = (
-        x.withColumn("n_e", F.count(F.lit(1)).over(essay))
+    cells = (
+        collapse_runs(aligned)
+        .withColumn("n_e", F.count(F.lit(1)).over(essay))
         .withColumn("m_e", F.avg("x").over(essay))
         .withColumn("first_of_essay", F.col("run") == F.min("run").over(essay))
         .join(raters, "model")
     )
-    counts = xe.groupBy("model").agg(
-        F.sum(F.col("first_of_essay").cast("long")).alias("icc_n_essays_total"),
-        F.sum((F.col("first_of_essay") & (F.col("n_e") == F.col("k"))).cast("long")).alias("icc_n_essays_balanced"),
-        F.first("k").alias("icc_n_raters"),
+    bal = F.col("n_e") == F.col("k")
+    per_run = cells.groupBy("model", "run").agg(
+        F.sum(F.col("first_of_essay").cast("long")).alias("essays"),
+        F.sum((F.col("first_of_essay") & bal).cast("long")).alias("essays_bal"),
+        F.count(F.when(bal, F.lit(1))).alias("n"),
+        F.avg(F.when(bal, F.col("x"))).alias("m_r"),
+        F.var_pop(F.when(bal, F.col("m_e"))).alias("var_e"),
+        F.sum(F.when(bal, (F.col("x") - F.col("m_e")) ** 2)).alias("ssw"),
+        F.first("k").alias("k"),
     )
-
-    bal = xe.where(F.col("n_e") == F.col("k")).select("model", "essay_id", "run", "x", "m_e", "k")
-    run_means = bal.groupBy("model", "run").agg(F.avg("x").alias("m_r"))
-    grand = bal.groupBy("model").agg(F.avg("x").alias("g"))
-    ss = (
-        bal.join(run_means, ["model", "run"])
-        .join(grand, "model")
-        .groupBy("model")
-        .agg(
-            F.sum((F.col("m_e") - F.col("g")) ** 2).alias("ssb"),
-            F.sum((F.col("x") - F.col("m_e") - F.col("m_r") + F.col("g")) ** 2).alias("sse"),
-            F.count(F.lit(1)).alias("cells"),
-            F.first("k").alias("kk"),
-        )
+    # runs without any balanced cell exist only when nothing is balanced (then n = 0)
+    per_model = per_run.groupBy("model").agg(
+        F.sum("essays").alias("icc_n_essays_total"),
+        F.sum("essays_bal").alias("icc_n_essays_balanced"),
+        F.first("k").alias("icc_n_raters"),
+        F.max("n").alias("n"),
+        F.max("var_e").alias("var_e"),
+        F.var_pop(F.when(F.col("n") > 0, F.col("m_r"))).alias("var_r"),
+        F.sum("ssw").alias("ssw"),
     )
-    k = F.col("kk").cast("double")
-    n = F.col("cells") / k
-    msb = F.col("ssb") / (n - 1.0)
-    mse = F.col("sse") / ((n - 1.0) * (k - 1.0))
+    k = F.col("icc_n_raters").cast("double")
+    n = F.col("n").cast("double")
+    ssb = k * n * F.col("var_e")
+    ssc = n * k * F.col("var_r")
+    sse = F.col("ssw") - ssc
+    msb = ssb / (n - 1.0)
+    mse = sse / ((n - 1.0) * (k - 1.0))
     denom = msb + (k - 1.0) * mse
     icc = F.when((k >= 2) & (n >= 2) & (denom != 0), (msb - mse) / denom)
-    iccs = ss.select("model", icc.alias("icc_total"))
-
-    return (
-        models.join(counts, "model", "left")
-        .join(iccs, "model", "left")
-        .select(
-            "model",
-            "icc_total",
-            F.coalesce("icc_n_essays_total", F.lit(0)).cast("long").alias("icc_n_essays_total"),
-            F.coalesce("icc_n_essays_balanced", F.lit(0)).cast("long").alias("icc_n_essays_balanced"),
-            F.coalesce("icc_n_raters", F.lit(0)).cast("long").alias("icc_n_raters"),
-        )
+    stats = per_model.select(
+        "model", icc.alias("icc_total"), "icc_n_essays_total", "icc_n_essays_balanced", "icc_n_raters"
+    )
+    return models.join(stats, "model", "left").select(
+        "model",
+        "icc_total",
+        F.coalesce("icc_n_essays_total", F.lit(0)).cast("long").alias("icc_n_essays_total"),
+        F.coalesce("icc_n_essays_balanced", F.lit(0)).cast("long").alias("icc_n_essays_balanced"),
+        F.coalesce("icc_n_raters", F.lit(0)).cast("long").alias("icc_n_raters"),
     )
