@@ -25,12 +25,24 @@ CV_COMPARE_DIGITS = 12
 ESSAY_KEYS = ["model", "essay_id"]
 
 
-def essay_metrics(aligned: DataFrame) -> DataFrame:
+def collapse_duplicate_runs(aligned: DataFrame) -> DataFrame:
+    """One row per (model, essay, run): the mean total of repeated responses of a run."""
+    return aligned.groupBy(*ESSAY_KEYS, "run").agg(
+        *[F.min(c).alias(c) for c in ("respondent_id", "question_id", "sample_row", "prompt_category", "prompt_question")],
+        F.avg("total_score").alias("total_score"),
+    )
+
+
+def essay_metrics(aligned: DataFrame, dedupe_runs: bool = False) -> DataFrame:
     """A1: per (model, essay) mean/sample-sd/min/max/count of total score.
 
     ``sd`` and ``range`` are 0 when undefined; ``cv = sd/mean`` is 0 when the mean is 0
     or NULL. Essays without any scored run are kept (mean NULL, spread 0).
+    ``dedupe_runs=True`` first collapses repeated responses of one run (as the ICC does);
+    the default counts every response, as the reference does.
     """
+    if dedupe_runs:
+        aligned = collapse_duplicate_runs(aligned)
     agg = aligned.groupBy(*ESSAY_KEYS).agg(
         F.min("respondent_id").alias("respondent_id"),
         F.min("question_id").alias("question_id"),
@@ -113,12 +125,23 @@ def model_summary(essays_routed: DataFrame, icc: DataFrame, dist: DataFrame) ->
     return base.join(icc, "model", "left").join(hitl_pivot(dist), "model", "left")
 
 
+SCORE_MIN, SCORE_MAX = 0, 9
+
+
 def parse_failure_rate(aligned: DataFrame) -> DataFrame:
     """R5/R6 at essay grain: submitted essays, essays with a score, failures and their share,
-    plus error responses (scorer exceptions) at response grain."""
+    plus error responses (scorer exceptions) and responses with a score outside 0-9
+    (never clamped) at response grain."""
+    fields = [c for c in ("grammar", "lexical", "coherence", "task") if c in aligned.columns]
+    outside = None
+    for c in fields:
+        cond = (F.col(c) < SCORE_MIN) | (F.col(c) > SCORE_MAX)
+        outside = cond if outside is None else outside | cond
+    outside = F.coalesce(outside, F.lit(False)) if outside is not None else F.lit(False)
     per_essay = aligned.groupBy("model", "essay_id").agg(
         F.count("total_score").alias("_scored"),
         F.count(F.lit(1)).alias("_responses"),
+        F.sum(outside.cast("int")).alias("_outside"),
         F.sum((F.col("is_error") if "is_error" in aligned.columns else is_error(F.col("raw"))).cast("int")).alias("_errors"),
     )
     return per_essay.groupBy("model").agg(
@@ -128,4 +151,18 @@ def parse_failure_rate(aligned: DataFrame) -> DataFrame:
         (F.sum((F.col("_scored") == 0).cast("long")) * 100.0 / F.count(F.lit(1))).alias("failed_pct"),
         F.sum("_responses").alias("responses"),
         F.sum("_errors").cast("long").alias("error_responses"),
+        F.sum("_outside").cast("long").alias("out_of_range_responses"),
+    )
+
+
+def scored_only_summary(routed: DataFrame) -> DataFrame:
+    """Spread and routing over scored essays only (the reference's summary counts an
+    unscored essay as zero spread and approved; these columns leave such essays out)."""
+    s = routed.where(F.col("n_runs") > 0)
+    return s.groupBy("model").agg(
+        F.count(F.lit(1)).alias("n_scored"),
+        F.avg("sd_total").alias("mean_sd_scored"),
+        F.avg("range_total").alias("mean_range_scored"),
+        F.avg("cv_total").alias("mean_cv_scored"),
+        (F.avg((F.col("hitl_status") == AUTO_APPROVE).cast("double")) * 100.0).alias("auto_approve_scored_pct"),
     )

@@ -303,9 +303,12 @@ SELECT model, count(*) AS submitted,
        CAST(sum(CASE WHEN scored_n > 0 THEN 1 ELSE 0 END) AS BIGINT) AS valid,
        CAST(sum(CASE WHEN scored_n = 0 THEN 1 ELSE 0 END) AS BIGINT) AS failed,
        {r('sum(CASE WHEN scored_n = 0 THEN 1 ELSE 0 END) * 100.0 / count(*)', 'failed_pct')},
-       CAST(sum(n_resp) AS BIGINT) AS responses, CAST(sum(n_err) AS BIGINT) AS error_responses
+       CAST(sum(n_resp) AS BIGINT) AS responses, CAST(sum(n_err) AS BIGINT) AS error_responses,
+       CAST(sum(n_out) AS BIGINT) AS out_of_range_responses
 FROM (SELECT model, essay_id, count(total_score) AS scored_n, count(*) AS n_resp,
-             sum(CASE WHEN starts_with(raw, 'ERROR:') THEN 1 ELSE 0 END) AS n_err
+             sum(CASE WHEN starts_with(raw, 'ERROR:') THEN 1 ELSE 0 END) AS n_err,
+             sum(CASE WHEN COALESCE(grammar < 0 OR grammar > 9 OR lexical < 0 OR lexical > 9 OR coherence < 0
+                                    OR coherence > 9 OR task < 0 OR task > 9, false) THEN 1 ELSE 0 END) AS n_out
       FROM aligned GROUP BY model, essay_id) e
 GROUP BY model""")
 
@@ -684,3 +687,30 @@ SELECT count(*) AS n_models, CAST(sum(n_essays) AS BIGINT) AS total_essays, {r('
        max(CASE WHEN rk = 1 THEN regexp_extract(model, '[^/]*$') END) AS most_reliable,
        {r('max(CASE WHEN rk = 1 THEN icc_total END)', 'most_reliable_icc')}
 FROM (SELECT *, row_number() OVER (ORDER BY icc_total DESC NULLS LAST, model) AS rk FROM summary) s""")
+
+
+# --------------------------------------------------------------------------- extras
+ORACLE["scan_rows"] = "SELECT doc_id, doc_id + 1 AS row FROM documents"
+ORACLE["essay_metrics_dedupe_runs"] = with_analysis(f"""
+, cellsd AS (
+  SELECT model, essay_id, run, min(respondent_id) AS respondent_id, min(question_id) AS question_id,
+         min(sample_row_s) AS sample_row_s, min(prompt_category) AS prompt_category,
+         min(prompt_question) AS prompt_question, avg(total_score) AS total_score
+  FROM aligned GROUP BY model, essay_id, run
+),
+ed AS (
+  SELECT model, essay_id, min(respondent_id) AS respondent_id, min(question_id) AS question_id,
+         min(sample_row_s) AS sample_row, min(prompt_category) AS prompt_category,
+         min(prompt_question) AS prompt_question, avg(total_score) AS mean_total,
+         COALESCE(stddev_samp(total_score), 0.0) AS sd_total, min(total_score) AS min_total,
+         max(total_score) AS max_total, count(total_score) AS n_runs,
+         COALESCE(max(total_score) - min(total_score), 0.0) AS range_total
+  FROM cellsd GROUP BY model, essay_id
+),
+ed2 AS (SELECT *, CASE WHEN mean_total IS NULL OR mean_total = 0 THEN 0.0 ELSE sd_total / mean_total END AS cv_total FROM ed)
+SELECT {_ESSAY_COLS} FROM ed2""")
+ORACLE["model_summary_scored"] = with_analysis(f"""
+SELECT model, count(*) AS n_scored, {r('avg(sd_total)', 'mean_sd_scored')}, {r('avg(range_total)', 'mean_range_scored')},
+       {r('avg(cv_total)', 'mean_cv_scored')},
+       {r("avg(CASE WHEN hitl_status = 'Auto-Approve' THEN 1.0 ELSE 0.0 END) * 100.0", 'auto_approve_scored_pct')}
+FROM routed WHERE n_runs > 0 GROUP BY model""")

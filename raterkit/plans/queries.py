@@ -439,3 +439,25 @@ def q_badges(spark, sf_dir):
 @query("exec_summary")
 def q_exec_summary(spark, sf_dir):
     return rounded(RP.exec_summary(_summary(spark, sf_dir)))
+
+
+# --------------------------------------------------------------------------- extras from the survey's decisions
+
+from raterkit.sources.answers import with_row_ordinal  # noqa: E402
+
+
+@query("scan_rows")
+def q_scan_rows(spark, sf_dir):
+    """1-based ordinal in scan order (documents are stored in doc_id order)."""
+    d = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet").select("doc_id")
+    return with_row_ordinal(d)
+
+
+@query("essay_metrics_dedupe_runs")
+def q_essay_metrics_dedupe_runs(spark, sf_dir):
+    return rounded(metrics.essay_metrics(testdata_analysis(spark, sf_dir).aligned, dedupe_runs=True))
+
+
+@query("model_summary_scored")
+def q_model_summary_scored(spark, sf_dir):
+    return rounded(metrics.scored_only_summary(testdata_analysis(spark, sf_dir).routed))
