@@ -118,14 +118,26 @@ def with_parsed(df, raw: str = "raw", out: str = "parsed"):
 
 
 def with_scores(df, parsed: str = "parsed", raw: str = "raw"):
-    """R3/R4 on a DataFrame: adds the four score columns and ``total_score`` (NULL unless all four)."""
-    out = df
-    for k in SCORE_FIELDS:
-        out = out.withColumn(k, score_field(parsed, raw, k))
+    """R3/R4 on a DataFrame: adds the four score columns and ``total_score`` (NULL unless all four).
+
+    The raw-JSON fallback (``from_json`` runs outside whole-stage codegen) is its own
+    column, evaluated only for rows without parsed scores; the score projection stays
+    code-generated.
+    """
+    p = F.col(parsed)
+    r = F.col(raw)
+    whole = F.coalesce(r.rlike(_WHOLE_OBJECT), F.lit(False))
+    fallback = F.from_json(r, _RAW_JSON_SCHEMA, {"allowSingleQuotes": "false", "mode": "PERMISSIVE"})
+    staged = df.withColumn("_raw_json", F.when(p.isNull() & whole, fallback))
+    scores = {
+        k: F.when(p.isNotNull(), p.getField(k).try_cast("double")).otherwise(
+            F.col("_raw_json").getField(k).try_cast("double"))
+        for k in SCORE_FIELDS
+    }
     total = None
     for k in SCORE_FIELDS:
         total = F.col(k) if total is None else total + F.col(k)
-    return out.withColumn("total_score", total)
+    return staged.withColumns(scores).withColumn("total_score", total).drop("_raw_json")
 
 
 def is_error(raw: Column | str) -> Column:

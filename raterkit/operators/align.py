@@ -69,12 +69,12 @@ def align_inputs(responses: DataFrame, prompt_map: DataFrame | None = None, sour
     df = responses.where(F.col("model").isNotNull())
     if "total_score" not in df.columns:
         df = with_scores(df)
-    df = (
-        df.withColumn("run", F.coalesce(F.col("run").cast("string").try_cast("double").try_cast("int"), F.lit(0)))
-        .withColumn("sample_row", F.col("sample_row").cast("string"))
-        .withColumn("respondent_id", F.col("respondent_id").cast("string"))
-        .withColumn("question_id", F.col("question_id").cast("string"))
-    )
+    df = df.withColumns({
+        "run": F.coalesce(F.col("run").cast("string").try_cast("double").try_cast("int"), F.lit(0)),
+        "sample_row": F.col("sample_row").cast("string"),
+        "respondent_id": F.col("respondent_id").cast("string"),
+        "question_id": F.col("question_id").cast("string"),
+    })
     if prompt_map is not None:
         m = prompt_map.select("question_id", "prompt_category", "prompt_question")
         clash = [c for c in ("prompt_category", "prompt_question") if c in df.columns]
@@ -87,10 +87,12 @@ def align_inputs(responses: DataFrame, prompt_map: DataFrame | None = None, sour
     src_col = {"samples.category": "prompt_category"}.get(source, source)
     if src_col not in cols:
         src_col = "question_id"
-    df = df.withColumn("prompt_category", F.coalesce(F.col(src_col).cast("string"), F.lit(UNMAPPED_CATEGORY)))
+    new = {
+        "prompt_category": F.coalesce(F.col(src_col).cast("string"), F.lit(UNMAPPED_CATEGORY)),
+        "essay_id": essay_id(F.col("respondent_id"), F.col("question_id"), F.col("sample_row")),
+        "prompt_category_source": F.lit(source),
+    }
     if "prompt_question" not in cols:
         pq = F.col("question") if "question" in cols else F.col("prompt") if "prompt" in cols else F.lit(None)
-        df = df.withColumn("prompt_question", pq.cast("string"))
-    return df.withColumn(
-        "essay_id", essay_id(F.col("respondent_id"), F.col("question_id"), F.col("sample_row"))
-    ).withColumn("prompt_category_source", F.lit(source))
+        new["prompt_question"] = pq.cast("string")
+    return df.withColumns(new)
