@@ -714,3 +714,20 @@ SELECT model, count(*) AS n_scored, {r('avg(sd_total)', 'mean_sd_scored')}, {r('
        {r('avg(cv_total)', 'mean_cv_scored')},
        {r("avg(CASE WHEN hitl_status = 'Auto-Approve' THEN 1.0 ELSE 0.0 END) * 100.0", 'auto_approve_scored_pct')}
 FROM routed WHERE n_runs > 0 GROUP BY model""")
+
+
+# --------------------------------------------------------------------------- sources and sinks
+ORACLE["tolerant_jsonl"] = with_analysis("""
+, lines AS (SELECT unnest(string_split(raw, chr(10))) AS line FROM raw)
+SELECT json_extract_string(line, '$.grammar') AS grammar, json_extract_string(line, '$.lexical') AS lexical,
+       json_extract_string(line, '$.coherence') AS coherence, json_extract_string(line, '$.task') AS task
+FROM lines WHERE json_valid(line) AND starts_with(ltrim(line), '{')""")
+ORACLE["partitioned_append"] = with_analysis("""
+SELECT model, CAST(run AS VARCHAR) AS run, CAST(sample_row AS VARCHAR) AS sample_row, question_id, respondent_id, raw,
+       CAST(p_grammar AS VARCHAR) AS parsed_grammar, CAST(p_lexical AS VARCHAR) AS parsed_lexical,
+       CAST(p_coherence AS VARCHAR) AS parsed_coherence, CAST(p_task AS VARCHAR) AS parsed_task
+FROM parsed2""")
+ORACLE["input_resolution"] = f"""WITH {CSAMPLES}
+SELECT model, CAST(run AS VARCHAR) AS run, CAST(sample_row AS VARCHAR) AS sample_row, question_id, respondent_id, raw
+FROM dry"""
+ORACLE["sample_map"] = with_analysis("SELECT question_id, prompt_category, prompt_question FROM pmap")

@@ -461,3 +461,52 @@ def q_essay_metrics_dedupe_runs(spark, sf_dir):
 @query("model_summary_scored")
 def q_model_summary_scored(spark, sf_dir):
     return rounded(metrics.scored_only_summary(testdata_analysis(spark, sf_dir).routed))
+
+
+# --------------------------------------------------------------------------- sources and sinks
+# Round trips through a fresh folder under spark.checkpoint.dir, on data derived from the tables.
+
+from raterkit.session import scratch_path  # noqa: E402
+from raterkit.sources import jsonl as JS  # noqa: E402
+from raterkit.sources import sinks as SK  # noqa: E402
+
+
+@query("tolerant_jsonl")
+def q_tolerant_jsonl(spark, sf_dir):
+    """Every raw rater text written as text lines (fenced answers span several lines);
+    the tolerant scan keeps the lines that are JSON objects and drops the rest."""
+    path = scratch_path(spark, "raw-lines")
+    rsp.raw_responses(spark, sf_dir).select("raw").write.text(path)
+    got = JS.read_jsonl(spark, path, JS.SCORES)
+    return got.select(*P.SCORE_FIELDS)
+
+
+@query("partitioned_append")
+def q_partitioned_append(spark, sf_dir):
+    """S7 + S3: responses appended per (stem, model, question) folder, a checkpoint folder
+    beside them; reading the output folder resolves to the responses only."""
+    base = scratch_path(spark, "eval")
+    recs = rsp.responses(spark, sf_dir).withColumn("response", F.lit(None).cast("string"))
+    recs = recs.select(*SC.RESPONSE_COLUMNS)
+    SK.write_responses(recs, base)
+    SK.write_checkpoint(_dry_run_records(spark, sf_dir), f"{base}/ckpt")
+    back = JS.read_responses(spark, base, checkpoint=f"{base}/ckpt")
+    return back.select("model", "run", "sample_row", "question_id", "respondent_id", "raw",
+                       *[F.col("parsed").getField(k).alias(f"parsed_{k}") for k in P.SCORE_FIELDS])
+
+
+@query("input_resolution")
+def q_input_resolution(spark, sf_dir):
+    """S3 fallback: a folder holding only the checkpoint resolves to the checkpoint."""
+    base = scratch_path(spark, "eval-ckpt-only")
+    SK.write_checkpoint(_dry_run_records(spark, sf_dir), f"{base}/ckpt")
+    back = JS.read_responses(spark, base, checkpoint=f"{base}/ckpt")
+    return back.select("model", "run", "sample_row", "question_id", "respondent_id", "raw")
+
+
+@query("sample_map")
+def q_sample_map(spark, sf_dir):
+    """Sample records written per question, read back into the question -> prompt map."""
+    path = scratch_path(spark, "samples")
+    SK.write_samples(rsp.part_samples(spark, sf_dir), path)
+    return JS.load_sample_mapping(spark, path)

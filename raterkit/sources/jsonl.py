@@ -16,6 +16,8 @@ from raterkit.operators.align import sample_map
 CORRUPT = "_corrupt_record"
 CHECKPOINT_NAME = "checkpoint.jsonl"
 SAMPLE_GLOB = "question_*_samples.jsonl"
+# sample files as the sampler names them, or as Spark's writer names them (write_samples)
+SAMPLE_FILES_GLOB = "{question_*_samples.jsonl,part-*.json}"
 
 SCORES = T.StructType([T.StructField(k, T.StringType(), True) for k in ("grammar", "lexical", "coherence", "task")])
 RESPONSE_SCHEMA = T.StructType([
@@ -93,8 +95,8 @@ def read_responses(spark: SparkSession, path: str, checkpoint: str | None = None
 
 
 def read_samples(spark: SparkSession, samples_dir: str) -> DataFrame:
-    """Sample records written by the sampler (``question_*_samples.jsonl`` files)."""
-    return read_jsonl(spark, samples_dir, SAMPLE_SCHEMA, recursive=True, glob=SAMPLE_GLOB)
+    """Sample records (``question_*_samples.jsonl`` files, or a ``write_samples`` folder)."""
+    return read_jsonl(spark, samples_dir, SAMPLE_SCHEMA, recursive=True, glob=SAMPLE_FILES_GLOB)
 
 
 def load_sample_mapping(spark: SparkSession, samples_dir: str) -> DataFrame:

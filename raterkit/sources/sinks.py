@@ -44,6 +44,13 @@ def write_responses(records: DataFrame, out_dir: str, mode: str = "append",
     out.write.mode(mode).option("ignoreNullFields", "false").partitionBy(*parts).json(out_dir)
 
 
+def write_samples(samples: DataFrame, samples_dir: str, mode: str = "overwrite") -> None:
+    """Sample records, one folder per question (``question_dir=<id>/part-*.json``); the
+    partition column is a copy, so every record keeps all its fields."""
+    samples.withColumn("question_dir", F.col("question_id").cast("string")).write.mode(mode).option(
+        "ignoreNullFields", "false").partitionBy("question_dir").json(samples_dir)
+
+
 def write_checkpoint(records: DataFrame, checkpoint_dir: str) -> None:
     """Append completed responses to the checkpoint folder (kept apart from the outputs)."""
     records.select(*[c for c in records.columns if c not in ("stem", "model_safe")]).write.mode("append").option(
