@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from raterkit.functions.parse import with_scores
+from raterkit.functions.parse import SCORES_TYPE, with_scores
 
 UNMAPPED_CATEGORY = "unknown"
 
@@ -68,6 +68,8 @@ def align_inputs(responses: DataFrame, prompt_map: DataFrame | None = None, sour
     """
     df = responses.where(F.col("model").isNotNull())
     if "total_score" not in df.columns:
+        if "parsed" not in df.columns:  # records without parsed scores fall back to the raw JSON
+            df = df.withColumn("parsed", F.lit(None).cast(SCORES_TYPE))
         df = with_scores(df)
     df = df.withColumns({
         "run": F.coalesce(F.col("run").cast("string").try_cast("double").try_cast("int"), F.lit(0)),

@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from raterkit.operators.align import sample_map
+from raterkit.operators.staging import keep_where
 
 CORRUPT = "_corrupt_record"
+_WHOLE_OBJECT = r"^\s*\{[\s\S]*\}\s*$"
 CHECKPOINT_NAME = "checkpoint.jsonl"
 SAMPLE_GLOB = "question_*_samples.jsonl"
 # sample files as the sampler names them, or as Spark's writer names them (write_samples)
@@ -47,26 +49,26 @@ SAMPLE_SCHEMA = T.StructType([
 
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType, *,
                recursive: bool = False, glob: str | None = None) -> DataFrame:
-    """One JSON object per line; undecodable lines are dropped (blank lines never appear).
+    """One JSON object per line; lines that are not a whole JSON object are dropped
+    (blank lines, broken JSON, text after the object, bare arrays or numbers).
 
-    Adds ``_source_file`` (the file each record came from) for resolution and debugging.
+    Lines are read as text and parsed with ``from_json`` (the corrupt-record column lives
+    inside the parsed struct), so any later query, ``count()`` included, is allowed.
+    Adds ``_source_file`` (the file each record came from).
     """
-    full = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType(), True)])
-    reader = (
-        spark.read.schema(full)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-    )
+    reader = spark.read
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    df = reader.json(path)
-    return (
-        df.withColumn("_source_file", F.col("_metadata.file_path"))
-        .where(F.col(CORRUPT).isNull())
-        .drop(CORRUPT)
+    lines = reader.text(path).select("value", F.col("_metadata.file_path").alias("_source_file"))
+    full = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType(), True)])
+    parsed = lines.withColumn(
+        "_r", F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
     )
+    ok = F.col("value").rlike(_WHOLE_OBJECT) & F.col("_r").isNotNull() & F.col(f"_r.{CORRUPT}").isNull()
+    kept = keep_where(parsed, ok)
+    return kept.select(*[F.col(f"_r.`{f.name}`").alias(f.name) for f in schema.fields], "_source_file")
 
 
 def read_responses(spark: SparkSession, path: str, checkpoint: str | None = None) -> DataFrame:
@@ -87,8 +89,7 @@ def read_responses(spark: SparkSession, path: str, checkpoint: str | None = None
         if checkpoint:
             ck = checkpoint.rstrip("/")
             df = df.where(~F.col("_source_file").contains(ck.split("://")[-1] + "/"))
-        # probe a parsed field (a query reading only the corrupt-record column is not allowed)
-        if df.where(F.col("model").isNotNull()).select("model").isEmpty():
+        if df.where(F.col("model").isNotNull()).isEmpty():
             ck_path = checkpoint or f"{path.rstrip('/')}/{CHECKPOINT_NAME}"
             df = read_jsonl(spark, ck_path, RESPONSE_SCHEMA, recursive=not ck_path.endswith(".jsonl"))
     return df.where(F.col("model").isNotNull())
