@@ -47,28 +47,33 @@ SAMPLE_SCHEMA = T.StructType([
 ])
 
 
-def read_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType, *,
-               recursive: bool = False, glob: str | None = None) -> DataFrame:
-    """One JSON object per line; lines that are not a whole JSON object are dropped
-    (blank lines, broken JSON, text after the object, bare arrays or numbers).
+def parse_jsonl_lines(lines: DataFrame, schema: T.StructType, value: str = "value") -> DataFrame:
+    """Keep the text lines that are one whole JSON object and expand them with ``schema``.
 
-    Lines are read as text and parsed with ``from_json`` (the corrupt-record column lives
-    inside the parsed struct), so any later query, ``count()`` included, is allowed.
-    Adds ``_source_file`` (the file each record came from).
+    Dropped: blank lines, broken JSON, text after the object, bare arrays or numbers. The
+    corrupt-record column lives inside the parsed struct, so any later query is allowed.
+    Other columns of ``lines`` (file name, partition values) are kept.
     """
+    full = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType(), True)])
+    parsed = lines.withColumn(
+        "_r", F.from_json(value, full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    )
+    ok = F.col(value).rlike(_WHOLE_OBJECT) & F.col("_r").isNotNull() & F.col(f"_r.{CORRUPT}").isNull()
+    kept = keep_where(parsed, ok)
+    others = [c for c in lines.columns if c != value]
+    return kept.select(*[F.col(f"_r.`{f.name}`").alias(f.name) for f in schema.fields], *others)
+
+
+def read_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType, *,
+               recursive: bool = False, glob: str | None = None) -> DataFrame:
+    """One JSON object per line (see ``parse_jsonl_lines``); adds ``_source_file``."""
     reader = spark.read
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     lines = reader.text(path).select("value", F.col("_metadata.file_path").alias("_source_file"))
-    full = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType(), True)])
-    parsed = lines.withColumn(
-        "_r", F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
-    )
-    ok = F.col("value").rlike(_WHOLE_OBJECT) & F.col("_r").isNotNull() & F.col(f"_r.{CORRUPT}").isNull()
-    kept = keep_where(parsed, ok)
-    return kept.select(*[F.col(f"_r.`{f.name}`").alias(f.name) for f in schema.fields], "_source_file")
+    return parse_jsonl_lines(lines, schema)
 
 
 def read_responses(spark: SparkSession, path: str, checkpoint: str | None = None) -> DataFrame:

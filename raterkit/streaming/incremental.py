@@ -19,19 +19,29 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from raterkit.operators.scoring import Scorer, pending_requests, response_records, score, score_plan
-from raterkit.sources.jsonl import RESPONSE_SCHEMA, SAMPLE_GLOB, SAMPLE_SCHEMA, read_jsonl
+from raterkit.sources.jsonl import RESPONSE_SCHEMA, SAMPLE_GLOB, SAMPLE_SCHEMA, parse_jsonl_lines
 from raterkit.sources.sinks import write_responses
 
 _WITH_STEM = T.StructType(RESPONSE_SCHEMA.fields + [T.StructField("stem", T.StringType(), True)])
 
 
-def _completed(spark: SparkSession, checkpoint_dir: str, epoch_id: int) -> DataFrame | None:
-    """Responses written by earlier epochs (a retried epoch must not skip its own requests)."""
+def _completed(spark: SparkSession, checkpoint_dir: str, epoch_id: int, question_ids: list) -> DataFrame | None:
+    """Responses written by earlier epochs for the questions of this micro-batch.
+
+    The checkpoint is partitioned by question and epoch, so partition pruning reads only
+    this batch's questions (a retried epoch must not skip its own requests).
+    """
     try:
-        done = read_jsonl(spark, checkpoint_dir, RESPONSE_SCHEMA, recursive=True, glob="*.json")
+        lines = spark.read.text(checkpoint_dir)  # partition discovery: question_dir, batch
     except AnalysisException:  # nothing written yet
         return None
-    return done.where(~F.col("_source_file").contains(f"/batch={epoch_id}/"))
+    q = F.col("question_dir").cast("string")
+    named = [x for x in question_ids if x is not None]
+    keep = q.isin(named) if named else F.lit(False)
+    if any(x is None for x in question_ids):
+        keep = keep | q.isNull()
+    lines = lines.where(keep & (F.col("batch").cast("long") != epoch_id))
+    return parse_jsonl_lines(lines.select("value"), RESPONSE_SCHEMA)
 
 
 def start_scoring_stream(
@@ -58,14 +68,19 @@ def start_scoring_stream(
 
     def batch(df: DataFrame, epoch_id: int) -> None:
         bspark = df.sparkSession
-        todo = pending_requests(df, _completed(bspark, responses_checkpoint, epoch_id))
+        # the questions of this micro-batch (one per sample file it consumed)
+        qids = [r[0] for r in df.select("question_id").distinct().collect()]
+        todo = pending_requests(df, _completed(bspark, responses_checkpoint, epoch_id, qids))
         records = response_records(score(todo, scorer, dry_run=dry_run, scorer_factory=scorer_factory))
-        # Scorer output is written once, to this epoch's checkpoint folder (overwrite: a
-        # retried epoch replaces it); the partitioned outputs are copied from those files,
-        # so the scorer is never re-run for the second sink.
-        ck_batch = f"{responses_checkpoint.rstrip('/')}/batch={epoch_id}"
-        records.write.mode("overwrite").option("ignoreNullFields", "false").json(ck_batch)
-        written = read_jsonl(bspark, ck_batch, _WITH_STEM).drop("_source_file")
+        # Scorer output is written once, to this epoch's checkpoint partitions (dynamic
+        # overwrite: a retried epoch replaces exactly them); the partitioned outputs are
+        # copied from those files, so the scorer is never re-run for the second sink.
+        bspark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        (records.withColumn("question_dir", F.col("question_id")).withColumn("batch", F.lit(epoch_id))
+         .write.mode("overwrite").option("ignoreNullFields", "false")
+         .partitionBy("question_dir", "batch").json(responses_checkpoint))
+        written = bspark.read.text(responses_checkpoint).where(F.col("batch").cast("long") == epoch_id)
+        written = parse_jsonl_lines(written.select("value"), _WITH_STEM)
         write_responses(written.withColumn("batch", F.lit(epoch_id)), out_dir, mode="overwrite",
                         extra_partitions=["batch"])
 
