@@ -52,7 +52,7 @@ def top_questions(answers: DataFrame, qid_col: str = "questionId", resp_col: str
         .agg(F.count(F.lit(1)).alias("n_answers"))
     )
     w = Window.orderBy(F.desc("n_answers"), F.asc("question_id"))
-    return counts.withColumn("question_rank", F.row_number().over(w)).where(F.col("question_rank") <= n)
+    return counts.withColumn("question_rank", F.row_number().over(w).cast("long")).where(F.col("question_rank") <= n)
 
 
 def detect_essay_questions(answers: DataFrame, qid_col: str = "questionId", type_col: str = "questionType",
@@ -101,7 +101,7 @@ def sample_per_question(
     valid = _valid_answers(answers, questions, qid_col, resp_col, min_length)
     order = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("row").cast("string")), 256)
     w = Window.partitionBy("question_id").orderBy(order, F.col("row"))
-    ranked = valid.withColumn("sample_rank", F.row_number().over(w)).where(F.col("sample_rank") <= n)
+    ranked = valid.withColumn("sample_rank", F.row_number().over(w).cast("long")).where(F.col("sample_rank") <= n)
     respondent = "nim" if "nim" in cols else "nama" if "nama" in cols else None
     resp_raw = F.nullif(F.col(respondent).cast("string"), F.lit("")) if respondent else F.lit(None).cast("string")
     qtext = T.normalize_text(F.col(qtext_col)) if qtext_col in cols else F.lit(None).cast("string")

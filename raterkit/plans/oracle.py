@@ -614,8 +614,8 @@ plan AS (
   FROM prompts p CROSS JOIN (VALUES {_MODELS_VALUES}) m(model) CROSS JOIN range(1, 4) r(run)
 ),
 dry AS (
-  SELECT *, {_q(DRY_RUN_TEXT)} AS raw, 7.0 AS grammar, 7.0 AS lexical, 7.0 AS coherence, 7.0 AS task,
-         28.0 AS total_score,
+  SELECT *, {_q(DRY_RUN_TEXT)} AS raw, CAST(7 AS DOUBLE) AS grammar, CAST(7 AS DOUBLE) AS lexical,
+         CAST(7 AS DOUBLE) AS coherence, CAST(7 AS DOUBLE) AS task, CAST(28 AS DOUBLE) AS total_score,
          COALESCE(respondent_id, '') || '|' || COALESCE(question_id, '') || '|' || COALESCE(CAST(sample_row AS VARCHAR), '') AS essay_id
   FROM plan
 )"""
@@ -636,12 +636,12 @@ FROM dry"""
 ORACLE["dry_run_summary"] = f"""WITH {CSAMPLES},
 e AS (SELECT model, essay_id, avg(total_score) AS mean_total FROM dry GROUP BY model, essay_id)
 SELECT model, count(*) AS n_essays, round(avg(mean_total), 9) AS mean_total, round(stddev_samp(mean_total), 9) AS sd_total,
-       0.0 AS mean_sd, 0.0 AS mean_range, 0.0 AS mean_cv, CAST(NULL AS DOUBLE) AS icc_total,
-       count(*) AS icc_n_essays_total, count(*) AS icc_n_essays_balanced, CAST({3} AS BIGINT) AS icc_n_raters,
-       100.0 AS "auto-approve", CAST(NULL AS DOUBLE) AS flagged_for_review
+       CAST(0 AS DOUBLE) AS mean_sd, CAST(0 AS DOUBLE) AS mean_range, CAST(0 AS DOUBLE) AS mean_cv,
+       CAST(NULL AS DOUBLE) AS icc_total, count(*) AS icc_n_essays_total, count(*) AS icc_n_essays_balanced,
+       CAST({3} AS BIGINT) AS icc_n_raters, CAST(100 AS DOUBLE) AS "auto-approve", CAST(NULL AS DOUBLE) AS flagged_for_review
 FROM e GROUP BY model"""
 ORACLE["dry_run_ttest"] = f"""WITH {CSAMPLES}
-SELECT min(model) AS model_1, max(model) AS model_2, 0.0 AS tstat, 1.0 AS pvalue,
+SELECT min(model) AS model_1, max(model) AS model_2, CAST(0 AS DOUBLE) AS tstat, CAST(1 AS DOUBLE) AS pvalue,
        count(DISTINCT essay_id) AS n_pairs, true AS degenerate
 FROM dry"""
 

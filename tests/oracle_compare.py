@@ -61,22 +61,30 @@ def rows_of(columns, records):
     return [columns[i] for i in order], sorted(out, key=_key)
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
 def compare_one(spark, con, name, fn, sql, sf_dir):
     t0 = time.time()
     sdf = fn(spark, sf_dir)
     s_cols = sdf.columns
+    s_types = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in sdf.schema.fields}
     s_rows = [tuple(r) for r in sdf.collect()]
     t1 = time.time()
     res = con.execute(sql)
     d_cols = [d[0] for d in res.description]
+    d_types = {d[0]: str(d[1]) for d in res.description}
     d_rows = res.fetchall()
     t2 = time.time()
     sc, sr = rows_of(s_cols, s_rows)
     dc, dr = rows_of(d_cols, d_rows)
-    ok = sc == dc and len(sr) == len(dr) and sr == dr
+    type_diff = {k: (s_types.get(k), d_types.get(k)) for k in set(s_types) | set(d_types) if s_types.get(k) != d_types.get(k)}
+    ok = sc == dc and not type_diff and len(sr) == len(dr) and sr == dr
     detail = ""
     if sc != dc:
         detail = f"columns spark={sc} duck={dc}"
+    elif type_diff:
+        detail = f"types {type_diff}"
     elif len(sr) != len(dr):
         detail = f"rows spark={len(sr)} duck={len(dr)}"
     elif sr != dr:
