@@ -25,11 +25,17 @@ def essay_pairs(essays: DataFrame, first: int = 1, second: int = 2, dropna: bool
     Columns: essay_id, model_1, model_2, mean_1, mean_2, pair_mean, diff.
     """
     r = ranked_models(essays).where(F.col("model_rank").isin(first, second))
+    # the two model names travel as grouping keys (constant), keeping the per-essay
+    # aggregate free of string buffers (a hash aggregate)
+    everything = Window.partitionBy()
+    r = r.select(
+        "model", "model_rank",
+        F.max(F.when(F.col("model_rank") == first, F.col("model"))).over(everything).alias("model_1"),
+        F.max(F.when(F.col("model_rank") == second, F.col("model"))).over(everything).alias("model_2"),
+    )
     e = essays.select("model", "essay_id", "mean_total").join(r, "model")
     is1, is2 = F.col("model_rank") == first, F.col("model_rank") == second
-    p = e.groupBy("essay_id").agg(
-        F.max(F.when(is1, F.col("model"))).alias("model_1"),
-        F.max(F.when(is2, F.col("model"))).alias("model_2"),
+    p = e.groupBy("essay_id", "model_1", "model_2").agg(
         F.max(F.when(is1, F.col("mean_total"))).alias("mean_1"),
         F.max(F.when(is2, F.col("mean_total"))).alias("mean_2"),
         F.max(is1.cast("int")).alias("_has1"),

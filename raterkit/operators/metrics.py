@@ -23,14 +23,15 @@ RANGE_THRESHOLD = 2.0
 CV_COMPARE_DIGITS = 12
 
 ESSAY_KEYS = ["model", "essay_id"]
+# Columns that are functions of the essay: its id is built from the first three, the prompt
+# columns come from its question. They are grouping keys rather than string aggregates, so
+# the essay aggregate keeps fixed-width buffers and runs as a hash aggregate.
+ESSAY_ATTRIBUTES = ["respondent_id", "question_id", "sample_row", "prompt_category", "prompt_question"]
 
 
 def collapse_duplicate_runs(aligned: DataFrame) -> DataFrame:
     """One row per (model, essay, run): the mean total of repeated responses of a run."""
-    return aligned.groupBy(*ESSAY_KEYS, "run").agg(
-        *[F.min(c).alias(c) for c in ("respondent_id", "question_id", "sample_row", "prompt_category", "prompt_question")],
-        F.avg("total_score").alias("total_score"),
-    )
+    return aligned.groupBy(*ESSAY_KEYS, "run", *ESSAY_ATTRIBUTES).agg(F.avg("total_score").alias("total_score"))
 
 
 def essay_metrics(aligned: DataFrame, dedupe_runs: bool = False) -> DataFrame:
@@ -43,12 +44,7 @@ def essay_metrics(aligned: DataFrame, dedupe_runs: bool = False) -> DataFrame:
     """
     if dedupe_runs:
         aligned = collapse_duplicate_runs(aligned)
-    agg = aligned.groupBy(*ESSAY_KEYS).agg(
-        F.min("respondent_id").alias("respondent_id"),
-        F.min("question_id").alias("question_id"),
-        F.min("sample_row").alias("sample_row"),
-        F.min("prompt_category").alias("prompt_category"),
-        F.min("prompt_question").alias("prompt_question"),
+    agg = aligned.groupBy(*ESSAY_KEYS, *ESSAY_ATTRIBUTES).agg(
         F.avg("total_score").alias("mean_total"),
         F.stddev_samp("total_score").alias("_sd"),
         F.min("total_score").alias("min_total"),
