@@ -70,6 +70,7 @@ def compare_one(spark, con, name, fn, sql, sf_dir):
     s_cols = sdf.columns
     s_types = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in sdf.schema.fields}
     s_rows = [tuple(r) for r in sdf.collect()]
+    compare_one.last_plan = sdf._jdf.queryExecution().executedPlan().toString()
     t1 = time.time()
     res = con.execute(sql)
     d_cols = [d[0] for d in res.description]

@@ -15,10 +15,40 @@ def con():
     return duck(SF_SMALL)
 
 
+NO_PAIRING_OPERATORS = ("CartesianProduct", "BroadcastNestedLoopJoin")
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_oracle(spark, con, name):
     ok, n, _, _, detail = compare_one(spark, con, name, QUERIES[name], ORACLE[name], SF_SMALL)
     assert ok, detail
+    # no query pairs rows without a key
+    plan = compare_one.last_plan
+    assert not [op for op in NO_PAIRING_OPERATORS if op in plan], plan[:2000]
+
+
+def _final_plan(spark, name):
+    df = QUERIES[name](spark, SF_SMALL)
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_sampling_limits_before_the_shuffle(spark):
+    plan = _final_plan(spark, "sample_per_question")
+    assert plan.count("WindowGroupLimit") >= 2  # partial (map side) and final
+
+
+def test_essay_aggregate_is_hash_based(spark):
+    plan = _final_plan(spark, "essay_metrics")
+    assert "HashAggregate(keys=[model" in plan
+    # the only sort-based aggregate left is the prompt map's first-by-row (over samples)
+    assert all("min_by" in line or "SortAggregate" not in line for line in plan.split("\n"))
+
+
+def test_filters_and_columns_reach_the_scan(spark):
+    plan = _final_plan(spark, "detect_questions_by_type")
+    assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint,o_orderpriority:string>" in plan or \
+        "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint,o_orderpriority:string" in plan
 
 
 def test_every_query_has_an_oracle_or_is_listed():
