@@ -23,6 +23,7 @@ TOP_QUESTIONS = 3
 PER_QUESTION = 50
 SEED = 42
 
+# sample record columns (plus ``sample_rank``, the position in the question's sample)
 SAMPLE_COLUMNS = [
     "respondent_id", "question", "question_id", "type", "category", "response",
     "submitted_at", "source_file", "row",
@@ -105,7 +106,7 @@ def sample_per_question(
     respondent = "nim" if "nim" in cols else "nama" if "nama" in cols else None
     resp_raw = F.nullif(F.col(respondent).cast("string"), F.lit("")) if respondent else F.lit(None).cast("string")
     qtext = T.normalize_text(F.col(qtext_col)) if qtext_col in cols else F.lit(None).cast("string")
-    return ranked.select(
+    out = ranked.select(
         T.anonymize_id(resp_raw, salt).alias("respondent_id"),
         qtext.alias("question"),
         F.col("question_id"),
@@ -117,6 +118,7 @@ def sample_per_question(
         F.col("row").cast("long").alias("row"),
         F.col("sample_rank"),
     )
+    return out.select(*SAMPLE_COLUMNS, "sample_rank")
 
 
 def sampling_summary(answers: DataFrame, questions: DataFrame, *, n: int = PER_QUESTION,

@@ -37,7 +37,8 @@ def raw_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     pk, ok, sk, ln = F.col("l_partkey"), F.col("l_orderkey"), F.col("l_suppkey"), F.col("l_linenumber")
     model = F.col("l_returnflag")
-    offset = F.when(model == "A", 0).when(model == "N", 1).otherwise(2)
+    offset = F.when(model == "A", MODEL_TASK_OFFSET["A"]).when(model == "N", MODEL_TASK_OFFSET["N"]).otherwise(
+        MODEL_TASK_OFFSET["R"])
     g = pk % 8
     lx = (pk * 3) % 7 + ok % 2
     c = pk % 5 + F.when(pk % 4 == 0, sk % 4).otherwise(0)
