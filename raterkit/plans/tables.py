@@ -12,14 +12,20 @@ TABLES = [
 WIDE_WORK = {"lineitem", "documents", "conversations", "orders", "pages"}
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin a scan over the session's cores when it has fewer splits than cores.
+# Only scans this thin are spread: at most a few GB, so the extra shuffle is cheap. A
+# medium input on a large cluster (thousands of splits, more cores) is never reshuffled.
+SPREAD_MAX_SPLITS = 32
+
+
+def spread(df: DataFrame, min_partitions: int | None = None, max_splits: int = SPREAD_MAX_SPLITS) -> DataFrame:
+    """Round-robin a thin scan (a few splits, fewer than the session's cores) over the cores.
 
     A single-row-group file is one scan task, which would run all per-row parsing on
-    one core. Large inputs have many splits and are left untouched (no extra shuffle).
+    one core. Inputs with more splits are left untouched (no extra shuffle).
     """
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    n = df.rdd.getNumPartitions()
+    return df.repartition(target) if n < target and n <= max_splits else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
