@@ -14,9 +14,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from raterkit.functions import parse as P
+from raterkit.functions import text as TX
 from raterkit.operators import bias, metrics
+from raterkit.operators import clean as CL
+from raterkit.operators import report as RP
+from raterkit.operators import sample as SA
+from raterkit.operators import scoring as SC
+from raterkit.operators.align import align_inputs
 from raterkit.plans import responses as rsp
-from raterkit.plans.analysis import testdata_analysis
+from raterkit.plans.analysis import Analysis, testdata_analysis
+from raterkit.plans.tables import table
+from raterkit.session import scratch_path
+from raterkit.sources import jsonl as JS
+from raterkit.sources import sinks as SK
+from raterkit.sources.answers import with_row_ordinal
 
 DIGITS = 9
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -181,10 +192,6 @@ def q_category_questions(spark, sf_dir):
 
 # --------------------------------------------------------------------------- text functions
 
-from raterkit.functions import text as TX  # noqa: E402
-from raterkit.operators import clean as CL  # noqa: E402
-from raterkit.operators import sample as SA  # noqa: E402
-from raterkit.plans.tables import table  # noqa: E402
 
 # A French stop-word list: the test documents hold no Indonesian, so the language
 # filter is exercised with French (the list is a parameter of the operator).
@@ -340,10 +347,6 @@ def q_select_samples(spark, sf_dir):
 
 # --------------------------------------------------------------------------- scoring plan
 
-from raterkit.operators import report as RP  # noqa: E402
-from raterkit.operators import scoring as SC  # noqa: E402
-from raterkit.operators.align import align_inputs  # noqa: E402
-from raterkit.plans.analysis import Analysis  # noqa: E402
 
 # Model names to plan requests for (the reference compares these two).
 PLAN_MODELS = ["openai/gpt-oss-120b", "qwen/qwen3-32b"]
@@ -443,8 +446,6 @@ def q_exec_summary(spark, sf_dir):
 
 # --------------------------------------------------------------------------- extras from the survey's decisions
 
-from raterkit.sources.answers import with_row_ordinal  # noqa: E402
-
 
 @query("scan_rows")
 def q_scan_rows(spark, sf_dir):
@@ -466,10 +467,6 @@ def q_model_summary_scored(spark, sf_dir):
 # --------------------------------------------------------------------------- sources and sinks
 # Round trips through a fresh folder under spark.checkpoint.dir, on data derived from the tables.
 
-from raterkit.session import scratch_path  # noqa: E402
-from raterkit.sources import jsonl as JS  # noqa: E402
-from raterkit.sources import sinks as SK  # noqa: E402
-
 
 @query("tolerant_jsonl")
 def q_tolerant_jsonl(spark, sf_dir):
