@@ -731,3 +731,14 @@ ORACLE["input_resolution"] = f"""WITH {CSAMPLES}
 SELECT model, CAST(run AS VARCHAR) AS run, CAST(sample_row AS VARCHAR) AS sample_row, question_id, respondent_id, raw
 FROM dry"""
 ORACLE["sample_map"] = with_analysis("SELECT question_id, prompt_category, prompt_question FROM pmap")
+
+# --------------------------------------------------------------------------- routing policy options
+ORACLE["hitl_distribution_unscored_flag"] = with_analysis(f"""
+, r2 AS (SELECT model, CASE WHEN n_runs = 0 THEN 'Flagged for Review' ELSE hitl_status END AS hitl_status FROM routed)
+SELECT model, hitl_status, count(*) AS count,
+       {r('count(*) * 100.0 / sum(count(*)) OVER (PARTITION BY model)', 'pct')}
+FROM r2 GROUP BY model, hitl_status""")
+ORACLE["hitl_distribution_unscored_exclude"] = with_analysis(f"""
+SELECT model, hitl_status, count(*) AS count,
+       {r('count(*) * 100.0 / sum(count(*)) OVER (PARTITION BY model)', 'pct')}
+FROM routed WHERE n_runs > 0 GROUP BY model, hitl_status""")

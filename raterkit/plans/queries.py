@@ -507,3 +507,19 @@ def q_sample_map(spark, sf_dir):
     path = scratch_path(spark, "samples")
     SK.write_samples(rsp.part_samples(spark, sf_dir), path)
     return JS.load_sample_mapping(spark, path)
+
+
+# --------------------------------------------------------------------------- routing policy options (trap 1)
+
+@query("hitl_distribution_unscored_flag")
+def q_hitl_distribution_unscored_flag(spark, sf_dir):
+    """Routing where an essay without any scored run is flagged instead of approved."""
+    a = testdata_analysis(spark, sf_dir, unscored="flag")
+    return rounded(a.distribution)
+
+
+@query("hitl_distribution_unscored_exclude")
+def q_hitl_distribution_unscored_exclude(spark, sf_dir):
+    """Routing over scored essays only."""
+    a = testdata_analysis(spark, sf_dir, unscored="exclude")
+    return rounded(a.distribution)
