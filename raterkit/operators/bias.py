@@ -12,10 +12,13 @@ LOA_Z = 1.96
 SIGNIFICANCE_LEVEL = 0.05
 
 
-def ranked_models(essays: DataFrame) -> DataFrame:
-    """Distinct models numbered by name. The table has one row per model; ordering it
-    globally is cheap because the distinct step already reduced it to model grain."""
-    return essays.select("model").distinct().withColumn("model_rank", F.row_number().over(Window.orderBy("model")))
+def ranked_models(essays: DataFrame, top: int | None = None) -> DataFrame:
+    """Distinct models numbered by name (the first ``top`` only, when given). The distinct
+    step reduces the input to one row per model before anything is ordered."""
+    models = essays.select("model").distinct()
+    if top is not None:
+        models = models.orderBy("model").limit(top)
+    return models.withColumn("model_rank", F.row_number().over(Window.orderBy("model")))
 
 
 def essay_pairs(essays: DataFrame, first: int = 1, second: int = 2, dropna: bool = True) -> DataFrame:
@@ -24,7 +27,7 @@ def essay_pairs(essays: DataFrame, first: int = 1, second: int = 2, dropna: bool
     Models ``first`` and ``second`` by name (default the first two, as the reference).
     Columns: essay_id, model_1, model_2, mean_1, mean_2, pair_mean, diff.
     """
-    r = ranked_models(essays).where(F.col("model_rank").isin(first, second))
+    r = ranked_models(essays, top=max(first, second)).where(F.col("model_rank").isin(first, second))
     # the two model names travel as grouping keys (constant), keeping the per-essay
     # aggregate free of string buffers (a hash aggregate)
     everything = Window.partitionBy()

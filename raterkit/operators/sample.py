@@ -52,8 +52,11 @@ def top_questions(answers: DataFrame, qid_col: str = "questionId", resp_col: str
         .groupBy(F.col(qid_col).cast("string").alias("question_id"))
         .agg(F.count(F.lit(1)).alias("n_answers"))
     )
-    w = Window.orderBy(F.desc("n_answers"), F.asc("question_id"))
-    return counts.withColumn("question_rank", F.row_number().over(w).cast("long")).where(F.col("question_rank") <= n)
+    order = [F.desc("n_answers"), F.asc("question_id")]
+    # top-n first (a per-task top-k, then a merge of at most n rows per task); only the
+    # n winners are numbered
+    top = counts.orderBy(*order).limit(n)
+    return top.withColumn("question_rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
 def detect_essay_questions(answers: DataFrame, qid_col: str = "questionId", type_col: str = "questionType",
@@ -144,9 +147,8 @@ def select_samples(samples: DataFrame, names: Sequence[str] | None = None, max_q
     if names:
         s = s.where(F.col("sample_file").isin(list(names)))
     if max_questions is not None:
-        files = s.select("sample_file").distinct()
-        files = files.withColumn("_file_rank", F.row_number().over(Window.orderBy("sample_file")))
-        s = s.join(files.where(F.col("_file_rank") <= max_questions).select("sample_file"), "sample_file", "left_semi")
+        first_files = s.select("sample_file").distinct().orderBy("sample_file").limit(max_questions)
+        s = s.join(first_files, "sample_file", "left_semi")
     if per_question is not None:
         s = s.where(F.col("sample_rank") <= per_question)
     return s
