@@ -1,7 +1,7 @@
 """Report tables on the model summary: distribution, leaderboard, badges.
 
-Inputs are model-grain tables (one row per model), so the global windows here
-order a handful of rows.
+Inputs are model-grain tables (one row per model). "Best" is a ``min_by`` over an
+ordering key (no global window); relative-to-best windows are partitioned by metric.
 """
 
 from __future__ import annotations
@@ -35,17 +35,22 @@ def _q(name: str) -> F.Column:
     return F.col(f"`{name}`")
 
 
+def _best_first(value: F.Column) -> F.Column:
+    """Ordering key whose minimum is the best row: non-null first, larger value first,
+    then the first model by name (``idxmax`` semantics)."""
+    return F.struct(value.isNull(), -value, F.col("model"))
+
+
 def leaderboard(summary: DataFrame) -> DataFrame:
-    """Best model per metric (largest value; ties go to the first model by name)."""
+    """Best model per metric (largest value; ties go to the first model by name).
+    One ``min_by`` aggregate per metric over the model-grain summary."""
     rows = None
     for m in LEADER_METRICS:
-        w = Window.orderBy(_q(m).desc_nulls_last(), F.col("model"))
-        best = (
-            summary.where(_q(m).isNotNull())
-            .withColumn("_r", F.row_number().over(w))
-            .where(F.col("_r") == 1)
-            .select(F.lit(m).alias("metric"), F.col("model").alias("best_model"), _q(m).cast("double").alias("best_value"))
-        )
+        v = _q(m).cast("double")
+        best = summary.where(v.isNotNull()).agg(
+            F.min_by(F.col("model"), _best_first(v)).alias("best_model"),
+            F.min_by(v, _best_first(v)).alias("best_value"),
+        ).where(F.col("best_model").isNotNull()).select(F.lit(m).alias("metric"), "best_model", "best_value")
         rows = best if rows is None else rows.unionByName(best)
     return rows.withColumn("best_model_short", short_model_name(F.col("best_model")))
 
@@ -86,12 +91,11 @@ def badges(summary: DataFrame) -> DataFrame:
 
 def exec_summary(summary: DataFrame) -> DataFrame:
     """Models compared, total essays, mean auto-approve %, most reliable model and its ICC."""
-    w = Window.orderBy(F.col("icc_total").desc_nulls_last(), F.col("model"))
-    top = summary.withColumn("_r", F.row_number().over(w))
-    return top.agg(
+    key = _best_first(F.col("icc_total").cast("double"))
+    return summary.agg(
         F.count(F.lit(1)).alias("n_models"),
         F.sum("n_essays").cast("long").alias("total_essays"),
         F.avg(_q("auto-approve")).alias("avg_auto_approve"),
-        F.max(F.when(F.col("_r") == 1, short_model_name(F.col("model")))).alias("most_reliable"),
-        F.max(F.when(F.col("_r") == 1, F.col("icc_total"))).alias("most_reliable_icc"),
+        short_model_name(F.min_by(F.col("model"), key)).alias("most_reliable"),
+        F.min_by(F.col("icc_total"), key).alias("most_reliable_icc"),
     )
