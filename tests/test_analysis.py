@@ -147,3 +147,31 @@ def test_topic_delta_uses_unweighted_topic_average(spark):
         "model string, prompt_category string, mean_total double")
     d = {r.prompt_category: r.delta_vs_topic_avg for r in bias.topic_delta(bias.topic_means(df)).collect()}
     assert d == {"t1": pytest.approx(-10.0), "t2": pytest.approx(10.0)}
+
+
+def test_bland_altman_golden_finalisation(spark):
+    """Published: bias -2.07, limits -7.38 / +3.25 on 95 pairs -> sd 2.7117, t -7.44."""
+    n, bias_, sd = 95, -2.07, (3.25 + 7.38) / (2 * 1.96)
+    z = np.linspace(-1.0, 1.0, n)
+    d = bias_ + sd * (z - z.mean()) / z.std(ddof=1)  # exact mean and sample sd
+    rows = [("a", f"e{i}", 1, 25.0 + float(x)) for i, x in enumerate(d)] + [("b", f"e{i}", 1, 25.0) for i in range(n)]
+    an = Analysis(_responses(spark, rows))
+    ba = an.bland_altman.first()
+    # the published values are each rounded to 2 places
+    assert ba.n_pairs == 95
+    assert (ba.bias, ba.loa_lower, ba.loa_upper) == (pytest.approx(-2.07, abs=0.01), pytest.approx(-7.38, abs=0.01),
+                                                     pytest.approx(3.25, abs=0.01))
+    t = an.ttest.first()
+    assert round(t.tstat, 2) == -7.44 and t.pvalue < 1e-9
+
+
+def test_resume_identity(spark):
+    from conftest import SF_SMALL
+    from raterkit.operators import scoring as SC
+    from raterkit.plans import responses as rsp
+
+    plan = SC.score_plan(rsp.conversation_samples(spark, SF_SMALL), ["m1", "m2"], 3)
+    done = SC.response_records(SC.score(plan.where(F.col("run") != 2), dry_run=True))
+    pending = SC.pending_requests(plan, done)
+    assert pending.count() + done.count() == plan.count()
+    assert pending.where(F.col("run") != 2).count() == 0
