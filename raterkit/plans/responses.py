@@ -30,44 +30,35 @@ def raw_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ``l_orderkey % 17`` picks a defect of the raw text: 0 null scores, 1 an error,
     2 reordered keys, 3 decimals, 4 prose with four digits, 5 fenced JSON; model A
-    with ``l_partkey % 97 = 0`` always answers with null scores.
+    with ``l_partkey % 97 = 0`` always answers with null scores. Written as one SQL
+    projection (a single call into the JVM).
     """
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag"
     )
-    pk, ok, sk, ln = F.col("l_partkey"), F.col("l_orderkey"), F.col("l_suppkey"), F.col("l_linenumber")
-    model = F.col("l_returnflag")
-    offset = F.when(model == "A", MODEL_TASK_OFFSET["A"]).when(model == "N", MODEL_TASK_OFFSET["N"]).otherwise(
-        MODEL_TASK_OFFSET["R"])
-    g = pk % 8
-    lx = (pk * 3) % 7 + ok % 2
-    c = pk % 5 + F.when(pk % 4 == 0, sk % 4).otherwise(0)
-    t = (ln + sk) % 2 + 1 + offset
-    defect = F.when((model == "A") & (pk % UNSCORED_MODULUS == 0), F.lit(0)).otherwise(ok % DEFECT_MODULUS)
-    gs, ls, cs, ts = _s(g), _s(lx), _s(c), _s(t)
-    raw = (
-        F.when(defect == 0, F.lit('{"grammar":null,"lexical":null,"coherence":null,"task":null}'))
-        .when(defect == 1, F.lit("ERROR: timeout"))
-        .when(defect == 2, F.concat(F.lit('{"task": '), ts, F.lit(', "grammar": '), gs,
-                                    F.lit(', "lexical": '), ls, F.lit(', "coherence": '), cs, F.lit("}")))
-        .when(defect == 3, F.concat(F.lit('{"grammar": '), gs, F.lit('.0, "lexical": '), ls,
-                                    F.lit('.0, "coherence": '), cs, F.lit('.0, "task": '), ts, F.lit(".0}")))
-        .when(defect == 4, F.concat(F.lit("Scores - grammar "), gs, F.lit(", lexical "), ls,
-                                    F.lit(", coherence "), cs, F.lit(", task "), ts, F.lit(".")))
-        .when(defect == 5, F.concat(F.lit('```json\n{"grammar":'), gs, F.lit(',"lexical":'), ls,
-                                    F.lit(',"coherence":'), cs, F.lit(',"task":'), ts, F.lit("}\n```")))
-        .otherwise(F.concat(F.lit('{"grammar": '), gs, F.lit(', "lexical": '), ls,
-                            F.lit(', "coherence": '), cs, F.lit(', "task": '), ts, F.lit("}")))
+    offset = " ".join(f"WHEN l_returnflag = '{m}' THEN {o}" for m, o in MODEL_TASK_OFFSET.items())
+    scores = li.selectExpr(
+        "l_orderkey", "l_partkey", "l_linenumber", "l_returnflag",
+        "CAST(l_partkey % 8 AS STRING) AS g",
+        "CAST((l_partkey * 3) % 7 + l_orderkey % 2 AS STRING) AS lx",
+        "CAST(l_partkey % 5 + CASE WHEN l_partkey % 4 = 0 THEN l_suppkey % 4 ELSE 0 END AS STRING) AS c",
+        f"CAST((l_linenumber + l_suppkey) % 2 + 1 + CASE {offset} ELSE 0 END AS STRING) AS t",
+        f"CASE WHEN l_returnflag = 'A' AND l_partkey % {UNSCORED_MODULUS} = 0 THEN 0 "
+        f"ELSE l_orderkey % {DEFECT_MODULUS} END AS defect",
     )
-    return li.select(
-        F.col("l_orderkey"),
-        F.col("l_linenumber"),
-        model.alias("model"),
-        ln.alias("run"),
-        pk.alias("sample_row"),
-        _s(pk % 3).alias("question_id"),
-        _s(pk).alias("respondent_id"),
-        raw.alias("raw"),
+    raw = """CASE defect
+        WHEN 0 THEN '{"grammar":null,"lexical":null,"coherence":null,"task":null}'
+        WHEN 1 THEN 'ERROR: timeout'
+        WHEN 2 THEN concat('{"task": ', t, ', "grammar": ', g, ', "lexical": ', lx, ', "coherence": ', c, '}')
+        WHEN 3 THEN concat('{"grammar": ', g, '.0, "lexical": ', lx, '.0, "coherence": ', c, '.0, "task": ', t, '.0}')
+        WHEN 4 THEN concat('Scores - grammar ', g, ', lexical ', lx, ', coherence ', c, ', task ', t, '.')
+        WHEN 5 THEN concat('```json', char(10), '{"grammar":', g, ',"lexical":', lx, ',"coherence":', c,
+                           ',"task":', t, '}', char(10), '```')
+        ELSE concat('{"grammar": ', g, ', "lexical": ', lx, ', "coherence": ', c, ', "task": ', t, '}')
+      END AS raw"""
+    return scores.selectExpr(
+        "l_orderkey", "l_linenumber", "l_returnflag AS model", "l_linenumber AS run", "l_partkey AS sample_row",
+        "CAST(l_partkey % 3 AS STRING) AS question_id", "CAST(l_partkey AS STRING) AS respondent_id", raw,
     )
 
 
