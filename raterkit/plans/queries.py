@@ -348,8 +348,8 @@ def q_select_samples(spark, sf_dir):
 # --------------------------------------------------------------------------- scoring plan
 
 
-# Model names to plan requests for (the reference compares these two).
-PLAN_MODELS = ["openai/gpt-oss-120b", "qwen/qwen3-32b"]
+# Rater (model) names to plan requests for; the slash exercises the path-safe folder names.
+PLAN_MODELS = ["org-a/rater-large", "org-b/rater-small"]
 PLAN_RUNS = 3
 
 

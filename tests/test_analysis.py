@@ -110,13 +110,13 @@ def test_ttest_and_bland_altman(spark):
     rng = np.random.default_rng(3)
     a = rng.normal(25, 5, 60).round(1)
     b = (a + rng.normal(2, 1.5, 60)).round(1)
-    rows = [("gpt", f"e{i}", 1, float(x)) for i, x in enumerate(a)] + [("qwen", f"e{i}", 1, float(x)) for i, x in enumerate(b)]
-    rows += [("gpt", "only_gpt", 1, 10.0), ("zzz", "e0", 1, 1.0)]  # unpaired essay, third model ignored
+    rows = [("rater-a", f"e{i}", 1, float(x)) for i, x in enumerate(a)] + [("rater-b", f"e{i}", 1, float(x)) for i, x in enumerate(b)]
+    rows += [("rater-a", "only_a", 1, 10.0), ("zzz", "e0", 1, 1.0)]  # unpaired essay, third model ignored
     an = Analysis(_responses(spark, rows))
     t = an.ttest.first()
     d = a - b
     t_exp = d.mean() / (d.std(ddof=1) / math.sqrt(len(d)))
-    assert (t.model_1, t.model_2, t.n_pairs) == ("gpt", "qwen", 60)
+    assert (t.model_1, t.model_2, t.n_pairs) == ("rater-a", "rater-b", 60)
     assert t.tstat == pytest.approx(t_exp, rel=1e-12)
     ba = an.bland_altman.first()
     assert ba.bias == pytest.approx(d.mean(), abs=1e-12)
