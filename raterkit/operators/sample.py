@@ -39,6 +39,7 @@ def detect_questions_by_type(answers: DataFrame, qid_col: str = "questionId", ty
         answers.where(hit & F.col(qid_col).isNotNull())
         .groupBy(F.col(qid_col).cast("string").alias("question_id"))
         .agg(F.min("row").alias("first_row"))
+        .orderBy("first_row")  # question grain: a small range-partitioned sort
     )
 
 
