@@ -23,8 +23,11 @@ def spread(df: DataFrame, min_partitions: int | None = None, max_splits: int = S
     A single-row-group file is one scan task, which would run all per-row parsing on
     one core. Inputs with more splits are left untouched (no extra shuffle).
     """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    n = df.rdd.getNumPartitions()
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        n = df.rdd.getNumPartitions()
+    except Exception:  # no RDD view (e.g. Spark Connect): leave the scan as it is
+        return df
     return df.repartition(target) if n < target and n <= max_splits else df
 
 

@@ -174,3 +174,15 @@ def test_incremental_stream(spark):
     back = J.read_responses(spark, out_dir)
     assert back.count() == 5 * 2 * 2
     assert back.groupBy("model", "run", "sample_row").count().where(F.col("count") > 1).count() == 0
+
+
+def test_scorer_factory_builds_once_per_partition(spark):
+    plan = SC.score_plan(rsp.conversation_samples(spark, SF_SMALL), ["m"], 1).repartition(3)
+
+    def factory():
+        client_id = id(object())  # stands for an expensive client built once per partition
+        return lambda prompt, model: '{"grammar": 1, "lexical": 1, "coherence": 1, "task": %d}' % (client_id % 7 + 1)
+
+    out = SC.response_records(SC.score(plan, scorer_factory=factory))
+    assert out.count() == plan.count()
+    assert out.where(F.col("parsed").isNull()).count() == 0
