@@ -119,23 +119,34 @@ def pending_requests(plan: DataFrame, done: DataFrame | None) -> DataFrame:
 
 
 Scorer = Callable[[str, str], str]
+BatchScorer = Callable[[pd.Series, pd.Series], Sequence[str]]
 
 
 def score(plan: DataFrame, scorer: Scorer | None = None, *, dry_run: bool = False,
-          scorer_factory: Callable[[], Scorer] | None = None) -> DataFrame:
+          scorer_factory: Callable[[], Scorer] | None = None,
+          batch_scorer: BatchScorer | None = None) -> DataFrame:
     """B2: add ``raw`` (the scorer's text) to every request.
 
     ``dry_run`` yields the constant all-7 object without calling anything. A scorer is
-    ``(prompt, model) -> text``; ``scorer_factory`` builds one per partition (e.g. a client).
-    An exception becomes ``ERROR: <message>``.
+    ``(prompt, model) -> text``; ``scorer_factory`` builds one per partition (e.g. a client);
+    a ``batch_scorer`` takes a whole Arrow batch ``(prompts, models) -> texts``. An exception
+    becomes ``ERROR: <message>`` (for a failing batch, on each of its rows).
     """
     if dry_run:
         return plan.withColumn("raw", F.lit(DRY_RUN_TEXT))
-    if scorer is None and scorer_factory is None:
-        raise ValueError("pass a scorer, a scorer_factory, or dry_run=True")
+    if scorer is None and scorer_factory is None and batch_scorer is None:
+        raise ValueError("pass a scorer, a scorer_factory, a batch_scorer, or dry_run=True")
     schema = T.StructType(plan.schema.fields + [T.StructField("raw", T.StringType(), True)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if batch_scorer is not None:
+            for pdf in batches:
+                try:
+                    out = list(batch_scorer(pdf["prompt"], pdf["model"]))
+                except Exception as e:  # noqa: BLE001 - recorded as the response text
+                    out = [f"{ERROR_PREFIX}{e}"] * len(pdf)
+                yield pdf.assign(raw=out)
+            return
         call = scorer_factory() if scorer_factory is not None else scorer
         for pdf in batches:
             out = []

@@ -46,7 +46,9 @@ def run_analysis(spark: SparkSession, inputs: str, out_dir: str, *, samples_dir:
                  checkpoint: str | None = None, cv_threshold: float = metrics.CV_THRESHOLD,
                  range_threshold: float = metrics.RANGE_THRESHOLD, force: bool = False) -> dict:
     """Analysis of a response folder; returns the result tables by name (and ``reused``)."""
-    manifest = {"inputs": inputs, "samples": samples_dir, "checkpoint": checkpoint,
+    # input files are part of the manifest: added or removed response files invalidate results
+    files = sorted(read_responses(spark, inputs, checkpoint=checkpoint).inputFiles())
+    manifest = {"inputs": inputs, "samples": samples_dir, "checkpoint": checkpoint, "files": files,
                 "cv_threshold": cv_threshold, "range_threshold": range_threshold}
     state: dict[str, DataFrame] = {}
 

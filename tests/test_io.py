@@ -186,3 +186,16 @@ def test_scorer_factory_builds_once_per_partition(spark):
     out = SC.response_records(SC.score(plan, scorer_factory=factory))
     assert out.count() == plan.count()
     assert out.where(F.col("parsed").isNull()).count() == 0
+
+
+def test_batch_scorer(spark):
+    plan = SC.score_plan(rsp.conversation_samples(spark, SF_SMALL), ["m1", "m2"], 2)
+
+    def batch(prompts, models):
+        if (models == "m2").all() and len(models) > 10**9:
+            raise RuntimeError("never")
+        return ['{"grammar": 2, "lexical": 2, "coherence": 2, "task": %d}' % (3 if m == "m1" else 4) for m in models]
+
+    out = SC.response_records(SC.score(plan, batch_scorer=batch))
+    got = {r.model: r.parsed.task for r in out.select("model", "parsed").distinct().collect()}
+    assert got == {"m1": 3, "m2": 4} and out.count() == plan.count()

@@ -54,3 +54,16 @@ def test_clean_sample_score_analyze(spark):
     assert again["summary"].count() == 2
     changed = run_analysis(spark, f"{out}/eval", f"{out}/analysis", samples_dir=f"{out}/prep/samples", cv_threshold=0.1)
     assert changed["reused"] is False
+
+
+def test_reuse_detects_new_input_files(spark):
+    out = tempfile.mkdtemp(prefix="raterkit-stages-")
+    samples = rsp.conversation_samples(spark, SF_SMALL)
+    first = SC.response_records(SC.score(SC.score_plan(samples, ["a", "b"], 2), dry_run=True))
+    K.write_responses(first, f"{out}/eval")
+    assert run_analysis(spark, f"{out}/eval", f"{out}/analysis")["reused"] is False
+    assert run_analysis(spark, f"{out}/eval", f"{out}/analysis")["reused"] is True
+    more = SC.response_records(SC.score(SC.score_plan(samples, ["c"], 2), dry_run=True))
+    K.write_responses(more, f"{out}/eval")  # appended files
+    res = run_analysis(spark, f"{out}/eval", f"{out}/analysis")
+    assert res["reused"] is False and res["summary"].count() == 3
