@@ -175,3 +175,11 @@ def test_resume_identity(spark):
     pending = SC.pending_requests(plan, done)
     assert pending.count() + done.count() == plan.count()
     assert pending.where(F.col("run") != 2).count() == 0
+
+
+def test_pvalue_large_df_tends_to_normal(spark):
+    ts = [0.5, 1.5, 1.75, 2.0, 3.0]
+    df = spark.createDataFrame([(t,) for t in ts], "t double")
+    ps = [r[0] for r in df.select(student_t_two_sided_p(F.col("t"), F.lit(1e8))).collect()]
+    for t, p in zip(ts, ps):
+        assert p == pytest.approx(math.erfc(t / math.sqrt(2)), rel=1e-6)
