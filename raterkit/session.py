@@ -35,8 +35,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder named by the session.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as is.
-    Only when it is unset (local tests) a fresh folder under the system temp dir is made.
+    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as is; a
+    cluster session without it is an error. Only a local-mode session without it (tests)
+    gets a fresh folder under the system temp dir.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -44,7 +45,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="raterkit-ckpt-")
+        if not sc.master.startswith("local"):
+            raise RuntimeError(
+                "spark.checkpoint.dir is not set: point it at shared storage (HDFS, object store); "
+                "lineage cuts and scratch tables are written there"
+            )
+        conf_dir = tempfile.mkdtemp(prefix="raterkit-ckpt-")  # local mode only (tests)
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
 
