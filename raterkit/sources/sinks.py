@@ -37,11 +37,11 @@ def write_responses(records: DataFrame, out_dir: str, mode: str = "append",
         path_safe(F.col("model")).alias("model_dir"),
         F.coalesce(F.col("question_id"), stem).alias("question"),
     )
-    spark = records.sparkSession
-    if mode == "overwrite":
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     parts = PARTITION_COLUMNS + list(extra_partitions or [])
-    out.write.mode(mode).option("ignoreNullFields", "false").partitionBy(*parts).json(out_dir)
+    # dynamic overwrite as a write option: only the partitions written are replaced, and the
+    # session's own setting is left alone
+    (out.write.mode(mode).option("ignoreNullFields", "false").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(*parts).json(out_dir))
 
 
 def write_samples(samples: DataFrame, samples_dir: str, mode: str = "overwrite") -> None:

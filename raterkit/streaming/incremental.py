@@ -75,9 +75,8 @@ def start_scoring_stream(
         # Scorer output is written once, to this epoch's checkpoint partitions (dynamic
         # overwrite: a retried epoch replaces exactly them); the partitioned outputs are
         # copied from those files, so the scorer is never re-run for the second sink.
-        bspark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
         (records.withColumn("question_dir", F.col("question_id")).withColumn("batch", F.lit(epoch_id))
-         .write.mode("overwrite").option("ignoreNullFields", "false")
+         .write.mode("overwrite").option("ignoreNullFields", "false").option("partitionOverwriteMode", "dynamic")
          .partitionBy("question_dir", "batch").json(responses_checkpoint))
         written = bspark.read.text(responses_checkpoint).where(F.col("batch").cast("long") == epoch_id)
         written = parse_jsonl_lines(written.select("value"), _WITH_STEM)

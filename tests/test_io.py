@@ -199,3 +199,16 @@ def test_batch_scorer(spark):
     out = SC.response_records(SC.score(plan, batch_scorer=batch))
     got = {r.model: r.parsed.task for r in out.select("model", "parsed").distinct().collect()}
     assert got == {"m1": 3, "m2": 4} and out.count() == plan.count()
+
+
+def test_dynamic_overwrite_keeps_other_partitions(spark):
+    d = _tmp()
+    samples = rsp.conversation_samples(spark, SF_SMALL)
+    a = SC.response_records(SC.score(SC.score_plan(samples, ["a"], 1), dry_run=True))
+    b = SC.response_records(SC.score(SC.score_plan(samples, ["b"], 1), dry_run=True))
+    K.write_responses(a, os.path.join(d, "eval"))
+    K.write_responses(b, os.path.join(d, "eval"))
+    K.write_responses(b, os.path.join(d, "eval"), mode="overwrite")  # replaces b's folders only
+    back = J.read_responses(spark, os.path.join(d, "eval"))
+    assert back.count() == a.count() + b.count()
+    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode").lower() == "static"
