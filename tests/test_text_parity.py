@@ -62,3 +62,21 @@ def test_text_functions_match_python_on_test_texts(spark):
         assert r.w == (len(n.split()) if r.text else 0)  # word_count(s) = tokens of normalize(s)
         assert r.g == py_gibberish(r.text)
         assert r.s == py_stop(r.text, FRENCH)
+
+
+def test_parse_matches_python_on_derived_raw_texts(spark):
+    from raterkit.functions import parse as P
+    from raterkit.plans import responses as rsp
+
+    def py_parse(text):
+        m = re.search(P.STRICT_PATTERN, text)
+        if m:
+            return tuple(int(m.group(i)) for i in range(1, 5))
+        nums = re.findall(r"\b([0-9])\b", text)
+        return tuple(int(x) for x in nums[:4]) if len(nums) >= 4 else None
+
+    rows = P.with_parsed(rsp.raw_responses(spark, SF_SMALL)).select("raw", "parsed").collect()
+    assert len(rows) > 1000
+    for r in rows:
+        got = None if r.parsed is None else tuple(r.parsed)
+        assert got == py_parse(r.raw), r.raw
