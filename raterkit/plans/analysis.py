@@ -1,8 +1,10 @@
 """The analysis stage as one Spark plan: responses -> aligned -> essays -> every result table.
 
 ``Analysis`` builds each table lazily from the aligned responses; nothing is
-collected. ``persist_essays`` cuts lineage of the essay table (the one table
-every later result reads) into the session's checkpoint folder.
+collected. ``materialize`` writes the narrow aligned responses once as parquet
+under the session's checkpoint folder, so the result branches (essays, ICC,
+routing, bias) read them instead of re-parsing the raw responses;
+``persist_essays`` does the same for the essay table.
 """
 
 from __future__ import annotations
@@ -10,7 +12,6 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
-
 from pyspark.sql import functions as F
 
 from raterkit.functions.parse import is_error
