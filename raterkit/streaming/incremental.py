@@ -1,11 +1,13 @@
 """Incremental scoring with Structured Streaming (checkpointed evaluate-and-resume).
 
 New sample files arriving in a folder are planned (samples x models x runs),
-filtered against the responses already written (J6 anti-join), scored and
-appended to the partitioned response folder (S7) and the checkpoint folder.
-The stream's own checkpoint records which sample files were consumed, so a
-restarted job resumes where it stopped; the anti-join keeps a retried
-micro-batch from scoring a request twice once its responses are written.
+filtered against the responses already written by earlier epochs (J6
+anti-join, reading only the partitions of the batch's questions), scored, and
+written once to the responses checkpoint (partitioned by question and epoch),
+from which the partitioned response folder (S7) is copied. The stream's own
+checkpoint records which sample files were consumed, so a restarted job resumes
+where it stopped; a retried epoch re-scores only its own requests and
+overwrites exactly its own partitions, so nothing is duplicated.
 """
 
 from __future__ import annotations
