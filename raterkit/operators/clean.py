@@ -1,10 +1,12 @@
 """Answer-sheet cleaning: projection, classification, exact dedupe, counters.
 
-One pass of native expressions classifies every row (``audio_only``,
-``short_or_empty``, ``filtered_noisy``, ``kept``); dedupe keeps the first row
-per key with a ``min_by`` aggregate (partial aggregation collapses a hot
-duplicate key map-side); the counters are one aggregate over the classified
-rows.
+Native expressions classify every row (``audio_only``, ``short_or_empty``,
+``filtered_noisy``, ``kept``) in staged projections: the normalized text once,
+then each feature once as its own column. Rows are then kept with a generator
+or a conditional ``min_by`` (a plain filter would be pushed below the stages
+and recompute them). Dedupe keeps the first row per key with that ``min_by``
+(partial aggregation collapses a hot duplicate key map-side); the counters are
+one aggregate over the classified rows.
 """
 
 from __future__ import annotations
