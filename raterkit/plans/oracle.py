@@ -742,3 +742,25 @@ ORACLE["hitl_distribution_unscored_exclude"] = with_analysis(f"""
 SELECT model, hitl_status, count(*) AS count,
        {r('count(*) * 100.0 / sum(count(*)) OVER (PARTITION BY model)', 'pct')}
 FROM routed WHERE n_runs > 0 GROUP BY model, hitl_status""")
+
+# --------------------------------------------------------------------------- a chosen model pair
+ORACLE["severity_ttest_pair_1_3"] = with_analysis(f"""
+, p13 AS (
+  SELECT e.essay_id,
+         max(CASE WHEN r.model_rank = 1 THEN e.model END) OVER () AS model_1,
+         max(CASE WHEN r.model_rank = 3 THEN e.model END) OVER () AS model_2,
+         e.model, r.model_rank, e.mean_total
+  FROM essays2 e JOIN mrank r ON e.model = r.model WHERE r.model_rank IN (1, 3)
+),
+pp AS (
+  SELECT essay_id, max(CASE WHEN model_rank = 1 THEN mean_total END) AS m1,
+         max(CASE WHEN model_rank = 3 THEN mean_total END) AS m2,
+         max(model_1) AS model_1, max(model_2) AS model_2
+  FROM p13 GROUP BY essay_id
+  HAVING max(CASE WHEN model_rank = 1 THEN 1 ELSE 0 END) = 1 AND max(CASE WHEN model_rank = 3 THEN 1 ELSE 0 END) = 1
+),
+d AS (SELECT model_1, model_2, m1 - m2 AS diff FROM pp WHERE m1 IS NOT NULL AND m2 IS NOT NULL)
+SELECT model_1, model_2,
+       {r('CASE WHEN min(diff) = max(diff) THEN 0.0 ELSE avg(diff) / (stddev_samp(diff) / sqrt(CAST(count(*) AS DOUBLE))) END', 'tstat')},
+       count(*) AS n_pairs, (min(diff) = max(diff)) AS degenerate
+FROM d GROUP BY model_1, model_2""")

@@ -523,3 +523,12 @@ def q_hitl_distribution_unscored_exclude(spark, sf_dir):
     """Routing over scored essays only."""
     a = testdata_analysis(spark, sf_dir, unscored="exclude")
     return rounded(a.distribution)
+
+
+# --------------------------------------------------------------------------- a chosen model pair (trap 16)
+
+@query("severity_ttest_pair_1_3")
+def q_severity_ttest_pair_1_3(spark, sf_dir):
+    """The paired test for the first and third model by name (any pair can be chosen)."""
+    t = bias.severity_ttest(testdata_analysis(spark, sf_dir).essays, first=1, second=3)
+    return rounded(t.select("model_1", "model_2", "tstat", "n_pairs", "degenerate"))
