@@ -56,7 +56,8 @@ def category_source(df: DataFrame) -> DataFrame:
     return df.sparkSession.range(1).select(F.lit(fallback).alias("prompt_category_source"))
 
 
-def align_inputs(responses: DataFrame, prompt_map: DataFrame | None = None, source: str | None = None) -> DataFrame:
+def align_inputs(responses: DataFrame, prompt_map: DataFrame | None = None, source: str | None = None,
+                 defer_prompts: bool = False) -> DataFrame:
     """P9-P11 + J1 + R3/R4: typed, scored responses keyed by ``essay_id``.
 
     * rows without a model are dropped (a directory may hold model-less records);
@@ -65,7 +66,28 @@ def align_inputs(responses: DataFrame, prompt_map: DataFrame | None = None, sour
     * ``prompt_category``: ``source`` names the column to use; ``None`` decides as the
       reference does (first of prompt_category/category/topic/question_id present,
       prompt_category only if it has a value somewhere -- one tiny aggregate job).
+
+    ``defer_prompts=True`` (with ``source='samples.category'``): the prompt columns are not
+    added per response; the analysis joins the question-grain prompt table onto the essays
+    after aggregating (``Analysis(prompts=...)``), so long prompt texts are neither hashed nor
+    carried per response. The values are the same.
     """
+    if defer_prompts:
+        df = responses.where(F.col("model").isNotNull())
+        if "total_score" not in df.columns:
+            if "parsed" not in df.columns:
+                df = df.withColumn("parsed", F.lit(None).cast(SCORES_TYPE))
+            df = with_scores(df)
+        df = df.withColumns({
+            "run": F.coalesce(F.col("run").cast("string").try_cast("double").try_cast("int"), F.lit(0)),
+            "sample_row": F.col("sample_row").cast("string"),
+            "respondent_id": F.col("respondent_id").cast("string"),
+            "question_id": F.col("question_id").cast("string"),
+        }).drop("prompt_category", "prompt_question")
+        return df.withColumns({
+            "essay_id": essay_id(F.col("respondent_id"), F.col("question_id"), F.col("sample_row")),
+            "prompt_category_source": F.lit(source or "samples.category"),
+        })
     df = responses.where(F.col("model").isNotNull())
     if "total_score" not in df.columns:
         if "parsed" not in df.columns:  # records without parsed scores fall back to the raw JSON

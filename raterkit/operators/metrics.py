@@ -29,9 +29,29 @@ ESSAY_KEYS = ["model", "essay_id"]
 ESSAY_ATTRIBUTES = ["respondent_id", "question_id", "sample_row", "prompt_category", "prompt_question"]
 
 
+ESSAY_OUTPUT = [
+    "model", "essay_id", "respondent_id", "question_id", "sample_row", "prompt_category", "prompt_question",
+    "mean_total", "sd_total", "min_total", "max_total", "n_runs", "range_total", "cv_total",
+]
+
+
+def _attributes(df: DataFrame) -> list[str]:
+    return [c for c in ESSAY_ATTRIBUTES if c in df.columns]
+
+
 def collapse_duplicate_runs(aligned: DataFrame) -> DataFrame:
     """One row per (model, essay, run): the mean total of repeated responses of a run."""
-    return aligned.groupBy(*ESSAY_KEYS, "run", *ESSAY_ATTRIBUTES).agg(F.avg("total_score").alias("total_score"))
+    return aligned.groupBy(*ESSAY_KEYS, "run", *_attributes(aligned)).agg(F.avg("total_score").alias("total_score"))
+
+
+def attach_prompts(essays: DataFrame, prompts: DataFrame) -> DataFrame:
+    """Prompt category and question from the question-grain prompt table (left join on the
+    question; an unmapped question gets category 'unknown'). The table has one row per
+    question, so AQE broadcasts it after measuring it."""
+    p = prompts.select("question_id", "prompt_category", "prompt_question")
+    out = essays.drop("prompt_category", "prompt_question").join(p, "question_id", "left")
+    out = out.withColumn("prompt_category", F.coalesce(F.col("prompt_category"), F.lit("unknown")))
+    return out.select(*[c for c in ESSAY_OUTPUT if c in out.columns])
 
 
 def essay_metrics(aligned: DataFrame, dedupe_runs: bool = False) -> DataFrame:
@@ -44,7 +64,8 @@ def essay_metrics(aligned: DataFrame, dedupe_runs: bool = False) -> DataFrame:
     """
     if dedupe_runs:
         aligned = collapse_duplicate_runs(aligned)
-    agg = aligned.groupBy(*ESSAY_KEYS, *ESSAY_ATTRIBUTES).agg(
+    attrs = _attributes(aligned)
+    agg = aligned.groupBy(*ESSAY_KEYS, *attrs).agg(
         F.avg("total_score").alias("mean_total"),
         F.stddev_samp("total_score").alias("_sd"),
         F.min("total_score").alias("min_total"),
@@ -54,7 +75,7 @@ def essay_metrics(aligned: DataFrame, dedupe_runs: bool = False) -> DataFrame:
     sd = F.coalesce(F.col("_sd"), F.lit(0.0))
     return agg.select(
         *ESSAY_KEYS,
-        "respondent_id", "question_id", "sample_row", "prompt_category", "prompt_question",
+        *attrs,
         "mean_total",
         sd.alias("sd_total"),
         "min_total", "max_total", "n_runs",

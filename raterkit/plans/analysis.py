@@ -34,12 +34,20 @@ class Analysis:
     cv_threshold: float = metrics.CV_THRESHOLD
     range_threshold: float = metrics.RANGE_THRESHOLD
     unscored: str = "approve"
+    prompts: DataFrame | None = None  # question-grain prompt table, joined after aggregation
     _essays: DataFrame | None = field(default=None, repr=False)
 
+    def essay_table(self, dedupe_runs: bool = False) -> DataFrame:
+        """A1 with the prompt columns (attached at essay grain when ``prompts`` is set)."""
+        essays = metrics.essay_metrics(self.aligned, dedupe_runs=dedupe_runs)
+        if self.prompts is not None:
+            essays = metrics.attach_prompts(essays, self.prompts)
+        return essays
+
     @property
     def essays(self) -> DataFrame:
         if self._essays is None:
-            self._essays = metrics.essay_metrics(self.aligned)
+            self._essays = self.essay_table()
         return self._essays
 
     def persist_essays(self) -> "Analysis":
@@ -93,8 +101,6 @@ class Analysis:
 def testdata_analysis(spark: SparkSession, sf_dir: str, **kwargs) -> Analysis:
     """Analysis over responses derived from ``lineitem`` with the prompt map from ``part``."""
     aligned = align_inputs(
-        rsp.responses(spark, sf_dir),
-        sample_map(rsp.part_samples(spark, sf_dir)),
-        source="samples.category",
+        rsp.responses(spark, sf_dir), None, source="samples.category", defer_prompts=True,
     ).withColumn("is_error", is_error(F.col("raw")))
-    return Analysis(aligned, **kwargs)
+    return Analysis(aligned, prompts=sample_map(rsp.part_samples(spark, sf_dir)), **kwargs)

@@ -99,7 +99,10 @@ def q_parse_failure_rate(spark, sf_dir):
 
 @query("essay_identity")
 def q_essay_identity(spark, sf_dir):
-    a = testdata_analysis(spark, sf_dir).aligned
+    """Response-grain alignment with the prompt map joined per response."""
+    from raterkit.operators.align import sample_map
+    a = align_inputs(rsp.responses(spark, sf_dir), sample_map(rsp.part_samples(spark, sf_dir)),
+                     source="samples.category")
     return a.select("l_orderkey", "l_linenumber", "model", "run", "essay_id", "sample_row",
                     "prompt_category", "prompt_question")
 
@@ -456,7 +459,7 @@ def q_scan_rows(spark, sf_dir):
 
 @query("essay_metrics_dedupe_runs")
 def q_essay_metrics_dedupe_runs(spark, sf_dir):
-    return rounded(metrics.essay_metrics(testdata_analysis(spark, sf_dir).aligned, dedupe_runs=True))
+    return rounded(testdata_analysis(spark, sf_dir).essay_table(dedupe_runs=True))
 
 
 @query("model_summary_scored")

@@ -52,16 +52,24 @@ def run_analysis(spark: SparkSession, inputs: str, out_dir: str, *, samples_dir:
                 "cv_threshold": cv_threshold, "range_threshold": range_threshold}
     state: dict[str, DataFrame] = {}
 
+    pmap = load_sample_mapping(spark, samples_dir) if samples_dir else None
+    # the sample map supplies the categories when it has any (one limit-1 probe on a small table)
+    defer = pmap is not None and not pmap.where(pmap["prompt_category"].isNotNull()).isEmpty()
+
     def aligned() -> DataFrame:
         if "aligned" not in state:
             responses = read_responses(spark, inputs, checkpoint=checkpoint)
-            pmap = load_sample_mapping(spark, samples_dir) if samples_dir else None
-            a = align_inputs(responses, pmap)
+            if defer:  # prompts are attached to the essays, not carried per response
+                a = align_inputs(responses, None, source="samples.category", defer_prompts=True)
+            else:
+                a = align_inputs(responses, pmap)
             state["aligned"] = cut_lineage(a.select(*[c for c in NARROW_COLUMNS if c in a.columns]), "aligned")
         return state["aligned"]
 
     def routed() -> DataFrame:
         essays = metrics.essay_metrics(aligned())
+        if defer:
+            essays = metrics.attach_prompts(essays, pmap)
         return metrics.apply_hitl(essays, cv_threshold, range_threshold)
 
     essays = sinks.reuse_or_compute(spark, f"{out_dir}/hitl_routing_table", routed, manifest, force)
