@@ -79,3 +79,26 @@ def test_tolerant_line_rules(spark):
     got = sorted(r.grammar for r in J.read_jsonl(spark, d, J.SCORES).collect())
     assert got == ["1", "3"]
     assert J.read_jsonl(spark, d, J.SCORES).count() == 2
+
+
+def test_select_samples_by_name_first_files_and_per_question(spark):
+    from raterkit.operators.sample import select_samples
+
+    rows = [(q, r, k) for q in ("1", "10", "2") for k, r in enumerate(range(5), start=1)]
+    s = spark.createDataFrame(rows, "question_id string, row long, sample_rank long")
+    by_name = select_samples(s, names=["question_2_samples.jsonl"])
+    assert {r.question_id for r in by_name.collect()} == {"2"}
+    # file names sort as a listing would: question_10_ < question_1_ < question_2_
+    first2 = select_samples(s, max_questions=2, per_question=3)
+    got = sorted((r.question_id, r.sample_rank) for r in first2.collect())
+    assert got == [("1", 1), ("1", 2), ("1", 3), ("10", 1), ("10", 2), ("10", 3)]
+
+
+def test_read_answers_json_with_ordinal_column(spark):
+    from raterkit.sources.answers import read_answers
+
+    d = tempfile.mkdtemp(prefix="raterkit-test-")
+    with open(os.path.join(d, "a.json"), "w") as f:
+        f.write('{"n": 7, "textResponse": "x"}\n{"n": 3, "textResponse": "y"}\n')
+    df = read_answers(spark, os.path.join(d, "a.json"), fmt="json", row_col="n")
+    assert sorted((r.row, r.textResponse) for r in df.collect()) == [(3, "y"), (7, "x")]
