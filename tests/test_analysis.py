@@ -183,3 +183,33 @@ def test_pvalue_large_df_tends_to_normal(spark):
     ps = [r[0] for r in df.select(student_t_two_sided_p(F.col("t"), F.lit(1e8))).collect()]
     for t, p in zip(ts, ps):
         assert p == pytest.approx(math.erfc(t / math.sqrt(2)), rel=1e-6)
+
+
+def test_boxplot_exact_and_approx(spark):
+    from raterkit.operators.report import boxplot_summary
+
+    vals = [float(v) for v in range(1, 101)]
+    df = spark.createDataFrame([("m", v) for v in vals], "model string, mean_total double")
+    ex = boxplot_summary(df).first()
+    assert (ex.q_min, ex.q1, ex.median, ex.q3, ex.q_max) == (1.0, 25.75, 50.5, 75.25, 100.0)  # (n-1)p rule
+    ap = boxplot_summary(df, exact=False).first()
+    assert abs(ap.median - 50.5) <= 1.0 and ap.q_min == 1.0 and ap.q_max == 100.0
+
+
+def test_topic_matrix_explicit_categories(spark):
+    t = spark.createDataFrame([("a", "x", 1.0), ("a", "y", 2.0), ("b", "x", 3.0)],
+                              "model string, prompt_category string, topic_mean double")
+    m = {r.model: r for r in bias.topic_matrix(t, ["x", "y", "z"]).collect()}
+    assert (m["a"].x, m["a"].y, m["a"].z, m["b"].x, m["b"].y) == (1.0, 2.0, None, 3.0, None)
+
+
+def test_essay_question_detection_branches(spark):
+    from raterkit.operators.sample import detect_essay_questions
+
+    rows = [(1, "q1", "Essay Writing", "text"), (2, "q2", "multiple choice", "a"), (3, "q3", "WRITING task", "b"),
+            (4, "q2", "multiple choice", "c")]
+    df = spark.createDataFrame(rows, "row long, questionId string, questionType string, textResponse string")
+    assert sorted(r[0] for r in detect_essay_questions(df).collect()) == ["q1", "q3"]
+    none = df.withColumn("questionType", F.lit("choice"))
+    # no essay type: the most answered questions (ties by id)
+    assert [r[0] for r in detect_essay_questions(none, n=2).collect()] == ["q2", "q1"]
