@@ -213,3 +213,20 @@ def test_essay_question_detection_branches(spark):
     none = df.withColumn("questionType", F.lit("choice"))
     # no essay type: the most answered questions (ties by id)
     assert [r[0] for r in detect_essay_questions(none, n=2).collect()] == ["q2", "q1"]
+
+
+def test_parse_failure_rate_counts(spark):
+    rows = [
+        ("m", "1", "1", "q", "e1", '{"grammar": 12, "lexical": 1, "coherence": 1, "task": 1}'),  # out of range, scored
+        ("m", "2", "1", "q", "e1", "ERROR: timeout"),                                               # error, unscored
+        ("m", "1", "2", "q", "e2", "no digits here"),                                               # essay never scored
+        ("n", "1", "1", "q", "e1", '{"grammar": 1, "lexical": 1, "coherence": 1, "task": 1}'),
+    ]
+    from raterkit.functions.parse import parse_scores
+    df = spark.createDataFrame(rows, "model string, run string, sample_row string, question_id string, "
+                                     "respondent_id string, raw string").withColumn("parsed", parse_scores("raw"))
+    r = {x.model: x for x in metrics.parse_failure_rate(align_inputs(df, None, source="question_id")).collect()}
+    m = r["m"]
+    assert (m.submitted, m.valid, m.failed, m.responses, m.error_responses, m.out_of_range_responses) == (2, 1, 1, 3, 1, 1)
+    assert m.failed_pct == pytest.approx(50.0)
+    assert (r["n"].submitted, r["n"].failed, r["n"].out_of_range_responses) == (1, 0, 0)
