@@ -30,6 +30,13 @@ NARROW_COLUMNS = [
 
 @dataclass
 class Analysis:
+    """Result tables of the analysis stage, built lazily from aligned responses.
+
+    ``aligned``: output of ``align_inputs``; ``prompts``: optional question-grain prompt
+    table joined onto the essays after aggregation; thresholds and the unscored-essay
+    policy parameterise the routing. Call ``materialize()`` before reading several tables.
+    """
+
     aligned: DataFrame
     cv_threshold: float = metrics.CV_THRESHOLD
     range_threshold: float = metrics.RANGE_THRESHOLD

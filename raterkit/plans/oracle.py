@@ -223,10 +223,12 @@ tdelta AS (
 
 
 def with_analysis(select_sql: str) -> str:
+    """Prefix a SELECT with the shared response/essay CTEs."""
     return "WITH " + RAW.strip().rstrip(",") + "\n" + select_sql
 
 
 def r(col: str, alias: str | None = None, digits: int = D) -> str:
+    """A rounded column with its alias."""
     return f"round({col}, {digits}) AS {alias or col}"
 
 
@@ -386,6 +388,7 @@ _WS = r"\s\x{0B}\x{85}\pZ"
 
 
 def norm_sql(x: str) -> str:
+    """T1 in DuckDB SQL."""
     s = f"replace(replace(COALESCE(CAST({x} AS VARCHAR), ''), '@CAPS1', ''), '@CAPS2', '')"
     s = f"regexp_replace({s}, '[\\x00-\\x1f\\x7f]+', ' ', 'g')"
     s = f"replace(replace(replace(replace({s}, '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>')"
@@ -394,18 +397,22 @@ def norm_sql(x: str) -> str:
 
 
 def renorm_sql(n: str) -> str:
+    """Second normalization, only where it can change the text."""
     return f"(CASE WHEN regexp_matches({n}, '@CAPS[12]|&(nbsp|amp|lt|gt);') THEN {norm_sql(n)} ELSE {n} END)"
 
 
 def tokens_sql(n: str) -> str:
+    """Tokens of normalized text."""
     return f"(CASE WHEN {n} = '' THEN 0 ELSE len(string_split({n}, ' ')) END)"
 
 
 def ustrip_sql(x: str) -> str:
+    """Unicode-blank strip."""
     return f"regexp_replace({x}, '^[{_BL}]+|[{_BL}]+$', '', 'g')"
 
 
 def gib_sql(x: str) -> str:
+    """T6 in DuckDB SQL."""
     st = ustrip_sql(x)
     toks = f"regexp_split_to_array({st}, '[{_BL}]+')"
     return (
@@ -419,15 +426,18 @@ def gib_sql(x: str) -> str:
 
 
 def stop_hits_sql(n: str, words) -> str:
+    """Distinct stop words among the tokens."""
     arr = "[" + ", ".join(_q(w) for w in words) + "]"
     return f"len(list_intersect(string_split(lower({n}), ' '), {arr}))"
 
 
 def stop_lang_sql(raw: str, n: str, words, min_hits: int = 2) -> str:
+    """T5 in DuckDB SQL."""
     return f"(CASE WHEN {raw} IS NULL OR {raw} = '' THEN false ELSE {stop_hits_sql(n, words)} >= {min_hits} END)"
 
 
 def category_sql(x: str) -> str:
+    """T3 in DuckDB SQL."""
     parts = [f"CASE WHEN {x} IS NULL OR {x} = '' THEN 'unknown'"]
     for label, kws in CATEGORY_RULES:
         cond = " OR ".join(f"contains(lower({x}), {_q(k)})" for k in kws)
@@ -436,6 +446,7 @@ def category_sql(x: str) -> str:
 
 
 def anon_sql(x: str, salt: str = DEFAULT_SALT) -> str:
+    """T2 in DuckDB SQL."""
     return f"(CASE WHEN {x} IS NULL THEN NULL ELSE substr(sha256({x} || {_q(salt)}), 1, 12) END)"
 
 
@@ -481,6 +492,7 @@ answers AS (
 
 def classified_sql(resp="textResponse", q="questionText", typ="questionType", who="nim",
                    qid="questionId", words=FRENCH_STOPWORDS, min_length=40, source_file="'documents+pages'") -> str:
+    """P3-P5 classification of the answer sheet CTE ``answers`` in DuckDB SQL."""
     qid_expr = f"NULLIF({qid}, '')" if qid else "CAST(NULL AS VARCHAR)"
     return f"""
 c0 AS (

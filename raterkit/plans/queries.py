@@ -35,6 +35,7 @@ QUERIES: dict[str, QueryFn] = {}
 
 
 def query(name: str):
+    """Register a query function under ``name``."""
     def deco(fn: QueryFn) -> QueryFn:
         QUERIES[name] = fn
         return fn
