@@ -10,6 +10,7 @@ from raterkit.operators.align import align_inputs, category_source
 from raterkit.operators.columns import DEFAULTS, find_column, resolve_columns
 from raterkit.sources import jsonl as J
 from raterkit.sources.sinks import write_jsonl
+from conftest import SF_SMALL
 
 
 def test_find_column_rules():
@@ -102,3 +103,15 @@ def test_read_answers_json_with_ordinal_column(spark):
         f.write('{"n": 7, "textResponse": "x"}\n{"n": 3, "textResponse": "y"}\n')
     df = read_answers(spark, os.path.join(d, "a.json"), fmt="json", row_col="n")
     assert sorted((r.row, r.textResponse) for r in df.collect()) == [(3, "y"), (7, "x")]
+
+
+def test_spread_only_thin_scans(spark):
+    from raterkit.plans.tables import spread
+
+    one = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    assert one.rdd.getNumPartitions() == 1
+    assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    many = spark.range(1000).repartition(40)
+    assert spread(many, min_partitions=64).rdd.getNumPartitions() == 40  # > 32 splits: left alone
+    enough = spark.range(1000).repartition(spark.sparkContext.defaultParallelism)
+    assert spread(enough) is enough
