@@ -1,7 +1,7 @@
 """Numpy helpers shared by the text operators: one array of code points per batch of texts.
 
-``Text`` columns arrive as Arrow arrays; each helper works on a chunk of a few million
-characters at a time, so memory stays bounded however long the texts are in total.
+``Text`` columns arrive as Arrow arrays; each helper works on a chunk of characters
+that fits the processor's cache, so memory stays bounded however long the texts are in total.
 A single text is never cut: a chunk holds at least one whole text.
 """
 
@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 250_000
 SEPARATOR = "\n"
 
 
@@ -37,16 +37,6 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return points, np.concatenate(([0], np.cumsum(lengths)))
 
 
-def mix32(x: np.ndarray) -> np.ndarray:
-    """Finalise 32-bit hashes (multiply and shift rounds)."""
-    x = x ^ (x >> np.uint32(16))
-    x = x * np.uint32(0x85EBCA6B)
-    x ^= x >> np.uint32(13)
-    x *= np.uint32(0xC2B2AE35)
-    x ^= x >> np.uint32(16)
-    return x
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finalise 64-bit hashes (multiply and shift rounds)."""
     x = x ^ (x >> np.uint64(33))

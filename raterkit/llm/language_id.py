@@ -41,19 +41,17 @@ def hashed_grams(texts: list[str], bits: int = BITS) -> tuple[np.ndarray, np.nda
     """Bucket of each n-gram, and the number of n-grams before each text (last: all)."""
     points, starts = grams.code_points([t.lower() for t in texts])
     letter = _letter_table()[points]
-    c = np.where(letter, points, 0).astype(np.uint32)
-    size = len(c)
-    before = np.concatenate((np.zeros(1, np.uint32), c[:-1]))
-    after = np.concatenate((c[1:], np.zeros(1, np.uint32)))
-    at = np.flatnonzero(letter)  # a gram belongs to the letter it is centred on or starts at
-    b, m, e = before[at], c[at], after[at]
+    c = np.concatenate((np.zeros(1, np.uint32), np.where(letter, points, 0), np.zeros(1, np.uint32))).astype(np.uint32)
+    at = np.flatnonzero(letter)  # the grams of a letter: itself, with the next, and with both neighbours
+    b, m, e = c[at], c[at + 1], c[at + 2]
     k1, k2, k3 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)
-    one = grams.mix32(m * k1)
-    two = grams.mix32(m * k2 + e * k3 + np.uint32(0x27D4EB2F))
-    three = grams.mix32(b * k1 + m * k2 + e * k3 + np.uint32(0x165667B1))
-    out = np.stack((one, two, three), axis=1).reshape(-1) >> np.uint32(32 - bits)
-    count = np.concatenate(([0], np.cumsum(letter)))
-    return out, 3 * count[np.minimum(starts, size)]
+    out = np.empty((len(at), 3), dtype=np.uint32)
+    both = m * k2 + e * k3
+    out[:, 0] = m * k1 + np.uint32(0x68E31DA4)
+    out[:, 1] = both + np.uint32(0x27D4EB2F)
+    out[:, 2] = both + b * k1 + np.uint32(0x165667B1)
+    out >>= np.uint32(32 - bits)  # the upper bits of a product are the mixed ones
+    return out.reshape(-1), 3 * np.searchsorted(at, starts)
 
 
 def _count_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,5 +1,126 @@
-"""DuckDB SQL of the corpus queries that SQL can express."""
+"""DuckDB SQL of the corpus queries that SQL can express.
+
+Written from the definitions, with none of the operators' methods: lines are compared by
+looking for the edit, shingles and vectors pair by pair, captures by payload.
+"""
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+OP2 = """
+WITH texts AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents),
+lines AS (
+  SELECT doc_id, p - 1 AS p, parts[p] AS line
+  FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS p FROM texts)
+  WHERE length(parts[p]) >= 20
+),
+firsts AS (SELECT line, min((doc_id, p)) AS f, length(line) AS n FROM lines GROUP BY line),
+keyed AS (
+  SELECT line, f, n, unnest([n - 1, n]) AS longer FROM firsts
+),
+halves AS (
+  SELECT DISTINCT line, f, n, side, h, CASE side WHEN 1 THEN left(line, h) ELSE right(line, h) END AS part
+  FROM (SELECT line, f, n, unnest([1, 2]) AS side, h FROM (SELECT line, f, n, unnest([n // 2, (n + 1) // 2]) AS h FROM firsts))
+),
+near AS (
+  SELECT DISTINCT a.line
+  FROM halves a JOIN halves b ON a.side = b.side AND a.h = b.h AND a.part = b.part AND abs(a.n - b.n) <= 1 AND b.f < a.f
+  WHERE len(list_filter(range(0, greatest(a.n, b.n)), i ->
+      left(a.line, i) = left(b.line, i)
+      AND substr(a.line, i + CASE WHEN a.n >= b.n THEN 2 ELSE 1 END) = substr(b.line, i + CASE WHEN b.n >= a.n THEN 2 ELSE 1 END))) > 0
+),
+gone AS (
+  SELECT l.doc_id, l.p
+  FROM lines l JOIN firsts f ON l.line = f.line LEFT JOIN near n ON l.line = n.line
+  WHERE n.line IS NOT NULL OR (l.doc_id, l.p) <> f.f
+),
+lists AS (SELECT doc_id, count(*) AS n, string_agg(p::VARCHAR, ',' ORDER BY p) AS dropped FROM gone GROUP BY doc_id)
+SELECT t.doc_id, coalesce(len(t.parts), 0)::BIGINT AS n_lines, coalesce(l.n, 0)::BIGINT AS n_dropped, coalesce(l.dropped, '') AS dropped
+FROM texts t LEFT JOIN lists l ON t.doc_id = l.doc_id
+"""
+
+OP3 = """
+WITH RECURSIVE able AS (
+  SELECT vec_id, list_transform(embedding, x -> x::DOUBLE) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, x -> x <> 0)) > 0
+),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM able a JOIN able b ON a.vec_id <> b.vec_id
+  WHERE list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))) >= 0.9
+),
+reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM able
+  UNION
+  SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+)
+SELECT e.vec_id, coalesce(c.n, 0)::BIGINT AS n_links, coalesce(m.low, e.vec_id) AS component_id, coalesce(m.low, e.vec_id) = e.vec_id AS kept
+FROM embeddings e
+LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) c ON e.vec_id = c.a
+LEFT JOIN (SELECT a, min(b) AS low FROM reach GROUP BY a) m ON e.vec_id = m.a
+"""
+
+#: rows of (doc_id, n_links, class_id) of a relation ``{documents}(doc_id, text)``
+NEAR = """
+words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\\t-\\r ]+'), w -> w <> '') AS w FROM {documents}
+),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) END AS s
+  FROM words
+),
+inverted AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+near_links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM inverted a JOIN inverted b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n
+  HAVING count(*) >= 0.8 * (a.n + b.n - count(*)) - 1e-9
+),
+near_reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM {documents}
+  UNION
+  SELECT r.a, l.b FROM near_reach r JOIN near_links l ON r.b = l.a
+),
+near_classes AS (
+  SELECT d.doc_id, coalesce(c.n, 0)::BIGINT AS n_links, m.low AS class_id
+  FROM {documents} d
+  LEFT JOIN (SELECT a, count(*) AS n FROM near_links GROUP BY a) c ON d.doc_id = c.a
+  LEFT JOIN (SELECT a, min(b) AS low FROM near_reach GROUP BY a) m ON d.doc_id = m.a
+)
+"""
+
+OP4 = "WITH RECURSIVE " + NEAR.format(documents="documents") + """
+SELECT doc_id, n_links, class_id, doc_id = class_id AS kept FROM near_classes
+"""
+
+OP5 = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+),
+f AS (SELECT payload_digest, min(page_id) AS first_page FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT p.page_id, p.payload_bytes, p.payload_digest,
+  CASE WHEN f.first_page <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN f.first_page <> p.page_id THEN f.first_page END AS refers_to
+FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest
+"""
+
+OP6 = """
+WITH able AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
+),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM able q JOIN able c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+ORACLE: dict[str, str] = {
+    "op2_line_dedup": OP2,
+    "op3_nn_descent": OP3,
+    "op4_lsh_forest": OP4,
+    "op5_warc_transactions": OP5,
+    "op6_pivot_topk": OP6,
+}
