@@ -52,14 +52,18 @@ _powers = np.ones(1, dtype=np.uint64)
 _inverse = np.ones(1, dtype=np.uint64)
 
 
+def _geometric(factor: int, size: int) -> np.ndarray:
+    out = np.full(size, factor, dtype=np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64."""
     global _powers, _inverse
     if len(_powers) < n:
-        size = max(n, 1 << 20)
-        inverse = pow(_BASE, -1, 1 << 64)
-        with np.errstate(over="ignore"):
-            _powers = np.cumprod(np.concatenate(([1], np.full(size - 1, _BASE, dtype=np.uint64))).astype(np.uint64), dtype=np.uint64)
-            _inverse = np.cumprod(np.concatenate(([1], np.full(size - 1, inverse, dtype=np.uint64))).astype(np.uint64), dtype=np.uint64)
+        size = max(n, 1 << 19)
+        _powers, _inverse = _geometric(_BASE, size), _geometric(pow(_BASE, -1, 1 << 64), size)
     return _powers, _inverse
 
 

@@ -24,7 +24,7 @@ halves AS (
 near AS (
   SELECT DISTINCT a.line
   FROM halves a JOIN halves b ON a.side = b.side AND a.h = b.h AND a.part = b.part AND abs(a.n - b.n) <= 1 AND b.f < a.f
-  WHERE len(list_filter(range(0, greatest(a.n, b.n)), i ->
+  WHERE len(list_filter(range(0, greatest(a.n, b.n)), lambda i:
       left(a.line, i) = left(b.line, i)
       AND substr(a.line, i + CASE WHEN a.n >= b.n THEN 2 ELSE 1 END) = substr(b.line, i + CASE WHEN b.n >= a.n THEN 2 ELSE 1 END))) > 0
 ),
@@ -40,9 +40,9 @@ FROM texts t LEFT JOIN lists l ON t.doc_id = l.doc_id
 
 OP3 = """
 WITH RECURSIVE able AS (
-  SELECT vec_id, list_transform(embedding, x -> x::DOUBLE) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
-    AND len(list_filter(embedding, x -> x <> 0)) > 0
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
 ),
 links AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM able a JOIN able b ON a.vec_id <> b.vec_id
@@ -62,11 +62,11 @@ LEFT JOIN (SELECT a, min(b) AS low FROM reach GROUP BY a) m ON e.vec_id = m.a
 #: rows of (doc_id, n_links, class_id) of a relation ``{documents}(doc_id, text)``
 NEAR = """
 words AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\\t-\\r ]+'), w -> w <> '') AS w FROM {documents}
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\\t-\\r ]+'), lambda w: w <> '') AS w FROM {documents}
 ),
 sets AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) END AS s
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
   FROM words
 ),
 inverted AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
@@ -106,8 +106,8 @@ FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest
 
 OP6 = """
 WITH able AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
 ),
 scored AS (
   SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
