@@ -8,6 +8,9 @@ needs all four values.
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,6 +29,12 @@ DRY_RUN_TEXT = '{"grammar": 7, "lexical": 7, "coherence": 7, "task": 7}'
 ERROR_PREFIX = "ERROR: "
 # ---------------------------------------------------------------------------
 
+# White space, digits and word borders are Unicode's, as in Python.
+STRICT = "(?U)" + STRICT_PATTERN
+DIGIT = "(?U)" + DIGIT_PATTERN
+_DIGITS = [chr(c) for c in range(128, sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Nd"]
+_DIGIT_VALUES = "".join(str(unicodedata.decimal(c)) for c in _DIGITS)
+
 # Whole-string JSON object guard: Spark's JSON reader would accept trailing text.
 _WHOLE_OBJECT = r"^\s*\{[\s\S]*\}\s*$"
 _RAW_JSON_SCHEMA = "grammar string, lexical string, coherence string, task string"
@@ -38,24 +47,24 @@ def _col(c: Column | str) -> Column:
 
 
 def _to_long(c: Column) -> Column:
-    return c.try_cast("bigint")
+    return F.translate(c, "".join(_DIGITS), _DIGIT_VALUES).try_cast("bigint")
 
 
 def strict_match(raw: Column | str) -> Column:
     """True where the strict four-key object occurs in the text."""
-    return F.coalesce(_col(raw).rlike(STRICT_PATTERN), F.lit(False))
+    return F.coalesce(_col(raw).rlike(STRICT), F.lit(False))
 
 
 def strict_scores(raw: Column | str) -> Column:
     """Struct of the four integers of the first strict match, else NULL."""
     r = _col(raw)
-    fields = [_to_long(F.regexp_extract(r, STRICT_PATTERN, i + 1)).alias(k) for i, k in enumerate(SCORE_FIELDS)]
+    fields = [_to_long(F.regexp_extract(r, STRICT, i + 1)).alias(k) for i, k in enumerate(SCORE_FIELDS)]
     return F.when(strict_match(r), F.struct(*fields))
 
 
 def digit_tokens(raw: Column | str) -> Column:
     """Standalone single digits of the text, in order."""
-    return F.regexp_extract_all(_col(raw), F.lit(DIGIT_PATTERN), F.lit(1))
+    return F.regexp_extract_all(_col(raw), F.lit(DIGIT), F.lit(1))
 
 
 def digit_scores(raw: Column | str) -> Column:
@@ -97,7 +106,7 @@ def score_field(parsed: Column | str, raw: Column | str, key: str) -> Column:
 
 
 # The strict object anywhere in the text, rewritten to "g,l,c,t" in one regex pass.
-_STRICT_WHOLE = r"^[\s\S]*?" + STRICT_PATTERN + r"[\s\S]*$"
+_STRICT_WHOLE = r"(?U)^[\s\S]*?" + STRICT_PATTERN + r"[\s\S]*$"
 
 
 def with_parsed(df, raw: str = "raw", out: str = "parsed"):

@@ -43,17 +43,56 @@ def essay_id(respondent: F.Column, question: F.Column, row: F.Column) -> F.Colum
     return F.concat_ws("|", *parts)
 
 
-def category_source(df: DataFrame) -> DataFrame:
-    """P10 provenance as a one-row table: which column supplies ``prompt_category``."""
-    cols = set(df.columns)
-    if "prompt_category" in cols:
-        any_pc = F.max(F.col("prompt_category").isNotNull())
-        fallback = "category" if "category" in cols else "topic" if "topic" in cols else "question_id"
-        return df.agg(
-            F.when(F.coalesce(any_pc, F.lit(False)), F.lit("samples.category")).otherwise(F.lit(fallback)).alias("prompt_category_source")
-        )
-    fallback = "category" if "category" in cols else "topic" if "topic" in cols else "question_id"
-    return df.sparkSession.range(1).select(F.lit(fallback).alias("prompt_category_source"))
+def values_present(df: DataFrame, names: list[str]) -> set[str]:
+    """Which of the named columns hold any value (one aggregate over those columns, one row back).
+
+    With a declared schema every column exists; one without a value counts as absent."""
+    own = [c for c in names if c in df.columns]
+    if not own:
+        return set()
+    row = df.agg(*[F.max(F.col(c).isNotNull()).alias(c) for c in own]).first()
+    return {c for c in own if row[c]}
+
+
+def _mapped(responses: DataFrame, prompt_map: DataFrame) -> DataFrame:
+    """Question ids of responses for which the map has a category."""
+    ids = responses.select(F.col("question_id").cast("string").alias("question_id")).distinct()
+    return ids.join(prompt_map.where(F.col("prompt_category").isNotNull()).select("question_id"), "question_id", "left_semi")
+
+
+def _fallback(present: set[str]) -> str:
+    return next((c for c in ("category", "topic") if c in present), "question_id")
+
+
+def category_source(responses: DataFrame, prompt_map: DataFrame | None = None) -> DataFrame:
+    """P10 provenance as a one-row table: which column supplies ``prompt_category``.
+
+    Decided after the join with the map: a category of the responses' own or of the map for any
+    response, else the first of category, topic and question id that has values."""
+    present = values_present(responses, ["prompt_category", "category", "topic"])
+    if "prompt_category" in present:
+        return responses.sparkSession.range(1).select(F.lit("samples.category").alias("prompt_category_source"))
+    if prompt_map is None:
+        return responses.sparkSession.range(1).select(F.lit(_fallback(present)).alias("prompt_category_source"))
+    found = _mapped(responses, prompt_map).agg(F.count(F.lit(1)).alias("n"))
+    return found.select(
+        F.when(F.col("n") > 0, F.lit("samples.category")).otherwise(F.lit(_fallback(present))).alias("prompt_category_source")
+    )
+
+
+def typed_responses(responses: DataFrame) -> DataFrame:
+    """Scored responses with typed run and string ids; rows without a model are dropped."""
+    df = responses.where(F.col("model").isNotNull())
+    if "total_score" not in df.columns:
+        if "parsed" not in df.columns:  # records without parsed scores fall back to the raw JSON
+            df = df.withColumn("parsed", F.lit(None).cast(SCORES_TYPE))
+        df = with_scores(df)
+    return df.withColumns({
+        "run": F.coalesce(F.col("run").cast("string").try_cast("double").try_cast("int"), F.lit(0)),
+        "sample_row": F.col("sample_row").cast("string"),
+        "respondent_id": F.col("respondent_id").cast("string"),
+        "question_id": F.col("question_id").cast("string"),
+    })
 
 
 def align_inputs(responses: DataFrame, prompt_map: DataFrame | None = None, source: str | None = None,
@@ -62,61 +101,42 @@ def align_inputs(responses: DataFrame, prompt_map: DataFrame | None = None, sour
 
     * rows without a model are dropped (a directory may hold model-less records);
     * ``run``: numeric, missing -> 0; ids as strings (integers print as '12');
-    * left join with the prompt map on ``question_id`` (map columns lose on clashes);
+    * left join with the prompt map on ``question_id`` (map columns lose on clashes, unless the
+      responses' own column has no value);
     * ``prompt_category``: ``source`` names the column to use; ``None`` decides as the
-      reference does (first of prompt_category/category/topic/question_id present,
-      prompt_category only if it has a value somewhere -- one tiny aggregate job).
+      reference does (see ``category_source``; two small probes of ids and null flags);
+    * ``prompt_question``: the responses' own, the map's, else their ``question`` or ``prompt``.
 
     ``defer_prompts=True`` (with ``source='samples.category'``): the prompt columns are not
     added per response; the analysis joins the question-grain prompt table onto the essays
     after aggregating (``Analysis(prompts=...)``), so long prompt texts are neither hashed nor
     carried per response. The values are the same.
     """
+    identity = essay_id(F.col("respondent_id"), F.col("question_id"), F.col("sample_row"))
     if defer_prompts:
-        df = responses.where(F.col("model").isNotNull())
-        if "total_score" not in df.columns:
-            if "parsed" not in df.columns:
-                df = df.withColumn("parsed", F.lit(None).cast(SCORES_TYPE))
-            df = with_scores(df)
-        df = df.withColumns({
-            "run": F.coalesce(F.col("run").cast("string").try_cast("double").try_cast("int"), F.lit(0)),
-            "sample_row": F.col("sample_row").cast("string"),
-            "respondent_id": F.col("respondent_id").cast("string"),
-            "question_id": F.col("question_id").cast("string"),
-        }).drop("prompt_category", "prompt_question")
-        return df.withColumns({
-            "essay_id": essay_id(F.col("respondent_id"), F.col("question_id"), F.col("sample_row")),
-            "prompt_category_source": F.lit(source or "samples.category"),
-        })
-    df = responses.where(F.col("model").isNotNull())
-    if "total_score" not in df.columns:
-        if "parsed" not in df.columns:  # records without parsed scores fall back to the raw JSON
-            df = df.withColumn("parsed", F.lit(None).cast(SCORES_TYPE))
-        df = with_scores(df)
-    df = df.withColumns({
-        "run": F.coalesce(F.col("run").cast("string").try_cast("double").try_cast("int"), F.lit(0)),
-        "sample_row": F.col("sample_row").cast("string"),
-        "respondent_id": F.col("respondent_id").cast("string"),
-        "question_id": F.col("question_id").cast("string"),
-    })
-    if prompt_map is not None:
-        m = prompt_map.select("question_id", "prompt_category", "prompt_question")
-        clash = [c for c in ("prompt_category", "prompt_question") if c in df.columns]
-        for c in clash:
-            m = m.withColumnRenamed(c, f"{c}_map")
-        df = df.join(m, "question_id", "left")
-    cols = set(df.columns)
+        df = typed_responses(responses).drop("prompt_category", "prompt_question")
+        return df.withColumns({"essay_id": identity, "prompt_category_source": F.lit(source or "samples.category")})
+    kept = responses.where(F.col("model").isNotNull())
+    optional = ["prompt_category", "category", "topic", "prompt_question", "question", "prompt"]
     if source is None:
-        source = category_source(df).first()[0]
+        present = values_present(kept, optional)
+        mapped = prompt_map is not None and "prompt_category" not in present and not _mapped(kept, prompt_map).isEmpty()
+        source = "samples.category" if mapped or "prompt_category" in present else _fallback(present)
+    else:
+        present = {c for c in optional if c in responses.columns}
+    df = typed_responses(kept).drop(*[c for c in optional if c not in present])
+    if prompt_map is not None:
+        new = [c for c in ("prompt_category", "prompt_question") if c not in present]
+        df = df.join(prompt_map.select("question_id", *new), "question_id", "left")
     src_col = {"samples.category": "prompt_category"}.get(source, source)
-    if src_col not in cols:
+    if src_col not in df.columns:
         src_col = "question_id"
-    new = {
+    values = {
         "prompt_category": F.coalesce(F.col(src_col).cast("string"), F.lit(UNMAPPED_CATEGORY)),
-        "essay_id": essay_id(F.col("respondent_id"), F.col("question_id"), F.col("sample_row")),
+        "essay_id": identity,
         "prompt_category_source": F.lit(source),
     }
-    if "prompt_question" not in cols:
-        pq = F.col("question") if "question" in cols else F.col("prompt") if "prompt" in cols else F.lit(None)
-        new["prompt_question"] = pq.cast("string")
-    return df.withColumns(new)
+    if "prompt_question" not in df.columns:
+        pq = next((F.col(c) for c in ("question", "prompt") if c in present), F.lit(None))
+        values["prompt_question"] = pq.cast("string")
+    return df.withColumns(values)

@@ -21,12 +21,39 @@ def ranked_models(essays: DataFrame, top: int | None = None) -> DataFrame:
     return models.withColumn("model_rank", F.row_number().over(Window.orderBy("model")))
 
 
-def essay_pairs(essays: DataFrame, first: int = 1, second: int = 2, dropna: bool = True) -> DataFrame:
+def model_pair(responses: DataFrame, first: int = 1, second: int = 2) -> tuple[str | None, str | None]:
+    """Names of the models at two places of the alphabet, from any table with ``model`` (a partial
+    aggregate; at most ``max(first, second)`` names come back). None where there is no such place."""
+    rows = responses.select("model").where("model is not null").distinct().orderBy("model").limit(max(first, second)).collect()
+    names = [r.model for r in rows] + [None] * max(first, second)
+    return names[first - 1], names[second - 1]
+
+
+def named_pairs(essays: DataFrame, names: tuple[str | None, str | None], dropna: bool = True) -> DataFrame:
+    """J2 for two models by name: one ``groupBy(essay_id)`` with fixed-width buffers."""
+    of = [F.col("model") == F.lit(n) for n in names]
+    p = essays.where(of[0] | of[1]).groupBy("essay_id").agg(
+        *[F.max(F.when(is_model, F.col("mean_total"))).alias(f"mean_{i}") for i, is_model in enumerate(of, 1)],
+        *[F.max(is_model.cast("int")).alias(f"_has{i}") for i, is_model in enumerate(of, 1)],
+    ).where("_has1 = 1 and _has2 = 1")
+    if dropna:
+        p = p.where("mean_1 is not null and mean_2 is not null")
+    return p.select(
+        "essay_id", F.lit(names[0]).cast("string").alias("model_1"), F.lit(names[1]).cast("string").alias("model_2"), "mean_1", "mean_2",
+        ((F.col("mean_1") + F.col("mean_2")) / 2.0).alias("pair_mean"), (F.col("mean_1") - F.col("mean_2")).alias("diff"),
+    )
+
+
+def essay_pairs(essays: DataFrame, first: int = 1, second: int = 2, dropna: bool = True,
+                names: tuple[str | None, str | None] | None = None) -> DataFrame:
     """J2 without a self-join: one ``groupBy(essay_id)`` picks the two models' essay means.
 
-    Models ``first`` and ``second`` by name (default the first two, as the reference).
+    Models ``first`` and ``second`` by name (default the first two, as the reference), or the
+    two ``names`` themselves, which spares the essay table a second use.
     Columns: essay_id, model_1, model_2, mean_1, mean_2, pair_mean, diff.
     """
+    if names is not None:
+        return named_pairs(essays, names, dropna)
     r = ranked_models(essays, top=max(first, second)).where(F.col("model_rank").isin(first, second))
     # the two model names travel as grouping keys (constant), keeping the per-essay
     # aggregate free of string buffers (a hash aggregate)
@@ -53,13 +80,13 @@ def essay_pairs(essays: DataFrame, first: int = 1, second: int = 2, dropna: bool
     )
 
 
-def severity_ttest(essays: DataFrame, first: int = 1, second: int = 2) -> DataFrame:
+def severity_ttest(essays: DataFrame, first: int = 1, second: int = 2, names: tuple[str | None, str | None] | None = None) -> DataFrame:
     """M2: paired t-test of essay means, model 1 minus model 2.
 
     No row when fewer than two models or no complete pair. When all differences are
     equal (incl. one pair) t = 0, p = 1 and ``degenerate`` is true.
     """
-    pairs = essay_pairs(essays, first, second)
+    pairs = essay_pairs(essays, first, second, names=names)
     agg = pairs.groupBy("model_1", "model_2").agg(
         F.count(F.lit(1)).alias("n_pairs"),
         F.avg("diff").alias("mean_diff"),
@@ -86,9 +113,10 @@ def significance(ttest: DataFrame, level: float = SIGNIFICANCE_LEVEL) -> DataFra
     )
 
 
-def bland_altman(essays: DataFrame, first: int = 1, second: int = 2, z: float = LOA_Z) -> DataFrame:
+def bland_altman(essays: DataFrame, first: int = 1, second: int = 2, z: float = LOA_Z,
+                 names: tuple[str | None, str | None] | None = None) -> DataFrame:
     """M3: bias = mean difference, limits = bias -/+ z * sample sd, over complete pairs."""
-    pairs = essay_pairs(essays, first, second)
+    pairs = essay_pairs(essays, first, second, names=names)
     agg = pairs.groupBy("model_1", "model_2").agg(
         F.count(F.lit(1)).alias("n_pairs"),
         F.avg("diff").alias("bias"),
@@ -116,11 +144,10 @@ def topic_delta(topics: DataFrame) -> DataFrame:
     )
 
 
-def topic_matrix(topics: DataFrame, categories: list[str] | None = None) -> DataFrame:
-    """Model x category pivot of topic means (pass ``categories`` to skip the value scan)."""
-    g = topics.groupBy("model")
-    g = g.pivot("prompt_category", categories) if categories is not None else g.pivot("prompt_category")
-    return g.agg(F.first("topic_mean"))
+def topic_matrix(topics: DataFrame, categories: list[str]) -> DataFrame:
+    """Topic means with one column per category that the caller names (``topic_means`` is
+    the long form for any number of categories)."""
+    return topics.groupBy("model").pivot("prompt_category", categories).agg(F.first("topic_mean"))
 
 
 def topic_range(deltas: DataFrame) -> DataFrame:
@@ -139,17 +166,21 @@ def topic_range(deltas: DataFrame) -> DataFrame:
     )
 
 
-def category_questions(essays: DataFrame) -> DataFrame:
-    """A5: per category the sorted distinct prompt questions joined by newlines.
-
-    Distinct (category, question) pairs are formed first with a partial aggregate, so
-    the final per-category list holds one entry per distinct question.
-    """
-    pairs = (
+def category_question_list(essays: DataFrame) -> DataFrame:
+    """A5 in long form: the distinct (category, question) pairs, one row each."""
+    return (
         essays.where(F.col("prompt_category").isNotNull() & F.col("prompt_question").isNotNull())
         .select("prompt_category", "prompt_question")
         .distinct()
     )
-    return pairs.groupBy("prompt_category").agg(
+
+
+def category_questions(essays: DataFrame) -> DataFrame:
+    """A5: per category the sorted distinct prompt questions joined by newlines.
+
+    The text of a category is one value, so this suits categories with a bounded number of
+    questions (a report's); ``category_question_list`` is the form for any number.
+    """
+    return category_question_list(essays).groupBy("prompt_category").agg(
         F.array_join(F.array_sort(F.collect_list("prompt_question")), "\n").alias("questions")
     )

@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from raterkit.functions import text as T
 from raterkit.operators.staging import keep_where
+from raterkit.session import cut_lineage
 from raterkit.operators.columns import (
-    AUDIO_COL, DEFAULTS, EXAM_COL, QUESTION_ID_COL, SUBMISSION_COL, SUBMITTED_AT_COL, resolve_columns,
+    AUDIO_COL, EXAM_COL, MIN_LENGTH, QUESTION_ID_COL, SUBMISSION_COL, SUBMITTED_AT_COL, resolve_columns,
 )
 
 STATUS_AUDIO = "audio_only"
@@ -48,7 +49,7 @@ def classify(
     type_col: str | None = None,
     respondent_col: str | None = None,
     anonymize: bool = False,
-    min_length: int = DEFAULTS["min_length"],
+    min_length: int = MIN_LENGTH,
     salt: str | None = None,
     source_file: str | None = None,
     stopwords: Sequence[str] = T.INDONESIAN_STOPWORDS,
@@ -130,36 +131,34 @@ def classify(
 
 
 def dedupe_first(df: DataFrame, key: str, order: str = "row", eligible: Column | None = None) -> DataFrame:
-    """Keep the first row (smallest ``order``) per ``key`` among ``eligible`` rows.
+    """Keep the first row (smallest ``order``, unique among eligible rows) per ``key``.
 
-    A ``min_by`` aggregate: partial aggregation keeps one candidate per key and map
-    task, so a key holding a third of all rows is reduced before the shuffle.
-    Ineligible rows carry a NULL ordering (ignored by ``min_by``); keys without an
-    eligible row are dropped after the aggregate.
+    The smallest order per key is a hash aggregate over the key and a number; the rows are then
+    those whose (key, order) is among them, so no text takes part in an aggregate. A key holding
+    a third of all rows is reduced before its shuffle; the join on (key, order) has no hot key.
     """
-    others = [c for c in df.columns if c != key]
-    ordering = F.col(order) if eligible is None else F.when(eligible, F.col(order))
-    best = F.min_by(F.struct(*[F.col(c) for c in others]), ordering)
-    agg = df.groupBy(key).agg(best.alias("_first"))
-    if eligible is not None:
-        agg = agg.where(F.col("_first").isNotNull())
-    return agg.select(key, *[F.col(f"_first.{c}").alias(c) for c in others])
+    rows = df if eligible is None else keep_where(df, eligible)
+    first = rows.groupBy(key).agg(F.min(order).alias(order))
+    return rows.join(first, [key, order], "left_semi")
 
 
-def clean_records(answers: DataFrame, *, dedupe: bool = False, **kwargs) -> DataFrame:
-    """The cleaned records (kept text rows and audio rows), optionally deduplicated."""
-    c = classify(answers, **kwargs)
+def records_of(classified: DataFrame, dedupe: bool = False) -> DataFrame:
+    """The kept text rows and audio rows of classified rows, optionally deduplicated."""
     passed = F.col("status").isin(STATUS_AUDIO, STATUS_KEPT)
-    if dedupe:
-        c = dedupe_first(c, "dedupe_key", eligible=passed)
-    else:
-        c = keep_where(c, passed)
-    return c.select(*RECORD_COLUMNS)
+    kept = dedupe_first(classified, "dedupe_key", eligible=passed) if dedupe else keep_where(classified, passed)
+    return kept.select(*RECORD_COLUMNS)
 
 
-def clean_counters(answers: DataFrame, *, dedupe: bool = False, **kwargs) -> DataFrame:
+def clean_records(answers: DataFrame, *, dedupe: bool = False, **kwargs) -> DataFrame:
+    """The cleaned records (kept text rows and audio rows), optionally deduplicated. With dedupe
+    the rows are classified once, into the checkpoint folder, and read twice."""
+    classified = classify(answers, **kwargs)
+    return records_of(cut_lineage(classified, "classified") if dedupe else classified, dedupe)
+
+
+def counters_of(classified: DataFrame, dedupe: bool = False) -> DataFrame:
     """total_rows, audio_only, short_or_empty, filtered_noisy, deduped, kept in one aggregate."""
-    c = classify(answers, **kwargs)
+    c = classified
     passed = F.col("status").isin(STATUS_AUDIO, STATUS_KEPT)
     n_passed = F.sum(passed.cast("long"))
     kept = F.count_distinct(F.when(passed, F.col("dedupe_key"))) if dedupe else n_passed
@@ -175,5 +174,10 @@ def clean_counters(answers: DataFrame, *, dedupe: bool = False, **kwargs) -> Dat
         "total_rows",
         *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("audio_only", "short_or_empty", "filtered_noisy")],
         (F.coalesce(F.col("_passed"), F.lit(0)) - F.col("kept")).cast("long").alias("deduped"),
-        F.col("kept").cast("long").alias("kept"),
+        F.coalesce(F.col("kept"), F.lit(0)).cast("long").alias("kept"),
     )
+
+
+def clean_counters(answers: DataFrame, *, dedupe: bool = False, **kwargs) -> DataFrame:
+    """A11 from an answer sheet."""
+    return counters_of(classify(answers, **kwargs), dedupe)

@@ -46,9 +46,9 @@ def icc_by_model(aligned: DataFrame) -> DataFrame:
     Every model of the input appears; one without scores has counts 0 and NULL ICC.
     ICC is NULL when k < 2, n < 2 or the denominator is 0.
     """
-    models = aligned.where(F.col("model").isNotNull()).select("model").distinct()
-    scored = aligned.where(F.col("total_score").isNotNull())
-    raters = scored.select("model", "run").distinct().groupBy("model").agg(F.count(F.lit(1)).alias("k"))
+    runs = aligned.where(F.col("model").isNotNull()).groupBy("model", "run").agg(F.count("total_score").alias("scored"))
+    models = runs.groupBy("model").agg(F.count(F.when(F.col("scored") > 0, 1)).alias("k"))
+    raters = models.where("k > 0")
 
     essay = Window.partitionBy("model", "essay_id")
     cells = (
@@ -90,7 +90,7 @@ def icc_by_model(aligned: DataFrame) -> DataFrame:
     stats = per_model.select(
         "model", icc.alias("icc_total"), "icc_n_essays_total", "icc_n_essays_balanced", "icc_n_raters"
     )
-    return models.join(stats, "model", "left").select(
+    return models.select("model").join(stats, "model", "left").select(
         "model",
         "icc_total",
         F.coalesce("icc_n_essays_total", F.lit(0)).cast("long").alias("icc_n_essays_total"),

@@ -23,9 +23,6 @@ RANGE_THRESHOLD = 2.0
 CV_COMPARE_DIGITS = 12
 
 ESSAY_KEYS = ["model", "essay_id"]
-# Columns that are functions of the essay: its id is built from the first three, the prompt
-# columns come from its question. They are grouping keys rather than string aggregates, so
-# the essay aggregate keeps fixed-width buffers and runs as a hash aggregate.
 ESSAY_ATTRIBUTES = ["respondent_id", "question_id", "sample_row", "prompt_category", "prompt_question"]
 
 
@@ -41,7 +38,7 @@ def _attributes(df: DataFrame) -> list[str]:
 
 def collapse_duplicate_runs(aligned: DataFrame) -> DataFrame:
     """One row per (model, essay, run): the mean total of repeated responses of a run."""
-    return aligned.groupBy(*ESSAY_KEYS, "run", *_attributes(aligned)).agg(F.avg("total_score").alias("total_score"))
+    return aligned.groupBy(*ESSAY_KEYS, "run").agg(F.avg("total_score").alias("total_score"))
 
 
 def attach_prompts(essays: DataFrame, prompts: DataFrame) -> DataFrame:
@@ -54,18 +51,18 @@ def attach_prompts(essays: DataFrame, prompts: DataFrame) -> DataFrame:
     return out.select(*[c for c in ESSAY_OUTPUT if c in out.columns])
 
 
-def essay_metrics(aligned: DataFrame, dedupe_runs: bool = False) -> DataFrame:
-    """A1: per (model, essay) mean/sample-sd/min/max/count of total score.
+def essay_scores(aligned: DataFrame, dedupe_runs: bool = False) -> DataFrame:
+    """A1 without the attributes: per (model, essay) mean/sample-sd/min/max/count of total score.
 
     ``sd`` and ``range`` are 0 when undefined; ``cv = sd/mean`` is 0 when the mean is 0
     or NULL. Essays without any scored run are kept (mean NULL, spread 0).
     ``dedupe_runs=True`` first collapses repeated responses of one run (as the ICC does);
-    the default counts every response, as the reference does.
+    the default counts every response, as the reference does. Only fixed-width buffers, so a
+    hash aggregate.
     """
     if dedupe_runs:
         aligned = collapse_duplicate_runs(aligned)
-    attrs = _attributes(aligned)
-    agg = aligned.groupBy(*ESSAY_KEYS, *attrs).agg(
+    agg = aligned.groupBy(*ESSAY_KEYS).agg(
         F.avg("total_score").alias("mean_total"),
         F.stddev_samp("total_score").alias("_sd"),
         F.min("total_score").alias("min_total"),
@@ -75,7 +72,6 @@ def essay_metrics(aligned: DataFrame, dedupe_runs: bool = False) -> DataFrame:
     sd = F.coalesce(F.col("_sd"), F.lit(0.0))
     return agg.select(
         *ESSAY_KEYS,
-        *attrs,
         "mean_total",
         sd.alias("sd_total"),
         "min_total", "max_total", "n_runs",
@@ -86,6 +82,21 @@ def essay_metrics(aligned: DataFrame, dedupe_runs: bool = False) -> DataFrame:
     )
 
 
+def essay_attributes(aligned: DataFrame) -> DataFrame:
+    """Ids and prompt columns per (model, essay): for each the first value that is not null, by
+    run (equal runs: the smaller value). Responses of one essay may differ in them, so they are
+    attached at essay grain and are no part of its key."""
+    names = [c for c in ESSAY_ATTRIBUTES if c in aligned.columns]
+    first = [F.min_by(c, F.when(F.col(c).isNotNull(), F.struct("run", c))).alias(c) for c in names]
+    return aligned.groupBy(*ESSAY_KEYS).agg(*first)
+
+
+def essay_metrics(aligned: DataFrame, dedupe_runs: bool = False) -> DataFrame:
+    """A1: ``essay_scores`` with the essay's attributes; one row per (model, essay)."""
+    scores = essay_scores(aligned, dedupe_runs).join(essay_attributes(aligned), ESSAY_KEYS)
+    return scores.select(*[c for c in ESSAY_OUTPUT if c in scores.columns])
+
+
 def hitl_status(cv: F.Column, rng: F.Column, cv_threshold: float = CV_THRESHOLD,
                 range_threshold: float = RANGE_THRESHOLD) -> F.Column:
     """M4: Auto-Approve iff cv < cv_threshold and range <= range_threshold."""
@@ -114,32 +125,30 @@ def hitl_distribution(routed: DataFrame) -> DataFrame:
     return dist.withColumn("pct", F.col("count") * 100.0 / total)
 
 
-def model_summary_base(essays: DataFrame) -> DataFrame:
-    """Per model: essays (unscored included), mean and sample sd of essay means,
-    mean sd, mean range, mean cv."""
-    return essays.groupBy("model").agg(
+def model_summary_base(routed: DataFrame) -> DataFrame:
+    """A7 + A8 + T11 in one aggregate: per model essays (unscored included), mean and sample sd
+    of essay means, mean sd, mean range, mean cv, and the share of each routing status in
+    percent as ``auto-approve`` and ``flagged_for_review`` (NULL where it never occurs)."""
+    shares = [
+        (F.sum(F.when(F.col("hitl_status") == s, 100.0)) / F.count(F.lit(1))).alias(s.replace(" ", "_").lower())
+        for s in HITL_STATUSES
+    ]
+    return routed.groupBy("model").agg(
         F.count("essay_id").alias("n_essays"),
         F.avg("mean_total").alias("mean_total"),
         F.stddev_samp("mean_total").alias("sd_total"),
         F.avg("sd_total").alias("mean_sd"),
         F.avg("range_total").alias("mean_range"),
         F.avg("cv_total").alias("mean_cv"),
+        *shares,
     )
 
 
-def hitl_pivot(dist: DataFrame) -> DataFrame:
-    """A8 + T11: status percentages as columns ``auto-approve`` and ``flagged_for_review``;
-    explicit pivot values keep both columns even when a status never occurs."""
-    p = dist.groupBy("model").pivot("hitl_status", HITL_STATUSES).agg(F.first("pct"))
-    for s in HITL_STATUSES:
-        p = p.withColumnRenamed(s, s.replace(" ", "_").lower())
-    return p
-
-
-def model_summary(essays_routed: DataFrame, icc: DataFrame, dist: DataFrame) -> DataFrame:
-    """Summary LEFT JOIN icc LEFT JOIN routing pivot, all at model grain (tiny sides)."""
-    base = model_summary_base(essays_routed)
-    return base.join(icc, "model", "left").join(hitl_pivot(dist), "model", "left")
+def model_summary(routed: DataFrame, icc: DataFrame) -> DataFrame:
+    """Summary LEFT JOIN icc at model grain (tiny sides)."""
+    joined = model_summary_base(routed).join(icc, "model", "left")
+    shares = [s.replace(" ", "_").lower() for s in HITL_STATUSES]
+    return joined.select(*[F.col(f"`{c}`") for c in joined.columns if c not in shares], *[F.col(f"`{c}`") for c in shares])
 
 
 SCORE_MIN, SCORE_MAX = 0, 9

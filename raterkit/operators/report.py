@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from raterkit.functions.text import short_model_name
+from raterkit.session import cut_lineage
 
 # Badge texts and compared metrics.
 BADGE_MOST_RELIABLE = "Most Reliable"
@@ -18,17 +19,41 @@ LEADER_METRICS = ["mean_total", "icc_total", "auto-approve"]
 QUANTILES = [0.0, 0.25, 0.5, 0.75, 1.0]
 
 
-def boxplot_summary(essays: DataFrame, exact: bool = True) -> DataFrame:
-    """Five-number summary of essay means per model (linear interpolation, (n-1)p).
+def boxplot_summary(essays: DataFrame) -> DataFrame:
+    """Exact five-number summary of essay means per model (linear interpolation, (n-1)p).
 
-    ``exact=False`` switches to ``percentile_approx`` for very large essay counts.
+    Equal values are counted first; the distinct values are then range-partitioned by (model,
+    value), and the place of each value in its model follows from sums within its partition and
+    of the partitions before it. No task holds all values of a model, and only the few values at
+    the wanted places are gathered.
     """
     names = ["q_min", "q1", "median", "q3", "q_max"]
-    if exact:
-        qs = [F.percentile(F.col("mean_total"), q).alias(n) for q, n in zip(QUANTILES, names)]
-    else:
-        qs = [F.percentile_approx(F.col("mean_total"), q, 10000).cast("double").alias(n) for q, n in zip(QUANTILES, names)]
-    return essays.groupBy("model").agg(F.count("mean_total").alias("n_scored"), *qs)
+    counted = essays.where(F.col("mean_total").isNotNull()).groupBy("model", F.col("mean_total").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    placed = cut_lineage(counted.repartitionByRange("model", "v").withColumn("part", F.spark_partition_id()), "values")
+    sums = placed.groupBy("model", "part").agg(F.sum("c").alias("s"))  # a row per partition and model
+    of_model = Window.partitionBy("model")
+    earlier = of_model.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(
+        "model", "part", F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("before"), F.sum("s").over(of_model).alias("n")
+    )
+    within = Window.partitionBy("model", "part").orderBy("v")
+    ranked = placed.join(starts, ["model", "part"]).select(
+        "model", "v", "n", (F.col("before") + F.sum("c").over(within)).alias("after"), "c"
+    )
+    first, last = F.col("after") - F.col("c"), F.col("after") - 1  # places of the value, from 0
+    ends = []
+    for name, q in zip(names, QUANTILES):
+        at = (F.col("n") - 1) * F.lit(q)
+        for side, place in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            ends.append(F.max(F.when((first <= place) & (place <= last), F.col("v"))).alias(f"{name}_{side}"))
+    found = ranked.groupBy("model").agg(F.max("n").alias("n"), *ends)
+    values = []
+    for name, q in zip(names, QUANTILES):
+        at = (F.col("n") - 1) * F.lit(q)
+        part = at - F.floor(at)
+        values.append((F.col(f"{name}_lo") + part * (F.col(f"{name}_hi") - F.col(f"{name}_lo"))).alias(name))
+    models = essays.groupBy("model").agg(F.count("mean_total").alias("n_scored"))
+    return models.join(found.select("model", *values), "model", "left").select("model", "n_scored", *names)
 
 
 def _q(name: str) -> F.Column:

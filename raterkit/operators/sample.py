@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from raterkit.functions import text as T
-from raterkit.operators.columns import DEFAULTS
+from raterkit.operators.columns import MIN_LENGTH
 from raterkit.operators.staging import keep_where
 
 ESSAY_TYPE_PATTERN = "essay|writing"
@@ -88,7 +88,7 @@ def sample_per_question(
     questions: DataFrame,
     *,
     n: int = PER_QUESTION,
-    min_length: int = DEFAULTS["min_length"],
+    min_length: int = MIN_LENGTH,
     seed: int = SEED,
     salt: str | None = None,
     qid_col: str = "questionId",
@@ -126,7 +126,7 @@ def sample_per_question(
 
 
 def sampling_summary(answers: DataFrame, questions: DataFrame, *, n: int = PER_QUESTION,
-                     min_length: int = DEFAULTS["min_length"], qid_col: str = "questionId",
+                     min_length: int = MIN_LENGTH, qid_col: str = "questionId",
                      resp_col: str = "textResponse") -> DataFrame:
     """Per question, valid answers and sample size (= min(n, valid))."""
     valid = _valid_answers(answers, questions, qid_col, resp_col, min_length)

@@ -61,31 +61,58 @@ def build_prompt(samples: DataFrame, question: str = "question", response: str =
     )
 
 
-def score_plan(samples: DataFrame, models: Sequence[str], runs: int = DEFAULT_RUNS) -> DataFrame:
-    """J7 + T9 + T10: one request per (sample, model, run), runs numbered 1..runs.
-
-    ``stem`` names the output folder: the sample's source file stem, else ``question_<id>``.
-    """
+def _samples(samples: DataFrame) -> DataFrame:
+    """Sample columns of a request. ``stem`` names the output folder: the sample's source file
+    stem, else ``question_<id>``."""
     cols = set(samples.columns)
+
+    def text(name: str) -> Column:
+        return (F.col(name).cast("string") if name in cols else F.lit(None).cast("string")).alias(name)
+
     src = F.col("source_file").cast("string") if "source_file" in cols else F.lit(None).cast("string")
     file_stem = F.regexp_extract(src, r"([^/\\]*?)(\.[^./\\]*)?$", 1)
     stem = F.when(F.coalesce(src, F.lit("")) != "", file_stem).otherwise(
         F.concat(F.lit("question_"), F.coalesce(F.col("question_id").cast("string"), F.lit("")))
     )
-    base = samples.select(
+    return samples.select(
         F.col("row").alias("sample_row") if "row" in cols else F.lit(None).cast("long").alias("sample_row"),
-        F.col("question_id").cast("string").alias("question_id"),
-        (F.col("respondent_id").cast("string") if "respondent_id" in cols else F.lit(None).cast("string")).alias("respondent_id"),
-        (F.col("question").cast("string") if "question" in cols else F.lit(None).cast("string")).alias("question"),
-        (F.col("response").cast("string") if "response" in cols else F.lit(None).cast("string")).alias("response"),
+        text("question_id"), text("respondent_id"), text("question"), text("response"),
         build_prompt(samples).alias("prompt"),
         stem.alias("stem"),
     )
-    return (
-        base.withColumn("model", F.explode(F.array(*[F.lit(m) for m in models])))
-        .withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(int(runs)))))
-        .withColumn("model_safe", path_safe(F.col("model")))
+
+
+def _requests(models: Sequence[str], runs: int) -> Column:
+    """All (model, run) of a job: an array of parameters, not data."""
+    return F.array(*[F.struct(F.lit(m).alias("model"), F.lit(r).alias("run")) for m in models for r in range(1, int(runs) + 1)])
+
+
+def _exploded(base: DataFrame, requests: Column) -> DataFrame:
+    out = base.withColumn("_request", F.explode(requests)).withColumns({"model": F.col("_request.model"), "run": F.col("_request.run")})
+    return out.drop("_request").withColumn("model_safe", path_safe(F.col("model")))
+
+
+def score_plan(samples: DataFrame, models: Sequence[str], runs: int = DEFAULT_RUNS) -> DataFrame:
+    """J7 + T9 + T10: one request per (sample, model, run), runs numbered 1..runs."""
+    return _exploded(_samples(samples), _requests(models, runs))
+
+
+def pending_plan(samples: DataFrame, models: Sequence[str], runs: int, done: DataFrame | None) -> DataFrame:
+    """J6 + J7: the requests of a job that are not among the completed responses.
+
+    The completed (model, run) pairs of a sample are one short set (at most models x runs), so
+    each sample, with its texts, is joined once and only then multiplied into requests."""
+    base = _samples(samples)
+    if done is None:
+        return _exploded(base, _requests(models, runs))
+    k = resume_keys(done).where(F.col("_k_model").isin(list(models)) & F.col("_k_run").between(1, int(runs)))
+    finished = k.groupBy("_k_row", "_k_resp").agg(
+        F.collect_set(F.struct(F.col("_k_model").alias("model"), F.col("_k_run").alias("run"))).alias("_finished")
     )
+    on = (_row_key(base["sample_row"]) == finished["_k_row"]) & base["respondent_id"].eqNullSafe(finished["_k_resp"])
+    joined = base.join(finished, on, "left").drop("_k_row", "_k_resp")
+    todo = F.when(F.col("_finished").isNull(), _requests(models, runs)).otherwise(F.array_except(_requests(models, runs), F.col("_finished")))
+    return _exploded(joined.withColumn("_todo", todo).drop("_finished"), F.col("_todo")).drop("_todo")
 
 
 def _row_key(c: Column) -> Column:
@@ -166,4 +193,5 @@ def response_records(scored: DataFrame) -> DataFrame:
         "model", "run", "sample_row", "question_id", "respondent_id", "response", "raw",
         parse_scores(F.col("raw")).alias("parsed"),
         *[c for c in ("stem", "model_safe") if c in scored.columns],
+        *[F.col("question").alias("question_text") for c in scored.columns if c == "question"],  # names a folder without an id
     )

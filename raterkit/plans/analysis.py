@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from raterkit.functions.parse import is_error
 from raterkit.operators import bias, icc, metrics
-from raterkit.operators.align import align_inputs, sample_map
+from raterkit.operators.align import align_inputs, category_source, sample_map
 from raterkit.plans import responses as rsp
 from raterkit.session import cut_lineage
 
@@ -71,13 +71,25 @@ class Analysis:
         self._essays = None
         return self
 
+    @property
+    def scores(self) -> DataFrame:
+        """The essay table without ids and prompts: all that model-grain results need."""
+        return metrics.essay_scores(self.aligned) if self._essays is None else self._essays
+
     @property
     def routed(self) -> DataFrame:
         return metrics.apply_hitl(self.essays, self.cv_threshold, self.range_threshold, self.unscored)
 
+    @property
+    def routed_scores(self) -> DataFrame:
+        return metrics.apply_hitl(self.scores, self.cv_threshold, self.range_threshold, self.unscored)
+
     @property
     def distribution(self) -> DataFrame:
-        return metrics.hitl_distribution(self.routed)
+        return metrics.hitl_distribution(self.routed_scores)
+
+    def pair_names(self, first: int = 1, second: int = 2) -> tuple[str | None, str | None]:
+        return bias.model_pair(self.aligned, first, second)
 
     @property
     def icc(self) -> DataFrame:
@@ -85,15 +97,15 @@ class Analysis:
 
     @property
     def summary(self) -> DataFrame:
-        return metrics.model_summary(self.routed, self.icc, self.distribution)
+        return metrics.model_summary(self.routed_scores, self.icc)
 
     @property
     def ttest(self) -> DataFrame:
-        return bias.severity_ttest(self.essays)
+        return bias.severity_ttest(self.scores, names=self.pair_names())
 
     @property
     def bland_altman(self) -> DataFrame:
-        return bias.bland_altman(self.essays)
+        return bias.bland_altman(self.scores, names=self.pair_names())
 
     @property
     def topics(self) -> DataFrame:
@@ -101,7 +113,9 @@ class Analysis:
 
     @property
     def category_source(self) -> DataFrame:
-        """P10 provenance, as decided when the responses were aligned (one row)."""
+        """P10 provenance (one row): decided from the responses and the prompt map."""
+        if self.prompts is not None:
+            return category_source(self.aligned, self.prompts)
         return self.aligned.select("prompt_category_source").limit(1)
 
 

@@ -359,9 +359,14 @@ FROM (SELECT model_1, model_2, n_pairs,
 ORACLE["topic_bias"] = with_analysis(f"SELECT model, prompt_category, {r('topic_mean')} FROM topics")
 ORACLE["topic_delta"] = with_analysis(
     f"SELECT model, prompt_category, {r('topic_mean')}, {r('delta_vs_topic_avg')} FROM tdelta")
-ORACLE["topic_matrix"] = with_analysis("""
-SELECT * FROM (PIVOT (SELECT model, prompt_category, round(topic_mean, 9) AS topic_mean FROM topics)
-               ON prompt_category USING first(topic_mean) GROUP BY model)""")
+_TOPIC_COLUMNS = ", ".join(
+    f"max(CASE WHEN prompt_category = '{c}' THEN round(topic_mean, 9) END) AS \"{c}\""
+    for c in ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
+)
+ORACLE["topic_matrix"] = with_analysis(f"SELECT model, {_TOPIC_COLUMNS} FROM topics GROUP BY model")
+ORACLE["category_question_list"] = with_analysis("""
+SELECT DISTINCT prompt_category, prompt_question FROM essays2
+WHERE prompt_category IS NOT NULL AND prompt_question IS NOT NULL""")
 ORACLE["topic_range"] = with_analysis(f"""
 SELECT {r('zmin')}, {r('CASE WHEN zmin = zmax THEN zmax + 1.0 ELSE zmax END', 'zmax')},
        {r('dmin')}, {r('CASE WHEN dmin = dmax THEN dmax + 1.0 ELSE dmax END', 'dmax')}

@@ -140,9 +140,13 @@ def q_model_summary(spark, sf_dir):
 
 # --------------------------------------------------------------------------- bias
 
+# The part types of the test tables: the columns asked of the topic matrix.
+TOPICS = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+
 @query("severity_pairs")
 def q_severity_pairs(spark, sf_dir):
-    return rounded(bias.essay_pairs(testdata_analysis(spark, sf_dir).essays))
+    a = testdata_analysis(spark, sf_dir)
+    return rounded(bias.essay_pairs(a.scores, names=a.pair_names()))
 
 
 @query("severity_ttest")
@@ -181,7 +185,13 @@ def q_topic_delta(spark, sf_dir):
 
 @query("topic_matrix")
 def q_topic_matrix(spark, sf_dir):
-    return rounded(bias.topic_matrix(testdata_analysis(spark, sf_dir).topics))
+    return rounded(bias.topic_matrix(testdata_analysis(spark, sf_dir).topics, TOPICS))
+
+
+@query("category_question_list")
+def q_category_question_list(spark, sf_dir):
+    """A5 in long form: one row per category and distinct question."""
+    return bias.category_question_list(testdata_analysis(spark, sf_dir).essays)
 
 
 @query("topic_range")
@@ -384,7 +394,7 @@ def q_resume_antijoin(spark, sf_dir):
     done_two_runs = SC.response_records(SC.score(_plan(spark, sf_dir, runs=2), dry_run=True))
     done_model_2 = SC.response_records(SC.score(_plan(spark, sf_dir, models=PLAN_MODELS[1:]), dry_run=True))
     done = done_two_runs.unionByName(done_model_2)
-    todo = SC.pending_requests(_plan(spark, sf_dir), done)
+    todo = SC.pending_plan(rsp.conversation_samples(spark, sf_dir), PLAN_MODELS, PLAN_RUNS, done)
     return todo.select("model", "run", "sample_row", "question_id", "respondent_id")
 
 
@@ -425,7 +435,7 @@ def _summary(spark, sf_dir):
 
 @query("boxplot_summary")
 def q_boxplot_summary(spark, sf_dir):
-    return rounded(RP.boxplot_summary(testdata_analysis(spark, sf_dir).essays))
+    return rounded(RP.boxplot_summary(testdata_analysis(spark, sf_dir).scores))
 
 
 @query("leaderboard")
@@ -465,7 +475,7 @@ def q_essay_metrics_dedupe_runs(spark, sf_dir):
 
 @query("model_summary_scored")
 def q_model_summary_scored(spark, sf_dir):
-    return rounded(metrics.scored_only_summary(testdata_analysis(spark, sf_dir).routed))
+    return rounded(metrics.scored_only_summary(testdata_analysis(spark, sf_dir).routed_scores))
 
 
 # --------------------------------------------------------------------------- sources and sinks
@@ -534,5 +544,6 @@ def q_hitl_distribution_unscored_exclude(spark, sf_dir):
 @query("severity_ttest_pair_1_3")
 def q_severity_ttest_pair_1_3(spark, sf_dir):
     """The paired test for the first and third model by name (any pair can be chosen)."""
-    t = bias.severity_ttest(testdata_analysis(spark, sf_dir).essays, first=1, second=3)
+    a = testdata_analysis(spark, sf_dir)
+    t = bias.severity_ttest(a.scores, names=a.pair_names(1, 3))
     return rounded(t.select("model_1", "model_2", "tstat", "n_pairs", "degenerate"))

@@ -15,19 +15,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from raterkit.operators import bias, clean, icc, metrics, sample
-from raterkit.operators.align import align_inputs
+from raterkit.operators.align import align_inputs, category_source, values_present
 from raterkit.plans.analysis import NARROW_COLUMNS
 from raterkit.session import cut_lineage
 from raterkit.sources import sinks
-from raterkit.sources.jsonl import load_sample_mapping, read_responses
+from raterkit.sources.jsonl import find_samples, load_sample_mapping, read_responses
 
 
-def run_clean(answers: DataFrame, out_dir: str, **kwargs) -> DataFrame:
-    """Cleaned records to ``<out>/cleaned`` (JSON lines) and counters to ``<out>/metadata``."""
-    records = clean.clean_records(answers, **kwargs)
+def run_clean(answers: DataFrame, out_dir: str, *, dedupe: bool = False, **kwargs) -> DataFrame:
+    """Cleaned records to ``<out>/cleaned`` (JSON lines) and counters to ``<out>/metadata``.
+
+    The rows are classified once (written to the checkpoint folder) and read twice."""
+    classified = cut_lineage(clean.classify(answers, **kwargs), "classified")
+    records = clean.records_of(classified, dedupe)
     sinks.write_jsonl(records, f"{out_dir}/cleaned")
-    counters = clean.clean_counters(answers, **kwargs)
-    sinks.write_jsonl(counters, f"{out_dir}/metadata")
+    sinks.write_jsonl(clean.counters_of(classified, dedupe), f"{out_dir}/metadata")
     return records
 
 
@@ -43,53 +45,47 @@ def run_sample(answers: DataFrame, out_dir: str, *, per_question: int = sample.P
 
 
 def run_analysis(spark: SparkSession, inputs: str, out_dir: str, *, samples_dir: str | None = None,
-                 checkpoint: str | None = None, cv_threshold: float = metrics.CV_THRESHOLD,
+                 find_samples_dir: bool = True, checkpoint: str | None = None,
+                 cv_threshold: float = metrics.CV_THRESHOLD,
                  range_threshold: float = metrics.RANGE_THRESHOLD, force: bool = False) -> dict:
-    """Analysis of a response folder; returns the result tables by name (and ``reused``)."""
-    # input files are part of the manifest: added or removed response files invalidate results
-    files = sorted(read_responses(spark, inputs, checkpoint=checkpoint).inputFiles())
-    manifest = {"inputs": inputs, "samples": samples_dir, "checkpoint": checkpoint, "files": files,
+    """Analysis of a response folder; returns the result tables by name (and ``reused``).
+
+    Without ``samples_dir`` a folder ``samples`` beside or in the input is used, if there is
+    one (unless ``find_samples_dir`` is false).
+    """
+    if samples_dir is None and find_samples_dir:
+        samples_dir = find_samples(spark, inputs)
+    # sizes and times of all input files are part of the manifest
+    manifest = {"inputs": inputs, "samples": samples_dir, "checkpoint": checkpoint,
+                "files": sinks.input_state(spark, inputs, samples_dir, checkpoint),
                 "cv_threshold": cv_threshold, "range_threshold": range_threshold}
-    state: dict[str, DataFrame] = {}
-
-    pmap = load_sample_mapping(spark, samples_dir) if samples_dir else None
-    # the sample map supplies the categories when it has any (one limit-1 probe on a small table)
-    defer = pmap is not None and not pmap.where(pmap["prompt_category"].isNotNull()).isEmpty()
-
-    def aligned() -> DataFrame:
-        if "aligned" not in state:
-            responses = read_responses(spark, inputs, checkpoint=checkpoint)
-            if defer:  # prompts are attached to the essays, not carried per response
-                a = align_inputs(responses, None, source="samples.category", defer_prompts=True)
-            else:
-                a = align_inputs(responses, pmap)
-            state["aligned"] = cut_lineage(a.select(*[c for c in NARROW_COLUMNS if c in a.columns]), "aligned")
-        return state["aligned"]
-
-    def routed() -> DataFrame:
-        essays = metrics.essay_metrics(aligned())
+    essays_at, summary_at = f"{out_dir}/hitl_routing_table", f"{out_dir}/metrics_summary_table"
+    old_essays = None if force else sinks.stored_result(spark, essays_at, manifest)
+    old_summary = None if force else sinks.stored_result(spark, summary_at, manifest)
+    reused = old_essays is not None and old_summary is not None
+    if reused:
+        (essays, source), (summary, _) = old_essays, old_summary
+    else:
+        pmap = load_sample_mapping(spark, samples_dir) if samples_dir else None
+        responses = read_responses(spark, inputs, checkpoint=checkpoint)
+        source = category_source(responses, pmap).first()[0]
+        # a category that only the map has is attached to the essays, not carried per response
+        defer = pmap is not None and source == "samples.category" and not values_present(responses, ["prompt_category", "prompt_question"])
+        aligned = align_inputs(responses, None if defer else pmap, source=None if not defer else source, defer_prompts=defer)
+        aligned = cut_lineage(aligned.select(*[c for c in NARROW_COLUMNS if c in aligned.columns]), "aligned")
+        table = metrics.essay_metrics(aligned)
         if defer:
-            essays = metrics.attach_prompts(essays, pmap)
-        return metrics.apply_hitl(essays, cv_threshold, range_threshold)
-
-    essays = sinks.reuse_or_compute(spark, f"{out_dir}/hitl_routing_table", routed, manifest, force)
-
-    def summary() -> DataFrame:
-        dist = metrics.hitl_distribution(essays)
-        return metrics.model_summary(essays, icc.icc_by_model(aligned()), dist)
-
-    summary_tbl = sinks.reuse_or_compute(spark, f"{out_dir}/metrics_summary_table", summary, manifest, force)
+            table = metrics.attach_prompts(table, pmap)
+        essays = sinks.store_result(spark, essays_at, metrics.apply_hitl(table, cv_threshold, range_threshold), manifest, source)
+        summary = sinks.store_result(spark, summary_at, metrics.model_summary(essays, icc.icc_by_model(aligned)), manifest, source)
     dist = metrics.hitl_distribution(essays)
-    ttest = bias.severity_ttest(essays)
+    names = bias.model_pair(summary)
+    ttest = bias.severity_ttest(essays, names=names)
     topics = bias.topic_means(essays)
-    if "aligned" in state:
-        source = state["aligned"].select("prompt_category_source").limit(1)
-    else:  # reused results: the provenance follows from the sample folder, as on a fresh run
-        note = "samples.category" if samples_dir else "question_id"
-        source = spark.createDataFrame([(note,)], "prompt_category_source string")
+    provenance = spark.createDataFrame([(source,)], "prompt_category_source string")
 
-    sinks.write_csv(summary_tbl, f"{out_dir}/metrics_summary")
+    sinks.write_csv(summary, f"{out_dir}/metrics_summary")
     sinks.write_csv(essays, f"{out_dir}/hitl_routing")
-    sinks.write_report_json(sinks.report_frame(summary_tbl, ttest, topics, dist, source), f"{out_dir}/report")
-    return {"reused": "aligned" not in state, "essays": essays, "summary": summary_tbl, "distribution": dist, "ttest": ttest, "topics": topics,
-            "bland_altman": bias.bland_altman(essays), "category_questions": bias.category_questions(essays)}
+    sinks.write_report_json(sinks.report_frame(summary, ttest, topics, dist, provenance), f"{out_dir}/report")
+    return {"reused": reused, "essays": essays, "summary": summary, "distribution": dist, "ttest": ttest, "topics": topics,
+            "bland_altman": bias.bland_altman(essays, names=names), "category_questions": bias.category_questions(essays)}

@@ -8,30 +8,13 @@ TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 ]
-# Tables whose rows feed per-row regex/text work (worth spreading when a scan has few splits).
-WIDE_WORK = {"lineitem", "documents", "conversations", "orders", "pages"}
-
-
-# Only scans this thin are spread: at most a few GB, so the extra shuffle is cheap. A
-# medium input on a large cluster (thousands of splits, more cores) is never reshuffled.
-SPREAD_MAX_SPLITS = 32
-
-
-def spread(df: DataFrame, min_partitions: int | None = None, max_splits: int = SPREAD_MAX_SPLITS) -> DataFrame:
-    """Round-robin a thin scan (a few splits, fewer than the session's cores) over the cores.
-
-    A single-row-group file is one scan task, which would run all per-row parsing on
-    one core. Inputs with more splits are left untouched (no extra shuffle).
-    """
-    try:
-        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        n = df.rdd.getNumPartitions()
-    except Exception:  # no RDD view (e.g. Spark Connect): leave the scan as it is
-        return df
-    return df.repartition(target) if n < target and n <= max_splits else df
+# Session setting: deal the rows of each table out over this many partitions after the scan.
+# Unset by default; for inputs of a few unsplittable files it spreads per-row work over the cores.
+SCAN_PARTITIONS = "spark.raterkit.scanPartitions"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table; projections after it are pruned down to the parquet scan by Catalyst."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(df) if name in WIDE_WORK else df
+    partitions = spark.conf.get(SCAN_PARTITIONS, None)
+    return df.repartition(int(partitions)) if partitions else df

@@ -1,19 +1,18 @@
 """Answer-sheet scan with a stable 1-based ``row`` ordinal.
 
 The reference reads one spreadsheet sheet; here any Spark-readable table
-(CSV, JSON, Parquet, ...) is the sheet. The ordinal comes from a given column,
+(CSV, JSON, Parquet, ...) is the sheet. A CSV file whose values hold line breaks is read by one
+task (``multiLine``); ``multi_line=False`` reads files without such values in splits. The ordinal comes from a given column,
 or from the position in the scan: per-partition counts (one small aggregate,
 one value per partition) give each partition its offset, and
 ``monotonically_increasing_id`` gives the position inside the partition. Both
 passes see the same deterministic file splits, so the ordinal is contiguous
-and reproducible without a global sort or a single-task window.
+and reproducible without a global sort; the offsets (one row per task) are joined.
 """
 
 from __future__ import annotations
 
-from itertools import accumulate
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _LOW_BITS = (1 << 33) - 1  # monotonically_increasing_id = partition_id << 33 | position
@@ -22,21 +21,21 @@ _LOW_BITS = (1 << 33) - 1  # monotonically_increasing_id = partition_id << 33 |
 def with_row_ordinal(df: DataFrame, name: str = "row") -> DataFrame:
     """Add a contiguous 1-based ordinal in scan order."""
     tagged = df.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
-    counts = sorted((r[0], r[1]) for r in tagged.groupBy("_pid").count().collect())
-    offsets = dict(zip([p for p, _ in counts], accumulate([0] + [c for _, c in counts][:-1])))
-    if not offsets:
-        return df.withColumn(name, F.lit(None).cast("long"))
-    offset = F.element_at(F.create_map(*[x for p, o in offsets.items() for x in (F.lit(p), F.lit(o))]), F.col("_pid"))
+    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    # one row per scan task: the running sum is small however many rows the sheet has
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     pos = F.col("_mid").bitwiseAND(F.lit(_LOW_BITS))
-    return tagged.withColumn(name, (offset + pos + 1).cast("long")).drop("_pid", "_mid")
+    joined = tagged.join(offsets, "_pid")
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_before") + pos + 1).cast("long").alias(name))
 
 
 def read_answers(spark: SparkSession, path: str, fmt: str = "csv", row_col: str | None = None,
-                 schema: str | None = None, **options) -> DataFrame:
+                 schema: str | None = None, multi_line: bool = True, **options) -> DataFrame:
     """Read an answer sheet; ``row_col`` names an existing ordinal, else one is assigned."""
     reader = spark.read.format(fmt)
     if fmt == "csv":
-        reader = reader.option("header", "true").option("multiLine", "true").option("escape", '"')
+        reader = reader.option("header", "true").option("multiLine", str(multi_line).lower()).option("escape", '"')
     if schema is not None:
         reader = reader.schema(schema)
     for k, v in options.items():

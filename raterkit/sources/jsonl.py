@@ -7,6 +7,7 @@ mistaken for an undecodable line.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +32,9 @@ RESPONSE_SCHEMA = T.StructType([
     T.StructField("response", T.StringType(), True),
     T.StructField("raw", T.StringType(), True),
     T.StructField("parsed", SCORES, True),
+    # optional columns that name the prompt; one without any value counts as absent
+    *[T.StructField(c, T.StringType(), True)
+      for c in ("prompt_category", "category", "topic", "prompt_question", "question", "prompt")],
 ])
 SAMPLE_SCHEMA = T.StructType([
     T.StructField("respondent_id", T.StringType(), True),
@@ -76,28 +80,58 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType,
     return parse_jsonl_lines(lines, schema)
 
 
+def _files(spark: SparkSession, path: str) -> DataFrame | None:
+    """URIs of the files under ``path`` as the readers report them; None if there is no such path."""
+    try:
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    except AnalysisException:
+        return None
+    return found.select(F.col("_metadata.file_path").alias("_source_file"))  # names only, no content
+
+
 def read_responses(spark: SparkSession, path: str, checkpoint: str | None = None) -> DataFrame:
     """S3: response records from ``path``.
 
     * a path ending in ``.jsonl``/``.json`` is read as one file;
     * a folder: every ``*.jsonl``/``*.json`` under it (recursively) except checkpoint files
-      (by name, or anywhere under ``checkpoint`` when that folder is given);
-    * when that yields nothing, the checkpoint (``checkpoint`` or ``<path>/checkpoint.jsonl``).
+      (by name, or every file under ``checkpoint`` when that folder is given);
+    * when that yields nothing, the checkpoint (``checkpoint`` or ``<path>/checkpoint.jsonl``);
+    * ``FileNotFoundError`` when there are no records there either.
 
     Rows without a model are dropped (a folder may also hold samples or cleaned records).
     """
+    has_model = F.col("model").isNotNull()
     if path.endswith((".jsonl", ".json")):
-        df = read_jsonl(spark, path, RESPONSE_SCHEMA)
+        df = read_jsonl(spark, path, RESPONSE_SCHEMA).where(has_model)
     else:
         df = read_jsonl(spark, path, RESPONSE_SCHEMA, recursive=True, glob="*.{jsonl,json}")
-        df = df.where(~F.col("_source_file").endswith("/" + CHECKPOINT_NAME))
-        if checkpoint:
-            ck = checkpoint.rstrip("/")
-            df = df.where(~F.col("_source_file").contains(ck.split("://")[-1] + "/"))
-        if df.where(F.col("model").isNotNull()).isEmpty():
-            ck_path = checkpoint or f"{path.rstrip('/')}/{CHECKPOINT_NAME}"
-            df = read_jsonl(spark, ck_path, RESPONSE_SCHEMA, recursive=not ck_path.endswith(".jsonl"))
-    return df.where(F.col("model").isNotNull())
+        df = df.where(has_model & ~F.col("_source_file").endswith("/" + CHECKPOINT_NAME))
+        own = _files(spark, checkpoint) if checkpoint else None
+        if own is not None:
+            df = df.join(own, "_source_file", "left_anti")
+    if not df.isEmpty():
+        return df
+    ck_path = checkpoint or f"{path.rstrip('/')}/{CHECKPOINT_NAME}"
+    try:
+        df = read_jsonl(spark, ck_path, RESPONSE_SCHEMA, recursive=not ck_path.endswith(".jsonl")).where(has_model)
+        empty = df.isEmpty()
+    except AnalysisException:
+        empty = True
+    if empty:
+        raise FileNotFoundError(f"no response records under {path} and none in a checkpoint")
+    return df
+
+
+def find_samples(spark: SparkSession, inputs: str) -> str | None:
+    """The folder ``samples`` beside or in the input folder (beside or in a file's folder), if any."""
+    base = inputs.rstrip("/")
+    if base.endswith((".jsonl", ".json")):
+        base = base.rsplit("/", 1)[0]
+    parent = base.rsplit("/", 1)[0]
+    for folder in (f"{parent}/samples", f"{base}/samples"):
+        if _files(spark, folder) is not None:
+            return folder
+    return None
 
 
 def read_samples(spark: SparkSession, samples_dir: str) -> DataFrame:

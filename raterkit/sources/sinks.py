@@ -6,6 +6,7 @@ Everything is written by Spark writers from executors; nothing is collected.
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -21,21 +22,32 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
+def write_json_document(df: DataFrame, path: str) -> None:
+    """A one-row table (counters, a report) as one indented JSON document."""
+    document = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"pretty": "true", "ignoreNullFields": "false"})
+    df.limit(1).select(document.alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
 def write_responses(records: DataFrame, out_dir: str, mode: str = "append",
                     extra_partitions: list[str] | None = None) -> None:
     """Response records under ``stem=<stem>/model_dir=<model>/question=<id>/``.
 
-    Partition columns are copies, so the files keep every record field (readers use
-    recursive lookup, which turns partition discovery off). ``mode='overwrite'`` with
-    dynamic partition overwrite replaces only the partitions being written (S8).
+    The last level is the question id, else the question's text, else the stem (an empty value
+    counts as missing). Partition columns are copies, so the files keep every record field
+    (readers use recursive lookup, which turns partition discovery off). ``mode='overwrite'``
+    (S8, one sample file at a time) takes a trailing ``_samples`` off the stem, and with dynamic
+    partition overwrite replaces only the partitions being written.
     """
     cols = set(records.columns)
     stem = F.col("stem") if "stem" in cols else F.concat(F.lit("question_"), F.coalesce(F.col("question_id"), F.lit("")))
+    if mode == "overwrite":
+        stem = F.regexp_replace(stem, "_samples$", "")
+    names = [F.nullif(F.col(c).cast("string"), F.lit("")) for c in ("question_id", "question_text", "question") if c in cols]
     out = records.select(
-        *[c for c in records.columns if c not in ("stem", "model_safe")],
+        *[c for c in records.columns if c not in ("stem", "model_safe", "question", "question_text")],
         stem.alias("stem"),
         path_safe(F.col("model")).alias("model_dir"),
-        F.coalesce(F.col("question_id"), stem).alias("question"),
+        F.coalesce(*names, stem).alias("question"),
     )
     parts = PARTITION_COLUMNS + list(extra_partitions or [])
     # dynamic overwrite as a write option: only the partitions written are replaced, and the
@@ -53,7 +65,7 @@ def write_samples(samples: DataFrame, samples_dir: str, mode: str = "overwrite")
 
 def write_checkpoint(records: DataFrame, checkpoint_dir: str) -> None:
     """Append completed responses to the checkpoint folder (kept apart from the outputs)."""
-    records.select(*[c for c in records.columns if c not in ("stem", "model_safe")]).write.mode("append").option(
+    records.select(*[c for c in records.columns if c not in ("stem", "model_safe", "question_text")]).write.mode("append").option(
         "ignoreNullFields", "false"
     ).json(checkpoint_dir)
 
@@ -63,30 +75,56 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", "true").csv(path)
 
 
-def _read_parquet(spark: SparkSession, path: str) -> DataFrame | None:
+_MANIFEST = "manifest string, version string, note string, written timestamp"
+
+
+def input_state(spark: SparkSession, *paths: str | None) -> list:
+    """Number, total size, latest change and a hash over name, size and time of the files under
+    the paths: one aggregate in Spark, one row back. A rewritten or added file changes it."""
+    files = None
+    for path in paths:
+        if path is None:
+            continue
+        try:
+            found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+        except AnalysisException:
+            continue
+        found = found.select("path", "length", "modificationTime")
+        files = found if files is None else files.unionByName(found)
+    if files is None:
+        return []
+    row = files.agg(
+        F.count(F.lit(1)), F.sum("length"), F.max(F.unix_micros("modificationTime")),
+        F.bit_xor(F.xxhash64("path", "length", "modificationTime")),
+    ).first()
+    return list(row)
+
+
+def stored_result(spark: SparkSession, path: str, manifest: dict) -> tuple[DataFrame, str | None] | None:
+    """The latest table stored at ``path`` for the manifest, and the note stored with it."""
     try:
-        return spark.read.parquet(path)
-    except AnalysisException:
+        known = spark.read.schema(_MANIFEST).json(f"{path}/manifest")
+        row = known.where(F.col("manifest") == json.dumps(manifest, sort_keys=True)).orderBy(F.desc("written")).first()
+        return None if row is None else (spark.read.parquet(f"{path}/{row.version}"), row.note)
+    except AnalysisException:  # nothing stored yet
         return None
 
 
+def store_result(spark: SparkSession, path: str, table: DataFrame, manifest: dict, note: str | None = None) -> DataFrame:
+    """Write a table to a fresh folder and only then add its line to the manifest, so that a job
+    that dies in between leaves the earlier result valid and the new folder unused."""
+    version = f"data-{uuid.uuid4().hex}"
+    table.write.parquet(f"{path}/{version}")
+    line = spark.createDataFrame([(json.dumps(manifest, sort_keys=True), version, note)], "manifest string, version string, note string")
+    line.withColumn("written", F.current_timestamp()).write.mode("append").json(f"{path}/manifest")
+    return spark.read.parquet(f"{path}/{version}")
+
+
 def reuse_or_compute(spark: SparkSession, path: str, compute, manifest: dict, force: bool = False) -> DataFrame:
     """A stored result table is reused when present, not forced, and written for the same
-    inputs and parameters (``manifest``); otherwise ``compute()`` is written and read back.
-
-    The manifest (inputs, thresholds) is stored next to the data as one JSON row.
-    """
-    wanted = json.dumps(manifest, sort_keys=True)
-    if not force:
-        stored = _read_parquet(spark, f"{path}/data")
-        man = _read_parquet(spark, f"{path}/manifest")
-        if stored is not None and man is not None:
-            row = man.first()
-            if row is not None and row["manifest"] == wanted:
-                return stored
-    compute().write.mode("overwrite").parquet(f"{path}/data")
-    spark.createDataFrame([(wanted,)], "manifest string").write.mode("overwrite").parquet(f"{path}/manifest")
-    return spark.read.parquet(f"{path}/data")
+    inputs and parameters (``manifest``); otherwise ``compute()`` is stored and read back."""
+    found = None if force else stored_result(spark, path, manifest)
+    return found[0] if found is not None else store_result(spark, path, compute(), manifest)
 
 
 def report_frame(summary: DataFrame, ttest: DataFrame, topics: DataFrame, dist: DataFrame,

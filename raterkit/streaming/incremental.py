@@ -20,29 +20,33 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from raterkit.operators.scoring import Scorer, pending_requests, response_records, score, score_plan
+from raterkit.operators.scoring import Scorer, pending_plan, response_records, score
 from raterkit.sources.jsonl import RESPONSE_SCHEMA, SAMPLE_GLOB, SAMPLE_SCHEMA, parse_jsonl_lines
 from raterkit.sources.sinks import write_responses
 
-_WITH_STEM = T.StructType(RESPONSE_SCHEMA.fields + [T.StructField("stem", T.StringType(), True)])
+_WITH_STEM = T.StructType(RESPONSE_SCHEMA.fields + [T.StructField(c, T.StringType(), True) for c in ("stem", "question_text")])
 
 
-def _completed(spark: SparkSession, checkpoint_dir: str, epoch_id: int, question_ids: list) -> DataFrame | None:
+def _folder(question_id: F.Column) -> F.Column:
+    """Folder value of a question id: NULL and the empty string share the default partition."""
+    return F.nullif(question_id.cast("string"), F.lit(""))
+
+
+def _completed(spark: SparkSession, checkpoint_dir: str, epoch_id: int, batch: DataFrame) -> DataFrame | None:
     """Responses written by earlier epochs for the questions of this micro-batch.
 
-    The checkpoint is partitioned by question and epoch, so partition pruning reads only
-    this batch's questions (a retried epoch must not skip its own requests).
+    The checkpoint is partitioned by question and epoch. Its schema is given, so ids keep their
+    text ('007' stays '007'), and a semi-join with the batch's questions picks the partitions (a
+    retried epoch must not skip its own requests).
     """
     try:
-        lines = spark.read.text(checkpoint_dir)  # partition discovery: question_dir, batch
+        lines = spark.read.schema("value string, question_dir string, batch long").text(checkpoint_dir)
+        lines.isEmpty()
     except AnalysisException:  # nothing written yet
         return None
-    q = F.col("question_dir").cast("string")
-    named = [x for x in question_ids if x is not None]
-    keep = q.isin(named) if named else F.lit(False)
-    if any(x is None for x in question_ids):
-        keep = keep | q.isNull()
-    lines = lines.where(keep & (F.col("batch").cast("long") != epoch_id))
+    wanted = batch.select(_folder(F.col("question_id")).alias("_q")).distinct()
+    lines = lines.where(F.col("batch") != epoch_id)
+    lines = lines.join(wanted, lines["question_dir"].eqNullSafe(wanted["_q"]), "left_semi")
     return parse_jsonl_lines(lines.select("value"), RESPONSE_SCHEMA)
 
 
@@ -66,25 +70,22 @@ def start_scoring_stream(
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     samples = reader.json(samples_dir).withColumn("row", F.col("row").try_cast("long"))
-    plan = score_plan(samples, models, runs)
 
     def batch(df: DataFrame, epoch_id: int) -> None:
         bspark = df.sparkSession
-        # the questions of this micro-batch (one per sample file it consumed)
-        qids = [r[0] for r in df.select("question_id").distinct().collect()]
-        todo = pending_requests(df, _completed(bspark, responses_checkpoint, epoch_id, qids))
+        todo = pending_plan(df, models, runs, _completed(bspark, responses_checkpoint, epoch_id, df))
         records = response_records(score(todo, scorer, dry_run=dry_run, scorer_factory=scorer_factory))
         # Scorer output is written once, to this epoch's checkpoint partitions (dynamic
         # overwrite: a retried epoch replaces exactly them); the partitioned outputs are
         # copied from those files, so the scorer is never re-run for the second sink.
-        (records.withColumn("question_dir", F.col("question_id")).withColumn("batch", F.lit(epoch_id))
+        (records.withColumn("question_dir", _folder(F.col("question_id"))).withColumn("batch", F.lit(epoch_id))
          .write.mode("overwrite").option("ignoreNullFields", "false").option("partitionOverwriteMode", "dynamic")
          .partitionBy("question_dir", "batch").json(responses_checkpoint))
-        written = bspark.read.text(responses_checkpoint).where(F.col("batch").cast("long") == epoch_id)
+        written = bspark.read.schema("value string, question_dir string, batch long").text(responses_checkpoint).where(F.col("batch") == epoch_id)
         written = parse_jsonl_lines(written.select("value"), _WITH_STEM)
         write_responses(written.withColumn("batch", F.lit(epoch_id)), out_dir, mode="overwrite",
                         extra_partitions=["batch"])
 
-    writer = plan.writeStream.foreachBatch(batch).option("checkpointLocation", stream_checkpoint)
+    writer = samples.writeStream.foreachBatch(batch).option("checkpointLocation", stream_checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     return writer.start()

@@ -185,15 +185,23 @@ def test_pvalue_large_df_tends_to_normal(spark):
         assert p == pytest.approx(math.erfc(t / math.sqrt(2)), rel=1e-6)
 
 
-def test_boxplot_exact_and_approx(spark):
+def test_boxplot_exact(spark):
     from raterkit.operators.report import boxplot_summary
 
     vals = [float(v) for v in range(1, 101)]
     df = spark.createDataFrame([("m", v) for v in vals], "model string, mean_total double")
     ex = boxplot_summary(df).first()
     assert (ex.q_min, ex.q1, ex.median, ex.q3, ex.q_max) == (1.0, 25.75, 50.5, 75.25, 100.0)  # (n-1)p rule
-    ap = boxplot_summary(df, exact=False).first()
-    assert abs(ap.median - 50.5) <= 1.0 and ap.q_min == 1.0 and ap.q_max == 100.0
+
+
+def test_boxplot_ties_single_values_and_unscored(spark):
+    from raterkit.operators.report import boxplot_summary
+
+    rows = [("a", 5.0)] * 7 + [("a", 1.0), ("a", None), ("b", 3.0), ("c", None)]
+    out = {r.model: r for r in boxplot_summary(spark.createDataFrame(rows, "model string, mean_total double")).collect()}
+    assert (out["a"].n_scored, out["a"].q_min, out["a"].q1, out["a"].q_max) == (8, 1.0, 5.0, 5.0)
+    assert (out["b"].q_min, out["b"].median, out["b"].q_max) == (3.0, 3.0, 3.0)
+    assert (out["c"].n_scored, out["c"].median) == (0, None)
 
 
 def test_topic_matrix_explicit_categories(spark):

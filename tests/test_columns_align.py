@@ -7,14 +7,14 @@ import tempfile
 from pyspark.sql import functions as F
 
 from raterkit.operators.align import align_inputs, category_source
-from raterkit.operators.columns import DEFAULTS, find_column, resolve_columns
+from raterkit.operators.columns import CANDIDATES, find_column, resolve_columns
 from raterkit.sources import jsonl as J
 from raterkit.sources.sinks import write_jsonl
 from conftest import SF_SMALL
 
 
 def test_find_column_rules():
-    cands = DEFAULTS["response_col_candidates"]
+    cands = CANDIDATES["response"]
     assert find_column(["id", "TextResponse"], cands) == "TextResponse"           # exact, case-insensitive
     assert find_column(["my_answer_text", "x"], cands) == "my_answer_text"        # substring
     assert find_column(["Response", "response"], cands) == "response"             # last of equal names wins
@@ -43,7 +43,7 @@ def test_category_source_and_prompt_text(spark):
     assert (q.prompt_category_source, q.prompt_category, q.prompt_question) == ("question_id", "q1", None)
     # a map whose categories are all NULL does not win
     m = spark.createDataFrame([("q1", None, "mapped Q")], "question_id string, prompt_category string, prompt_question string")
-    s = category_source(df.join(m, "question_id", "left")).first()[0]
+    s = category_source(df, m).first()[0]
     assert s == "category"
     m2 = spark.createDataFrame([("q1", "mapped", "mapped Q")], "question_id string, prompt_category string, prompt_question string")
     w = align_inputs(df, m2).first()
@@ -105,13 +105,37 @@ def test_read_answers_json_with_ordinal_column(spark):
     assert sorted((r.row, r.textResponse) for r in df.collect()) == [(3, "y"), (7, "x")]
 
 
-def test_spread_only_thin_scans(spark):
-    from raterkit.plans.tables import spread
+def test_scan_partitions_only_when_asked(spark):
+    from raterkit.plans.tables import SCAN_PARTITIONS, table
 
-    one = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
-    assert one.rdd.getNumPartitions() == 1
-    assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    many = spark.range(1000).repartition(40)
-    assert spread(many, min_partitions=64).rdd.getNumPartitions() == 40  # > 32 splits: left alone
-    enough = spark.range(1000).repartition(spark.sparkContext.defaultParallelism)
-    assert spread(enough) is enough
+    assert "Exchange" not in table(spark, SF_SMALL, "documents")._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set(SCAN_PARTITIONS, "5")
+    try:
+        assert "RoundRobinPartitioning(5)" in table(spark, SF_SMALL, "documents")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset(SCAN_PARTITIONS)
+
+
+def test_map_without_a_match_does_not_win(spark):
+    raw = '{"grammar": 1, "lexical": 2, "coherence": 3, "task": 4}'
+    df = spark.createDataFrame([("m", "1", "5", "q1", "r", raw, "own")], _base(spark, ", category string"))
+    other = spark.createDataFrame([("q9", "mapped", "Q")], "question_id string, prompt_category string, prompt_question string")
+    r = align_inputs(df, other).first()
+    assert (r.prompt_category_source, r.prompt_category) == ("category", "own")
+    # a declared column without any value counts as absent
+    empty = df.withColumns({c: F.lit(None).cast("string") for c in ("prompt_category", "topic", "prompt_question")})
+    m = spark.createDataFrame([("q1", "mapped", "Q")], "question_id string, prompt_category string, prompt_question string")
+    r = align_inputs(empty, m).first()
+    assert (r.prompt_category_source, r.prompt_category, r.prompt_question) == ("samples.category", "mapped", "Q")
+
+
+def test_essay_key_is_unique_when_attributes_differ(spark):
+    from raterkit.operators import metrics
+
+    rows = [("m", "r|q|1", 1, 2.0, "r", "P1"), ("m", "r|q|1", 2, 10.0, "r", None), ("m", "|q|1", 1, 5.0, None, None), ("m", "|q|1", 2, 5.0, "", "P2")]
+    df = spark.createDataFrame(rows, "model string, essay_id string, run int, total_score double, respondent_id string, prompt_category string")
+    out = {r.essay_id: r for r in metrics.essay_metrics(df).collect()}
+    assert len(out) == 2 and metrics.essay_metrics(df).count() == 2
+    assert (out["r|q|1"].range_total, out["r|q|1"].prompt_category, out["r|q|1"].n_runs) == (8.0, "P1", 2)
+    assert (out["|q|1"].respondent_id, out["|q|1"].prompt_category) == ("", "P2")
+    assert metrics.apply_hitl(metrics.essay_metrics(df)).where("essay_id = 'r|q|1'").first().hitl_status == metrics.FLAGGED
