@@ -149,7 +149,7 @@ def score(docs: DataFrame, model: QualityModel, keep: list[Column]) -> DataFrame
     """The ``keep`` columns, ``score`` (probability of label 1) and ``predicted`` of ``docs(text)``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     source = docs.select(*keep, F.col("text").alias("_quality_text"))
-    schema = source.drop("_quality_text").schema.add("score", "double").add("predicted", "int")
+    schema = source.drop("_quality_text").schema.add("score", "double").add("predicted", "integer")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
