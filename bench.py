@@ -39,9 +39,12 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     from raterkit.plans.queries import QUERIES
+    from raterkit.plans.tables import SCAN_PARTITIONS
     from raterkit.session import local_session
 
     spark = local_session(cpus, shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", "16")), app="raterkit-bench")
+    # the test files are one row group each: deal their rows out over the cores after the scan
+    spark.conf.set(SCAN_PARTITIONS, cpus)
     names = sys.argv[1:] or HEADLINE
     # warm-up: JVM and code generation caches
     QUERIES["total_score"](spark, sf_dir).write.format("noop").mode("overwrite").save()

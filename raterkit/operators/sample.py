@@ -1,10 +1,10 @@
 """Essay-question detection and deterministic per-question sampling.
 
-All questions are sampled in one plan: rows are ranked inside each question by
-sha256(seed|row) and cut at ``n``. Spark plans the rank limit as a
-``WindowGroupLimit``: each map task keeps at most ``n`` rows per question
-before the shuffle, so a question holding a third of all rows ships only ``n``
-rows per task.
+All questions are sampled in one plan: (question, row) pairs are ranked inside
+each question by sha256(seed|row) and cut at ``n``, first within shards of the
+question, then among the shards' winners, so a question holding a third of all
+rows is ranked by many tasks. Spark plans each cut as a ``WindowGroupLimit`` (at
+most ``n`` rows per group leave a map task). The winners' texts are joined back.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ ESSAY_TYPE_PATTERN = "essay|writing"
 TOP_QUESTIONS = 3
 PER_QUESTION = 50
 SEED = 42
+SHARDS = 64  # parts that the answers of one question are ranked in
 
 # sample record columns (plus ``sample_rank``, the position in the question's sample)
 SAMPLE_COLUMNS = [
@@ -30,13 +31,17 @@ SAMPLE_COLUMNS = [
 ]
 
 
+def _of_type(answers: DataFrame, qid_col: str, type_col: str, pattern: str) -> DataFrame:
+    hit = F.coalesce(F.lower(F.col(type_col).cast("string")).rlike(pattern), F.lit(False))
+    return answers.where(hit & F.col(qid_col).isNotNull())
+
+
 def detect_questions_by_type(answers: DataFrame, qid_col: str = "questionId", type_col: str = "questionType",
                              pattern: str = ESSAY_TYPE_PATTERN) -> DataFrame:
     """Distinct question ids whose lower-cased type matches ``pattern``, with the row
     of their first appearance (the order questions are listed in)."""
-    hit = F.coalesce(F.lower(F.col(type_col).cast("string")).rlike(pattern), F.lit(False))
     return (
-        answers.where(hit & F.col(qid_col).isNotNull())
+        _of_type(answers, qid_col, type_col, pattern)
         .groupBy(F.col(qid_col).cast("string").alias("question_id"))
         .agg(F.min("row").alias("first_row"))
         .orderBy("first_row")  # question grain: a small range-partitioned sort
@@ -66,9 +71,8 @@ def detect_essay_questions(answers: DataFrame, qid_col: str = "questionId", type
     """P6 then P7: the type rule when it finds anything, else the most answered questions.
     Returns ``question_id``; the branch choice is one ``isEmpty`` probe (a limit-1 job)."""
     if type_col in answers.columns and qid_col in answers.columns:
-        by_type = detect_questions_by_type(answers, qid_col, type_col, pattern)
-        if not by_type.isEmpty():
-            return by_type.select("question_id")
+        if not _of_type(answers, qid_col, type_col, pattern).isEmpty():  # the filter alone, one row
+            return detect_questions_by_type(answers, qid_col, type_col, pattern).select("question_id")
     if qid_col in answers.columns and resp_col in answers.columns:
         return top_questions(answers, qid_col, resp_col, n).select("question_id")
     return answers.sparkSession.createDataFrame([], "question_id string")
@@ -103,10 +107,20 @@ def sample_per_question(
     and stable under re-runs and repartitioning.
     """
     cols = set(answers.columns)
-    valid = _valid_answers(answers, questions, qid_col, resp_col, min_length)
-    order = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("row").cast("string")), 256)
-    w = Window.partitionBy("question_id").orderBy(order, F.col("row"))
-    ranked = valid.withColumn("sample_rank", F.row_number().over(w).cast("long")).where(F.col("sample_rank") <= n)
+    narrow = _valid_answers(answers, questions, qid_col, resp_col, min_length).select(
+        "question_id", "row",
+        F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("row").cast("string")), 256).alias("_order"),
+        F.pmod(F.xxhash64("row"), F.lit(SHARDS)).alias("_shard"),
+    )
+    # ranks of narrow rows, first within shards of a question, then among the shards' winners
+    shard = Window.partitionBy("question_id", "_shard").orderBy("_order", "row")
+    question = Window.partitionBy("question_id").orderBy("_order", "row")
+    winners = narrow.withColumn("_r", F.row_number().over(shard)).where(F.col("_r") <= n)
+    winners = winners.withColumn("sample_rank", F.row_number().over(question).cast("long")).where(F.col("sample_rank") <= n)
+    winners = winners.select(F.col("question_id").alias("_question"), F.col("row").alias("_row"), "sample_rank")
+    own = answers.withColumn("question_id", F.col(qid_col).cast("string"))
+    ranked = own.join(winners, (own["question_id"] == winners["_question"]) & (own["row"] == winners["_row"]))
+    ranked = ranked.withColumn("_norm", T.normalize_text(F.col(resp_col)))
     respondent = "nim" if "nim" in cols else "nama" if "nama" in cols else None
     resp_raw = F.nullif(F.col(respondent).cast("string"), F.lit("")) if respondent else F.lit(None).cast("string")
     qtext = T.normalize_text(F.col(qtext_col)) if qtext_col in cols else F.lit(None).cast("string")

@@ -781,3 +781,61 @@ SELECT model_1, model_2,
        {r('CASE WHEN min(diff) = max(diff) THEN 0.0 ELSE avg(diff) / (stddev_samp(diff) / sqrt(CAST(count(*) AS DOUBLE))) END', 'tstat')},
        count(*) AS n_pairs, (min(diff) = max(diff)) AS degenerate
 FROM d GROUP BY model_1, model_2""")
+
+# --------------------------------------------------------------------------- category columns of response files
+
+
+def _file_oracle(category: str, question: str | None, source: str) -> str:
+    text = f", {question} AS prompt_question" if question else ""
+    return with_analysis(f"""
+SELECT model, CAST(run AS INTEGER) AS run, essay_id, {category} AS prompt_category{text},
+       '{source}' AS prompt_category_source, {r('total_score')}
+FROM aligned""")
+
+
+ORACLE["file_category"] = _file_oracle("'cat' || (sample_row % 5)", "'Question ' || question_id", "category")
+ORACLE["file_topic"] = _file_oracle("'topic' || (sample_row % 4)", None, "topic")
+ORACLE["file_question_id"] = _file_oracle("question_id", "CAST(NULL AS VARCHAR)", "question_id")
+ORACLE["essay_grain"] = with_analysis(f"""
+, g AS (
+  SELECT model, essay_id, run, total_score, CASE WHEN run % 2 = 0 THEN 'P' || (run % 3) END AS pc,
+         CASE WHEN run > 2 THEN respondent_id END AS resp
+  FROM aligned
+)
+SELECT model, essay_id, arg_min(resp, run) FILTER (WHERE resp IS NOT NULL) AS respondent_id,
+       arg_min(pc, run) FILTER (WHERE pc IS NOT NULL) AS prompt_category, {r('avg(total_score)', 'mean_total')},
+       {r('COALESCE(max(total_score) - min(total_score), 0.0)', 'range_total')}, count(total_score) AS n_runs
+FROM g GROUP BY model, essay_id""")
+
+# --------------------------------------------------------------------------- sinks and reuse
+ORACLE["jsonl_sink"] = f"WITH {CSAMPLES} SELECT row, question_id, respondent_id, question, response FROM csamples"
+ORACLE["json_document"] = ORACLE["clean_counters"]
+ORACLE["overwrite_layout"] = f"""WITH {CSAMPLES}
+SELECT 'question_' || question_id AS stem, model_safe AS model_dir,
+       CASE question_id WHEN '0' THEN '0' WHEN '1' THEN 'What is it?' ELSE 'question_' || question_id END AS question,
+       count(*) AS responses
+FROM dry GROUP BY ALL"""
+ORACLE["csv_sink"] = ORACLE["topic_bias"]
+ORACLE["result_reuse"] = ORACLE["hitl_distribution"]
+ORACLE["report_json"] = with_analysis(f"""
+SELECT (SELECT CASE WHEN max(CASE WHEN prompt_category <> 'unknown' THEN 1 ELSE 0 END) = 1
+                    THEN 'samples.category' ELSE 'question_id' END FROM aligned) AS prompt_category_source,
+       (SELECT n_pairs FROM ttest2) AS n_pairs, model, n_essays, {r('mean_total')}, {r('icc_total')}
+FROM summary""")
+ORACLE["batch_scorer"] = f"""WITH {CSAMPLES},
+lengths AS (SELECT *, length(prompt) AS p, length(model) AS m FROM plan)
+SELECT model, run, sample_row, respondent_id, CAST(p % 8 AS DOUBLE) AS grammar, CAST(p % 7 AS DOUBLE) AS lexical,
+       CAST(m % 6 AS DOUBLE) AS coherence, CAST((p + m) % 10 AS DOUBLE) AS task,
+       CAST(p % 8 + p % 7 + m % 6 + (p + m) % 10 AS DOUBLE) AS total_score
+FROM lengths"""
+ORACLE["raw_json_scores"] = with_analysis(f"""
+, own AS (
+  SELECT l_orderkey, l_linenumber, model,
+         {', '.join(f"CASE WHEN whole_json THEN TRY_CAST(json_extract_string(raw, '$.{k}') AS DOUBLE) END AS {k}"
+                    for k in ("grammar", "lexical", "coherence", "task"))}
+  FROM parsed2
+)
+SELECT *, grammar + lexical + coherence + task AS total_score FROM own""")
+ORACLE["select_samples_by_name"] = f"""WITH {ANSWERS}, {DOC_QUESTIONS}
+SELECT 'question_' || question_id || '_samples.jsonl' AS sample_file, question_id, row, sample_rank
+FROM samples WHERE question_id IN ('src0', 'src1', 'src10') AND sample_rank <= 3"""

@@ -547,3 +547,163 @@ def q_severity_ttest_pair_1_3(spark, sf_dir):
     a = testdata_analysis(spark, sf_dir)
     t = bias.severity_ttest(a.scores, names=a.pair_names(1, 3))
     return rounded(t.select("model_1", "model_2", "tstat", "n_pairs", "degenerate"))
+
+
+# --------------------------------------------------------------------------- category columns of response files
+
+def _file_responses(spark, sf_dir, columns):
+    """Responses with prompt columns of their own, written as files under a folder with a space
+    beside a checkpoint, read back and aligned."""
+    base = scratch_path(spark, "eval with space")
+    own = {
+        "category": F.concat(F.lit("cat"), (F.col("sample_row") % 5).cast("string")),
+        "topic": F.concat(F.lit("topic"), (F.col("sample_row") % 4).cast("string")),
+        "question": F.concat(F.lit("Question "), F.col("question_id")),
+        "prompt": F.concat(F.lit("Prompt "), F.col("question_id")),
+    }
+    recs = rsp.responses(spark, sf_dir).withColumn("response", F.lit(None).cast("string"))
+    recs = recs.select(*SC.RESPONSE_COLUMNS, *[own[c].alias(c) for c in columns])
+    recs.write.option("ignoreNullFields", "false").json(f"{base}/run 1")
+    SK.write_checkpoint(recs.select(*SC.RESPONSE_COLUMNS), f"{base}/check point")
+    return JS.read_responses(spark, base, checkpoint=f"{base}/check point")
+
+
+def _file_aligned(spark, sf_dir, columns, prompt_map=None):
+    a = align_inputs(_file_responses(spark, sf_dir, columns), prompt_map)
+    return rounded(a.select("model", "run", "essay_id", "prompt_category", "prompt_question", "prompt_category_source", "total_score"))
+
+
+@query("file_category")
+def q_file_category(spark, sf_dir):
+    """P10/P11 from files: the responses' category and question."""
+    return _file_aligned(spark, sf_dir, ["category", "topic", "question", "prompt"])
+
+
+@query("file_topic")
+def q_file_topic(spark, sf_dir):
+    """P10/P11 from files: without a category the topic, without a question the prompt; a map that
+    matches no response does not count."""
+    other = rsp.part_samples(spark, sf_dir).withColumn("question_id", F.concat(F.lit("other"), F.col("question_id")))
+    from raterkit.operators.align import sample_map
+    return _file_aligned(spark, sf_dir, ["topic", "prompt"], sample_map(other)).drop("prompt_question")
+
+
+@query("file_question_id")
+def q_file_question_id(spark, sf_dir):
+    """P10/P11 from files: no column names the prompt, so the question id does."""
+    return _file_aligned(spark, sf_dir, [])
+
+
+@query("essay_grain")
+def q_essay_grain(spark, sf_dir):
+    """A1 where prompt and respondent differ or are missing within an essay: one row per key,
+    each attribute its first value by run."""
+    a = testdata_analysis(spark, sf_dir).aligned.withColumns({
+        "prompt_category": F.when(F.col("run") % 2 == 0, F.concat(F.lit("P"), (F.col("run") % 3).cast("string"))),
+        "respondent_id": F.when(F.col("run") > 2, F.col("respondent_id")),
+    })
+    e = metrics.essay_metrics(a)
+    return rounded(e.select("model", "essay_id", "respondent_id", "prompt_category", "mean_total", "range_total", "n_runs"))
+
+
+# --------------------------------------------------------------------------- sinks and reuse
+
+@query("jsonl_sink")
+def q_jsonl_sink(spark, sf_dir):
+    """Scoring samples as JSON lines, read back."""
+    path = scratch_path(spark, "jsonl")
+    SK.write_jsonl(rsp.conversation_samples(spark, sf_dir), path)
+    back = JS.read_jsonl(spark, path, JS.SAMPLE_SCHEMA)
+    return back.select(F.col("row").try_cast("long").alias("row"), "question_id", "respondent_id", "question", "response")
+
+
+@query("json_document")
+def q_json_document(spark, sf_dir):
+    """The cleaning counters as one indented JSON document, read back."""
+    path = scratch_path(spark, "document")
+    counters = CL.clean_counters(rsp.document_answers(spark, sf_dir), dedupe=True, **_clean_kwargs())
+    SK.write_json_document(counters, path)
+    return spark.read.schema(counters.schema).option("multiLine", "true").json(path)
+
+
+@query("overwrite_layout")
+def q_overwrite_layout(spark, sf_dir):
+    """A sample file's responses overwrite their own folders; ``_samples`` leaves the stem, and
+    the folder of a response without a question id is named by the question's text, else the stem."""
+    path = scratch_path(spark, "eval-overwrite")
+    named = _dry_run_records(spark, sf_dir).withColumns({
+        "stem": F.concat(F.lit("question_"), F.col("question_id"), F.lit("_samples")),
+        "question_text": F.when(F.col("question_id") == "1", F.lit("What is it?")),
+        "question_id": F.when(F.col("question_id") == "0", F.col("question_id")).otherwise(F.lit("")),
+    })
+    SK.write_responses(named, path, mode="overwrite")
+    SK.write_responses(named.where(F.col("model") == PLAN_MODELS[0]), path, mode="overwrite")
+    back = spark.read.schema("run int, stem string, model_dir string, question string").json(path)
+    return back.groupBy("stem", "model_dir", "question").agg(F.count(F.lit(1)).alias("responses"))
+
+
+@query("csv_sink")
+def q_csv_sink(spark, sf_dir):
+    """Topic means as CSV with a header line, read back."""
+    path = scratch_path(spark, "csv")
+    topics = rounded(testdata_analysis(spark, sf_dir).topics)
+    SK.write_csv(topics, path)
+    return spark.read.schema(topics.schema).option("header", "true").csv(path)
+
+
+@query("result_reuse")
+def q_result_reuse(spark, sf_dir):
+    """The routing distribution, stored and reused for the same inputs and thresholds."""
+    path = scratch_path(spark, "reuse")
+    manifest = {"files": SK.input_state(spark, f"{sf_dir.rstrip('/')}/lineitem.parquet"), "cv_threshold": metrics.CV_THRESHOLD}
+    SK.reuse_or_compute(spark, path, lambda: testdata_analysis(spark, sf_dir).distribution, manifest)
+
+    def again():
+        raise AssertionError("a stored result was not reused")
+
+    return rounded(SK.reuse_or_compute(spark, path, again, manifest))
+
+
+@query("report_json")
+def q_report_json(spark, sf_dir):
+    """The report written as a JSON document and read back, its summary part as rows."""
+    path = scratch_path(spark, "report")
+    a = testdata_analysis(spark, sf_dir).materialize()
+    report = SK.report_frame(a.summary, a.ttest, a.topics, a.distribution, a.category_source)
+    SK.write_report_json(report, path)
+    back = spark.read.schema(report.schema).json(path)
+    rows = back.select("prompt_category_source", "severity_bias_ttest.n_pairs", F.explode("metrics_summary").alias("m"))
+    return rounded(rows.select("prompt_category_source", "n_pairs", "m.model", "m.n_essays", "m.mean_total", "m.icc_total"))
+
+
+# --------------------------------------------------------------------------- scoring with a scorer (B2), raw JSON (R3), names
+
+def _length_scorer(prompts, models):
+    """A deterministic batch scorer: scores from the lengths of prompt and model name."""
+    return [
+        f'{{"grammar": {len(p) % 8}, "lexical": {len(p) % 7}, "coherence": {len(m) % 6}, "task": {(len(p) + len(m)) % 10}}}'
+        for p, m in zip(prompts, models)
+    ]
+
+
+@query("batch_scorer")
+def q_batch_scorer(spark, sf_dir):
+    """B2: every request scored by a batch scorer in Arrow batches, then parsed."""
+    scored = SC.response_records(SC.score(_plan(spark, sf_dir), batch_scorer=_length_scorer))
+    return rounded(P.with_scores(scored).select("model", "run", "sample_row", "respondent_id", *P.SCORE_FIELDS, "total_score"))
+
+
+@query("raw_json_scores")
+def q_raw_json_scores(spark, sf_dir):
+    """Records that store no parsed scores; raw texts that are one JSON object supply them."""
+    raw = rsp.raw_responses(spark, sf_dir).withColumn("parsed", F.lit(None).cast(P.SCORES_TYPE))
+    return rounded(P.with_scores(raw).select("l_orderkey", "l_linenumber", "model", *P.SCORE_FIELDS, "total_score"))
+
+
+@query("select_samples_by_name")
+def q_select_samples_by_name(spark, sf_dir):
+    """Sample files chosen by name."""
+    a = rsp.document_answers(spark, sf_dir)
+    s = SA.sample_per_question(a, _doc_questions(a), n=SAMPLE_N)
+    names = ["question_src0_samples.jsonl", "question_src1_samples.jsonl", "question_src10_samples.jsonl"]
+    return SA.select_samples(s, names=names, per_question=3).select("sample_file", "question_id", "row", "sample_rank")

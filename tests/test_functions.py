@@ -139,3 +139,21 @@ PIECES = st.sampled_from(['{"grammar": 7, "lexical": 6, "coherence": 5, "task":
 def test_parse_matches_python(spark, texts):
     got = one_col(spark, texts, P.parse_scores)
     assert [None if r is None else tuple(r) for r in got] == [py_parse(t) for t in texts]
+
+
+def test_strict_parse_with_unicode_space_and_digits(spark):
+    from raterkit.functions import parse as P
+
+    texts = ['{ "grammar":\u00a012, "lexical": 3,\u2003"coherence": 4, "task": 10}', '{"grammar": \u0663, "lexical": 1, "coherence": 2, "task": 3}']
+    rows = [(t,) for t in texts]
+    df = P.with_parsed(spark.createDataFrame(rows, "raw string"))
+    got = {r.raw: tuple(r.parsed) for r in df.collect()}
+    assert got == {texts[0]: (12, 3, 4, 10), texts[1]: (3, 1, 2, 3)}
+
+
+def test_unsettled_fraction_is_null(spark):
+    from raterkit.functions.stats import student_t_two_sided_p
+
+    df = spark.range(1).select(student_t_two_sided_p(2.0, 50.0, iterations=2).alias("few"), student_t_two_sided_p(2.0, 50.0).alias("many"))
+    r = df.first()
+    assert r.few is None and 0.05 < r.many < 0.06

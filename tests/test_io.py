@@ -4,6 +4,7 @@ import json
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
@@ -212,3 +213,89 @@ def test_dynamic_overwrite_keeps_other_partitions(spark):
     back = J.read_responses(spark, os.path.join(d, "eval"))
     assert back.count() == a.count() + b.count()
     assert spark.conf.get("spark.sql.sources.partitionOverwriteMode").lower() == "static"
+
+
+def test_paths_with_spaces_and_empty_inputs(spark):
+    base = os.path.join(_tmp(), "eval run")
+    recs = SC.response_records(SC.score(SC.score_plan(rsp.conversation_samples(spark, SF_SMALL), ["a"], 1), dry_run=True))
+    K.write_responses(recs, base)
+    K.write_checkpoint(recs, os.path.join(base, "check point"))
+    back = J.read_responses(spark, base, checkpoint=os.path.join(base, "check point"))
+    assert back.count() == recs.count()  # the checkpoint's rows are not counted again
+    empty = _tmp()
+    with open(os.path.join(empty, "other.jsonl"), "w") as f:
+        f.write(json.dumps({"question_id": "q", "response": "no model"}) + "\n")
+    with pytest.raises(FileNotFoundError):
+        J.read_responses(spark, empty)
+
+
+def test_samples_folder_is_found(spark):
+    d = _tmp()
+    os.makedirs(os.path.join(d, "eval", "samples"))
+    with open(os.path.join(d, "eval", "samples", "question_1_samples.jsonl"), "w") as f:
+        f.write(json.dumps({"question_id": "1"}) + "\n")
+    assert J.find_samples(spark, os.path.join(d, "eval")) == os.path.join(d, "eval", "samples")
+    os.makedirs(os.path.join(d, "samples"))
+    with open(os.path.join(d, "samples", "question_1_samples.jsonl"), "w") as f:
+        f.write(json.dumps({"question_id": "1"}) + "\n")
+    assert J.find_samples(spark, os.path.join(d, "eval", "x.jsonl")) == os.path.join(d, "samples")
+    assert J.find_samples(spark, os.path.join(d, "nowhere", "deep")) is None
+
+
+def test_reuse_sees_rewritten_files_and_survives_a_crash(spark):
+    d, calls = _tmp(), []
+    src = os.path.join(d, "in")
+    os.makedirs(src)
+
+    def write(text):
+        with open(os.path.join(src, "a.jsonl"), "w") as f:
+            f.write(text)
+
+    def compute():
+        calls.append(1)
+        return spark.range(len(calls))
+
+    write("one")
+    first = K.input_state(spark, src)
+    out = os.path.join(d, "out")
+    assert K.reuse_or_compute(spark, out, compute, {"files": first}).count() == 1
+    write("other")  # same name, other content
+    second = K.input_state(spark, src)
+    assert second != first
+    # a job that dies after writing data leaves a folder that no manifest line names
+    spark.range(99).write.parquet(f"{out}/data-dead")
+    assert K.reuse_or_compute(spark, out, compute, {"files": second}).count() == 2
+    assert K.reuse_or_compute(spark, out, compute, {"files": first}).count() == 1  # still valid
+    assert len(calls) == 2 and K.input_state(spark, os.path.join(d, "missing")) == []
+
+
+def test_stream_resumes_ids_as_text(spark):
+    d = _tmp()
+    samples_dir, out_dir = os.path.join(d, "samples"), os.path.join(d, "eval")
+    ck = os.path.join(d, "responses_ckpt")
+    os.makedirs(samples_dir)
+    for k, qid in enumerate(("007", "1.0", "", None)):
+        with open(os.path.join(samples_dir, f"question_{k}_samples.jsonl"), "w") as f:
+            f.write(json.dumps({"question_id": qid, "question": "Q", "response": "x", "respondent_id": f"p{k}", "row": k + 1}) + "\n")
+    for run in range(3):  # fresh stream checkpoints: every file is offered again
+        q = start_scoring_stream(spark, samples_dir, ["m"], out_dir, ck, os.path.join(d, f"stream_{run}"), runs=2, dry_run=True)
+        q.awaitTermination(120)
+        if run == 0:
+            # later epochs carry on counting, as a restarted job's would
+            for part in os.listdir(ck):
+                old = os.path.join(ck, part, "batch=0")
+                if os.path.isdir(old):
+                    os.rename(old, os.path.join(ck, part, "batch=-1"))
+        assert J.read_responses(spark, ck).count() == 4 * 2
+
+
+def test_pending_plan_equals_the_anti_join(spark):
+    samples = rsp.conversation_samples(spark, SF_SMALL)
+    plan = SC.score_plan(samples, ["a", "b"], 3)
+    done = SC.response_records(SC.score(plan, dry_run=True)).where((F.col("run") == 2) | (F.col("sample_row") % 2 == 0))
+    done = done.unionByName(done)  # repeated completions
+    cols = ["model", "run", "sample_row", "question_id", "respondent_id", "prompt", "stem", "model_safe"]
+    want = SC.pending_requests(plan, done).select(cols)
+    got = SC.pending_plan(samples, ["a", "b"], 3, done).select(cols)
+    assert got.count() == want.count() and got.exceptAll(want).count() == 0
+    assert SC.pending_plan(samples, ["a", "b"], 3, None).count() == plan.count()
