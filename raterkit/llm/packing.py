@@ -22,7 +22,7 @@ import os
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -68,24 +68,24 @@ def _byte_symbols() -> dict[int, str]:
 
 
 class Recent(dict):
-    """A memory of two generations: what was used since the last turn outlives the next one."""
+    """Values made on first use, in two generations: what was used since the last turn outlives
+    the next one."""
 
-    def __init__(self, most: int):
+    def __init__(self, make: Callable, most: int):
         super().__init__()
-        self.most, self.old = most, {}
+        self.make, self.most, self.old = make, most, {}
 
-    def missing(self, keys: set) -> list:
-        """Keys that have to be made; those of the old generation are taken over."""
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+    def turn(self) -> None:
         if len(self) > self.most:
             self.old = dict(self)
             self.clear()
-        out = []
-        for key in keys.difference(self):
-            if (value := self.old.get(key)) is None:
-                out.append(key)
-            else:
-                self[key] = value
-        return out
 
 
 class WordEncoder:
@@ -105,7 +105,7 @@ class WordEncoder:
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
         self.symbols = _byte_symbols()
-        self.words, self.others = Recent(most), Recent(most // 4)
+        self.words, self.others = Recent(self._word, most), Recent(self._chunk, most // 4)
 
     def _word(self, word: str) -> bytes:
         if not word.isascii():
@@ -113,29 +113,22 @@ class WordEncoder:
         tokens = self.model.tokenize(word)
         return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
 
-    def _foreign(self, text: str) -> bytes:
-        """Ids of a text with characters outside the plain ones."""
-        chunks = text.encode("utf-8", "surrogatepass").split()
-        for chunk in self.others.missing(set(chunks)):
-            own = chunk.decode("utf-8", "surrogatepass")
-            if _plain(own):
-                self.others[chunk] = b"".join(self._word(w) for w in _PIECES(own.lower()))
-            else:
-                ids = self.tokenizer.encode(own, add_special_tokens=False).ids
-                self.others[chunk] = struct.pack(f"<{len(ids)}I", *ids)
-        return b"".join(map(self.others.__getitem__, chunks))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        out = []
-        for lo, hi in grams.chunks(texts, 4_000_000):
-            split = [_PIECES(t.lower()) if _plain(t) else t for t in texts[lo:hi]]
-            words = self.words
-            for word in words.missing(set().union(*(s for s in split if type(s) is list))):
-                words[word] = self._word(word)
-            get = words.__getitem__
-            out += [b"".join(map(get, s)) if type(s) is list else self._foreign(s) for s in split]
-        return out
+    def _chunk(self, chunk: bytes) -> bytes:
+        own = chunk.decode("utf-8", "surrogatepass")
+        if _plain(own):
+            return b"".join(self._word(w) for w in _PIECES(own.lower()))
+        ids = self.tokenizer.encode(own, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def encode(self, text: str) -> bytes:
+        """Ids of a text as little-endian unsigned 32-bit integers."""
+        if _plain(text):
+            ids = b"".join(map(self.words.__getitem__, _PIECES(text.lower())))
+        else:
+            ids = b"".join(map(self.others.__getitem__, text.encode("utf-8", "surrogatepass").split()))
+        self.words.turn()
+        self.others.turn()
+        return ids
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -159,8 +152,8 @@ def pieces(docs: DataFrame, vocabulary: str, size: int = SEQUENCE, end: int = EN
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             rows = []
-            for doc, data in zip(ids, encoder.encode(grams.texts_of(batch.column("text")))):
-                data += tail
+            for doc, text in zip(ids, grams.texts_of(batch.column("text"))):
+                data = encoder.encode(text) + tail
                 for k in range(0, len(data), 4 * size):
                     part = data[k : k + 4 * size]
                     rows.append((doc, k // (4 * size), k // 4, len(part) // 4, zlib.crc32(part)))
