@@ -37,7 +37,7 @@ from raterkit.session import cut_lineage
 SEQUENCE = 4096
 END = 1
 SHARDS = 256
-WORDS_KEPT = 300_000
+WORDS_KEPT = 600_000
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
