@@ -72,6 +72,7 @@ def _near(docs: DataFrame, lines: DataFrame, firsts: DataFrame) -> DataFrame:
     """``h, h2`` of the lines that have an earlier line within one edit."""
     keyed = lines.select("h", "h2", F.explode("keys").alias("k")).select("h", "h2", "k.key", "k.side")
     shared = keyed.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("key")
+    shared = cut_lineage(shared, "halves")  # the join's two sides are then exchanges, which can be split
     sides = keyed.join(shared, "key", "left_semi").groupBy("h", "h2").agg(F.bit_or("side").alias("sides"))
     wanted = sides.join(firsts, ["h", "h2"]).select("h", "h2", "sides", "f.d", "f.p")
 
