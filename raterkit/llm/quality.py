@@ -1,7 +1,7 @@
 """Quality classifier: supervised subword embeddings.
 
-A text is the average of learned vectors of its hashed words and character 3-grams; a softmax
-layer on the average gives the class probabilities. Vectors and layer are trained together by
+A text is the average of learned vectors of its hashed words (each followed by a token that says
+whether it repeats the word before) and character 3-grams; a softmax layer on the average gives the class probabilities. Vectors and layer are trained together by
 numpy stochastic gradient descent on a bounded sample of labelled rows (``TRAIN_ROWS``, chosen
 by a hash of the id); what reaches the driver are the sample's bucket counts, at most
 ``2**BITS`` per row. Since the layer is linear in the average, scoring needs one number per
@@ -31,11 +31,12 @@ EPOCHS = 8
 RATE = 1.0
 TRAIN_ROWS = 4000
 SEED = 17
+AGAIN, FRESH = 0x1E35A7, 0x2B9D03  # buckets of the tokens for a repeated and for another word
 
 
 @dataclass
 class Features:
-    """Buckets of words and of 3-grams of a chunk of texts, with per-text boundaries."""
+    """Buckets of words (two each) and of 3-grams of a chunk of texts, with per-text boundaries."""
 
     words: np.ndarray
     word_starts: np.ndarray
@@ -47,7 +48,13 @@ class Features:
 def features(texts: list[str], bits: int = BITS) -> Features:
     points, starts = grams.code_points(texts)
     begin, end = grams.word_spans(points)
-    words = (grams.span_hashes(points, begin, end) >> np.uint64(64 - bits)).astype(np.int64)
+    hashes, first = grams.span_hashes(points, begin, end), np.searchsorted(begin, starts)
+    again = np.zeros(len(hashes), dtype=bool)
+    again[1:] = hashes[1:] == hashes[:-1]
+    again[first[first < len(hashes)]] = False
+    words = np.empty(2 * len(hashes), dtype=np.int64)
+    words[0::2] = hashes >> np.uint64(64 - bits)
+    words[1::2] = np.where(again, *(k % (1 << bits) for k in (AGAIN, FRESH)))
     c = np.concatenate((points, np.zeros(2, np.uint32))).astype(np.uint32)
     three = c[:-2] * np.uint32(0x9E3779B1) + c[1:-1] * np.uint32(0x85EBCA77) + c[2:] * np.uint32(0xC2B2AE3D)
     three >>= np.uint32(32 - bits)
@@ -55,7 +62,7 @@ def features(texts: list[str], bits: int = BITS) -> Features:
     for back in (1, 2, 3):
         at = starts[1:] - back
         valid[at[at >= starts[:-1]]] = False
-    return Features(words, np.searchsorted(begin, starts), three, valid, starts)
+    return Features(words, 2 * first, three, valid, starts)
 
 
 def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:

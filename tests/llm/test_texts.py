@@ -101,11 +101,14 @@ def test_quality_on_held_out_labels(spark):
 
 
 def test_quality_features_against_brute_force():
-    texts = ["ab cd ab", "", "x", "ab cd ab\nlonger text"]
+    texts = ["ab cd ab", "", "x", "x x y y y", "ab cd ab\nlonger text"]
     f = quality.features(texts)
     for i, t in enumerate(texts):
         words = f.words[f.word_starts[i] : f.word_starts[i + 1]]
-        assert len(words) == len(t.split())
+        parts = t.split()
+        assert len(words) == 2 * len(parts)
+        repeats = [k > 0 and parts[k] == parts[k - 1] for k in range(len(parts))]
+        assert [w == quality.AGAIN % (1 << quality.BITS) for w in words[1::2]] == repeats
         own = f.grams[f.starts[i] : f.starts[i + 1]][f.valid[f.starts[i] : f.starts[i + 1]]]
         assert len(own) == max(0, len(t) - 2)
         alone = quality.features([t])
