@@ -32,6 +32,7 @@ from pyspark.sql import Window
 
 from raterkit.llm.components import components
 from raterkit.llm.groups import block_pairs, grouped, pairs_within, spanning
+from raterkit.llm.vectors import matrix
 from raterkit.llm.tables import table
 from raterkit.session import cut_lineage
 
@@ -47,15 +48,6 @@ ATTEMPTS = 3
 MARGIN = 0.01  # the rounds work on half-precision vectors
 
 
-def _doubles(column: pa.Array | pa.ChunkedArray, dims: int) -> np.ndarray:
-    """Rows of a list column, padded with zeros to ``dims``."""
-    out = np.zeros((len(column), dims))
-    for i, row in enumerate(column):
-        values = np.asarray(row.values.to_numpy(zero_copy_only=False), dtype=np.float64)
-        out[i, : len(values)] = values
-    return out
-
-
 def _units(x: np.ndarray) -> np.ndarray:
     x = x / np.maximum(np.abs(x).max(axis=1, keepdims=True, initial=0.0), 1e-300)
     return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-300)
@@ -87,7 +79,7 @@ def nodes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame, int]:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            units = _units(_doubles(b.column("embedding"), dims)).astype(np.float16)
+            units = _units(matrix(b.column("embedding"), dims)).astype(np.float16)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([u.tobytes() for u in units], pa.binary())], names=[*b.schema.names, "unit"])
 
     kind = keyed.schema["embedding"].dataType.simpleString()
@@ -225,7 +217,7 @@ def verified_links(nodes: DataFrame, lists: DataFrame, dims: int, threshold: flo
     rows = member.join(sizes, "component").join(nodes.select("node", "copies", "embedding"), "node")
 
     def work(t: pa.Table, bounds: np.ndarray) -> pa.RecordBatch | None:
-        x = _doubles(t.column("embedding"), dims)
+        x = matrix(t.column("embedding"), dims)
         norm = np.sqrt((x * x).sum(axis=1))
         node, copies, block, bi, bj = (t.column(c).to_numpy() for c in ("node", "copies", "block", "bi", "bj"))
         out = []
@@ -257,13 +249,13 @@ def verified_links(nodes: DataFrame, lists: DataFrame, dims: int, threshold: flo
 def audit(nodes: DataFrame, links: DataFrame, dims: int, threshold: float, sample: int = AUDIT) -> float:
     """Share of the links of a bounded sample of nodes that were found, against brute force."""
     chosen = nodes.select("node", "embedding").orderBy(F.xxhash64("node", F.lit(9)), "node").limit(sample).toArrow()
-    ids, x = chosen.column("node").to_numpy(), _doubles(chosen.column("embedding"), dims)
+    ids, x = chosen.column("node").to_numpy(), matrix(chosen.column("embedding"), dims)
     norm = np.sqrt((x * x).sum(axis=1))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(ids), dtype=np.int64)
         for b in batches:
-            y, own, copies = _doubles(b.column("embedding"), dims), b.column("node").to_numpy(), b.column("copies").to_numpy()
+            y, own, copies = matrix(b.column("embedding"), dims), b.column("node").to_numpy(), b.column("copies").to_numpy()
             link = (y @ x.T) / (np.sqrt((y * y).sum(axis=1))[:, None] * norm[None, :]) >= threshold
             total += ((link & (own[:, None] != ids[None, :])) * copies[:, None]).sum(axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], names=["node", "n"])

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from raterkit.llm.tables import table
+from raterkit.llm.vectors import lists, matrix
 from raterkit.session import cut_lineage
 
 PIVOTS = 32
@@ -43,19 +44,6 @@ def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
     )
 
 
-def _matrix(column: pa.Array | pa.ChunkedArray, dims: int) -> np.ndarray:
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-        if isinstance(column, pa.ChunkedArray):
-            column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
-    lengths = np.diff(column.offsets.to_numpy()) if len(column) else np.zeros(0, int)
-    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    out = np.zeros((len(column), dims))
-    if len(column):
-        out[np.repeat(np.arange(len(column)), lengths), np.concatenate([np.arange(n) for n in lengths]) if lengths.min() != lengths.max() else np.tile(np.arange(lengths[0]), len(column))] = values
-    return out
-
-
 def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     square = (x * x).sum(1)[:, None] + (pivots * pivots).sum(1)[None, :] - 2.0 * (x @ pivots.T)
     return np.sqrt(np.maximum(square, 0.0))
@@ -86,7 +74,7 @@ def search_block(q_ids, q, q_table, ids, x, x_table, floor_scores, k):
             at += CHUNK
         evaluated += min(at, len(able))
         out.append((np.full(len(best_i), q_ids[i]), best_i, best_s))
-    return [np.concatenate(c) if out else np.zeros(0) for c in zip(*out)] if out else [np.zeros(0)] * 3, evaluated
+    return [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0)] * 3, evaluated
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = PIVOTS, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
@@ -96,13 +84,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = PIVOTS
     n, n_queries, dims = base.agg(F.count(F.lit(1)), F.count(F.when(is_query, 1)), F.max(F.size("q"))).head()
     dims = dims or 0
     chosen = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).toArrow()
-    pivot_ids, pivot = chosen.column("vec_id").to_numpy(), _matrix(chosen.column("q"), dims)
+    pivot_ids, pivot = chosen.column("vec_id").to_numpy(), matrix(chosen.column("q"), dims)
 
     def with_distances(batches):
         for b in batches:
-            d = _distances(_matrix(b.column("q"), dims), pivot)
-            flat = pa.FixedSizeListArray.from_arrays(pa.array(d.reshape(-1)), d.shape[1]).cast(pa.list_(pa.float64())) if d.shape[1] else pa.array([[]] * len(d), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("q"), flat], names=["vec_id", "q", "d"])
+            d = _distances(matrix(b.column("q"), dims), pivot)
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("q"), lists(d)], names=["vec_id", "q", "d"])
 
     held = base.mapInArrow(with_distances, "vec_id long, q array<bigint>, d array<double>")
     blocks, query_blocks = max(1, math.ceil(n / block)), max(1, math.ceil(n_queries / query_block))
@@ -112,12 +99,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = PIVOTS
     queries = held.where(is_query).select("*", cell(query_blocks).alias("qb")).select("*", every(blocks).alias("b"))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        q, x = _matrix(right.column("q"), dims), _matrix(left.column("q"), dims)
+        q, x = matrix(right.column("q"), dims), matrix(left.column("q"), dims)
         q_ids, ids = right.column("vec_id").to_numpy(), left.column("vec_id").to_numpy()
         scores = np.where(q_ids[:, None] == pivot_ids[None, :], -np.inf, q @ pivot.T)
         floors = np.sort(scores, axis=1)[:, -k] if scores.shape[1] >= k else np.full(len(q_ids), -np.inf)
         (a, b, s), _ = search_block(
-            q_ids, q, _matrix(right.column("d"), pivot.shape[0]), ids, x, _matrix(left.column("d"), pivot.shape[0]), floors, k
+            q_ids, q, matrix(right.column("d"), pivot.shape[0]), ids, x, matrix(left.column("d"), pivot.shape[0]), floors, k
         )
         return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(s.astype(np.int64))})
 
