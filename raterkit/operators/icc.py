@@ -40,19 +40,22 @@ def collapse_runs(aligned: DataFrame) -> DataFrame:
     )
 
 
-def icc_by_model(aligned: DataFrame) -> DataFrame:
-    """M1: model, icc_total, icc_n_essays_total, icc_n_essays_balanced, icc_n_raters.
+ICC_COUNTS = ["icc_n_essays_total", "icc_n_essays_balanced", "icc_n_raters"]
 
-    Every model of the input appears; one without scores has counts 0 and NULL ICC.
-    ICC is NULL when k < 2, n < 2 or the denominator is 0.
+
+def icc_stats(aligned: DataFrame) -> DataFrame:
+    """M1 for the models that have scores: model, icc_total, and the counts ``ICC_COUNTS``.
+
+    One read of the responses: the number of runs per model comes from the collapsed cells,
+    whose exchange both branches share. ICC is NULL when k < 2, n < 2 or the denominator is 0.
     """
-    runs = aligned.where(F.col("model").isNotNull()).groupBy("model", "run").agg(F.count("total_score").alias("scored"))
-    models = runs.groupBy("model").agg(F.count(F.when(F.col("scored") > 0, 1)).alias("k"))
-    raters = models.where("k > 0")
+    collapsed = collapse_runs(aligned)
+    runs = collapsed.groupBy("model", "run").agg(F.count("x").alias("scored"))
+    raters = runs.groupBy("model").agg(F.count(F.when(F.col("scored") > 0, 1)).alias("k"))
 
     essay = Window.partitionBy("model", "essay_id")
     cells = (
-        collapse_runs(aligned)
+        collapsed
         .withColumn("n_e", F.count(F.lit(1)).over(essay))
         .withColumn("m_e", F.avg("x").over(essay))
         .withColumn("first_of_essay", F.col("run") == F.min("run").over(essay))
@@ -87,13 +90,18 @@ def icc_by_model(aligned: DataFrame) -> DataFrame:
     mse = sse / ((n - 1.0) * (k - 1.0))
     denom = msb + (k - 1.0) * mse
     icc = F.when((k >= 2) & (n >= 2) & (denom != 0), (msb - mse) / denom)
-    stats = per_model.select(
-        "model", icc.alias("icc_total"), "icc_n_essays_total", "icc_n_essays_balanced", "icc_n_raters"
-    )
-    return models.select("model").join(stats, "model", "left").select(
-        "model",
-        "icc_total",
-        F.coalesce("icc_n_essays_total", F.lit(0)).cast("long").alias("icc_n_essays_total"),
-        F.coalesce("icc_n_essays_balanced", F.lit(0)).cast("long").alias("icc_n_essays_balanced"),
-        F.coalesce("icc_n_raters", F.lit(0)).cast("long").alias("icc_n_raters"),
-    )
+    return per_model.select("model", icc.alias("icc_total"), *[F.col(c).cast("long").alias(c) for c in ICC_COUNTS])
+
+
+def with_counts(df: DataFrame) -> DataFrame:
+    """Counts of models without scores are 0."""
+    return df.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ICC_COUNTS})
+
+
+def icc_by_model(aligned: DataFrame) -> DataFrame:
+    """M1: model, icc_total, icc_n_essays_total, icc_n_essays_balanced, icc_n_raters.
+
+    Every model of the input appears; one without scores has counts 0 and NULL ICC.
+    """
+    models = aligned.where(F.col("model").isNotNull()).select("model").distinct()
+    return with_counts(models.join(icc_stats(aligned), "model", "left"))

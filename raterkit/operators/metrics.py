@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from raterkit.functions.parse import is_error
+from raterkit.operators.icc import with_counts
 
 AUTO_APPROVE = "Auto-Approve"
 FLAGGED = "Flagged for Review"
@@ -145,8 +146,8 @@ def model_summary_base(routed: DataFrame) -> DataFrame:
 
 
 def model_summary(routed: DataFrame, icc: DataFrame) -> DataFrame:
-    """Summary LEFT JOIN icc at model grain (tiny sides)."""
-    joined = model_summary_base(routed).join(icc, "model", "left")
+    """Summary LEFT JOIN icc at model grain (tiny sides); every model with an essay appears."""
+    joined = with_counts(model_summary_base(routed).join(icc, "model", "left"))
     shares = [s.replace(" ", "_").lower() for s in HITL_STATUSES]
     return joined.select(*[F.col(f"`{c}`") for c in joined.columns if c not in shares], *[F.col(f"`{c}`") for c in shares])
 

@@ -97,7 +97,7 @@ class Analysis:
 
     @property
     def summary(self) -> DataFrame:
-        return metrics.model_summary(self.routed_scores, self.icc)
+        return metrics.model_summary(self.routed_scores, icc.icc_stats(self.aligned))
 
     @property
     def ttest(self) -> DataFrame:

@@ -77,7 +77,7 @@ def run_analysis(spark: SparkSession, inputs: str, out_dir: str, *, samples_dir:
         if defer:
             table = metrics.attach_prompts(table, pmap)
         essays = sinks.store_result(spark, essays_at, metrics.apply_hitl(table, cv_threshold, range_threshold), manifest, source)
-        summary = sinks.store_result(spark, summary_at, metrics.model_summary(essays, icc.icc_by_model(aligned)), manifest, source)
+        summary = sinks.store_result(spark, summary_at, metrics.model_summary(essays, icc.icc_stats(aligned)), manifest, source)
     dist = metrics.hitl_distribution(essays)
     names = bias.model_pair(summary)
     ttest = bias.severity_ttest(essays, names=names)
