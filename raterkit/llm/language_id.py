@@ -119,11 +119,12 @@ def train(labelled: DataFrame) -> LanguageModel:
     The result of the aggregate (languages x 2**BITS counts at most) is the model itself.
     """
     rows = labelled.select("text", "lang").where("lang is not null and text is not null")
+    n_langs = rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).count()
+    if n_langs > MAX_LANGUAGES:
+        raise ValueError(f"over {MAX_LANGUAGES} languages; the model is broadcast and has a bounded size")
     counted = rows.mapInArrow(_count_task, "lang string, bucket int, n long")
     summed = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(summed.column("lang").to_pylist()))
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"{len(langs)} languages; the model is broadcast and holds {MAX_LANGUAGES} at most")
     place = {lang: i for i, lang in enumerate(langs)}
     counts = np.zeros((len(langs), 1 << BITS))
     docs = np.zeros(len(langs))
