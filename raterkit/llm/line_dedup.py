@@ -123,7 +123,8 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     )
     firsts = lines.groupBy("h", "h2").agg(F.min(F.struct("d", "p")).alias("f"), F.count(F.lit(1)).alias("n"))
     near = _near(own, lines, firsts).withColumn("near", F.lit(True))
-    groups = firsts.join(near, ["h", "h2"], "left").where("n > 1 or near").select("h", "h2", "f", "near")
+    # again a table of its own: a line that stands almost everywhere is a split of the join below
+    groups = cut_lineage(firsts.join(near, ["h", "h2"], "left").where("n > 1 or near").select("h", "h2", "f", "near"), "repeats")
     gone = lines.select("d", "p", "h", "h2").join(groups, ["h", "h2"]).where(F.col("near").isNotNull() | (F.struct("d", "p") != F.col("f")))
     return gone.groupBy("d").agg(F.array_sort(F.collect_set("p")).alias("dropped"))  # lines of one document
 
