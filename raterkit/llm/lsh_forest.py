@@ -339,6 +339,7 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
         reps.join(links, "node", "left").join(linked, "node", "left").where("copies > 1 or links is not null")
         .select("node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("low", "rep").alias("class_id"))
     )
+    info = cut_lineage(info, "classes-linked")  # the copies of one class are then a split of the join
     return signed.select("doc_id", "node").join(info, "node", "left").select(
         "doc_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("class_id", "doc_id").alias("class_id")
     )
