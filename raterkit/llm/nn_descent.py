@@ -3,7 +3,7 @@
 Equal vectors are one node, whatever their number. The graph starts from cells of random
 hyperplanes. In each round the members of a node's neighbourhood (its list, and nodes that list
 it) are compared with each other and every list keeps its best ``k``; pairs of old members are
-not compared again. Rounds end when few lists change.
+not compared again. Rounds end when few unsaturated lists change.
 
 A list all of whose entries are above the threshold is saturated: there may be more links than
 it can hold. Such lists are enlarged to everything reachable by links: threshold edges form
@@ -97,8 +97,9 @@ def _edges(src, dst, sim, fresh) -> pa.RecordBatch:
     )
 
 
-def _best(src, dst, sim, fresh, k: int) -> pa.RecordBatch:
-    """The best ``k`` distinct neighbours of each source; an entry that was there stays old."""
+def _best(src, dst, sim, fresh, k: int, threshold: float = np.inf) -> pa.RecordBatch:
+    """The best ``k`` distinct neighbours of each source; an entry that was there stays old. A
+    saturated list (``k`` entries above the threshold) counts as old: it is enlarged as a cluster."""
     order = np.lexsort((fresh, dst, src))
     src, dst, sim, fresh = src[order], dst[order], sim[order], fresh[order]
     first = np.ones(len(src), dtype=bool)
@@ -108,14 +109,15 @@ def _best(src, dst, sim, fresh, k: int) -> pa.RecordBatch:
     src, dst, sim, fresh = src[order], dst[order], sim[order], fresh[order]
     rank = np.arange(len(src)) - np.searchsorted(src, src)
     keep = rank < k
+    fresh &= ~np.isin(src, src[(rank == k - 1) & (sim >= threshold)])
     return _edges(src[keep], dst[keep], sim[keep], fresh[keep])
 
 
-def _lists(edges: DataFrame, k: int) -> DataFrame:
+def _lists(edges: DataFrame, k: int, threshold: float) -> DataFrame:
     """The best ``k`` entries per source of an edge table."""
 
     def work(t: pa.Table, bounds: np.ndarray) -> pa.RecordBatch:
-        return _best(*(t.column(c).to_numpy() for c in ("src", "dst", "sim", "fresh")), k)
+        return _best(*(t.column(c).to_numpy() for c in ("src", "dst", "sim", "fresh")), k, threshold)
 
     dealt = edges.repartition("src").sortWithinPartitions("src")
     return cut_lineage(dealt.mapInArrow(lambda batches: grouped(batches, ["src"], work), EDGE), "neighbours")
@@ -193,13 +195,13 @@ def _round(nodes: DataFrame, lists: DataFrame, k: int) -> DataFrame:
     return dealt.mapInArrow(lambda batches: grouped(batches, ["center"], work), EDGE)
 
 
-def descend(nodes: DataFrame, lists: DataFrame | None, n: int, dims: int, k: int, attempt: int = 0) -> DataFrame:
+def descend(nodes: DataFrame, lists: DataFrame | None, n: int, dims: int, k: int, threshold: float, attempt: int = 0) -> DataFrame:
     """Refine the neighbour lists (seeded, and joined with ``lists`` if there are any) until they settle."""
     seeds = _seed(nodes, n, dims, k, attempt)
-    lists = _lists(seeds if lists is None else seeds.unionByName(lists.withColumn("fresh", F.lit(True))), k)
+    lists = _lists(seeds if lists is None else seeds.unionByName(lists.withColumn("fresh", F.lit(True))), k, threshold)
     for _ in range(MAX_ROUNDS):
         found = _round(nodes, lists, k)
-        lists = _lists(lists.withColumn("fresh", F.lit(False)).unionByName(found), k)
+        lists = _lists(lists.withColumn("fresh", F.lit(False)).unionByName(found), k, threshold)
         changed = lists.agg(F.count(F.when(F.col("fresh"), 1))).head()[0]
         if changed <= SETTLED * n * k:
             break
@@ -272,7 +274,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, k: int = NEIG
     n = nodes.count()
     lists: DataFrame | None = None
     for attempt in range(ATTEMPTS):
-        lists = descend(nodes, lists, n, dims, k, attempt)
+        lists = descend(nodes, lists, n, dims, k, threshold, attempt)
         links = verified_links(nodes, lists, dims, threshold)
         if audit(nodes, links, dims, threshold) >= TARGET_RECALL:
             break
@@ -284,7 +286,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, k: int = NEIG
         .where("copies > 1 or links is not null")
         .select("h", "h2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
     )
-    joined = keyed.join(info, ["h", "h2"], "left")
+    joined = keyed.join(cut_lineage(info, "linked"), ["h", "h2"], "left")  # equal vectors are a split of the join
     out = joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
