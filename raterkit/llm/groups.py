@@ -12,10 +12,15 @@ from pyspark.sql import functions as F
 BLOCK = 256
 
 
-def block_pairs(rows: DataFrame, keys: list[str], size: str) -> DataFrame:
+def blocked(rows: DataFrame, size: str, block: int | None = None) -> DataFrame:
+    """``rows`` with the number of blocks of their group and their own: ``blocks, block``."""
+    blocks = F.ceil(F.col(size) / (block or BLOCK)).cast("int")
+    return rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
+
+
+def block_pairs(rows: DataFrame, keys: list[str], size: str, block: int | None = None) -> DataFrame:
     """Deal groups out as pairs of blocks: columns ``block, bi, bj``; sorted by group."""
-    blocks = F.ceil(F.col(size) / BLOCK).cast("int")
-    own = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
+    own = blocked(rows, size, block)
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumns({"bi": F.least("block", "other"), "bj": F.greatest("block", "other")}).drop("other", "blocks", size)
     return dealt.repartition(*keys, "bi", "bj").sortWithinPartitions(*keys, "bi", "bj")

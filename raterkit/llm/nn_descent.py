@@ -6,9 +6,13 @@ it) are compared with each other and every list keeps its best ``k``; pairs of o
 not compared again. Rounds end when few lists change.
 
 A list all of whose entries are above the threshold is saturated: there may be more links than
-it can hold. Such lists are enlarged to everything reachable by links: threshold edges form
-clusters, and within a cluster all pairs are compared in double precision, in blocks of bounded
-size that return link counts and a spanning forest. So no partner list is capped.
+it can hold. Threshold edges form clusters, and within a cluster all pairs are compared in
+double precision, in blocks of bounded size that return link counts and a spanning forest. A
+link between two clusters is in no list only if both its nodes are saturated (a list that is not
+holds all links of its node), so the saturated nodes of different clusters are compared too:
+each cluster's are dealt out as balls of bounded size, and all pairs of balls are compared whose
+centres are not further apart than both radii and the threshold's angle allow, which loses
+nothing. So no partner list is capped.
 
 Recall is audited against brute force: a bounded sample of nodes (``AUDIT`` of them, chosen by
 a hash) is compared with every node. Below ``TARGET_RECALL`` the descent goes on with lists of
@@ -31,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from raterkit.llm.components import components
-from raterkit.llm.groups import block_pairs, grouped, pairs_within, spanning
+from raterkit.llm.groups import block_pairs, blocked, grouped, pairs_within, spanning
 from raterkit.llm.vectors import matrix
 from raterkit.llm.tables import table
 from raterkit.session import cut_lineage
@@ -209,41 +213,121 @@ def descend(nodes: DataFrame, lists: DataFrame | None, n: int, dims: int, k: int
 LINKS = "node long, links long, label long"
 
 
-def verified_links(nodes: DataFrame, lists: DataFrame, dims: int, threshold: float) -> DataFrame:
-    """``node, links, label``: link counts (over vectors) and spanning links of the clusters of threshold edges."""
-    near = lists.where(F.col("sim") >= threshold - MARGIN).select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    member = components(near)
-    sizes = member.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    rows = member.join(sizes, "component").join(nodes.select("node", "copies", "embedding"), "node")
+def _linked(x: np.ndarray, node: np.ndarray, copies: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> tuple | None:
+    """Nodes, link counts and labels of a spanning forest of the links of ``left`` to ``right`` rows (``left`` itself: within)."""
+    norm = np.sqrt((x * x).sum(axis=1))
+    link = (x[left] @ x[right].T) / (norm[left][:, None] * norm[right][None, :]) >= threshold
+    if left is right:
+        np.fill_diagonal(link, False)
+    i, j = np.nonzero(link)
+    if not len(i):
+        return None
+    i, j = left[i], right[j]
+    count = np.zeros(len(x), dtype=np.int64)
+    np.add.at(count, i, copies[j])
+    if left is not right:
+        np.add.at(count, j, copies[i])
+    used = np.flatnonzero(count)
+    return node[used], count[used], node[spanning(len(x), i, j)[used]]
+
+
+def _links(dealt: DataFrame, keys: list[str], side: str, dims: int, threshold: float) -> DataFrame:
+    """Links of rows that are dealt out by ``keys``: between both values of ``side``, or within its only one."""
 
     def work(t: pa.Table, bounds: np.ndarray) -> pa.RecordBatch | None:
         x = matrix(t.column("embedding"), dims)
-        norm = np.sqrt((x * x).sum(axis=1))
-        node, copies, block, bi, bj = (t.column(c).to_numpy() for c in ("node", "copies", "block", "bi", "bj"))
+        node, copies, sides = (t.column(c).to_numpy() for c in ("node", "copies", side))
         out = []
         for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            rows = np.arange(lo, hi)
-            within = bi[lo] == bj[lo]
-            left, right = (rows, rows) if within else (rows[block[rows] == bi[lo]], rows[block[rows] == bj[lo]])
-            link = (x[left] @ x[right].T) / (norm[left][:, None] * norm[right][None, :]) >= threshold
-            if within:
-                np.fill_diagonal(link, False)
-            i, j = np.nonzero(link)
-            if not len(i):
-                continue
-            i, j = left[i] - lo, right[j] - lo
-            count = np.zeros(hi - lo, dtype=np.int64)
-            np.add.at(count, i, copies[lo + j])
-            if not within:
-                np.add.at(count, j, copies[lo + i])
-            used = np.flatnonzero(count)
-            out.append((node[lo + used], count[used], node[lo + spanning(hi - lo, i, j)[used]]))
+            first = sides[lo:hi] == sides[lo]
+            left = np.flatnonzero(first)
+            two = t.column(keys[-1])[lo].as_py() != t.column(keys[-2])[lo].as_py()
+            right = np.flatnonzero(~first) if two else left
+            found = _linked(x[lo:hi], node[lo:hi], copies[lo:hi], left, right, threshold)
+            if found:
+                out.append(found)
         if not out:
             return None
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out)], names=["node", "links", "label"])
 
-    dealt = block_pairs(rows, ["component"], "size")
-    return cut_lineage(dealt.mapInArrow(lambda batches: grouped(batches, ["component", "bi", "bj"], work), LINKS), "links")
+    return cut_lineage(dealt.mapInArrow(lambda batches: grouped(batches, keys, work), LINKS), "links")
+
+
+BALL = "node long, component long, centre binary, radius double"
+
+
+def _balls(placed: DataFrame, dims: int) -> DataFrame:
+    """Centre and radius (an angle) of the vectors of each ball; ``node`` is the ball."""
+
+    def work(t: pa.Table, bounds: np.ndarray) -> pa.RecordBatch:
+        x = _units(matrix(t.column("embedding"), dims))
+        centre = np.add.reduceat(x, bounds[:-1], axis=0)
+        weak = np.sqrt((centre * centre).sum(axis=1)) < 1e-6  # opposite vectors: any of them is a centre
+        centre[weak] = x[bounds[:-1]][weak]
+        centre = _units(centre)
+        angle = np.arccos(np.clip(np.einsum("nd,nd->n", x, np.repeat(centre, np.diff(bounds), axis=0)), -1.0, 1.0))
+        firsts = pa.array(bounds[:-1])
+        return pa.RecordBatch.from_arrays(
+            [t.column("ball").combine_chunks().take(firsts), t.column("component").combine_chunks().take(firsts),
+             pa.array([c.tobytes() for c in centre], pa.binary()), pa.array(np.maximum.reduceat(angle, bounds[:-1]))],
+            names=["node", "component", "centre", "radius"],
+        )
+
+    dealt = placed.select("ball", "component", "embedding").repartition("ball").sortWithinPartitions("ball")
+    return cut_lineage(dealt.mapInArrow(lambda batches: grouped(batches, ["ball"], work), BALL), "balls")
+
+
+def _near_balls(balls: DataFrame, n: int, threshold: float) -> DataFrame:
+    """``a, b``: pairs of balls of different clusters that may hold a link."""
+    reach = math.acos(max(-1.0, min(1.0, threshold))) + 1e-6
+
+    def work(t: pa.Table, bounds: np.ndarray) -> pa.RecordBatch | None:
+        centre = np.frombuffer(b"".join(t.column("centre").to_pylist())).reshape(t.num_rows, -1)
+        node, component, radius, block, bi, bj = (t.column(c).to_numpy() for c in ("node", "component", "radius", "block", "bi", "bj"))
+        out = []
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            rows = np.arange(lo, hi)
+            left, right = rows[block[rows] == bi[lo]], rows[block[rows] == bj[lo]]
+            apart = np.arccos(np.clip(centre[left] @ centre[right].T, -1.0, 1.0)) - radius[left][:, None] - radius[right][None, :]
+            near = (apart <= reach) & (component[left][:, None] != component[right][None, :])
+            i, j = np.nonzero(np.triu(near) if bi[lo] == bj[lo] else near)
+            out.append((node[left[i]], node[right[j]]))
+        a, b = (np.concatenate(c) for c in zip(*out))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"]) if len(a) else None
+
+    dealt = block_pairs(balls.withColumn("size", F.lit(n)), [], "size")
+    return cut_lineage(dealt.mapInArrow(lambda batches: grouped(batches, ["bi", "bj"], work), "a long, b long"), "near-balls")
+
+
+def saturated_links(nodes: DataFrame, lists: DataFrame, member: DataFrame, dims: int, k: int, threshold: float) -> DataFrame | None:
+    """Links between saturated nodes of different clusters ``member(node, component)``, as ``verified_links``."""
+    held = lists.groupBy("src").agg(F.min("sim").alias("low"), F.count(F.lit(1)).alias("held"))
+    full = held.where((F.col("held") >= k) & (F.col("low") >= threshold - MARGIN)).select(F.col("src").alias("node"))
+    own = cut_lineage(member.join(full, "node"), "saturated")
+    sizes = own.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    if sizes.limit(2).count() < 2:
+        return None
+    cell = blocked(own.join(sizes, "component"), "size")
+    ball = F.min("node").over(Window.partitionBy("component", "block"))
+    placed = cut_lineage(cell.select("component", "node", ball.alias("ball")).join(nodes.select("node", "copies", "embedding"), "node"), "placed")
+    balls = _balls(placed, dims)
+    pairs = _near_balls(balls, balls.count(), threshold)
+    rows = placed.select("ball", "node", "copies", "embedding")
+    sides = [pairs.join(rows.withColumnRenamed("ball", c), c).select("a", "b", F.col(c).alias("ball"), "node", "copies", "embedding") for c in ("a", "b")]
+    dealt = sides[0].unionByName(sides[1]).repartition("a", "b").sortWithinPartitions("a", "b")
+    return _links(dealt, ["a", "b"], "ball", dims, threshold)
+
+
+def verified_links(nodes: DataFrame, lists: DataFrame, dims: int, threshold: float, k: int) -> DataFrame:
+    """``node, links, label``: link counts (over vectors) and spanning links of the clusters of threshold edges,
+    and of the saturated nodes of different clusters."""
+    near = lists.where(F.col("sim") >= threshold - MARGIN).select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    member = cut_lineage(components(near), "clusters")
+    sizes = member.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    rows = member.join(sizes, "component").join(nodes.select("node", "copies", "embedding"), "node")
+    within = _links(block_pairs(rows, ["component"], "size"), ["component", "bi", "bj"], "block", dims, threshold)
+    across = saturated_links(nodes, lists, member, dims, k, threshold)
+    return within if across is None else within.unionByName(across)
 
 
 def audit(nodes: DataFrame, links: DataFrame, dims: int, threshold: float, sample: int = AUDIT) -> float:
@@ -273,7 +357,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, k: int = NEIG
     lists: DataFrame | None = None
     for attempt in range(ATTEMPTS):
         lists = descend(nodes, lists, n, dims, k, attempt)
-        links = verified_links(nodes, lists, dims, threshold)
+        links = verified_links(nodes, lists, dims, threshold, k)
         if audit(nodes, links, dims, threshold) >= TARGET_RECALL:
             break
         k *= 2

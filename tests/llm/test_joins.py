@@ -219,6 +219,20 @@ def test_near_vectors_against_brute_force(spark):
     assert [tuple(r) for r in nn_descent.near_vectors(df.where("vec_id = 3")).collect()] == [(3, 0, 3, True)]
 
 
+def test_large_groups_linked_across(spark, monkeypatch):
+    monkeypatch.setattr(groups, "BLOCK", 32)
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((200, 16))
+    base, side = np.eye(16)[0], np.eye(16)[1]
+    for cosine in (1.0, 0.93, 0.5):  # the first two groups are linked throughout
+        centre = cosine * base + math.sqrt(1 - cosine**2) * side
+        x = np.concatenate((x, centre + 0.004 * rng.standard_normal((70, 16))))
+    rows = [(i, [float(v) for v in x[i]]) for i in range(len(x))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(((r.vec_id, r.n_links, r.component_id, bool(r.kept)) for r in nn_descent.near_vectors(df).collect()), key=str)
+    assert got == plain_vectors(rows)
+
+
 def test_lists_keep_the_best_distinct_neighbours():
     out = nn_descent._best(np.array([1, 1, 1, 2, 1]), np.array([5, 5, 6, 1, 7]), np.array([0.5, 0.5, 0.9, 0.1, 0.7], np.float32), np.array([True, False, True, True, True]), 2)
     assert list(zip(*(c.to_pylist() for c in out.columns)))[:2] == [(1, 6, pytest.approx(0.9), True), (1, 7, pytest.approx(0.7), True)]
