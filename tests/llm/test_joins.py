@@ -246,6 +246,25 @@ def test_audit_counts_missing_links(spark):
     assert nn_descent.audit(nodes, all_links.where("node < 5"), dims, 0.9) == 0.5
 
 
+def test_audit_is_not_carried_by_a_large_group(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(v) for v in np.eye(24)[0] + 0.001 * rng.standard_normal(24)]) for i in range(100)]
+    rows += [(100 + 2 * i + j, [float(v) for v in np.eye(24)[1 + i] + 0.001 * j]) for i in range(20) for j in (0, 1)]
+    keyed, nodes, dims = nn_descent.nodes_of(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    found = [(i, 99, 0) for i in range(100)] + [(100 + i, 1, 100) for i in range(20)]  # half of the pairs
+    assert nn_descent.audit(nodes, spark.createDataFrame(found, nn_descent.LINKS), dims, 0.9) == 0.5
+
+
+def test_all_pairs_are_compared_when_the_descent_stays_below_the_target(spark, monkeypatch):
+    rows = [(i, v) for i, v in vector_rows(150) if i is not None and v and len(v) == 16 and any(v)]
+    none = spark.createDataFrame([], nn_descent.EDGE)
+    monkeypatch.setattr(nn_descent, "descend", lambda *a: none)  # finds nothing
+    monkeypatch.setattr(nn_descent, "WHOLE_BLOCK", 50)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(((r.vec_id, r.n_links, r.component_id, bool(r.kept)) for r in nn_descent.near_vectors(df).collect()), key=str)
+    assert got == plain_vectors(rows)
+
+
 # --- top-k
 
 
