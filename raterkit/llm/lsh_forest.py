@@ -6,10 +6,11 @@ only classes are compared. Two documents are linked if their sets have a Jaccard
 ``THRESHOLD`` or more.
 
 The forest has ``TREES`` prefix tries over minhash labels of ``DEPTH`` values. Classes that
-share a prefix of the current depth in some tree are candidates. From the similarities of the
-pairs found, the recall of that depth is estimated (a pair of similarity s is found with
-probability 1 - (1 - s^depth)^TREES, so each found pair stands for 1/probability pairs); while
-it is below the target, prefixes are shortened by one value. Within a bucket candidates are
+share a prefix of the current depth in some tree are candidates. A pair of similarity s is found
+with probability 1 - (1 - s^depth)^TREES. The depth is the longest at which a pair at the
+threshold itself is found with the target's probability, so that no pair's chance depends on
+what else is in the corpus; from the pairs found the recall is estimated again (each stands for
+1/probability pairs) and prefixes are shortened while it is below the target. Within a bucket candidates are
 compared by a byte sketch of all labels, with a margin that no linked pair falls short of in
 practice (more than four standard deviations). Sketch-similar classes form clusters, and all
 pairs within a cluster are then verified exactly on their whole shingle sets (64-bit hashes).
@@ -198,6 +199,12 @@ def found_chance(similarity: float, depth: int, trees: int = TREES) -> float:
     return 1.0 - (1.0 - similarity**depth) ** trees
 
 
+def _depth() -> int:
+    """The longest prefix that finds a pair at the threshold with the target's probability."""
+    able = [d for d in range(LEAST_DEPTH, DEPTH + 1) if found_chance(THRESHOLD, d) >= TARGET_RECALL]
+    return max(able, default=LEAST_DEPTH)
+
+
 def _recall(found: DataFrame, depth: int) -> float:
     """Estimated share of linked pairs that this depth finds."""
     counts = found.where("bin is not null").groupBy("bin").agg(F.sum("n").alias("n")).collect()  # at most 101 rows
@@ -208,7 +215,7 @@ def _recall(found: DataFrame, depth: int) -> float:
 
 def clusters(classes: DataFrame) -> DataFrame:
     """``node, cluster`` of the classes that have a sketch-similar candidate."""
-    depth = DEPTH
+    depth = _depth()
     while True:
         found = _candidates(classes, depth)
         if depth <= LEAST_DEPTH or _recall(found, depth) >= TARGET_RECALL:

@@ -167,6 +167,19 @@ def test_prefixes_are_shortened_until_the_target(spark):
     assert lsh_forest._recall(found.limit(0), 7) == 1.0
 
 
+def test_borderline_pairs_beside_a_large_group(spark):
+    assert lsh_forest.found_chance(lsh_forest.THRESHOLD, lsh_forest._depth()) >= lsh_forest.TARGET_RECALL
+    docs, n = [], 500
+    for i in range(n):  # isolated pairs at 0.8: 40 of 50 shingles
+        text = [f"p{i}w{k}" for k in range(49)]
+        docs += [(2 * i, " ".join(text)), (2 * i + 1, " ".join([*text[:20], "other", *text[21:]]))]
+    hot = [f"w{k}" for k in range(100)]
+    docs += [(2 * n + k, " ".join([*hot, f"end{k}"])) for k in range(150)]
+    got = {r.doc_id: (r.n_links, r.class_id) for r in lsh_forest.jaccard_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [i for i in range(2 * n) if got[i] != (1, i - i % 2)] == []
+    assert all(got[2 * n + k] == (149, 2 * n) for k in range(150))
+
+
 def test_overlaps_of_sets():
     r = random.Random(1)
     left, right = [[np.unique(np.array([r.randrange(9000) for _ in range(n)], dtype=np.int64)) for n in (0, 5, 6000, 300)] for _ in range(2)]
