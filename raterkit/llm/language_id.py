@@ -11,7 +11,7 @@ name. With no training rows every text is ``und``. Repeated rows count as often
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -170,12 +170,31 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, model, [F.col("doc_id"), held_out(F.col("doc_id")).alias("held_out")])
 
 
-def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents whose language cannot be told (null text, no letter) go.
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, languages: Sequence[str] | None = None) -> DataFrame:
+    """Pipeline stage: documents without a letter (null texts, too) go, and with ``languages`` also
+    those that the model names another language for.
 
-    The model is learned from the stage's own input. Columns and texts are left as they are.
+    The model is learned from the stage's own input, if it is asked for; with no row to learn from
+    every text with a letter stays. Columns and texts are left as they are.
     """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    lettered = _with_letters(docs)
+    if languages is None:
+        return lettered
     model = train(docs.where(~held_out(F.col("doc_id"))))
-    columns = docs.columns
-    named = identify(docs, model, [F.col(f"`{c}`") for c in columns], ("_lid_lang", "_lid_score"))
-    return named.where(F.col("_lid_lang") != UNDETERMINED).select(*[F.col(f"`{c}`") for c in columns])
+    if not model.langs:
+        return lettered
+    named = identify(lettered, model, columns, ("_lid_lang", "_lid_score"))
+    return named.where(F.col("_lid_lang").isin(list(languages))).select(*columns)
+
+
+def _with_letters(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose text has a letter."""
+    at = docs.columns.index("text")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [any(map(str.isalpha, t)) for t in grams.texts_of(batch.column(at))]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(task, docs.schema)

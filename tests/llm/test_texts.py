@@ -88,6 +88,19 @@ def test_language_odd_rows_and_empty_table(spark):
     assert language_id.train(empty).predict(["abc"])[0] == ["und"]
 
 
+def test_language_stage_without_labels(spark):
+    docs = odd_docs(spark)
+    lettered = sorted(str(r.doc_id) for r in docs.collect() if any(map(str.isalpha, r.text or "")))
+    blank = docs.withColumn("lang", F.lit(None).cast("string"))
+    for languages in (None, ["en"]):  # nothing to learn from
+        kept = language_id.language_stage(spark, blank, "", languages)
+        assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == lettered
+    rows = [(i, f"the plain words number {'abcdefghij'[i % 10]}", "en") for i in range(40)] + [(40 + i, "ein kleiner Text über Äpfel", "de") for i in range(40)]
+    two = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.lang for r in language_id.language_stage(spark, two, "", ["de"]).collect()} == {"de"}
+    assert language_id.language_stage(spark, two, "").count() == 80
+
+
 # --- quality
 
 
