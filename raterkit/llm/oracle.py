@@ -117,10 +117,45 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
+OP11 = """
+WITH plain AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+),
+own AS (
+  SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, sha256(strlen(role) || ':' || role || text)) AS turns
+  FROM plain GROUP BY conv_id
+),
+started AS (
+  SELECT o.conv_id, o.turns, coalesce(b.turns, []) AS base,
+    xor(list_reduce(list_concat([4294967295::UBIGINT], list_transform(string_split(o.conv_id::VARCHAR, ''), lambda c: ord(c)::UBIGINT)), lambda c, b:
+      list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384::UBIGINT * (x & 1)))), 4294967295::UBIGINT) % 9 AS h
+  FROM own o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 5
+),
+whole AS (SELECT conv_id, list_concat(base[1:h::BIGINT], turns[h::BIGINT + 1:]) AS turns FROM started),
+members AS (SELECT conv_id, len(turns) AS length, d, turns[1:d] AS prefix, turns[d].text AS last FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM whole)),
+nodes AS (
+  SELECT d, prefix, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(coalesce(strlen(last), 0)) AS saved,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (length = d), '')) AS ends
+  FROM members GROUP BY d, prefix
+),
+places AS (SELECT m.conv_id AS member, n.d, n.conv_id FROM members m JOIN nodes n ON m.d = n.d AND m.prefix = n.prefix),
+tree AS (SELECT n.*, p.conv_id AS parent FROM nodes n LEFT JOIN places p ON p.member = n.conv_id AND p.d = n.d - 1),
+kids AS (SELECT parent, d - 1 AS d, count(*) AS n_children FROM tree WHERE d > 0 GROUP BY ALL),
+counted AS (SELECT t.*, coalesce(k.n_children, 0) AS n_children FROM tree t LEFT JOIN kids k ON t.conv_id = k.parent AND t.d = k.d),
+sums AS (
+  SELECT p.conv_id, p.d, sum((c.n_children = 0)::BIGINT) AS n_leaves, sum(c.saved) AS saved_tokens
+  FROM counted c JOIN places p ON p.member = c.conv_id AND p.d <= c.d GROUP BY p.conv_id, p.d
+)
+SELECT c.conv_id, c.d::BIGINT AS depth, c.parent AS parent_conv_id, c.n_convs::BIGINT AS n_convs, c.n_children::BIGINT AS n_children,
+  s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, c.ends AS ends_sha256
+FROM counted c JOIN sums s ON c.conv_id = s.conv_id AND c.d = s.d
+"""
+
 ORACLE: dict[str, str] = {
     "op2_line_dedup": OP2,
     "op3_nn_descent": OP3,
     "op4_lsh_forest": OP4,
     "op5_warc_transactions": OP5,
     "op6_pivot_topk": OP6,
+    "op11_prefix_trie": OP11,
 }

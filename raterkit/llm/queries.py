@@ -10,6 +10,7 @@ from raterkit.llm.nn_descent import op3_nn_descent
 from raterkit.llm.packing import op10_best_fit_packing
 from raterkit.llm.pii_crf import op1_pii_crf
 from raterkit.llm.pivot_topk import op6_pivot_topk
+from raterkit.llm.prefix_trie import op11_prefix_trie
 from raterkit.llm.quality import op7_quality
 from raterkit.llm.warc import op5_warc_transactions
 
@@ -24,4 +25,5 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_bpe_tree": op9_bpe_tree,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_prefix_trie": op11_prefix_trie,
 }
