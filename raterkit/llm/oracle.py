@@ -151,6 +151,40 @@ SELECT c.conv_id, c.d::BIGINT AS depth, c.parent AS parent_conv_id, c.n_convs::B
 FROM counted c JOIN sums s ON c.conv_id = s.conv_id AND c.d = s.d
 """
 
+OP12 = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+),
+pieces AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM texts),
+words AS (SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda w: w <> '') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+spans AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM (SELECT lang, w, unnest([1, 2, 3, 4, 5]) AS k FROM words)),
+counts AS (
+  SELECT lang, k, phrase, count(*) AS f FROM (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM spans)
+  GROUP BY lang, k, phrase HAVING count(*) >= 100
+),
+cuts AS (
+  SELECT c.lang, c.phrase, c.f AS a, c.w[1:j] AS first, c.w[j + 1:] AS rest, j
+  FROM (SELECT *, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS j FROM counts WHERE k > 1) c
+),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, l.f AS l, r.f AS r, t.n, j, (1000::HUGEINT * c.a * t.n) // (l.f::HUGEINT * r.f) AS score
+  FROM cuts c JOIN counts l ON l.lang = c.lang AND l.phrase = array_to_string(c.first, ' ')
+  JOIN counts r ON r.lang = c.lang AND r.phrase = array_to_string(c.rest, ' ') JOIN totals t ON t.lang = c.lang
+),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+kept AS (
+  SELECT * FROM best b WHERE NOT EXISTS (
+    SELECT 1 FROM counts o WHERE o.lang = b.lang AND o.f = b.a AND 100 * o.f >= 100 * b.a AND length(o.phrase) > length(b.phrase)
+      AND contains(' ' || o.phrase || ' ', ' ' || b.phrase || ' ')
+  )
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::BIGINT AS rank, phrase,
+  a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM kept QUALIFY rank <= 2000
+"""
+
 ORACLE: dict[str, str] = {
     "op2_line_dedup": OP2,
     "op3_nn_descent": OP3,
@@ -158,4 +192,5 @@ ORACLE: dict[str, str] = {
     "op5_warc_transactions": OP5,
     "op6_pivot_topk": OP6,
     "op11_prefix_trie": OP11,
+    "op12_collocations": OP12,
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from raterkit.llm.bpe_tree import op9_bpe_tree
+from raterkit.llm.collocations import op12_collocations
 from raterkit.llm.language_id import op8_language_id
 from raterkit.llm.line_dedup import op2_line_dedup
 from raterkit.llm.lsh_forest import op4_lsh_forest
@@ -12,6 +13,7 @@ from raterkit.llm.pii_crf import op1_pii_crf
 from raterkit.llm.pivot_topk import op6_pivot_topk
 from raterkit.llm.prefix_trie import op11_prefix_trie
 from raterkit.llm.quality import op7_quality
+from raterkit.llm.sharding import op13_sharding
 from raterkit.llm.warc import op5_warc_transactions
 
 QUERIES = {
@@ -26,4 +28,6 @@ QUERIES = {
     "op9_bpe_tree": op9_bpe_tree,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_collocations": op12_collocations,
+    "op13_sharding": op13_sharding,
 }
