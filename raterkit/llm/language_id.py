@@ -26,6 +26,8 @@ BITS = 15
 SMOOTHING = 0.5
 MAX_LANGUAGES = 1000
 UNDETERMINED = "und"
+FAMILIAR_DOCS = 0.005  # an n-gram is familiar to a language if this share of its documents has it
+FAMILIAR_GRAMS = 0.5  # a text is in a language if this share of its n-grams is familiar
 
 _letters: np.ndarray | None = None
 
@@ -56,6 +58,7 @@ def hashed_grams(texts: list[str], bits: int = BITS) -> tuple[np.ndarray, np.nda
 
 def _count_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[str, np.ndarray] = {}
+    having: dict[str, np.ndarray] = {}  # documents with an n-gram
     docs: dict[str, int] = {}
     for batch in batches:
         langs = batch.column("lang").to_pylist()
@@ -64,6 +67,8 @@ def _count_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, texts = [langs[i] for i in order], [texts[i] for i in order]
         for lo, hi in grams.chunks(texts):
             buckets, at = hashed_grams(texts[lo:hi])
+            present = np.zeros((hi - lo, 1 << BITS), dtype=bool)
+            present[np.repeat(np.arange(hi - lo), np.diff(at)), buckets] = True
             i = lo
             while i < hi:
                 j = i
@@ -71,6 +76,7 @@ def _count_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     j += 1
                 own = np.bincount(buckets[at[i - lo] : at[j - lo]], minlength=1 << BITS)
                 counts[langs[i]] = counts.get(langs[i], 0) + own
+                having[langs[i]] = having.get(langs[i], 0) + present[i - lo : j - lo].sum(axis=0)
                 docs[langs[i]] = docs.get(langs[i], 0) + j - i
                 i = j
     for lang, own in counts.items():
@@ -79,26 +85,35 @@ def _count_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             "lang": pa.array([lang] * (len(used) + 1)),
             "bucket": pa.array(np.concatenate(([-1], used)), pa.int32()),  # -1: documents
             "n": pa.array(np.concatenate(([docs[lang]], own[used])), pa.int64()),
+            "docs": pa.array(np.concatenate(([docs[lang]], having[lang][used])), pa.int64()),
         })
 
 
 @dataclass
 class LanguageModel:
-    """``langs`` in order; ``weights[bucket, lang]`` are log probabilities; ``priors[lang]``."""
+    """``langs`` in order; ``weights[lang, bucket]`` are log probabilities; ``priors[lang]``;
+    ``familiar[lang, bucket]``: whether enough of the language's documents have the n-gram."""
 
     langs: list[str]
     weights: np.ndarray
     priors: np.ndarray
+    familiar: np.ndarray
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """Language and posterior probability of each text."""
-        names, scores = [], []
+        return self.judge(texts)[:2]
+
+    def judge(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """As ``predict``, and whether the text is in the language named: whether ``FAMILIAR_GRAMS`` of its
+        n-grams are familiar to that language."""
+        names, scores, known = [], [], []
         for lo, hi in grams.chunks(texts):
             buckets, at = hashed_grams(texts[lo:hi])
             n = np.diff(at)
             if not self.langs:
                 names += [UNDETERMINED] * (hi - lo)
                 scores.append(np.zeros(hi - lo))
+                known.append(np.zeros(hi - lo, dtype=bool))
                 continue
             sums = np.zeros((hi - lo, len(self.langs)))
             full = np.flatnonzero(n)
@@ -107,10 +122,17 @@ class LanguageModel:
                     sums[full, k] = np.add.reduceat(self.weights[k][buckets], at[:-1][full], dtype=np.float64)
             sums += self.priors
             best = sums.argmax(axis=1)
+            hits = np.zeros(hi - lo)
+            if len(full):
+                own = self.familiar[np.repeat(best, n), buckets]
+                hits[full] = np.add.reduceat(own, at[:-1][full], dtype=np.float64)
+            known.append((n > 0) & (hits >= FAMILIAR_GRAMS * n))
             posterior = 1.0 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
             names += [self.langs[b] if c else UNDETERMINED for b, c in zip(best, n)]
             scores.append(np.where(n > 0, posterior, 0.0))
-        return names, np.concatenate(scores) if scores else np.zeros(0)
+        if not scores:
+            return names, np.zeros(0), np.zeros(0, dtype=bool)
+        return names, np.concatenate(scores), np.concatenate(known)
 
 
 def train(labelled: DataFrame) -> LanguageModel:
@@ -122,8 +144,8 @@ def train(labelled: DataFrame) -> LanguageModel:
     n_langs = rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).count()
     if n_langs > MAX_LANGUAGES:
         raise ValueError(f"over {MAX_LANGUAGES} languages; the model is broadcast and has a bounded size")
-    counted = rows.mapInArrow(_count_task, "lang string, bucket int, n long")
-    summed = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counted = rows.mapInArrow(_count_task, "lang string, bucket int, n long, docs long")
+    summed = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).toArrow()
     langs = sorted(set(summed.column("lang").to_pylist()))
     place = {lang: i for i, lang in enumerate(langs)}
     counts = np.zeros((len(langs), 1 << BITS))
@@ -136,7 +158,9 @@ def train(labelled: DataFrame) -> LanguageModel:
     total = counts.sum(axis=1, keepdims=True)
     weights = np.log(counts + SMOOTHING) - np.log(total + SMOOTHING * (1 << BITS))
     priors = np.log(docs) - np.log(max(docs.sum(), 1.0)) if langs else docs
-    return LanguageModel(langs, weights.astype(np.float32), priors)
+    having = np.zeros(counts.shape)
+    having[which[grams_only], bucket[grams_only]] = summed.column("docs").to_numpy()[grams_only]
+    return LanguageModel(langs, weights.astype(np.float32), priors, (having > 0) & (having >= FAMILIAR_DOCS * docs[:, None]))
 
 
 def identify(
@@ -171,30 +195,25 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, languages: Sequence[str] | None = None) -> DataFrame:
-    """Pipeline stage: documents without a letter (null texts, too) go, and with ``languages`` also
-    those that the model names another language for.
+    """Pipeline stage: the model decides which documents stay.
 
-    The model is learned from the stage's own input, if it is asked for; with no row to learn from
-    every text with a letter stays. Columns and texts are left as they are.
+    Documents go whose text is in none of the languages that the model has learned from the stage's own
+    input (``LanguageModel.judge``: most of its n-grams are not familiar to the likeliest language;
+    texts without a letter, null and empty ones are in none), and with ``languages`` also those in
+    another language. With no labelled row there is no model: then
+    only texts without a letter go. Columns and texts are left as they are.
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    lettered = _with_letters(docs)
-    if languages is None:
-        return lettered
     model = train(docs.where(~held_out(F.col("doc_id"))))
     if not model.langs:
-        return lettered
-    named = identify(lettered, model, columns, ("_lid_lang", "_lid_score"))
-    return named.where(F.col("_lid_lang").isin(list(languages))).select(*columns)
-
-
-def _with_letters(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text has a letter."""
-    at = docs.columns.index("text")
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    shared, at, schema = spark.sparkContext.broadcast(model), docs.columns.index("text"), docs.schema
+    wanted = None if languages is None else set(languages)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [any(map(str.isalpha, t)) for t in grams.texts_of(batch.column(at))]
+            names, _, known = shared.value.judge(grams.texts_of(batch.column(at)))
+            keep = known if wanted is None else known & np.array([x in wanted for x in names], dtype=bool)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(task, docs.schema)
+    return docs.select(*columns).mapInArrow(task, schema)

@@ -75,6 +75,38 @@ def test_language_counts_against_brute_force(spark):
     assert names[0] == "x" and names[1:] == ["und"] * 3 and list(scores[1:]) == [0.0] * 3
 
 
+def model_keeps(docs, texts):
+    """By brute force: whether half of a text's n-grams stand in one of 200 documents of the likeliest language."""
+    grams_of = lambda t: language_id.hashed_grams([t])[0].tolist()
+    learned = [(r.text, r.lang) for r in docs.collect() if r.text is not None and r.lang is not None and zlib.crc32(str(r.doc_id if r.doc_id is not None else "").encode()) % 5]
+    langs = sorted({x for _, x in learned})
+    size, out = 1 << language_id.BITS, []
+    for text in texts:
+        found = grams_of(text)
+        best = None
+        for lang in langs:
+            own = [grams_of(t) for t, x in learned if x == lang]
+            counts = np.bincount([g for o in own for g in o], minlength=size)
+            score = np.log((counts[found] + language_id.SMOOTHING) / (counts.sum() + language_id.SMOOTHING * size)).sum() + np.log(len(own))
+            share = np.mean([sum(g in set(o) for o in own) >= max(1, language_id.FAMILIAR_DOCS * len(own)) for g in found[:2000]]) if found else 0.0
+            if best is None or score > best[0]:
+                best = (score, share)
+        out.append(bool(found) and best[1] >= language_id.FAMILIAR_GRAMS)
+    return out
+
+
+def test_language_stage_drops_what_the_model_does_not_know(spark):
+    r = random.Random(4)
+    english, german = "the a plain word of these number lines and some more text is here".split(), "ein kleiner Text über die Äpfel und das Haus ist nicht hier".split()
+    rows = [(i, " ".join(r.choice(english) for _ in range(20)), "en") for i in range(60)] + [(60 + i, " ".join(r.choice(german) for _ in range(20)), "de") for i in range(60)]
+    odd = [(200, "Αυτό είναι ένα κείμενο", None), (201, "xqzj kvwq zzxq qqjx wvkz", "en"), (202, "the plain words of this text are more than some", None), (203, "das Haus und die Äpfel", "de")]
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string")
+    kept = {x.doc_id for x in language_id.language_stage(spark, docs, "").collect()}
+    assert {x for x in kept if x < 200} == set(range(120)) and {200, 202, 203} & kept == {202, 203}
+    assert (201 in kept) == model_keeps(docs, [odd[1][1]])[0]
+    assert {x.doc_id for x in language_id.language_stage(spark, docs, "", ["de"]).collect()} == {*range(60, 120), 203}
+
+
 def test_language_odd_rows_and_empty_table(spark):
     docs = odd_docs(spark)
     model = language_id.train(docs)
@@ -82,7 +114,8 @@ def test_language_odd_rows_and_empty_table(spark):
     und = [r.doc_id for r in out if r.lang_pred == "und"]
     assert len(out) == 10 and sorted(und) == [1, 2, 3, 7]
     kept = language_id.language_stage(spark, docs, "")
-    assert kept.columns == docs.columns and kept.count() == 6
+    texts = [r.text or "" for r in docs.collect()]
+    assert kept.columns == docs.columns and sorted(r.text for r in kept.collect()) == sorted(t for t, k in zip(texts, model_keeps(docs, texts)) if k)
     empty = docs.limit(0)
     assert language_id.language_stage(spark, empty, "").count() == 0
     assert language_id.train(empty).predict(["abc"])[0] == ["und"]
@@ -252,6 +285,14 @@ def test_plan_finds_exact_combinations(counts, size, sequences):
     assert max((s.sequence + s.sequences for s in slots), default=0) == sequences
 
 
+def test_words_remembered_are_bounded_in_bytes():
+    made = []
+    kept = packing.Recent(lambda k: made.append(k) or len(k), 100)
+    for _ in range(2):
+        assert [kept["x" * n] for n in (5, 64, 65, 1_000_000)] == [5, 64, 65, 1_000_000]
+    assert sorted(map(len, made)) == [5, 64, 65, 65, 1_000_000, 1_000_000] and sum(map(len, kept)) == 69
+
+
 def test_packing_against_the_tokenizer(spark):
     from tokenizers import Tokenizer
 
@@ -342,26 +383,54 @@ def test_decoding_equals_plain_viterbi():
         assert total(got[lo:hi].tolist()) == pytest.approx(best, abs=1e-6)
 
 
-def test_field_learns_the_labelled_table(spark):
-    docs = spark.read.parquet(f"{SF_CHECK}/documents.parquet")
-    field = pii_crf.train(docs)
-    assert field is not None
-    clean = ["The plain words of a clean text, with 3 numbers and 2024 dates.", "Another line.\nAnd 15 more."]
-    assert all(not added for _, added in pii_crf.find_spans(clean, field))
-    near = pii_crf.find_spans(["erat the 10.20.30.400 then on"], field)[0]
-    assert near[0] == [] and [s[2] for s in near[1]] == ["ip"]  # a part over 255: the shape alone tells
+MISSED = {
+    "(555) 123-4567": "phone", "tel. 020 7946 0958": "phone", "john.doe at example dot com": "email", "4111 1111 1111 1112": "card",
+    "server at 10.0.0.300": "ip", "erat the 10.20.30.400 then on": "ip", "please call 0171 555 019 or write": "phone",
+}
+
+
+def test_field_adds_forms_that_the_patterns_miss():
+    field = pii_crf.train()
+    for text, kind in MISSED.items():
+        base, added = pii_crf.find_spans([text], field)[0]
+        assert base == [] and [k for _, _, k in added] == [kind], text
+    assert [text[s:f] for text in ["Mail to john.doe at example dot com, thanks"] for s, f, _ in pii_crf.find_spans([text], field)[0][1]] == ["john.doe at example dot com"]
+    clean = ["The plain words of a clean text, with 3 numbers and 2024 dates.", "Another line.\nAnd 15 more.", "on 2024-01-15 at 10:30 we paid $1,299.00", "version 1.2.3 of it",
+             "meet me at home and look at dot matrix 1234", "isbn 978-3-16-148410-0", "1 2 3 4 5 6 7 8 9 0", "2001 2002 2003", "a table 12 345 678 9", "the dot at the end of 1999"]
+    for text, (base, added) in zip(clean, pii_crf.find_spans(clean, field)):
+        assert base == added == [], text
+
+
+def test_field_leaves_documents_alone(spark):
+    texts = [r.text or "" for r in spark.read.parquet(f"{SF_CHECK}/documents.parquet").select("text").collect()]
+    found = pii_crf.find_spans(texts, pii_crf.train())
+    held = [(t[s:f], k) for t, (_, added) in zip(texts, found) for s, f, k in added]
+    assert all(sum(c.isdigit() for c in t) >= 7 for t, _ in held) and len(held) <= 10
+    for text in texts[:200]:  # each line on its own gives the same
+        whole = pii_crf.find_spans([text], pii_crf.train())[0][1]
+        at, lines = 0, []
+        for line in text.split("\n"):
+            lines += [(s + at, f + at, k) for s, f, k in pii_crf.find_spans([line], pii_crf.train())[0][1]]
+            at += len(line) + 1
+        assert whole == lines
+
+
+def test_field_on_one_very_long_line():
+    text = "call (555) 123-4567 " + "1 22 333 4444 " * 60_000 + " or (555) 123-4567"
+    base, added = pii_crf.find_spans([text], pii_crf.train())[0]
+    assert (5, 19, "phone") in added and (len(text) - 14, len(text), "phone") in added
 
 
 def test_pii_query_and_odd_rows(spark):
     docs = odd_docs(spark).unionByName(spark.read.parquet(f"{SF_SMALL}/documents.parquet"), allowMissingColumns=True)
-    field = pii_crf.train(docs)
-    out = pii_crf.find(docs, field).collect()
+    out = pii_crf.find(docs, pii_crf.train()).collect()
     texts = [(str(r.doc_id), r.text or "") for r in docs.select("doc_id", "text").collect()]
     want = sorted((d, *[sum(k == kind for _, _, k in plain_spans(t)) for kind in PATTERNS],
                    hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, e, k in plain_spans(t)).encode()).hexdigest()) for d, t in texts)
     assert sorted((str(r.doc_id), r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in out) == want
     assert all(r.spans.count(":") == 2 * (r.n_email + r.n_ip + r.n_card + r.n_phone + r.n_added) for r in out)
-    assert pii_crf.find(docs.limit(0), pii_crf.train(docs.limit(0))).count() == 0
+    assert all(r.n_spans == r.n_email + r.n_ip + r.n_card + r.n_phone + r.n_added for r in out)
+    assert pii_crf.find(docs.limit(0), pii_crf.train()).count() == 0
     stage = pii_crf.pii_stage(spark, docs, "")
     assert stage.columns == docs.columns and stage.count() == docs.count()
     redacted = stage.where("doc_id = 4").first()
