@@ -38,6 +38,7 @@ SEQUENCE = 4096
 END = 1
 SHARDS = 256
 WORDS_KEPT = 600_000
+KEY_KEPT = 64
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -69,13 +70,15 @@ def _byte_symbols() -> dict[int, str]:
 
 class Recent(dict):
     """Values made on first use, in two generations: what was used since the last turn outlives
-    the next one."""
+    the next one. Keys longer than ``KEY_KEPT`` are made anew each time, so the bytes held are bounded."""
 
     def __init__(self, make: Callable, most: int):
         super().__init__()
         self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key):
+        if len(key) > KEY_KEPT:
+            return self.make(key)
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
@@ -164,7 +167,7 @@ def pieces(docs: DataFrame, vocabulary: str, size: int = SEQUENCE, end: int = EN
             )
 
     cut = docs.select("doc_id", "text").mapInArrow(task, PIECES)
-    return cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SHARDS)).cast("int"))
+    return cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SHARDS)).cast("int"))
 
 
 # --- planning ---------------------------------------------------------------------------
@@ -301,7 +304,9 @@ def pack(docs: DataFrame, vocabulary: str | None = None, size: int = SEQUENCE, e
                 names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
             )
 
-    dealt = cut.repartition("length", "shard")
+    # in an order of their own, so that a task that runs again gives every piece the same rank
+    order = ["length", "shard", "doc_id", "piece", "start", "ids_crc32"]
+    dealt = cut.repartition("length", "shard").sortWithinPartitions(*order)
     return dealt.mapInArrow(
         place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     )
