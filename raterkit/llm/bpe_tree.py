@@ -130,12 +130,8 @@ def _digest(c: ByteCodec, ids: np.ndarray) -> tuple[int, str, str]:
 
 def encode_long(docs: DataFrame, vocabulary: str, leaf: int = LEAF) -> DataFrame:
     """``doc_id, ids`` (little-endian unsigned 32-bit integers) of ``docs(doc_id, text)`` by leaves and joins."""
-    cut = docs.select(
-        "doc_id",
-        F.xxhash64("text").alias("h"),
-        F.explode(F.sequence(F.lit(0), F.floor((F.char_length("text") - 1) / leaf).cast("int"))).alias("seg"),
-        "text",
-    ).select("doc_id", "h", "seg", F.substring("text", F.col("seg") * leaf + 1, F.lit(leaf)).alias("part"))
+    parts = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{leaf}}}"), F.lit(0))  # one pass over the text
+    cut = docs.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(parts).alias("seg", "part"))
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary)
