@@ -5,13 +5,15 @@ frequent phrase of k words, sorted and written as a table in blocks: a row is a
 of one language, its columns are arrays, and positions leave a number out between pieces, so
 that neighbours never span two. Level k + 1 is the merge join of the relation with itself on
 adjacent positions (a phrase can only be frequent if both its parts without an end word are),
-counted by group in Spark; the groups that are frequent are joined back (semi-join) before the next
+counted by group in Spark; the groups that are frequent are joined back (semi-join) and the next
 level is written. Counts are partial sums of tasks, so no word or phrase is one task's.
 
-The semi-join goes through a bit table of fixed size (``BITS``), which is all that is broadcast:
-a group it lets through in error is counted again at the next level and dropped there, so it costs
-time, never a result. Words and phrases in relations are 64-bit hashes; phrases get their texts from
-joins of the frequent groups. Scores are exact (38-digit decimals, integer division).
+Groups are counted twice. The first count is by a 64-bit hash alone and sorts out what cannot be
+frequent, which is most of it; the second is by word, or by phrase and last word, over what is
+left, and is the result. The semi-join goes through a bit table of fixed size (``BITS``), which
+is all that is broadcast: a group that it lets through in error costs time, never a result.
+Relations name words and phrases by their hashes; phrases get their texts from joins of the
+frequent groups. Scores are exact (38-digit decimals, integer division).
 
 Null texts are empty, null languages ``und``. Repeated rows count as often as they stand. No
 rows, or no phrase that is frequent: no rows. Columns other than text and lang are ignored.
@@ -20,7 +22,6 @@ rows, or no phrase that is frequent: no rows. Columns other than text and lang a
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from raterkit.llm import grams
 from raterkit.llm.grams import mix64
 from raterkit.llm.tables import table
 from raterkit.session import cut_lineage, scratch_path
@@ -36,93 +38,99 @@ LONGEST = 5
 LEAST = 100
 REPORTED = 2000
 BITS = 1 << 27
-BLOCK_WORDS = 1 << 16
-WORDS_KEPT = 500_000
-PAIRS_KEPT = 1 << 21
+CHUNK_BYTES = 1 << 18
+WORDS_HELD = 1 << 20  # words, or pairs, that a task sums up before it passes counts on
+ROWS_READ = 256  # documents whose texts are taken from a batch at a time
 
-BREAK = b"."
-_PIECES = bytes.maketrans(b",;:!?\n\x0b\x0c\r", BREAK * 9)
+_BREAKS = b".,;:!?\n\x0b\x0c\r"
+_WORD, _BLANK, _BREAK = 0, 1, 2
 
 
-def words_of(text: bytes) -> list[bytes]:
-    """Lower-cased words, with ``BREAK`` between pieces (no word holds a full stop)."""
-    return text.lower().translate(_PIECES).replace(BREAK, b" . ").split()
+def _classes() -> np.ndarray:
+    kinds = np.zeros(256, dtype=np.uint8)
+    kinds[[0x20, 0x09]] = _BLANK
+    kinds[list(_BREAKS)] = _BREAK
+    return kinds
 
 
-class _WordIds(dict):
-    """Hashes of the words of one language; 0 is the break."""
+_KINDS = _classes()
 
-    def __init__(self, lang: str) -> None:
-        super().__init__({BREAK: 0})
-        self.key = hashlib.blake2b(lang.encode(), digest_size=16).digest()
 
-    def __missing__(self, word: bytes) -> int:
-        found = self.of(word)
-        self[word] = found
-        return found
-
-    def of(self, word: bytes) -> int:
-        return int.from_bytes(hashlib.blake2b(word, digest_size=8, key=self.key).digest(), "little", signed=True) or 1
+def word_runs(texts: list[bytes], lang: str) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The lower-cased texts as one, starts and ends of their words, the words' hashes, and these
+    again with a 0 between words of different pieces (and after the last)."""
+    joined = b".".join(texts).lower() + b"."
+    points = np.frombuffer(joined, dtype=np.uint8)
+    kinds = _KINDS[points]
+    inside = np.concatenate(([False], kinds == _WORD, [False]))
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[0::2], edges[1::2]
+    key = np.frombuffer(hashlib.blake2b(lang.encode(), digest_size=8).digest(), dtype=np.uint64)
+    ids = mix64(grams.span_hashes(points, starts, ends) ^ key).view(np.int64)
+    ids[ids == 0] = 1
+    before = np.cumsum(kinds == _BREAK)[starts]
+    parted = np.concatenate(([0], np.cumsum(before[1:] != before[:-1]))) if len(ids) else np.zeros(0, dtype=np.int64)
+    run = np.zeros(len(ids) + (int(parted[-1]) if len(ids) else 0) + 1, dtype=np.int64)
+    run[np.arange(len(ids)) + parted] = ids
+    return joined, starts.astype(np.int32), ends.astype(np.int32), ids, run
 
 
 SCAN = "kind string, lang string, word string, id long, count long, ids array<long>"
 
 
-def _scan_rows(kind: str, langs: list[str], words: list | None = None, ids: list | None = None, counts: list | None = None, runs: list | None = None) -> pa.RecordBatch:
-    n = len(langs)
+def _scan_rows(kind: str, lang: str, n: int, word=None, id=None, count=None, ids=None) -> pa.RecordBatch:
     none = [None] * n
     return pa.record_batch({
         "kind": pa.array([kind] * n),
-        "lang": pa.array(langs, pa.string()),
-        "word": pa.array(words or none, pa.binary()).cast(pa.string()),
-        "id": pa.array(ids or none, pa.int64()),
-        "count": pa.array(counts or none, pa.int64()),
-        "ids": pa.array(runs or none, pa.list_(pa.int64())),
+        "lang": pa.array([lang] * n, pa.string()),
+        "word": pa.array(word or none, pa.binary()).cast(pa.string()),
+        "id": pa.array(none if id is None else id, pa.int64()),
+        "count": pa.array(none if count is None else count, pa.int64()),
+        "ids": pa.array(ids or none, pa.list_(pa.int64())),
     })
 
 
-def _scan(block: int, kept: int) -> Callable:
-    """Word counts (partial sums of at most ``kept`` words) and runs of ``block`` word ids or more."""
+def _word_counts(lang: str, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """Counts of the words of some chunks, and their sum."""
+    ids = np.concatenate([h[3] for h in held])
+    if not len(ids):
+        return
+    found, first, n = np.unique(ids, return_index=True, return_counts=True)
+    before = np.cumsum([0, *[len(h[3]) for h in held]])
+    words: list[bytes] = [b""] * len(found)
+    order = np.argsort(first)
+    cuts = np.searchsorted(first[order], before)
+    for h, base, lo, hi in zip(held, before, cuts, cuts[1:]):  # chunk by chunk
+        at = first[order[lo:hi]] - base
+        for k, s, e in zip(order[lo:hi].tolist(), h[1][at].tolist(), h[2][at].tolist()):
+            words[k] = h[0][s:e]
+    yield _scan_rows("words", lang, len(found), word=words, id=found, count=n)
+    yield _scan_rows("totals", lang, 1, count=[len(ids)])
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: dict[str, _WordIds] = {}
-        counts: dict[str, Counter] = {}
-        held: dict[str, list[np.ndarray]] = {}
-        sizes: Counter = Counter()
 
-        def counted() -> Iterator[pa.RecordBatch]:
-            for lang, found in counts.items():
-                found.pop(BREAK, None)
-                if found:
-                    words = list(found)
-                    yield _scan_rows("words", [lang] * len(words), words, [ids[lang].of(w) for w in words], list(found.values()))
-            counts.clear()
-            ids.clear()
-
-        def run(lang: str) -> pa.RecordBatch:
-            del sizes[lang]
-            return _scan_rows("runs", [lang], runs=[np.concatenate(held.pop(lang))])
+def _scan(most: int) -> Callable:
+    """Runs of word hashes, a row per chunk of texts, and counts of words, summed over ``most`` at a time."""
 
-        for batch in batches:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[tuple]] = {}
+        size = 0
+        for batch in (b.slice(at, ROWS_READ) for b in batches for at in range(0, b.num_rows, ROWS_READ)):
+            texts: dict[str, list[bytes]] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                words = words_of(text)
-                if not words:
-                    continue
-                words.append(BREAK)
-                if lang not in ids:
-                    ids[lang], counts[lang] = _WordIds(lang), Counter()
-                counts[lang].update(words)
-                held.setdefault(lang, []).append(np.fromiter(map(ids[lang].__getitem__, words), np.int64, len(words)))
-                sizes[lang] += len(words)
-                if sizes[lang] >= block:
-                    yield run(lang)
-                if sum(map(len, counts.values())) > kept or len(ids) > 1000:
-                    yield from counted()
-            for lang in list(held) if sizes.total() > 16 * block else []:
-                yield run(lang)
-        yield from counted()
-        for lang in list(held):
-            yield run(lang)
+                texts.setdefault(lang, []).append(text)
+            for lang, own in texts.items():
+                for lo, hi in grams.chunks(own, CHUNK_BYTES):
+                    found = word_runs(own[lo:hi], lang)
+                    if len(found[3]):
+                        yield _scan_rows("runs", lang, 1, ids=[found[4]])
+                        held.setdefault(lang, []).append(found[:4])
+                        size += len(found[3])
+                    if size >= most:
+                        for name, parts in held.items():
+                            yield from _word_counts(name, parts)
+                        held, size = {}, 0
+        for name, parts in held.items():
+            yield from _word_counts(name, parts)
 
     return scan
 
@@ -138,70 +146,98 @@ def _among(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)).astype(np.int64)) & 1 == 1
 
 
-def _occurrences(batch: pa.RecordBatch, bits: np.ndarray | None) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
-    """``lang, position, phrase, last word`` of each row of a relation; level 1, the runs of words, is
-    cut to its frequent words by ``bits``."""
+def _occurrences(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
+    """``lang, position, phrase, last word`` of each row of a relation; level 1 is the runs of words."""
     for i in range(batch.num_rows):
         row = {c: batch.column(c)[i].values.to_numpy() for c in batch.schema.names if c != "lang"}
+        lang = batch.column("lang")[i].as_py()
         if "ids" in row:
             at = np.flatnonzero(row["ids"])
-            at = at[_among(bits, row["ids"][at])]
-            yield batch.column("lang")[i].as_py(), at.astype(np.int32), row["ids"][at], row["ids"][at]
+            yield lang, at.astype(np.int32), row["ids"][at], row["ids"][at]
         else:
-            yield batch.column("lang")[i].as_py(), row["position"], row["phrase"], row["last"]
+            yield lang, row["position"], row["phrase"], row["last"]
+
 
+def _adjacent(batch: pa.RecordBatch, bits: np.ndarray) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The merge join of each row with itself on adjacent positions: ``lang, position, phrase, next word``
+    and hash of the joint phrase. Occurrences of phrases that are not frequent are left out first."""
+    for lang, position, phrase, last in _occurrences(batch):
+        keep = _among(bits, phrase)
+        position, phrase, last = position[keep], phrase[keep], last[keep]
+        at = np.flatnonzero(position[1:] - position[:-1] == 1)
+        if len(at):
+            yield lang, position[at], phrase[at], last[at + 1], _extended(phrase[at], last[at + 1])
 
-def _pair_counts(bits) -> Callable:
-    """Counts of (phrase, next word) over a relation, as partial sums."""
+
+def _hash_counts(bits, most: int) -> Callable:
+    """Partial counts of joint phrases by hash."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
-        size = 0
+        held: list[np.ndarray] = []
 
-        def summed() -> Iterator[pa.RecordBatch]:
-            for lang, parts in held.items():
-                prefix, word = (np.concatenate(x) for x in zip(*parts, strict=True))
-                _, first, n = np.unique(_extended(prefix, word), return_index=True, return_counts=True)
-                yield pa.record_batch({"lang": pa.array([lang] * len(n), pa.string()), "prefix": pa.array(prefix[first]), "word": pa.array(word[first]), "count": pa.array(n, pa.int64())})
+        def summed() -> pa.RecordBatch:
+            found, n = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
+            return pa.record_batch({"id": pa.array(found), "n": pa.array(n, pa.int64())})
 
+        size = 0
         for batch in batches:
-            for lang, position, phrase, last in _occurrences(batch, bits.value if bits else None):
-                at = np.flatnonzero(position[1:] - position[:-1] == 1)
-                if len(at):
-                    held.setdefault(lang, []).append((phrase[at], last[at + 1]))
-                    size += len(at)
-                if size > PAIRS_KEPT:
-                    yield from summed()
+            for *_, joint in _adjacent(batch, bits.value):
+                held.append(joint)
+                size += len(joint)
+                if size >= most:
+                    yield summed()
                     size = 0
-        yield from summed()
+        if held:
+            yield summed()
 
     return count
 
 
-def _next_level(bits, frequent) -> Callable:
-    """The relation of the next level: adjacent occurrences whose joint phrase is frequent."""
+LEVEL = "kind string, lang string, prefix long, word long, id long, count long, position array<int>, phrase array<long>, last array<long>"
+
+
+def _next_level(bits, frequent, most: int) -> Callable:
+    """The relation of the next level, and exact partial counts of its phrases."""
+
+    def rows(kind: str, lang: str, n: int, **columns) -> pa.RecordBatch:
+        out = {"kind": pa.array([kind] * n), "lang": pa.array([lang] * n, pa.string())}
+        for name in ("prefix", "word", "id", "count"):
+            out[name] = pa.array(columns.get(name, [None] * n), pa.int64())
+        for name, of in (("position", pa.int32()), ("phrase", pa.int64()), ("last", pa.int64())):
+            out[name] = pa.array([columns[name]] if name in columns else [None] * n, pa.list_(of))
+        return pa.record_batch(out)
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[tuple]] = {}
+        size = 0
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            for name, parts in held.items():
+                prefix, word, joint = (np.concatenate(x) for x in zip(*parts, strict=True))
+                order = np.lexsort((word, prefix))
+                prefix, word, joint = prefix[order], word[order], joint[order]
+                first = np.flatnonzero(np.concatenate(([True], (prefix[1:] != prefix[:-1]) | (word[1:] != word[:-1]))))
+                n = np.diff(np.append(first, len(prefix)))
+                yield rows("counts", name, len(first), prefix=prefix[first], word=word[first], id=joint[first], count=n)
+            held.clear()
+
         for batch in batches:
-            for lang, position, phrase, last in _occurrences(batch, bits.value if bits else None):
-                at = np.flatnonzero(position[1:] - position[:-1] == 1)
-                longer = _extended(phrase[at], last[at + 1])
-                keep = _among(frequent.value, longer)
+            for lang, position, phrase, last, joint in _adjacent(batch, bits.value):
+                keep = _among(frequent.value, joint)
                 if keep.any():
-                    at, longer = at[keep], longer[keep]
-                    columns = {"position": position[at], "phrase": longer, "last": last[at + 1]}
-                    yield pa.record_batch({"lang": pa.array([lang])} | {c: pa.array([v], pa.list_(pa.from_numpy_dtype(v.dtype))) for c, v in columns.items()})
+                    position, phrase, last, joint = position[keep], phrase[keep], last[keep], joint[keep]
+                    held.setdefault(lang, []).append((phrase, last, joint))
+                    size += len(joint)
+                    yield rows("occurrences", lang, 1, position=position.astype(np.int32), phrase=joint, last=last)
+                if size >= most:
+                    yield from counted()
+                    size = 0
+        yield from counted()
 
     return extend
 
 
-def _with_id(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        made = _extended(batch.column("prefix").to_numpy(), batch.column("word").to_numpy())
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made)], names=[*batch.schema.names, "id"])
-
-
 def _bit_table(spark: SparkSession, frequent: DataFrame):
     """The ids of ``frequent`` as a broadcast table of ``BITS`` bits (``BITS / 64`` rows at most come here)."""
     slot = F.col("id").bitwiseAND(F.lit(BITS - 1))
@@ -212,34 +248,40 @@ def _bit_table(spark: SparkSession, frequent: DataFrame):
     return spark.sparkContext.broadcast(found)
 
 
+def _parts(spark: SparkSession, rows: DataFrame, name: str) -> Callable:
+    """Write rows of several kinds once; each kind is read from a folder of its own."""
+    path = scratch_path(spark, name)
+    rows.write.partitionBy("kind").parquet(path)
+    written = spark.read.schema(rows.schema).parquet(path)
+    return lambda kind, *columns: written.where(F.col("kind") == kind).select(*columns)
+
+
 def frequent_phrases(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     """``lang, phrase, words, f`` of all phrases of up to ``LONGEST`` words found ``least`` times or
     more, and ``lang, n``, the count of all words."""
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    path = scratch_path(spark, "occurrences")
-    texts.mapInArrow(_scan(BLOCK_WORDS, WORDS_KEPT), SCAN).write.partitionBy("kind").parquet(path)
-    scanned = spark.read.schema(SCAN).parquet(path)
-    runs = scanned.where("kind = 'runs'").select("lang", "ids")
-    counts = cut_lineage(scanned.where("kind = 'words'").groupBy("lang", "id", "word").agg(F.sum("count").alias("f")), "words")
-    totals = counts.groupBy("lang").agg(F.sum("f").alias("n"))
-    words = cut_lineage(counts.where(F.col("f") >= least).select("lang", "id", F.col("word").alias("phrase"), "f"), "frequent")
+    scanned = _parts(spark, texts.mapInArrow(_scan(WORDS_HELD), SCAN), "words")
+    totals = scanned("totals", "lang", "count").groupBy("lang").agg(F.sum("count").alias("n"))
+    counts = scanned("words", "lang", "word", "id", "count")
+    often = cut_lineage(counts.groupBy("id").agg(F.sum("count").alias("f")).where(F.col("f") >= least).select("id"), "often")
+    exact = counts.join(often, "id").groupBy("lang", "word", "id").agg(F.sum("count").alias("f")).where(F.col("f") >= least)
+    words = cut_lineage(exact.select("lang", "id", F.col("word").alias("phrase"), "f"), "frequent")
     last_words = words.select("lang", F.col("id").alias("word"), F.col("phrase").alias("last_word"))
-    relation, level, found = runs, words, [words.select("lang", "phrase", F.lit(1).alias("words"), "f")]
-    bits = _bit_table(spark, words)
+    relation, level, found = scanned("runs", "lang", "ids"), words, [words.select("lang", "phrase", F.lit(1).alias("words"), "f")]
     for k in range(2, LONGEST + 1):
-        pairs = relation.mapInArrow(_pair_counts(bits), "lang string, prefix long, word long, count long")
-        counted = pairs.groupBy("lang", "prefix", "word").agg(F.sum("count").alias("f")).where(F.col("f") >= least)
-        counted = counted.mapInArrow(_with_id, "lang string, prefix long, word long, f long, id long")
+        bits = _bit_table(spark, level)
+        by_hash = relation.mapInArrow(_hash_counts(bits, WORDS_HELD), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+        often = _bit_table(spark, by_hash.where(F.col("n") >= least).select("id"))
+        of_level = _parts(spark, relation.mapInArrow(_next_level(bits, often, WORDS_HELD), LEVEL), f"level-{k}")
+        exact = of_level("counts", "lang", "prefix", "word", "id", "count").groupBy("lang", "prefix", "word", "id").agg(F.sum("count").alias("f"))
         starts = level.select("lang", F.col("id").alias("prefix"), F.col("phrase").alias("start"))
-        named = counted.join(starts, ["lang", "prefix"]).join(last_words, ["lang", "word"])
+        named = exact.where(F.col("f") >= least).join(starts, ["lang", "prefix"]).join(last_words, ["lang", "word"])
         level = cut_lineage(named.select("lang", "id", F.concat_ws(" ", "start", "last_word").alias("phrase"), "f"), "frequent")
         found.append(level.select("lang", "phrase", F.lit(k).alias("words"), "f"))
-        if k == LONGEST or level.isEmpty():
+        relation = of_level("occurrences", "lang", "position", "phrase", "last")
+        if level.isEmpty():
             break
-        of_level = _bit_table(spark, level)
-        schema = "lang string, position array<int>, phrase array<long>, last array<long>"
-        relation, bits = cut_lineage(relation.mapInArrow(_next_level(bits, of_level), schema), "occurrences"), None
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)

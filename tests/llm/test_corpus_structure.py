@@ -48,9 +48,8 @@ def test_collocations_against_brute_force(spark, monkeypatch):
     gaps = [" ", " ", " ", "\t ", "  ", ", ", ".", "\n", "\r\n", "?!", "\x0b", "\x85"]
     docs = [(r.choice(["en", "fr", None, "und"]), "".join(r.choice(vocabulary[: r.choice((3, 10))]) + r.choice(gaps) for _ in range(r.randint(0, 30)))) for _ in range(150)]
     docs += [("en", None), (None, None), ("en", ""), ("de", " \t.,"), ("de", "only once said"), ("fr", "the same row again and again, the same row")] + [("fr", "one two three four five six seven")] * 9
-    for size in (5, 1 << 16):
-        monkeypatch.setattr(collocations, "BLOCK_WORDS", size)
-        monkeypatch.setattr(collocations, "WORDS_KEPT", size)
+    for size in (50, 1 << 21):
+        monkeypatch.setattr(collocations, "WORDS_HELD", size)
         assert found_phrases(spark, docs, 4, 25) == plain_collocations(docs, 4, 25)
 
 
