@@ -35,8 +35,12 @@ DIGIT = "(?U)" + DIGIT_PATTERN
 _DIGITS = [chr(c) for c in range(128, sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Nd"]
 _DIGIT_VALUES = "".join(str(unicodedata.decimal(c)) for c in _DIGITS)
 
-# Whole-string JSON object guard: Spark's JSON reader would accept trailing text.
-_WHOLE_OBJECT = r"^\s*\{[\s\S]*\}\s*$"
+# A text that can be one JSON object begins and ends with braces.
+_BRACED = r"^\s*\{[\s\S]*\}\s*$"
+# The reader stops after a value, so only what stands inside another value is read to its end.
+_IN_LIST = "v array<struct<_:string>>, _rest string"
+_IN_OBJECT = "v struct<_:string>, _rest string"
+_STRICT_JSON = {"allowSingleQuotes": "false", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_rest"}
 _RAW_JSON_SCHEMA = "grammar string, lexical string, coherence string, task string"
 
 SCORES_TYPE = "struct<grammar:bigint,lexical:bigint,coherence:bigint,task:bigint>"
@@ -90,11 +94,25 @@ def parse_method(raw: Column | str) -> Column:
     )
 
 
+def is_json_object(text: Column | str) -> Column:
+    """Whether the whole text is one JSON object: nothing but white space after it, no second object.
+
+    The text is read twice, as the only element of a list and as a member of an object. What follows the
+    first object would have to begin with a bracket, or a comma and a value, to pass the one, and with a
+    brace, or a comma and a name with a colon, to pass the other; nothing does both.
+    """
+    t = _col(text)
+    in_list = F.from_json(F.concat(F.lit('{"v":['), t, F.lit("]}")), _IN_LIST, _STRICT_JSON)
+    in_object = F.from_json(F.concat(F.lit('{"v":'), t, F.lit("}")), _IN_OBJECT, _STRICT_JSON)
+    one = (F.size(in_list["v"]) == 1) & in_list["_rest"].isNull() & in_object["v"].isNotNull() & in_object["_rest"].isNull()
+    return F.when(t.rlike(_BRACED), F.coalesce(one, F.lit(False))).otherwise(F.lit(False))
+
+
 def raw_json_field(raw: Column | str, key: str) -> Column:
     """The value of ``key`` when the whole raw text is one JSON object, else NULL (as string)."""
     r = _col(raw)
     obj = F.from_json(r, _RAW_JSON_SCHEMA, {"allowSingleQuotes": "false", "mode": "PERMISSIVE"})
-    return F.when(F.coalesce(r.rlike(_WHOLE_OBJECT), F.lit(False)), obj.getField(key))
+    return F.when(is_json_object(r), obj.getField(key))
 
 
 def score_field(parsed: Column | str, raw: Column | str, key: str) -> Column:
@@ -135,9 +153,8 @@ def with_scores(df, parsed: str = "parsed", raw: str = "raw"):
     """
     p = F.col(parsed)
     r = F.col(raw)
-    whole = F.coalesce(r.rlike(_WHOLE_OBJECT), F.lit(False))
     fallback = F.from_json(r, _RAW_JSON_SCHEMA, {"allowSingleQuotes": "false", "mode": "PERMISSIVE"})
-    staged = df.withColumn("_raw_json", F.when(p.isNull() & whole, fallback))
+    staged = df.withColumn("_raw_json", F.when(p.isNull() & F.coalesce(r.rlike(_BRACED), F.lit(False)), F.when(is_json_object(r), fallback)))
     scores = {
         k: F.when(p.isNotNull(), p.getField(k).try_cast("double")).otherwise(
             F.col("_raw_json").getField(k).try_cast("double"))

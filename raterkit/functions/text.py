@@ -197,6 +197,11 @@ def path_safe(c: Column | str) -> Column:
     return F.translate(_col(c), "/\\", "__")
 
 
+def path_safe_name(name: str) -> str:
+    """T10 for a name the caller holds (a parameter, not data)."""
+    return name.replace("/", "_").replace("\\", "_")
+
+
 def status_column_name(c: Column | str) -> Column:
     """T11: 'Flagged for Review' -> 'flagged_for_review'."""
     return F.lower(F.replace(_col(c), F.lit(" "), F.lit("_")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from raterkit.functions.parse import SCORES_TYPE, with_scores
@@ -30,12 +30,21 @@ def sample_map(samples: DataFrame) -> DataFrame:
         pick("question", "prompt").alias("prompt_question"),
         order.alias("_order"),
     ).where(F.col("question_id").isNotNull() & (F.col("question_id") != ""))
-    # first non-null per question: rows whose value is NULL carry a NULL ordering and are skipped
-    return s.groupBy("question_id").agg(
-        F.min_by("prompt_category", F.when(F.col("prompt_category").isNotNull(), F.col("_order"))).alias("prompt_category"),
-        F.min_by("prompt_question", F.when(F.col("prompt_question").isNotNull(), F.col("_order"))).alias("prompt_question"),
+    # the first row with a value, as a number per question (a hash aggregate); the few rows that these
+    # numbers name are joined back, and ties among them go to the smaller value
+    firsts = s.groupBy("question_id").agg(
+        F.min(F.when(F.col("prompt_category").isNotNull(), F.col("_order"))).alias("_category_at"),
+        F.min(F.when(F.col("prompt_question").isNotNull(), F.col("_order"))).alias("_question_at"),
     )
 
+    def first_of(column: str, at: str) -> DataFrame:
+        named = s.select("question_id", "_order", column).join(firsts.select("question_id", F.col(at).alias("_order")), ["question_id", "_order"])
+        order = Window.partitionBy("question_id").orderBy(F.col(column).asc_nulls_last())
+        return named.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("question_id", column)
+
+    out = firsts.select("question_id").join(first_of("prompt_category", "_category_at"), "question_id", "left")
+    return out.join(first_of("prompt_question", "_question_at"), "question_id", "left")
+
 
 def essay_id(respondent: F.Column, question: F.Column, row: F.Column) -> F.Column:
     """``respondent|question|row``; a NULL component becomes '' (not the text 'None')."""
@@ -60,6 +69,11 @@ def _mapped(responses: DataFrame, prompt_map: DataFrame) -> DataFrame:
     return ids.join(prompt_map.where(F.col("prompt_category").isNotNull()).select("question_id"), "question_id", "left_semi")
 
 
+def has_category(rows: DataFrame, prompt_map: DataFrame) -> bool:
+    """Whether the map has a category for any question of the rows."""
+    return not _mapped(rows, prompt_map).isEmpty()
+
+
 def _fallback(present: set[str]) -> str:
     return next((c for c in ("category", "topic") if c in present), "question_id")
 
@@ -120,7 +134,7 @@ def align_inputs(responses: DataFrame, prompt_map: DataFrame | None = None, sour
     optional = ["prompt_category", "category", "topic", "prompt_question", "question", "prompt"]
     if source is None:
         present = values_present(kept, optional)
-        mapped = prompt_map is not None and "prompt_category" not in present and not _mapped(kept, prompt_map).isEmpty()
+        mapped = prompt_map is not None and "prompt_category" not in present and has_category(kept, prompt_map)
         source = "samples.category" if mapped or "prompt_category" in present else _fallback(present)
     else:
         present = {c for c in optional if c in responses.columns}

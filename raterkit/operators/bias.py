@@ -80,25 +80,65 @@ def essay_pairs(essays: DataFrame, first: int = 1, second: int = 2, dropna: bool
     )
 
 
-def severity_ttest(essays: DataFrame, first: int = 1, second: int = 2, names: tuple[str | None, str | None] | None = None) -> DataFrame:
-    """M2: paired t-test of essay means, model 1 minus model 2.
+def all_pairs(essays: DataFrame) -> DataFrame:
+    """J2 for every pair of models in one pass: ``model_1, model_2`` (in order of name) and ``diff``, a row
+    per essay that both have a mean for.
 
-    No row when fewer than two models or no complete pair. When all differences are
-    equal (incl. one pair) t = 0, p = 1 and ``degenerate`` is true.
+    One exchange on the essay id brings the essay's vector of model means together (a row per model); its
+    pairs are made there and go into the partial sums of the pair, so they are not shuffled.
     """
-    pairs = essay_pairs(essays, first, second, names=names)
-    agg = pairs.groupBy("model_1", "model_2").agg(
+    scored = essays.where("mean_total is not null and model is not null")
+    means = scored.groupBy("essay_id").agg(F.array_sort(F.collect_list(F.struct("model", "mean_total"))).alias("m"))
+    later = lambda x, i: F.transform(
+        F.slice(F.col("m"), i + 2, F.size("m")),
+        lambda y: F.struct(x["model"].alias("model_1"), y["model"].alias("model_2"), (x["mean_total"] - y["mean_total"]).alias("diff"),
+                           ((x["mean_total"] + y["mean_total"]) / 2.0).alias("pair_mean")),
+    )
+    pairs = means.where(F.size("m") >= 2).select("essay_id", F.explode(F.flatten(F.transform("m", later))).alias("p"))
+    return pairs.select("essay_id", "p.*")
+
+
+def pair_moments(pairs: DataFrame) -> DataFrame:
+    """Per pair of models: ``n_pairs, mean_diff, sd_diff`` and whether all differences are equal."""
+    return pairs.groupBy("model_1", "model_2").agg(
         F.count(F.lit(1)).alias("n_pairs"),
         F.avg("diff").alias("mean_diff"),
         F.stddev_samp("diff").alias("sd_diff"),
         (F.min("diff") == F.max("diff")).alias("degenerate"),
     )
+
+
+def ttest_of(moments: DataFrame) -> DataFrame:
+    """M2 from the moments of pairs: t = 0, p = 1 and ``degenerate`` where all differences are equal."""
     t = F.col("mean_diff") / (F.col("sd_diff") / F.sqrt(F.col("n_pairs").cast("double")))
     tstat = F.when(F.col("degenerate"), F.lit(0.0)).otherwise(t)
-    p = F.when(F.col("degenerate"), F.lit(1.0)).otherwise(
-        student_t_two_sided_p(t, (F.col("n_pairs") - 1).cast("double"))
-    )
-    return agg.select("model_1", "model_2", tstat.alias("tstat"), p.alias("pvalue"), "n_pairs", "degenerate")
+    p = F.when(F.col("degenerate"), F.lit(1.0)).otherwise(student_t_two_sided_p(t, (F.col("n_pairs") - 1).cast("double")))
+    return moments.select("model_1", "model_2", tstat.alias("tstat"), p.alias("pvalue"), "n_pairs", "degenerate")
+
+
+def limits_of(moments: DataFrame, z: float = LOA_Z) -> DataFrame:
+    """M3 from the moments of pairs."""
+    mean, sd = F.col("mean_diff"), F.col("sd_diff")
+    return moments.select("model_1", "model_2", "n_pairs", mean.alias("bias"), "sd_diff", (mean - z * sd).alias("loa_lower"), (mean + z * sd).alias("loa_upper"))
+
+
+def severity_ttest_all(essays: DataFrame) -> DataFrame:
+    """M2 for every pair of models that share an essay."""
+    return ttest_of(pair_moments(all_pairs(essays)))
+
+
+def bland_altman_all(essays: DataFrame, z: float = LOA_Z) -> DataFrame:
+    """M3 for every pair of models that share an essay."""
+    return limits_of(pair_moments(all_pairs(essays)), z)
+
+
+def severity_ttest(essays: DataFrame, first: int = 1, second: int = 2, names: tuple[str | None, str | None] | None = None) -> DataFrame:
+    """M2: paired t-test of essay means, model 1 minus model 2.
+
+    No row when fewer than two models or no complete pair. When all differences are
+    equal (incl. one pair) t = 0, p = 1 and ``degenerate`` is true.
+    """
+    return ttest_of(pair_moments(essay_pairs(essays, first, second, names=names)))
 
 
 def significance(ttest: DataFrame, level: float = SIGNIFICANCE_LEVEL) -> DataFrame:
@@ -116,17 +156,7 @@ def significance(ttest: DataFrame, level: float = SIGNIFICANCE_LEVEL) -> DataFra
 def bland_altman(essays: DataFrame, first: int = 1, second: int = 2, z: float = LOA_Z,
                  names: tuple[str | None, str | None] | None = None) -> DataFrame:
     """M3: bias = mean difference, limits = bias -/+ z * sample sd, over complete pairs."""
-    pairs = essay_pairs(essays, first, second, names=names)
-    agg = pairs.groupBy("model_1", "model_2").agg(
-        F.count(F.lit(1)).alias("n_pairs"),
-        F.avg("diff").alias("bias"),
-        F.stddev_samp("diff").alias("sd_diff"),
-    )
-    return agg.select(
-        "model_1", "model_2", "n_pairs", "bias", "sd_diff",
-        (F.col("bias") - z * F.col("sd_diff")).alias("loa_lower"),
-        (F.col("bias") + z * F.col("sd_diff")).alias("loa_upper"),
-    )
+    return limits_of(pair_moments(essay_pairs(essays, first, second, names=names)), z)
 
 
 def topic_means(essays: DataFrame) -> DataFrame:

@@ -10,17 +10,18 @@ grand mean g:
     SSE = SSW - SSC                      MSE = SSE / ((n - 1)(k - 1))
     ICC = (MSB - MSE) / (MSB + (k - 1) MSE)
 
-Plan (one scan, two shuffles of the data, no join back to it):
+Plan (one scan, no join back to it):
 
 1. A2: duplicate runs collapse with a partial aggregate on (model, essay, run);
    afterwards an essay has at most k rows, so the essay window is bounded.
-2. Window over (model, essay): essay size and mean.
-3. The per-model run count k is a (model)-grain table; AQE broadcasts it after
-   measuring it.
-4. One aggregate on (model, run): in a balanced design every essay has exactly
-   one cell per run, so each run group sees all n essay means (their population
-   variance gives SSB) plus the run mean and the within-essay squares.
-5. One aggregate per model over the tiny (model x run) table.
+2. Window over (model, essay): its number of scored runs and its mean.
+3. One aggregate on (model, run, number of scored runs): an essay is balanced when that
+   number is the model's k, and in a balanced design every essay has exactly one cell per
+   run, so each run's group sees all n essay means (their population variance gives SSB)
+   plus the run mean and the within-essay squares.
+4. On that table of at most k * k rows per model: k, and one aggregate per model.
+
+Cells written in buckets by (model, essay) (``operators.cells``) need no exchange for 1 and 2.
 
 Every variance is a centred, numerically stable Spark aggregate.
 """
@@ -32,54 +33,43 @@ from pyspark.sql import functions as F
 
 
 def collapse_runs(aligned: DataFrame) -> DataFrame:
-    """A2: mean total per (model, essay, run) over scored responses."""
-    return (
-        aligned.where(F.col("total_score").isNotNull())
-        .groupBy("model", "essay_id", "run")
-        .agg(F.avg("total_score").alias("x"))
-    )
+    """A2: mean total per (model, essay, run); NULL where no response of the run is scored."""
+    return aligned.groupBy("model", "essay_id", "run").agg(F.avg("total_score").alias("x"))
 
 
 ICC_COUNTS = ["icc_n_essays_total", "icc_n_essays_balanced", "icc_n_raters"]
 
 
-def icc_stats(aligned: DataFrame) -> DataFrame:
-    """M1 for the models that have scores: model, icc_total, and the counts ``ICC_COUNTS``.
+def icc_of_runs(runs: DataFrame) -> DataFrame:
+    """M1 from collapsed runs (``model, essay_id, run, x``): model, icc_total and ``ICC_COUNTS``.
 
-    One read of the responses: the number of runs per model comes from the collapsed cells,
-    whose exchange both branches share. ICC is NULL when k < 2, n < 2 or the denominator is 0.
+    ICC is NULL when k < 2, n < 2 or the denominator is 0; a model without scores has counts 0.
     """
-    collapsed = collapse_runs(aligned)
-    runs = collapsed.groupBy("model", "run").agg(F.count("x").alias("scored"))
-    raters = runs.groupBy("model").agg(F.count(F.when(F.col("scored") > 0, 1)).alias("k"))
-
     essay = Window.partitionBy("model", "essay_id")
-    cells = (
-        collapsed
-        .withColumn("n_e", F.count(F.lit(1)).over(essay))
-        .withColumn("m_e", F.avg("x").over(essay))
-        .withColumn("first_of_essay", F.col("run") == F.min("run").over(essay))
-        .join(raters, "model")
-    )
-    bal = F.col("n_e") == F.col("k")
-    per_run = cells.groupBy("model", "run").agg(
+    scored = F.col("x").isNotNull()
+    cells = runs.withColumns({
+        "n_e": F.count("x").over(essay),
+        "m_e": F.avg("x").over(essay),
+        "first_of_essay": F.coalesce(F.col("run") == F.min(F.when(scored, F.col("run"))).over(essay), F.lit(False)),
+    })
+    per_run = cells.groupBy("model", "run", "n_e").agg(
         F.sum(F.col("first_of_essay").cast("long")).alias("essays"),
-        F.sum((F.col("first_of_essay") & bal).cast("long")).alias("essays_bal"),
-        F.count(F.when(bal, F.lit(1))).alias("n"),
-        F.avg(F.when(bal, F.col("x"))).alias("m_r"),
-        F.var_pop(F.when(bal, F.col("m_e"))).alias("var_e"),
-        F.sum(F.when(bal, (F.col("x") - F.col("m_e")) ** 2)).alias("ssw"),
-        F.first("k").alias("k"),
+        F.count("x").alias("n"),
+        F.avg("x").alias("m_r"),
+        F.var_pop(F.when(scored, F.col("m_e"))).alias("var_e"),
+        F.sum((F.col("x") - F.col("m_e")) ** 2).alias("ssw"),
     )
-    # runs without any balanced cell exist only when nothing is balanced (then n = 0)
+    scored_runs = F.collect_set(F.when(F.col("n") > 0, F.col("run"))).over(Window.partitionBy("model"))
+    per_run = per_run.withColumn("k", F.size(scored_runs).cast("long"))
+    bal = (F.col("n_e") == F.col("k")) & (F.col("n") > 0)
     per_model = per_run.groupBy("model").agg(
         F.sum("essays").alias("icc_n_essays_total"),
-        F.sum("essays_bal").alias("icc_n_essays_balanced"),
-        F.first("k").alias("icc_n_raters"),
-        F.max("n").alias("n"),
-        F.max("var_e").alias("var_e"),
-        F.var_pop(F.when(F.col("n") > 0, F.col("m_r"))).alias("var_r"),
-        F.sum("ssw").alias("ssw"),
+        F.coalesce(F.sum(F.when(bal, F.col("essays"))), F.lit(0)).alias("icc_n_essays_balanced"),
+        F.max("k").alias("icc_n_raters"),
+        F.max(F.when(bal, F.col("n"))).alias("n"),
+        F.max(F.when(bal, F.col("var_e"))).alias("var_e"),
+        F.var_pop(F.when(bal, F.col("m_r"))).alias("var_r"),
+        F.sum(F.when(bal, F.col("ssw"))).alias("ssw"),
     )
     k = F.col("icc_n_raters").cast("double")
     n = F.col("n").cast("double")
@@ -93,6 +83,11 @@ def icc_stats(aligned: DataFrame) -> DataFrame:
     return per_model.select("model", icc.alias("icc_total"), *[F.col(c).cast("long").alias(c) for c in ICC_COUNTS])
 
 
+def icc_stats(aligned: DataFrame) -> DataFrame:
+    """``icc_of_runs`` of aligned responses."""
+    return icc_of_runs(collapse_runs(aligned))
+
+
 def with_counts(df: DataFrame) -> DataFrame:
     """Counts of models without scores are 0."""
     return df.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ICC_COUNTS})
@@ -103,5 +98,4 @@ def icc_by_model(aligned: DataFrame) -> DataFrame:
 
     Every model of the input appears; one without scores has counts 0 and NULL ICC.
     """
-    models = aligned.where(F.col("model").isNotNull()).select("model").distinct()
-    return with_counts(models.join(icc_stats(aligned), "model", "left"))
+    return icc_stats(aligned.where(F.col("model").isNotNull()))

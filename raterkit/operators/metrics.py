@@ -33,10 +33,6 @@ ESSAY_OUTPUT = [
 ]
 
 
-def _attributes(df: DataFrame) -> list[str]:
-    return [c for c in ESSAY_ATTRIBUTES if c in df.columns]
-
-
 def collapse_duplicate_runs(aligned: DataFrame) -> DataFrame:
     """One row per (model, essay, run): the mean total of repeated responses of a run."""
     return aligned.groupBy(*ESSAY_KEYS, "run").agg(F.avg("total_score").alias("total_score"))
@@ -52,50 +48,122 @@ def attach_prompts(essays: DataFrame, prompts: DataFrame) -> DataFrame:
     return out.select(*[c for c in ESSAY_OUTPUT if c in out.columns])
 
 
+def spread(aggregated: DataFrame) -> DataFrame:
+    """Columns of A1 from ``mean_total, _sd, min_total, max_total, n_runs``: ``sd`` and ``range`` are 0
+    when undefined, ``cv = sd / mean`` is 0 when the mean is 0 or NULL."""
+    sd = F.coalesce(F.col("_sd"), F.lit(0.0))
+    return aggregated.withColumns({
+        "sd_total": sd,
+        "range_total": F.coalesce(F.col("max_total") - F.col("min_total"), F.lit(0.0)),
+        "cv_total": F.when(F.col("mean_total").isNull() | (F.col("mean_total") == 0), F.lit(0.0)).otherwise(sd / F.col("mean_total")),
+    }).drop("_sd")
+
+
+def _score_state() -> list[F.Column]:
+    return [
+        F.avg("total_score").alias("mean_total"),
+        F.stddev_samp("total_score").alias("_sd"),
+        F.min("total_score").alias("min_total"),
+        F.max("total_score").alias("max_total"),
+        F.count("total_score").alias("n_runs"),
+    ]
+
+
 def essay_scores(aligned: DataFrame, dedupe_runs: bool = False) -> DataFrame:
     """A1 without the attributes: per (model, essay) mean/sample-sd/min/max/count of total score.
 
-    ``sd`` and ``range`` are 0 when undefined; ``cv = sd/mean`` is 0 when the mean is 0
-    or NULL. Essays without any scored run are kept (mean NULL, spread 0).
+    Essays without any scored run are kept (mean NULL, spread 0).
     ``dedupe_runs=True`` first collapses repeated responses of one run (as the ICC does);
     the default counts every response, as the reference does. Only fixed-width buffers, so a
     hash aggregate.
     """
     if dedupe_runs:
         aligned = collapse_duplicate_runs(aligned)
-    agg = aligned.groupBy(*ESSAY_KEYS).agg(
-        F.avg("total_score").alias("mean_total"),
-        F.stddev_samp("total_score").alias("_sd"),
-        F.min("total_score").alias("min_total"),
-        F.max("total_score").alias("max_total"),
-        F.count("total_score").alias("n_runs"),
-    )
-    sd = F.coalesce(F.col("_sd"), F.lit(0.0))
-    return agg.select(
-        *ESSAY_KEYS,
-        "mean_total",
-        sd.alias("sd_total"),
-        "min_total", "max_total", "n_runs",
-        F.coalesce(F.col("max_total") - F.col("min_total"), F.lit(0.0)).alias("range_total"),
-        F.when(F.col("mean_total").isNull() | (F.col("mean_total") == 0), F.lit(0.0))
-        .otherwise(sd / F.col("mean_total"))
-        .alias("cv_total"),
-    )
-
-
-def essay_attributes(aligned: DataFrame) -> DataFrame:
-    """Ids and prompt columns per (model, essay): for each the first value that is not null, by
-    run (equal runs: the smaller value). Responses of one essay may differ in them, so they are
-    attached at essay grain and are no part of its key."""
-    names = [c for c in ESSAY_ATTRIBUTES if c in aligned.columns]
+    agg = spread(aligned.groupBy(*ESSAY_KEYS).agg(*_score_state()))
+    return agg.select(*[c for c in ESSAY_OUTPUT if c in agg.columns])
+
+
+# --- ids of an essay, read back from its key
+
+ID_PARTS = ["respondent_id", "question_id", "sample_row"]
+_START = 10**10  # places of (run, start, length) in one decimal number
+
+
+def id_state(columns: list[str]) -> list[F.Column]:
+    """Fixed-width aggregates from which ``with_ids`` reads an essay's ids: whether an id has a value
+    in any response and, where an id holds the separator itself (so that the key can be split in
+    more than one way), run, start and length of the value of the first run."""
+    own = [c for c in ID_PARTS if c in columns]
+    text = {c: F.coalesce(F.col(c), F.lit("")) if c in own else F.lit("") for c in ID_PARTS}
+    odd = F.lit(False)
+    for c in own:
+        odd = odd | text[c].contains("|")
+    length = {c: F.length(text[c]) for c in ID_PARTS}
+    start = {
+        "respondent_id": F.lit(0),
+        "question_id": length["respondent_id"] + 1,
+        "sample_row": F.length("essay_id") - length["sample_row"],
+    }
+    out = []
+    for c in own:
+        run = (F.coalesce(F.col("run"), F.lit(0)).cast("decimal(12,0)") + F.lit(2**31)).cast("decimal(12,0)")
+        place = run * F.lit(_START).cast("decimal(11,0)") + start[c]
+        place = (place * F.lit(_START).cast("decimal(11,0)") + length[c]).cast("decimal(38,0)")
+        out.append(F.max(F.col(c).isNotNull()).alias(f"_has_{c}"))
+        out.append(F.min(F.when(odd & F.col(c).isNotNull(), place)).alias(f"_at_{c}"))
+    return out
+
+
+def merged_id_state(columns: list[str]) -> list[F.Column]:
+    """``id_state`` of groups of rows that hold states already."""
+    return [(F.max if c.startswith("_has_") else F.min)(c).alias(c) for c in columns if c.startswith(("_has_", "_at_"))]
+
+
+def with_ids(essays: DataFrame) -> DataFrame:
+    """The id columns from the essay key ``respondent|question|row`` and ``id_state``.
+
+    An id is its first value that is not null, by run. As the key is made of the ids (NULL as
+    ''), that is the part of the key, or NULL if no response has a value; keys that can be split in
+    several ways use the place found by ``id_state`` (equal runs: the one that starts and ends first).
+    """
+    parts = F.split("essay_id", r"\|", -1)
+    ids = {}
+    for i, c in enumerate(ID_PARTS):
+        if f"_has_{c}" not in essays.columns:
+            continue
+        at = F.col(f"_at_{c}")
+        start = F.expr(f"cast((`_at_{c}` % cast('{_START**2}' as decimal(21,0))) div {_START}L as int)")
+        length = F.expr(f"cast(`_at_{c}` % {_START}L as int)")
+        value = F.when(at.isNull(), F.get(parts, i)).otherwise(F.substring("essay_id", start + 1, length))
+        ids[c] = F.when(F.col(f"_has_{c}"), value)
+    return essays.withColumns(ids).drop(*[x + c for c in ids for x in ("_has_", "_at_")])
+
+
+def prompt_attributes(aligned: DataFrame) -> DataFrame:
+    """Prompt columns per (model, essay) where the responses carry them: for each the first value that
+    is not null, by run (equal runs: the smaller value)."""
+    names = [c for c in ESSAY_ATTRIBUTES if c in aligned.columns and c not in ID_PARTS]
     first = [F.min_by(c, F.when(F.col(c).isNotNull(), F.struct("run", c))).alias(c) for c in names]
     return aligned.groupBy(*ESSAY_KEYS).agg(*first)
 
 
 def essay_metrics(aligned: DataFrame, dedupe_runs: bool = False) -> DataFrame:
-    """A1: ``essay_scores`` with the essay's attributes; one row per (model, essay)."""
-    scores = essay_scores(aligned, dedupe_runs).join(essay_attributes(aligned), ESSAY_KEYS)
-    return scores.select(*[c for c in ESSAY_OUTPUT if c in scores.columns])
+    """A1: ``essay_scores`` with the essay's attributes; one row per (model, essay).
+
+    One hash aggregate over the responses: the ids come from the essay key (``with_ids``), which must
+    be made of them as ``align.essay_id`` does. Only prompt columns that the responses carry
+    themselves, and may differ in, take an aggregate of their own; prompts from the prompt
+    table are attached to the essays (``attach_prompts``).
+    """
+    if dedupe_runs:
+        runs = aligned.groupBy(*ESSAY_KEYS, "run").agg(F.avg("total_score").alias("total_score"), *id_state(aligned.columns))
+        agg = runs.groupBy(*ESSAY_KEYS).agg(*_score_state(), *merged_id_state(runs.columns))
+    else:
+        agg = aligned.groupBy(*ESSAY_KEYS).agg(*_score_state(), *id_state(aligned.columns))
+    essays = with_ids(spread(agg))
+    if any(c in aligned.columns for c in ESSAY_ATTRIBUTES if c not in ID_PARTS):
+        essays = essays.join(prompt_attributes(aligned), ESSAY_KEYS)
+    return essays.select(*[c for c in ESSAY_OUTPUT if c in essays.columns])
 
 
 def hitl_status(cv: F.Column, rng: F.Column, cv_threshold: float = CV_THRESHOLD,

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from raterkit.functions.parse import DRY_RUN_TEXT, ERROR_PREFIX, parse_scores
 from raterkit.functions.text import path_safe
+from raterkit.session import cut_lineage
 
 # ---------------------------------------------------------------------------
 # Fixed value: the grading instruction placed before every question/response.
@@ -61,8 +62,8 @@ def build_prompt(samples: DataFrame, question: str = "question", response: str =
     )
 
 
-def _samples(samples: DataFrame) -> DataFrame:
-    """Sample columns of a request. ``stem`` names the output folder: the sample's source file
+def _samples(samples: DataFrame, *more: str) -> DataFrame:
+    """Sample columns of a request, and ``more``. ``stem`` names the output folder: the sample's source file
     stem, else ``question_<id>``."""
     cols = set(samples.columns)
 
@@ -79,6 +80,7 @@ def _samples(samples: DataFrame) -> DataFrame:
         text("question_id"), text("respondent_id"), text("question"), text("response"),
         build_prompt(samples).alias("prompt"),
         stem.alias("stem"),
+        *more,
     )
 
 
@@ -97,22 +99,43 @@ def score_plan(samples: DataFrame, models: Sequence[str], runs: int = DEFAULT_RU
     return _exploded(_samples(samples), _requests(models, runs))
 
 
-def pending_plan(samples: DataFrame, models: Sequence[str], runs: int, done: DataFrame | None) -> DataFrame:
+# samples with completed requests (narrow keys) that may be broadcast: some 100 bytes each
+SMALL_KEYS = 100_000
+
+
+def pending_plan(samples: DataFrame, models: Sequence[str], runs: int, done: DataFrame | None,
+                 small: int = SMALL_KEYS) -> DataFrame:
     """J6 + J7: the requests of a job that are not among the completed responses.
 
-    The completed (model, run) pairs of a sample are one short set (at most models x runs), so
-    each sample, with its texts, is joined once and only then multiplied into requests."""
-    base = _samples(samples)
+    The completed (model, run) pairs of a sample are one short set (at most models x runs), found
+    over narrow keys. Up to ``small`` of them are broadcast to the samples, whose texts
+    then stay where they are. Beyond that, the samples' keys are joined first, and the texts only to
+    those with requests left: by broadcast if these are few. Prompts are built last.
+    """
     if done is None:
-        return _exploded(base, _requests(models, runs))
+        return _exploded(_samples(samples), _requests(models, runs))
     k = resume_keys(done).where(F.col("_k_model").isin(list(models)) & F.col("_k_run").between(1, int(runs)))
-    finished = k.groupBy("_k_row", "_k_resp").agg(
+    finished = cut_lineage(k.groupBy("_k_row", "_k_resp").agg(
         F.collect_set(F.struct(F.col("_k_model").alias("model"), F.col("_k_run").alias("run"))).alias("_finished")
-    )
-    on = (_row_key(base["sample_row"]) == finished["_k_row"]) & base["respondent_id"].eqNullSafe(finished["_k_resp"])
-    joined = base.join(finished, on, "left").drop("_k_row", "_k_resp")
-    todo = F.when(F.col("_finished").isNull(), _requests(models, runs)).otherwise(F.array_except(_requests(models, runs), F.col("_finished")))
-    return _exploded(joined.withColumn("_todo", todo).drop("_finished"), F.col("_todo")).drop("_todo")
+    ), "finished")
+    every = _requests(models, runs)
+    left = F.when(F.col("_finished").isNull(), every).otherwise(F.array_except(every, F.col("_finished")))
+    row = _row_key(F.col("row")) if "row" in samples.columns else F.lit(-1).cast("long")
+    respondent = F.col("respondent_id") if "respondent_id" in samples.columns else F.lit(None)
+    keyed = samples.withColumns({"_row": row, "_resp": respondent.cast("string")})
+    same = (F.col("_row") == F.col("_k_row")) & F.col("_resp").eqNullSafe(F.col("_k_resp"))
+    if _few(finished, small):
+        todo = keyed.join(F.broadcast(finished), same, "left").withColumn("_todo", left)
+    else:
+        keys = keyed.select("_row", "_resp").distinct().join(finished, same, "left")
+        keys = keys.select(F.col("_row").alias("_k_row"), F.col("_resp").alias("_k_resp"), left.alias("_todo"))
+        keys = cut_lineage(keys.where(F.size("_todo") > 0), "pending")
+        todo = keyed.join(F.broadcast(keys) if _few(keys, small) else keys, same)
+    return _exploded(_samples(todo, "_todo"), F.col("_todo")).drop("_todo")
+
+
+def _few(rows: DataFrame, most: int) -> bool:
+    return rows.limit(most + 1).count() <= most
 
 
 def _row_key(c: Column) -> Column:

@@ -1,10 +1,10 @@
 """The analysis stage as one Spark plan: responses -> aligned -> essays -> every result table.
 
 ``Analysis`` builds each table lazily from the aligned responses; nothing is
-collected. ``materialize`` writes the narrow aligned responses once as parquet
-under the session's checkpoint folder, so the result branches (essays, ICC,
-routing, bias) read them instead of re-parsing the raw responses;
-``persist_essays`` does the same for the essay table.
+collected. ``materialize`` writes the responses' cells (``operators.cells``: one mergeable
+row per model, essay and run) once under the session's checkpoint folder, in buckets by
+essay, so the result branches (essays, ICC, routing, bias) read them without another
+exchange instead of re-parsing the raw responses; ``persist_essays`` writes the essay table.
 """
 
 from __future__ import annotations
@@ -15,10 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from raterkit.functions.parse import is_error
-from raterkit.operators import bias, icc, metrics
+from raterkit.operators import bias, cells, icc, metrics
 from raterkit.operators.align import align_inputs, category_source, sample_map
 from raterkit.plans import responses as rsp
-from raterkit.session import cut_lineage
+from raterkit.session import cut_bucketed, cut_lineage
 
 
 # Columns every result table needs; the raw and response texts are dropped before the cut.
@@ -42,11 +42,15 @@ class Analysis:
     range_threshold: float = metrics.RANGE_THRESHOLD
     unscored: str = "approve"
     prompts: DataFrame | None = None  # question-grain prompt table, joined after aggregation
+    cells: DataFrame | None = None  # written by ``materialize``, or given
     _essays: DataFrame | None = field(default=None, repr=False)
 
     def essay_table(self, dedupe_runs: bool = False) -> DataFrame:
         """A1 with the prompt columns (attached at essay grain when ``prompts`` is set)."""
-        essays = metrics.essay_metrics(self.aligned, dedupe_runs=dedupe_runs)
+        if self.cells is None or dedupe_runs or self._carries_prompts:
+            essays = metrics.essay_metrics(self.aligned, dedupe_runs=dedupe_runs)
+        else:
+            essays = cells.scores_of_cells(self.cells)
         if self.prompts is not None:
             essays = metrics.attach_prompts(essays, self.prompts)
         return essays
@@ -61,20 +65,27 @@ class Analysis:
         self._essays = cut_lineage(self.essays, "essays")
         return self
 
+    @property
+    def _carries_prompts(self) -> bool:
+        """Whether the responses have prompt columns of their own, which cells do not hold."""
+        return "prompt_category" in self.aligned.columns
+
     def materialize(self) -> "Analysis":
-        """Write the narrow aligned responses once (reliable checkpoint) so that the many
-        result tables read them instead of re-scanning and re-parsing the raw responses.
-        Each result branch prunes different columns, so without this cut Spark could not
-        reuse one scan across them."""
-        keep = [c for c in NARROW_COLUMNS if c in self.aligned.columns]
-        self.aligned = cut_lineage(self.aligned.select(*keep), "aligned")
+        """Write the responses' cells once (reliable, shared storage); the result tables read them
+        instead of re-scanning and re-parsing the raw responses. Responses with prompt columns of
+        their own are first written as a narrow table, from which those columns are read."""
+        if self._carries_prompts:
+            self.aligned = cut_lineage(self.aligned.select(*[c for c in NARROW_COLUMNS if c in self.aligned.columns]), "aligned")
+        self.cells = cut_bucketed(cells.cells_of(self.aligned), cells.KEYS, "cells")
         self._essays = None
         return self
 
     @property
     def scores(self) -> DataFrame:
         """The essay table without ids and prompts: all that model-grain results need."""
-        return metrics.essay_scores(self.aligned) if self._essays is None else self._essays
+        if self._essays is not None:
+            return self._essays
+        return metrics.essay_scores(self.aligned) if self.cells is None else cells.scores_of_cells(self.cells, ids=False)
 
     @property
     def routed(self) -> DataFrame:
@@ -89,15 +100,15 @@ class Analysis:
         return metrics.hitl_distribution(self.routed_scores)
 
     def pair_names(self, first: int = 1, second: int = 2) -> tuple[str | None, str | None]:
-        return bias.model_pair(self.aligned, first, second)
+        return bias.model_pair(self.aligned if self.cells is None else self.cells, first, second)
 
     @property
     def icc(self) -> DataFrame:
-        return icc.icc_by_model(self.aligned)
+        return icc.icc_by_model(self.aligned) if self.cells is None else icc.icc_of_runs(cells.runs_of_cells(self.cells))
 
     @property
     def summary(self) -> DataFrame:
-        return metrics.model_summary(self.routed_scores, icc.icc_stats(self.aligned))
+        return metrics.model_summary(self.routed_scores, self.icc)
 
     @property
     def ttest(self) -> DataFrame:

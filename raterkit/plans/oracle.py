@@ -839,3 +839,45 @@ SELECT *, grammar + lexical + coherence + task AS total_score FROM own""")
 ORACLE["select_samples_by_name"] = f"""WITH {ANSWERS}, {DOC_QUESTIONS}
 SELECT 'question_' || question_id || '_samples.jsonl' AS sample_file, question_id, row, sample_rank
 FROM samples WHERE question_id IN ('src0', 'src1', 'src10') AND sample_rank <= 3"""
+
+# --------------------------------------------------------------------------- all pairs, jobs, checkpoints, cells
+_ALL_PAIRS = """
+, ap AS (
+  SELECT a.model AS model_1, b.model AS model_2, a.mean_total - b.mean_total AS diff
+  FROM essays2 a JOIN essays2 b ON a.essay_id = b.essay_id AND a.model < b.model
+  WHERE a.mean_total IS NOT NULL AND b.mean_total IS NOT NULL
+),
+am AS (
+  SELECT model_1, model_2, count(*) AS n_pairs, avg(diff) AS mean_diff, stddev_samp(diff) AS sd_diff, min(diff) = max(diff) AS degenerate
+  FROM ap GROUP BY model_1, model_2
+)"""
+ORACLE["severity_ttest_all"] = with_analysis(f"""{_ALL_PAIRS}
+SELECT model_1, model_2, {r('CASE WHEN degenerate THEN 0.0 ELSE mean_diff / (sd_diff / sqrt(CAST(n_pairs AS DOUBLE))) END', 'tstat')}, n_pairs, degenerate
+FROM am""")
+ORACLE["bland_altman_all"] = with_analysis(f"""{_ALL_PAIRS}
+SELECT model_1, model_2, n_pairs, {r('mean_diff', 'bias')}, {r('sd_diff')},
+       {r('mean_diff - 1.96 * sd_diff', 'loa_lower')}, {r('mean_diff + 1.96 * sd_diff', 'loa_upper')}
+FROM am""")
+ORACLE["resume_from_checkpoint"] = f"""WITH {CSAMPLES}
+SELECT model, run, sample_row, question_id, respondent_id FROM plan
+WHERE model = {_q(PLAN_MODELS[0])} AND run = 3"""
+ORACLE["append_twice"] = with_analysis("""
+SELECT model, CAST(run AS VARCHAR) AS run, CAST(sample_row AS VARCHAR) AS sample_row, question_id, respondent_id, raw
+FROM parsed2""")
+ORACLE["incremental_cells"] = with_analysis(f"""
+SELECT model, essay_id, question_id, {r('mean_total')}, {r('sd_total')}, {r('range_total')}, n_runs, hitl_status
+FROM routed""")
+ORACLE["raw_json_strict"] = with_analysis(f"""
+, tailed AS (
+  SELECT l_orderkey, l_linenumber, model,
+         raw || CASE l_orderkey % 5 WHEN 0 THEN ' ' || raw WHEN 1 THEN ',' || raw WHEN 2 THEN '}}' WHEN 3 THEN ' ' || chr(9) ELSE '' END AS raw
+  FROM parsed2
+),
+whole AS (SELECT *, regexp_matches(raw, {_q(WHOLE_OBJECT_RE)}) AND json_valid(raw) AS one FROM tailed),
+own AS (
+  SELECT l_orderkey, l_linenumber, model,
+         {', '.join(f"CASE WHEN one THEN TRY_CAST(json_extract_string(raw, '$.{k}') AS DOUBLE) END AS {k}"
+                    for k in ("grammar", "lexical", "coherence", "task"))}
+  FROM whole
+)
+SELECT *, grammar + lexical + coherence + task AS total_score FROM own""")

@@ -388,16 +388,83 @@ def q_score_plan(spark, sf_dir):
                     F.sha2(F.col("prompt"), 256).alias("prompt_sha256"))
 
 
+@query("severity_ttest_all")
+def q_severity_ttest_all(spark, sf_dir):
+    """M2 for every pair of models, in one pass over the essays."""
+    t = bias.severity_ttest_all(testdata_analysis(spark, sf_dir).scores)
+    return rounded(t.select("model_1", "model_2", "tstat", "n_pairs", "degenerate"))
+
+
+@query("bland_altman_all")
+def q_bland_altman_all(spark, sf_dir):
+    """M3 for every pair of models, in one pass over the essays."""
+    return rounded(bias.bland_altman_all(testdata_analysis(spark, sf_dir).scores))
+
+
 @query("resume_antijoin")
 def q_resume_antijoin(spark, sf_dir):
     """Resume after an interrupted job: model 2 finished its 3 runs, model 1 only 2."""
     done_two_runs = SC.response_records(SC.score(_plan(spark, sf_dir, runs=2), dry_run=True))
     done_model_2 = SC.response_records(SC.score(_plan(spark, sf_dir, models=PLAN_MODELS[1:]), dry_run=True))
     done = done_two_runs.unionByName(done_model_2)
+    return _pending(spark, sf_dir, done)
+
+
+def _pending(spark, sf_dir, done):
     todo = SC.pending_plan(rsp.conversation_samples(spark, sf_dir), PLAN_MODELS, PLAN_RUNS, done)
     return todo.select("model", "run", "sample_row", "question_id", "respondent_id")
 
 
+@query("resume_from_checkpoint")
+def q_resume_from_checkpoint(spark, sf_dir):
+    """J6 from files: the checkpoint lies in folders by question and model, those of the job's own
+    requests are read; the responses of another model beside them are not."""
+    path = scratch_path(spark, "resume-ckpt")
+    plan = _plan(spark, sf_dir, models=[*PLAN_MODELS, "org-c/other"])
+    half = plan.where((F.col("model") != PLAN_MODELS[0]) | (F.col("run") < PLAN_RUNS))
+    SK.write_checkpoint(SC.response_records(SC.score(half, dry_run=True)), path)
+    done = JS.completed_requests(spark, path, rsp.conversation_samples(spark, sf_dir), PLAN_MODELS)
+    return _pending(spark, sf_dir, done)
+
+
+@query("append_twice")
+def q_append_twice(spark, sf_dir):
+    """Two jobs append their responses, one of them twice, and an attempt that never commits lies
+    beside them; each response is read back once."""
+    base = scratch_path(spark, "eval-jobs")
+    recs = rsp.responses(spark, sf_dir).withColumn("response", F.lit(None).cast("string")).select(*SC.RESPONSE_COLUMNS)
+    for job, part in (("job-1", F.col("run") <= 2), ("job-1", F.col("run") <= 2), ("job-2", F.col("run") > 2)):
+        SK.append_responses(recs.where(part), base, job)
+    lost = recs.where("run = 1").withColumns({"job": F.lit("job-3"), "attempt": F.lit("killed")})
+    SK.write_responses(lost, base, extra_partitions=["job", "attempt"])
+    return JS.read_responses(spark, base).select("model", "run", "sample_row", "question_id", "respondent_id", "raw")
+
+
+@query("incremental_cells")
+def q_incremental_cells(spark, sf_dir):
+    """Cells of response files kept between runs; the second run reads only what the second append
+    added, and the routing scores are those of all files."""
+    from raterkit.operators import cells
+    from raterkit.sources import cell_store
+    base, store = scratch_path(spark, "eval-incremental"), scratch_path(spark, "cells")
+    recs = rsp.responses(spark, sf_dir).withColumn("response", F.lit(None).cast("string")).select(*SC.RESPONSE_COLUMNS)
+    for part in (F.col("run") % 2 == 0, F.col("run") % 2 == 1):
+        SK.write_responses(recs.where(part), base)
+        stored = cell_store.stored_cells(spark, store, base)
+    essays = metrics.apply_hitl(cells.scores_of_cells(stored.cells))
+    return rounded(essays.select("model", "essay_id", "question_id", "mean_total", "sd_total", "range_total", "n_runs", "hitl_status"))
+
+
+@query("raw_json_strict")
+def q_raw_json_strict(spark, sf_dir):
+    """Raw texts that hold a second object, or text after the first, give no scores."""
+    r = rsp.raw_responses(spark, sf_dir)
+    tail = (F.when(F.col("l_orderkey") % 5 == 0, F.concat(F.lit(" "), F.col("raw"))).when(F.col("l_orderkey") % 5 == 1, F.concat(F.lit(","), F.col("raw")))
+            .when(F.col("l_orderkey") % 5 == 2, F.lit("}")).when(F.col("l_orderkey") % 5 == 3, F.lit(" \t")).otherwise(F.lit("")))
+    raw = r.withColumns({"raw": F.concat("raw", tail), "parsed": F.lit(None).cast(P.SCORES_TYPE)})
+    return rounded(P.with_scores(raw).select("l_orderkey", "l_linenumber", "model", *P.SCORE_FIELDS, "total_score"))
+
+
 @query("dry_run_scores")
 def q_dry_run_scores(spark, sf_dir):
     r = P.with_scores(_dry_run_records(spark, sf_dir))
@@ -669,9 +736,10 @@ def q_report_json(spark, sf_dir):
     """The report written as a JSON document and read back, its summary part as rows."""
     path = scratch_path(spark, "report")
     a = testdata_analysis(spark, sf_dir).materialize()
-    report = SK.report_frame(a.summary, a.ttest, a.topics, a.distribution, a.category_source)
-    SK.write_report_json(report, path)
-    back = spark.read.schema(report.schema).json(path)
+    SK.write_report_json(SK.report_lines(a.summary, a.ttest, a.topics, a.distribution, a.category_source), path)
+    schema = ("prompt_category_source string, metrics_summary array<struct<model:string,n_essays:bigint,mean_total:double,icc_total:double>>, "
+              "severity_bias_ttest struct<n_pairs:bigint>")
+    back = spark.read.schema(schema).option("multiLine", "true").json(path)
     rows = back.select("prompt_category_source", "severity_bias_ttest.n_pairs", F.explode("metrics_summary").alias("m"))
     return rounded(rows.select("prompt_category_source", "n_pairs", "m.model", "m.n_essays", "m.mean_total", "m.icc_total"))
 

@@ -70,3 +70,19 @@ def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def cut_bucketed(df: DataFrame, keys: list[str], name: str = "table") -> DataFrame:
+    """``cut_lineage`` as a table of buckets by ``keys`` (one file for each, as many as shuffle
+    partitions): reading it, aggregates, windows and joins on these keys need no exchange.
+
+    The catalog entry is only the writer's means and is dropped; the files stay.
+    """
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path, entry = scratch_path(spark, name), f"raterkit_{uuid.uuid4().hex}"
+    writer = df.repartition(buckets, *keys).write.format("parquet").option("path", path)
+    writer.bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(entry)
+    out = spark.table(entry)
+    spark.sql(f"DROP TABLE {entry}")
+    return out

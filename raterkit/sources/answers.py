@@ -1,9 +1,8 @@
 """Answer-sheet scan with a stable 1-based ``row`` ordinal.
 
 The reference reads one spreadsheet sheet; here any Spark-readable table
-(CSV, JSON, Parquet, ...) is the sheet. A CSV file whose values hold line breaks is read by one
-task (``multiLine``); ``multi_line=False`` reads files without such values in splits. The ordinal comes from a given column,
-or from the position in the scan: per-partition counts (one small aggregate,
+(CSV, JSON, Parquet, ...) is the sheet. CSV files whose values hold line breaks are read in splits
+too (``sources.quoted_csv``). The ordinal comes from a given column, or from the position in the scan: per-partition counts (one small aggregate,
 one value per partition) give each partition its offset, and
 ``monotonically_increasing_id`` gives the position inside the partition. Both
 passes see the same deterministic file splits, so the ordinal is contiguous
@@ -15,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from raterkit.sources.quoted_csv import read_quoted_csv
+
 _LOW_BITS = (1 << 33) - 1  # monotonically_increasing_id = partition_id << 33 | position
 
 
@@ -31,11 +32,19 @@ def with_row_ordinal(df: DataFrame, name: str = "row") -> DataFrame:
 
 
 def read_answers(spark: SparkSession, path: str, fmt: str = "csv", row_col: str | None = None,
-                 schema: str | None = None, multi_line: bool = True, **options) -> DataFrame:
-    """Read an answer sheet; ``row_col`` names an existing ordinal, else one is assigned."""
+                 schema: str | None = None, multi_line: bool | str = True, **options) -> DataFrame:
+    """Read an answer sheet; ``row_col`` names an existing ordinal, else one is assigned.
+
+    ``multi_line`` for CSV: values may hold line breaks, read in splits by the parity of quotes (no other
+    ``options`` then); ``"file"`` reads each file in one task, whatever its quoting; false means
+    that no value holds a line break.
+    """
+    if fmt == "csv" and multi_line is True and not options:
+        rows = read_quoted_csv(spark, path, schema)
+        return rows if row_col is None else rows.withColumn("row", F.col(row_col).cast("long"))
     reader = spark.read.format(fmt)
     if fmt == "csv":
-        reader = reader.option("header", "true").option("multiLine", str(multi_line).lower()).option("escape", '"')
+        reader = reader.option("header", "true").option("multiLine", str(bool(multi_line)).lower()).option("escape", '"')
     if schema is not None:
         reader = reader.schema(schema)
     for k, v in options.items():

@@ -7,16 +7,22 @@ mistaken for an undecodable line.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from raterkit.functions.parse import is_json_object
+from raterkit.functions.text import path_safe_name
 from raterkit.operators.align import sample_map
 from raterkit.operators.staging import keep_where
+from raterkit.sources.sinks import committed_attempts, question_folder
 
 CORRUPT = "_corrupt_record"
 _WHOLE_OBJECT = r"^\s*\{[\s\S]*\}\s*$"
+_BRACE_WITHIN = r"\}\s*\S"
 CHECKPOINT_NAME = "checkpoint.jsonl"
 SAMPLE_GLOB = "question_*_samples.jsonl"
 # sample files as the sampler names them, or as Spark's writer names them (write_samples)
@@ -54,7 +60,7 @@ SAMPLE_SCHEMA = T.StructType([
 def parse_jsonl_lines(lines: DataFrame, schema: T.StructType, value: str = "value") -> DataFrame:
     """Keep the text lines that are one whole JSON object and expand them with ``schema``.
 
-    Dropped: blank lines, broken JSON, text after the object, bare arrays or numbers. The
+    Dropped: blank lines, broken JSON, text or another object after it, bare arrays or numbers. The
     corrupt-record column lives inside the parsed struct, so any later query is allowed.
     Other columns of ``lines`` (file name, partition values) are kept.
     """
@@ -62,7 +68,9 @@ def parse_jsonl_lines(lines: DataFrame, schema: T.StructType, value: str = "valu
     parsed = lines.withColumn(
         "_r", F.from_json(value, full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
     )
-    ok = F.col(value).rlike(_WHOLE_OBJECT) & F.col("_r").isNotNull() & F.col(f"_r.{CORRUPT}").isNull()
+    # the reader stops after the first object: a line with a brace before its last may hold a second
+    alone = ~F.col(value).rlike(_BRACE_WITHIN) | is_json_object(value)
+    ok = F.col(value).rlike(_WHOLE_OBJECT) & F.col("_r").isNotNull() & F.col(f"_r.{CORRUPT}").isNull() & alone
     kept = keep_where(parsed, ok)
     others = [c for c in lines.columns if c != value]
     return kept.select(*[F.col(f"_r.`{f.name}`").alias(f.name) for f in schema.fields], *others)
@@ -89,12 +97,87 @@ def _files(spark: SparkSession, path: str) -> DataFrame | None:
     return found.select(F.col("_metadata.file_path").alias("_source_file"))  # names only, no content
 
 
+_ATTEMPT = "/job=([^/]+)/attempt=([^/]+)/"
+
+
+def uncommitted_attempts(spark: SparkSession, path: str) -> list[str]:
+    """Attempts of ``sinks.append_responses`` under ``path`` that are not to be read: those of jobs that
+    died, or lost a race. Found among file names; what comes back is one name for each of them."""
+    files = _files(spark, path)
+    if files is None:
+        return []
+    uri = F.col("_source_file")
+    attempts = files.select(F.regexp_extract(uri, _ATTEMPT, 1).alias("job"), F.regexp_extract(uri, _ATTEMPT, 2).alias("attempt"))
+    attempts = attempts.where("attempt <> ''").distinct().join(committed_attempts(spark, path), ["job", "attempt"], "left_anti")
+    return [r.attempt for r in attempts.collect()]
+
+
+def response_files(spark: SparkSession, path: str, checkpoint: str | None = None) -> DataFrame:
+    """The files that ``read_responses`` takes records from: ``path, length, modified`` (microseconds; no content)."""
+    reader = spark.read.format("binaryFile")
+    if not path.endswith((".jsonl", ".json")):
+        reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{jsonl,json}")
+    found = reader.load(path).select("path", "length", F.unix_micros("modificationTime").alias("modified"))
+    if path.endswith((".jsonl", ".json")):
+        return found
+    found = found.where(~F.col("path").endswith("/" + CHECKPOINT_NAME))
+    left_out = uncommitted_attempts(spark, path)
+    if left_out:
+        found = found.where(~F.regexp_extract("path", _ATTEMPT, 2).isin(left_out))
+    if checkpoint:
+        try:
+            own = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(checkpoint).select("path")
+            found = found.join(own, "path", "left_anti")
+        except AnalysisException:  # no checkpoint yet
+            pass
+    return found
+
+
+def _literal(path: str) -> str:
+    """A path whose characters stand for themselves, not for a pattern."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
+
+
+def read_response_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Response records of the named files; rows without a model are dropped."""
+    return read_jsonl(spark, [_literal(p) for p in paths], RESPONSE_SCHEMA).where(F.col("model").isNotNull())
+
+
+MOST_FOLDERS = 10_000
+
+
+def completed_requests(spark: SparkSession, checkpoint_dir: str, samples: DataFrame, models: list[str]) -> DataFrame | None:
+    """Keys of the completed responses that can concern a job's requests: ``model, run, sample_row,
+    respondent_id``; None if there is no checkpoint.
+
+    The checkpoint lies in folders by question and model (``sinks.write_checkpoint``); those of other
+    models and, up to ``MOST_FOLDERS`` questions, of other questions are not read. Beyond that many, a
+    semi-join takes the questions. No text column leaves the scan.
+    """
+    try:
+        lines = spark.read.schema("value string, question_dir string, model_dir string").text(checkpoint_dir)
+    except AnalysisException:
+        return None
+    # files beside the folders (written before there were any) have neither value
+    lines = lines.where(F.col("model_dir").isNull() | F.col("model_dir").isin([path_safe_name(m) for m in models]))
+    wanted = samples.select(question_folder(F.col("question_id")).alias("_q")).distinct()
+    some = [r._q for r in wanted.limit(MOST_FOLDERS + 1).collect()]
+    if len(some) <= MOST_FOLDERS:
+        lines = lines.where(F.col("question_dir").isNull() | F.col("question_dir").isin([q for q in some if q is not None]))
+    else:
+        beside = lines.where("question_dir is null")
+        lines = lines.join(wanted, F.col("question_dir") == F.col("_q"), "left_semi").unionByName(beside)
+    keys = T.StructType([f for f in RESPONSE_SCHEMA.fields if f.name in ("model", "run", "sample_row", "respondent_id")])
+    return parse_jsonl_lines(lines.select("value"), keys)  # narrow before any shuffle by key
+
+
 def read_responses(spark: SparkSession, path: str, checkpoint: str | None = None) -> DataFrame:
     """S3: response records from ``path``.
 
     * a path ending in ``.jsonl``/``.json`` is read as one file;
     * a folder: every ``*.jsonl``/``*.json`` under it (recursively) except checkpoint files
-      (by name, or every file under ``checkpoint`` when that folder is given);
+      (by name, or every file under ``checkpoint`` when that folder is given) and of appends that
+      were not completed (``sinks.append_responses``);
     * when that yields nothing, the checkpoint (``checkpoint`` or ``<path>/checkpoint.jsonl``);
     * ``FileNotFoundError`` when there are no records there either.
 
@@ -106,6 +189,9 @@ def read_responses(spark: SparkSession, path: str, checkpoint: str | None = None
     else:
         df = read_jsonl(spark, path, RESPONSE_SCHEMA, recursive=True, glob="*.{jsonl,json}")
         df = df.where(has_model & ~F.col("_source_file").endswith("/" + CHECKPOINT_NAME))
+        left_out = uncommitted_attempts(spark, path)
+        if left_out:
+            df = df.where(~F.regexp_extract("_source_file", _ATTEMPT, 2).isin(left_out))
         own = _files(spark, checkpoint) if checkpoint else None
         if own is not None:
             df = df.join(own, "_source_file", "left_anti")

@@ -6,10 +6,11 @@ Everything is written by Spark writers from executors; nothing is collected.
 from __future__ import annotations
 
 import json
+import re
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from raterkit.functions.text import path_safe
@@ -28,6 +29,41 @@ def write_json_document(df: DataFrame, path: str) -> None:
     df.limit(1).select(document.alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
+COMMITS = "_commits"
+_JOB_ID = re.compile(r"[A-Za-z0-9._-]+")
+
+
+def committed_attempts(spark: SparkSession, out_dir: str) -> DataFrame:
+    """``job, attempt`` of the appends that were completed: one attempt per job, the first to commit."""
+    schema = "job string, attempt string, written timestamp"
+    try:
+        lines = spark.read.schema(schema).json(f"{out_dir.rstrip('/')}/{COMMITS}")
+    except AnalysisException:  # no job has committed here
+        lines = spark.createDataFrame([], schema)
+    return lines.groupBy("job").agg(F.min_by("attempt", F.struct("written", "attempt")).alias("attempt"))
+
+
+def append_responses(records: DataFrame, out_dir: str, job: str) -> bool:
+    """S7 for a job that may run more than once: its records are appended exactly once.
+
+    The records go to folders of their own for this attempt (``.../job=<job>/attempt=<id>/``), and the
+    job's line in the commit manifest is written last. ``read_responses`` takes only folders of
+    committed attempts, so an attempt that died, or lost a race, is as if it had not been. A job
+    that has committed is not run again. Returns whether this call appended.
+    """
+    if not _JOB_ID.fullmatch(job):
+        raise ValueError(f"a job id names a folder: letters, digits, '.', '_' and '-' only, not {job!r}")
+    spark = records.sparkSession
+    if not committed_attempts(spark, out_dir).where(F.col("job") == job).isEmpty():
+        return False
+    attempt = uuid.uuid4().hex
+    named = records.withColumns({"job": F.lit(job), "attempt": F.lit(attempt)})
+    write_responses(named, out_dir, extra_partitions=["job", "attempt"])
+    line = spark.createDataFrame([(job, attempt)], "job string, attempt string").withColumn("written", F.current_timestamp())
+    line.coalesce(1).write.mode("append").json(f"{out_dir.rstrip('/')}/{COMMITS}")
+    return True
+
+
 def write_responses(records: DataFrame, out_dir: str, mode: str = "append",
                     extra_partitions: list[str] | None = None) -> None:
     """Response records under ``stem=<stem>/model_dir=<model>/question=<id>/``.
@@ -63,11 +99,18 @@ def write_samples(samples: DataFrame, samples_dir: str, mode: str = "overwrite")
         "ignoreNullFields", "false").partitionBy("question_dir").json(samples_dir)
 
 
+def question_folder(question_id: Column) -> Column:
+    """Folder value of a question id: NULL and the empty string share the default partition."""
+    return F.nullif(question_id.cast("string"), F.lit(""))
+
+
 def write_checkpoint(records: DataFrame, checkpoint_dir: str) -> None:
-    """Append completed responses to the checkpoint folder (kept apart from the outputs)."""
-    records.select(*[c for c in records.columns if c not in ("stem", "model_safe", "question_text")]).write.mode("append").option(
-        "ignoreNullFields", "false"
-    ).json(checkpoint_dir)
+    """Append completed responses to the checkpoint folder (kept apart from the outputs), in folders by
+    question and model, so that a resumed job reads those of its own requests only
+    (``sources.jsonl.completed_requests``). The folder columns are copies."""
+    kept = records.select(*[c for c in records.columns if c not in ("stem", "model_safe", "question_text")])
+    kept = kept.withColumns({"question_dir": question_folder(F.col("question_id")), "model_dir": path_safe(F.col("model"))})
+    kept.write.mode("append").option("ignoreNullFields", "false").partitionBy("question_dir", "model_dir").json(checkpoint_dir)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -127,30 +170,43 @@ def reuse_or_compute(spark: SparkSession, path: str, compute, manifest: dict, fo
     return found[0] if found is not None else store_result(spark, path, compute(), manifest)
 
 
-def report_frame(summary: DataFrame, ttest: DataFrame, topics: DataFrame, dist: DataFrame,
-                 category_source: DataFrame) -> DataFrame:
-    """The report as one row of nested values.
+_OPEN, _ROW, _CLOSE = 0, 1, 2
+
+
+def report_lines(summary: DataFrame, ttest: DataFrame, topics: DataFrame, dist: DataFrame, category_source: DataFrame) -> DataFrame:
+    """The lines of the report's JSON document with their place in it (``part, step, a, b, text``).
 
-    Every part is a model-grain table (a row per model, model x status or model x
-    category), so each ``collect_list`` gathers a handful of rows.
+    Every row of a result table is a line of its own inside the frame of its part, so a table
+    with any number of rows (topics, where the question id is the category) is never one value.
     """
-    def nested(df: DataFrame, name: str, order: list[str]) -> DataFrame:
-        return df.agg(F.array_sort(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in order + [c for c in df.columns if c not in order]]))).alias(name))
-
-    parts = [
-        category_source,
-        nested(summary, "metrics_summary", ["model"]),
-        ttest.agg(F.first(F.struct(*ttest.columns), ignorenulls=True).alias("severity_bias_ttest")),
-        nested(topics, "topic_bias_means", ["model", "prompt_category"]),
-        nested(dist, "hitl_distribution", ["model", "hitl_status"]),
-    ]
-    # one-row frames side by side: stack them (missing columns NULL) and keep the non-null value
-    stacked = parts[0]
-    for p in parts[1:]:
-        stacked = stacked.unionByName(p, allowMissingColumns=True)
-    return stacked.agg(*[F.first(c, ignorenulls=True).alias(c) for c in stacked.columns])
-
-
-def write_report_json(report: DataFrame, path: str) -> None:
-    """The one-row report as a JSON document (NULLs kept)."""
-    report.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    def line(rows: DataFrame, part: int, step: int, text: Column, order: list[str]) -> DataFrame:
+        keys = [*[F.col(f"`{c}`").cast("string") for c in order], F.lit(""), F.lit("")][:2]
+        return rows.select(F.lit(part).alias("part"), F.lit(step).alias("step"), keys[0].alias("a"), keys[1].alias("b"), text.alias("text"))
+
+    def as_json(rows: DataFrame, first: list[str]) -> Column:
+        columns = first + [c for c in rows.columns if c not in first]
+        return F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns]), {"ignoreNullFields": "false"})
+
+    spark = summary.sparkSession
+    one = spark.range(1)
+    source = F.to_json(F.struct(F.first("prompt_category_source").alias("prompt_category_source")), {"ignoreNullFields": "false"})
+    test = ttest.agg(F.first(F.struct(*ttest.columns), ignorenulls=True).alias("t")).select(
+        F.coalesce(F.to_json("t", {"ignoreNullFields": "false"}), F.lit("null")).alias("t"))
+    out = line(category_source.agg(source.alias("s")).select(F.expr("substring(s, 2, length(s) - 2)").alias("s")), 0, _OPEN, F.concat(F.lit("{"), F.col("s")), [])
+    out = out.unionByName(line(test, 2, _OPEN, F.concat(F.lit(',"severity_bias_ttest":'), F.col("t")), []))
+    tables = {1: ("metrics_summary", summary, ["model"]), 3: ("topic_bias_means", topics, ["model", "prompt_category"]),
+              4: ("hitl_distribution", dist, ["model", "hitl_status"])}
+    for part, (name, rows, first) in tables.items():
+        out = out.unionByName(line(one, part, _OPEN, F.lit(f',"{name}":['), []))
+        out = out.unionByName(line(rows, part, _ROW, as_json(rows, first), first))
+        out = out.unionByName(line(one, part, _CLOSE, F.lit("]"), []))
+    return out.unionByName(line(one, 5, _CLOSE, F.lit("}"), []))
+
+
+def write_report_json(lines: DataFrame, path: str) -> None:
+    """The report as one JSON document: its lines in order, streamed through one writer (a
+    sort that may spill; no table is held)."""
+    order = Window.partitionBy().orderBy("part", "step", F.col("a").asc_nulls_first(), F.col("b").asc_nulls_first())
+    follows = (F.col("step") == _ROW) & (F.lag("step").over(order) == _ROW)
+    text = F.concat(F.when(follows, F.lit(",")).otherwise(F.lit("")), F.col("text"))
+    lines.select(text.alias("value")).write.mode("overwrite").text(path)

@@ -238,3 +238,40 @@ def test_parse_failure_rate_counts(spark):
     assert (m.submitted, m.valid, m.failed, m.responses, m.error_responses, m.out_of_range_responses) == (2, 1, 1, 3, 1, 1)
     assert m.failed_pct == pytest.approx(50.0)
     assert (r["n"].submitted, r["n"].failed, r["n"].out_of_range_responses) == (1, 0, 0)
+
+
+def _fisher_p(t, n):
+    """Two-sided p for many degrees of freedom: the normal tail and two terms of its expansion in 1/n."""
+    density = math.exp(-t * t / 2) / math.sqrt(2 * math.pi)
+    return math.erfc(t / math.sqrt(2)) + 2 * density * ((t**3 + t) / (4 * n) + (3 * t**7 - 7 * t**5 - 5 * t**3 - 3 * t) / (96 * n * n))
+
+
+def test_pvalue_for_many_degrees_of_freedom(spark):
+    cases = [(t, n) for n in (1e8, 1e12, 1e15) for t in (0.001, 0.5, 1.0, 2.9, 3.1, 6.0, 9.0)] + [(1.0, 2e5), (0.3, 1e5)]
+    df = spark.createDataFrame(cases, "t double, n double")
+    for r in df.select("t", "n", student_t_two_sided_p(F.col("t"), F.col("n")).alias("p")).collect():
+        assert r.p == pytest.approx(_fisher_p(r.t, r.n), rel=1e-11), (r.t, r.n)
+    # the two methods meet
+    near = spark.createDataFrame([(t, n) for t in (0.5, 2.0, 8.0, 30.0) for n in (99_999.0, 100_000.0)], "t double, n double")
+    rows = near.select("t", "n", student_t_two_sided_p(F.col("t"), F.col("n")).alias("p")).orderBy("t", "n").collect()
+    for a, b in zip(rows[::2], rows[1::2]):
+        slope = a.t * (a.t**2 + 1) / 4 / 99_999.0**2 * 2  # the p-value itself changes a little from one n to the next
+        assert a.p == pytest.approx(b.p, rel=1e-9 + slope * (1 + a.t))
+
+
+def test_all_pairs_equal_the_single_pairs(spark):
+    rng = np.random.default_rng(8)
+    rows = [(m, f"e{i}", r + 1, None if (m, i) == ("b", 3) else float(rng.integers(0, 30))) for m in "abcd" for i in range(12 if m != "d" else 1) for r in (0, 1)]
+    scores = metrics.essay_scores(_responses(spark, rows))
+    tests = {(r.model_1, r.model_2): r for r in bias.severity_ttest_all(scores).collect()}
+    limits = {(r.model_1, r.model_2): r for r in bias.bland_altman_all(scores).collect()}
+    names = ["a", "b", "c", "d"]
+    assert set(tests) == set(limits) == {(x, y) for i, x in enumerate(names) for y in names[i + 1 :]}
+    for pair in tests:
+        one = bias.severity_ttest(scores, names=pair).first()
+        assert (tests[pair].n_pairs, tests[pair].degenerate) == (one.n_pairs, one.degenerate)
+        assert tests[pair].tstat == pytest.approx(one.tstat) and tests[pair].pvalue == pytest.approx(one.pvalue)
+        assert limits[pair].bias == pytest.approx(bias.bland_altman(scores, names=pair).first().bias)
+    plan = bias.severity_ttest_all(scores)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(essay_id") == 1
+    assert bias.severity_ttest_all(scores.where("model = 'a'")).count() == 0

@@ -140,10 +140,12 @@ def test_report_json(spark):
     recs = SC.response_records(SC.score(SC.score_plan(rsp.conversation_samples(spark, SF_SMALL), ["a", "b"], 2),
                                         dry_run=True))
     an = Analysis(align_inputs(recs, None, source="question_id"))
-    rep = K.report_frame(an.summary, an.ttest, an.topics, an.distribution, an.category_source)
-    K.write_report_json(rep, os.path.join(d, "report"))
-    files = [f for f in os.listdir(os.path.join(d, "report")) if f.endswith(".json")]
+    K.write_report_json(K.report_lines(an.summary, an.ttest, an.topics, an.distribution, an.category_source), os.path.join(d, "report"))
+    files = [f for f in os.listdir(os.path.join(d, "report")) if f.startswith("part-")]
+    assert len(files) == 1
     doc = json.loads(open(os.path.join(d, "report", files[0])).read())
+    assert list(doc) == ["prompt_category_source", "metrics_summary", "severity_bias_ttest", "topic_bias_means", "hitl_distribution"]
+    assert len(doc["topic_bias_means"]) == an.topics.count() > 2 and set(doc["metrics_summary"][0]) == set(an.summary.columns)
     assert doc["prompt_category_source"] == "question_id"
     assert [m["model"] for m in doc["metrics_summary"]] == ["a", "b"]
     assert doc["severity_bias_ttest"]["tstat"] == 0.0 and doc["severity_bias_ttest"]["pvalue"] == 1.0
@@ -152,6 +154,16 @@ def test_report_json(spark):
     assert spark.read.option("header", True).csv(os.path.join(d, "metrics_summary")).count() == 2
 
 
+def test_report_json_without_results(spark):
+    d = _tmp()
+    none = lambda schema: spark.createDataFrame([], schema)
+    lines = K.report_lines(none("model string, n int"), none("model_1 string"), none("model string, prompt_category string"),
+                           none("model string, hitl_status string"), spark.createDataFrame([(None,)], "prompt_category_source string"))
+    K.write_report_json(lines, os.path.join(d, "report"))
+    assert json.loads("".join(open(os.path.join(d, "report", f)).read() for f in os.listdir(os.path.join(d, "report")) if f.startswith("part-"))) == {
+        "prompt_category_source": None, "metrics_summary": [], "severity_bias_ttest": None, "topic_bias_means": [], "hitl_distribution": []}
+
+
 def test_incremental_stream(spark):
     d = _tmp()
     samples_dir, out_dir = os.path.join(d, "samples"), os.path.join(d, "eval")

@@ -20,11 +20,15 @@ def _json_rows(folder):
     return out
 
 
+def _document(folder):
+    return json.loads("".join(open(os.path.join(folder, f), encoding="utf-8").read() for f in os.listdir(folder) if f.startswith("part-")))
+
+
 def test_clean_sample_score_analyze(spark):
     out = tempfile.mkdtemp(prefix="raterkit-stages-")
     answers = rsp.document_answers(spark, SF_SMALL)
     records = run_clean(answers, f"{out}/clean", anonymize=True, dedupe=True, stopwords=["le", "la", "les", "de"])
-    counters = _json_rows(f"{out}/clean/metadata")[0]
+    counters = _document(f"{out}/clean/metadata")
     assert counters["total_rows"] == answers.count()
     assert counters["kept"] == records.count() == len(_json_rows(f"{out}/clean/cleaned"))
     assert counters["total_rows"] == sum(counters[k] for k in ("short_or_empty", "filtered_noisy", "deduped", "kept"))
@@ -45,7 +49,7 @@ def test_clean_sample_score_analyze(spark):
     assert all(r.mean_total == 28.0 and r["auto-approve"] == 100.0 and r.icc_total is None for r in rows.values())
     t = res["ttest"].first()
     assert (t.tstat, t.pvalue, t.degenerate) == (0.0, 1.0, True)
-    report = _json_rows(f"{out}/analysis/report")[0]
+    report = _document(f"{out}/analysis/report")
     assert report["prompt_category_source"] == "samples.category"
     assert spark.read.option("header", True).csv(f"{out}/analysis/hitl_routing").count() == res["essays"].count()
 
