@@ -7,13 +7,17 @@ looking for the edit, shingles and vectors pair by pair, captures by payload.
 from __future__ import annotations
 
 OP2 = """
-WITH texts AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents),
+WITH texts AS (
+  SELECT row_number() OVER () AS id, doc_id, coalesce(doc_id, 9223372036854775807) AS d, ('0x' || left(sha256(coalesce(text, '')), 15))::BIGINT AS r,
+    row_number() OVER (PARTITION BY doc_id, text) AS copy, string_split(text, chr(10)) AS parts
+  FROM documents
+),
 lines AS (
-  SELECT doc_id, p - 1 AS p, parts[p] AS line
-  FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS p FROM texts)
+  SELECT id, d, r, copy, p - 1 AS p, parts[p] AS line
+  FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS p FROM texts)
   WHERE length(parts[p]) >= 20
 ),
-firsts AS (SELECT line, min((doc_id, p)) AS f, length(line) AS n FROM lines GROUP BY line),
+firsts AS (SELECT line, min((d, r, copy, p)) AS f, length(line) AS n FROM lines GROUP BY line),
 keyed AS (
   SELECT line, f, n, unnest([n - 1, n]) AS longer FROM firsts
 ),
@@ -29,34 +33,37 @@ near AS (
       AND substr(a.line, i + CASE WHEN a.n >= b.n THEN 2 ELSE 1 END) = substr(b.line, i + CASE WHEN b.n >= a.n THEN 2 ELSE 1 END))) > 0
 ),
 gone AS (
-  SELECT l.doc_id, l.p
+  SELECT l.id, l.p
   FROM lines l JOIN firsts f ON l.line = f.line LEFT JOIN near n ON l.line = n.line
-  WHERE n.line IS NOT NULL OR (l.doc_id, l.p) <> f.f
+  WHERE n.line IS NOT NULL OR (l.d, l.r, l.copy, l.p) <> f.f
 ),
-lists AS (SELECT doc_id, count(*) AS n, string_agg(p::VARCHAR, ',' ORDER BY p) AS dropped FROM gone GROUP BY doc_id)
+lists AS (SELECT id, count(*) AS n, string_agg(p::VARCHAR, ',' ORDER BY p) AS dropped FROM gone GROUP BY id)
 SELECT t.doc_id, coalesce(len(t.parts), 0)::BIGINT AS n_lines, coalesce(l.n, 0)::BIGINT AS n_dropped, coalesce(l.dropped, '') AS dropped
-FROM texts t LEFT JOIN lists l ON t.doc_id = l.doc_id
+FROM texts t LEFT JOIN lists l ON t.id = l.id
 """
 
 OP3 = """
-WITH RECURSIVE able AS (
-  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+WITH RECURSIVE numbered AS (SELECT row_number() OVER () AS r, vec_id, embedding FROM embeddings),
+able AS (
+  SELECT r, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM numbered
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
     AND len(list_filter(embedding, lambda x: x <> 0)) > 0
 ),
 links AS (
-  SELECT a.vec_id AS a, b.vec_id AS b FROM able a JOIN able b ON a.vec_id <> b.vec_id
+  SELECT a.r AS a, b.r AS b FROM able a JOIN able b ON a.r <> b.r
   WHERE list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))) >= 0.9
 ),
 reach AS (
-  SELECT vec_id AS a, vec_id AS b FROM able
+  SELECT r AS a, r AS b FROM able
   UNION
   SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
-)
-SELECT e.vec_id, coalesce(c.n, 0)::BIGINT AS n_links, coalesce(m.low, e.vec_id) AS component_id, coalesce(m.low, e.vec_id) = e.vec_id AS kept
-FROM embeddings e
-LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) c ON e.vec_id = c.a
-LEFT JOIN (SELECT a, min(b) AS low FROM reach GROUP BY a) m ON e.vec_id = m.a
+),
+lowest AS (SELECT x.a, min(e.vec_id) AS low FROM reach x JOIN able e ON x.b = e.r GROUP BY x.a)
+SELECT e.vec_id, coalesce(c.n, 0)::BIGINT AS n_links, coalesce(m.low, e.vec_id) AS component_id,
+  e.vec_id IS NOT DISTINCT FROM coalesce(m.low, e.vec_id) AS kept
+FROM numbered e
+LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) c ON e.r = c.a
+LEFT JOIN lowest m ON e.r = m.a
 """
 
 #: rows of (doc_id, n_links, class_id) of a relation ``{documents}(doc_id, text)``
@@ -95,25 +102,28 @@ SELECT doc_id, n_links, class_id, doc_id = class_id AS kept FROM near_classes
 
 OP5 = """
 WITH p AS (
-  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+  SELECT row_number() OVER () AS r, page_id, url, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
 ),
-f AS (SELECT payload_digest, min(page_id) AS first_page FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+f AS (
+  SELECT payload_digest, page_id AS first_page, r AS first_r FROM p WHERE payload_bytes >= 100
+  QUALIFY row_number() OVER (PARTITION BY payload_digest ORDER BY page_id NULLS LAST, url NULLS FIRST, r) = 1
+)
 SELECT p.page_id, p.payload_bytes, p.payload_digest,
-  CASE WHEN f.first_page <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN f.first_page <> p.page_id THEN f.first_page END AS refers_to
+  CASE WHEN f.first_r <> p.r THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN f.first_r <> p.r THEN f.first_page END AS refers_to
 FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest
 """
 
 OP6 = """
 WITH able AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
 ),
 scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
-  FROM able q JOIN able c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+  SELECT q.r, q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM able q JOIN able c ON q.vec_id % 50 = 0 AND q.r <> c.r
 ),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
+ranked AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST)::INTEGER AS rank FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 

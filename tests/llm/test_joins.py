@@ -48,22 +48,27 @@ def edits(a, b):
 
 
 def plain_drops(docs, least):
+    """(doc_id, dropped line numbers) of every row."""
+    key = lambda i: (docs[i][0] if docs[i][0] is not None else 2**63 - 1, int(hashlib.sha256((docs[i][1] or "").encode()).hexdigest()[:15], 16), i)
     first, lines = {}, []
-    for doc_id, text in docs:
-        for p, line in enumerate((text or "").split("\n") if text is not None else []):
+    for i in sorted(range(len(docs)), key=key):
+        for p, line in enumerate(docs[i][1].split("\n") if docs[i][1] is not None else []):
             if len(line) >= least:
-                order = (doc_id if doc_id is not None else 2**63 - 1, p)
-                lines.append((order, line))
-                first[line] = min(first.get(line, order), order)
+                lines.append(((*key(i), p), line))
+                first.setdefault(line, (*key(i), p))
     near = {a for a in first for b in first if first[b] < first[a] and abs(len(a) - len(b)) <= 1 and edits(a, b) == 1}
-    drops = {}
-    for (d, p), line in lines:
-        if line in near or first[line] != (d, p):
-            drops.setdefault(d, set()).add(p)
-    return {d: sorted(s) for d, s in drops.items()}
+    drops = {i: [] for i in range(len(docs))}
+    for at, line in lines:
+        if line in near or first[line] != at:
+            drops[at[2]].append(at[3])
+    return sorted([(str(docs[i][0]), ",".join(map(str, sorted(v)))) for i, v in drops.items()])
 
 
-def test_line_dedup_against_brute_force(spark):
+def counted(df, least):
+    return sorted((str(x.doc_id), x.dropped) for x in line_dedup.line_counts(df, least).collect())
+
+
+def test_line_dedup_against_brute_force(spark, monkeypatch):
     r = random.Random(6)
     base = ["".join(r.choice("abé ") for _ in range(r.randint(4, 40))) for _ in range(25)]
 
@@ -72,11 +77,31 @@ def test_line_dedup_against_brute_force(spark):
         return r.choice((line, line[:k] + line[k + 1 :], line[:k] + "x" + line[k:], line[:k] + "y" + line[k + 1 :], line + "z", "z" + line))
 
     docs = [(i, "\n".join(change(r.choice(base)) for _ in range(r.randint(0, 6)))) for i in range(80)]
-    docs += [(90, None), (91, ""), (None, base[0] + "\n" + base[1]), (92, "aaaaaaaaaaaaaaaa\naaaaaaaaaaaaaaa"), (93, "x" * 3000 + "\n" + "x" * 2999)]
-    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("d", F.lit(5)).withColumn("line", F.lit("q"))
-    for least in (4, 20):
-        got = {x.d: x.dropped for x in line_dedup.dropped_lines(df, least).collect()}
-        assert got == plain_drops(docs, least)
+    docs += [(90, None), (91, ""), (None, base[0] + "\n" + base[1]), (92, "aaaaaaaaaaaaaaaa\naaaaaaaaaaaaaaa"), (93, "x" * 300 + "\n" + "x" * 299)]
+    docs += [(None, base[0] + "\n" + base[2]), (None, base[0] + "\n" + base[1]), (5, docs[5][1]), (5, docs[6][1] + "\nquite another"), (None, None), (None, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({c: F.lit("q") for c in ("d", "r", "line", "row", "number", "dropped")})
+    for least, segment in ((4, 256), (4, 8), (20, 8)):
+        monkeypatch.setattr(line_dedup, "SEGMENT", segment)
+        assert counted(df, least) == plain_drops(docs, least)
+
+
+def test_unique_lines_stay_under_null_and_repeated_ids(spark):
+    rows = [(None, "completely different and unique first line\na line that stands in two documents"),
+            (None, "something else altogether in this document\na line that stands in two documents"),
+            (7, "a quite unique text under a repeated id"), (7, "another text that repeats only the id\na line that stands in two documents!")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = "\n".join(r.text for r in line_dedup.line_stage(spark, docs, "").collect())
+    for line in ("completely different and unique first line", "something else altogether in this document", "a quite unique text under a repeated id",
+                 "another text that repeats only the id", "a line that stands in two documents!"):
+        assert line in left
+    assert left.count("a line that stands in two documents") == 1
+
+
+def test_long_lines(spark):
+    line = "".join(random.Random(2).choice("abcdefghij") for _ in range(300_000))
+    rows = [(1, line), (2, line[:77_777] + "X" + line[77_778:]), (3, line[:290_000] + line[290_001:]), (4, "Y" + line), (5, line[:9] + "ZZ" + line[11:])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [x[1] for x in counted(docs, 20)] == ["", "0", "0", "0", ""]
 
 
 def test_line_stage(spark):
@@ -161,10 +186,37 @@ def test_near_documents_repeated_and_null_ids(spark):
 
 
 def test_prefixes_are_shortened_until_the_target(spark):
-    found = spark.createDataFrame([(80, 500), (95, 10)], "bin int, n long")
-    deep, short = lsh_forest._recall(found, 7), lsh_forest._recall(found, 4)
-    assert deep < lsh_forest.TARGET_RECALL <= short <= 1.0
-    assert lsh_forest._recall(found.limit(0), 7) == 1.0
+    rng = np.random.default_rng(12)
+    shape = (lsh_forest.TREES, lsh_forest.DEPTH)
+    rows = []
+    for i in range(40):  # pairs that agree in six values of seven, but in no prefix of more than 4
+        labels = rng.integers(0, 2**32, shape, dtype=np.uint32)
+        other = labels.copy()
+        other[:, 4] ^= 1
+        rows += [(f"a{i}".encode(), labels), (f"b{i}".encode(), other)]
+    hot = rng.integers(0, 2**32, shape, dtype=np.uint32)
+    for i in range(50):  # a large group that is found at any length does not hide them
+        own = hot.copy()
+        own[0] = rng.integers(0, 2**32, shape[1], dtype=np.uint32)
+        rows.append((f"c{i}".encode(), own))
+    classes = spark.createDataFrame([(bytearray(n), bytearray(x.astype("<u4").tobytes()), bytearray(x.astype(np.uint8).tobytes())) for n, x in rows], "node binary, labels binary, sketch binary")
+    recall = lsh_forest.audited_recall(classes)
+    assert recall == {7: 0.0, 6: 0.0, 5: 0.0, 4: 1.0, 3: 1.0}
+    rounds = []
+    found = {bytes(r.node): bytes(r.cluster) for r in lsh_forest.clusters(classes, 7, rounds).collect()}
+    assert rounds == [7, 6, 5, 4] and len(found) == 130
+    assert all(found[f"a{i}".encode()] == found[f"b{i}".encode()] for i in range(40)) and len(set(found.values())) == 41
+    direct = {bytes(r.node): bytes(r.cluster) for r in lsh_forest.clusters(classes, 4).collect()}
+    assert found == direct  # step by step finds what the last length finds
+    assert len({bytes(r.node) for r in lsh_forest.clusters(classes, rounds=rounds).collect()}) == 130 and rounds[4:] == [5, 4]
+    assert lsh_forest.audited_recall(classes.limit(0)) == {}
+
+
+def test_many_documents_without_an_id(spark):
+    texts = [" ".join(f"w{i}x{k}" for k in range(30)) for i in range(40)]
+    rows = [(None, t) for t in texts for _ in range(5)] + [(None, t + " more") for t in texts] + [(3, texts[0])]
+    got = sorted((str(r.doc_id), r.n_links, str(r.class_id)) for r in lsh_forest.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([("None", 5, "None")] * (6 * 39) + [("None", 6, "3")] * 6 + [("3", 6, "3")])
 
 
 def test_borderline_pairs_beside_a_large_group(spark):
@@ -191,24 +243,21 @@ def test_overlaps_of_sets():
 
 
 def plain_vectors(rows, threshold=0.9):
-    best = {}
-    for i, v in rows:
-        if i not in best or (best[i] is None) or (v is not None and v < best[i]):
-            best[i] = v if v is not None else best.get(i)
-    able = {i: np.array(v, float) for i, v in best.items() if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v) and any(v)}
+    """(vec_id, n_links, component_id, kept) of every row."""
+    able = {r: np.array(v, float) for r, (_, v) in enumerate(rows) if v is not None and all(x is not None and math.isfinite(x) for x in v) and any(v)}
     dims = max((len(v) for v in able.values()), default=0)
-    able = {i: np.pad(v, (0, dims - len(v))) for i, v in able.items()}
+    able = {r: np.pad(v, (0, dims - len(v))) for r, v in able.items()}
     link = {i: {j for j in able if i != j and able[i] @ able[j] / (np.linalg.norm(able[i]) * np.linalg.norm(able[j])) >= threshold} for i in able}
     out = []
-    for i in best:
-        seen, todo = {i}, [i]
+    for r, (vec_id, _) in enumerate(rows):
+        seen, todo = {r}, [r]
         while todo:
             for j in link.get(todo.pop(), ()):
                 if j not in seen:
                     seen.add(j)
                     todo.append(j)
-        low = min(seen) if i is not None else None
-        out.append((i, len(link.get(i, ())), low, low == i))
+        low = min((rows[j][0] for j in seen if rows[j][0] is not None), default=None)
+        out.append((vec_id, len(link.get(r, ())), low, low == vec_id))
     return sorted(out, key=str)
 
 
@@ -219,15 +268,15 @@ def vector_rows(n=400):
     rows += [(n + i, [float(v) for v in x[i] + 0.05 * rng.standard_normal(16).astype(np.float32)]) for i in range(40)]
     rows += [(600 + i, [float(v) for v in x[0] + 0.02 * rng.standard_normal(16).astype(np.float32)]) for i in range(60)]  # more than a list holds
     rows += [(700 + i, rows[5][1]) for i in range(30)]  # equal vectors
-    return rows + [(800, None), (801, []), (802, [0.0] * 16), (803, [1.0, None]), (804, [1.0, float("nan")]), (805, [float("inf")]), (806, [2.0]), (807, [3.0]), (5, rows[5][1]), (None, [1.0])]
+    return rows + [(800, None), (801, []), (802, [0.0] * 16), (803, [1.0, None]), (804, [1.0, float("nan")]), (805, [float("inf")]), (806, [2.0]), (807, [3.0]), (5, rows[5][1]), (None, [1.0]), (None, rows[7][1]),
+                   (None, [0.0, 5.0]), (9, rows[11][1]), (9, [-v for v in rows[9][1]]), (9, None), (None, None)]
 
 
 def test_near_vectors_against_brute_force(spark):
     rows = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in vector_rows()]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("label", F.lit(1)).withColumn("node", F.lit(2))
     got = sorted(((r.vec_id, r.n_links, r.component_id, bool(r.kept)) for r in nn_descent.near_vectors(df).collect()), key=str)
-    want = [(i, n, c, True if i is None else k) for i, n, c, k in plain_vectors(rows)]
-    assert got == want
+    assert got == plain_vectors(rows)
     assert nn_descent.near_vectors(df.limit(0)).count() == 0
     assert [tuple(r) for r in nn_descent.near_vectors(df.where("vec_id = 3")).collect()] == [(3, 0, 3, True)]
 
@@ -251,12 +300,28 @@ def test_lists_keep_the_best_distinct_neighbours():
     assert list(zip(*(c.to_pylist() for c in out.columns)))[:2] == [(1, 6, pytest.approx(0.9), True), (1, 7, pytest.approx(0.7), True)]
 
 
+def test_saturated_lists_are_enlarged(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(v) for v in np.eye(20)[0] + 0.01 * rng.standard_normal(20)]) for i in range(60)]
+    rows += [(100 + i, [float(v) for v in np.eye(20)[1 + i // 3] + 0.01 * rng.standard_normal(20)]) for i in range(30)]
+    _, nodes, dims = nn_descent.nodes_of(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    low = {r.node: r.low for r in nodes.collect()}
+    lists = nn_descent.descend(nodes, None, 90, dims, 5)
+    sizes = lambda t: {low[r.src]: r["count"] for r in t.groupBy("src").count().collect()}
+    grown = nn_descent.enlarge(nodes, lists, 5, 0.9)
+    before, after = sizes(lists), sizes(grown)
+    assert all(before[i] == 5 for i in range(60)) and all(after[i] == 20 for i in range(60))
+    assert all(after[100 + i] == before[100 + i] <= 5 for i in range(30))  # two links each: not saturated
+    assert grown.where("sim > 0.99").groupBy("src", "dst").count().where("count > 1").count() == 0
+
+
 def test_audit_counts_missing_links(spark):
     rows = [(i, [1.0, 0.001 * i]) for i in range(10)]
     keyed, nodes, dims = nn_descent.nodes_of(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
-    all_links = spark.createDataFrame([(i, 9, 0) for i in range(10)], nn_descent.LINKS)
+    node = {r.low: r.node for r in nodes.collect()}
+    all_links = spark.createDataFrame([(node[i], 9, node[0]) for i in range(10)], nn_descent.LINKS)
     assert nn_descent.audit(nodes, all_links, dims, 0.9) == 1.0
-    assert nn_descent.audit(nodes, all_links.where("node < 5"), dims, 0.9) == 0.5
+    assert nn_descent.audit(nodes, all_links.where(F.col("node").isin([node[i] for i in range(5)])), dims, 0.9) == 0.5
 
 
 def test_audit_is_not_carried_by_a_large_group(spark):
@@ -264,7 +329,8 @@ def test_audit_is_not_carried_by_a_large_group(spark):
     rows = [(i, [float(v) for v in np.eye(24)[0] + 0.001 * rng.standard_normal(24)]) for i in range(100)]
     rows += [(100 + 2 * i + j, [float(v) for v in np.eye(24)[1 + i] + 0.001 * j]) for i in range(20) for j in (0, 1)]
     keyed, nodes, dims = nn_descent.nodes_of(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
-    found = [(i, 99, 0) for i in range(100)] + [(100 + i, 1, 100) for i in range(20)]  # half of the pairs
+    node = {r.low: r.node for r in nodes.collect()}
+    found = [(node[i], 99, node[0]) for i in range(100)] + [(node[100 + i], 1, node[100]) for i in range(20)]  # half of the pairs
     assert nn_descent.audit(nodes, spark.createDataFrame(found, nn_descent.LINKS), dims, 0.9) == 0.5
 
 
@@ -286,18 +352,20 @@ def test_top_k_against_brute_force(spark):
     x = rng.standard_normal((300, 8)).astype(np.float32)
     x[100:140] = x[50]  # ties
     rows = [(i, [float(v) for v in x[i]]) for i in range(300)]
-    rows += [(350, None), (400, [float("nan")]), (450, [1.0, None]), (500, []), (550, [100.0]), (None, [1.0]), (50, rows[50][1])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(1)).withColumn("b", F.lit(2))
-    able = {i: np.pad(np.floor(256 * np.array(v, np.float32).astype(float)).astype(int), (0, 8 - len(v))) for i, v in rows
-            if i is not None and v is not None and all(e is not None and math.isfinite(e) for e in v)}
+    rows += [(350, None), (400, [float("nan")]), (450, [1.0, None]), (500, []), (550, [100.0]), (None, [1.0]), (None, rows[50][1]), (50, rows[50][1]), (50, rows[7][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({"score": F.lit(1), "b": F.lit(2), "row": F.lit(3), "is_query": F.lit(False)})
+    able = {r: (i, np.pad(np.floor(256 * np.array(v, np.float32).astype(float)).astype(int), (0, 8 - len(v)))) for r, (i, v) in enumerate(rows)
+            if v is not None and all(e is not None and math.isfinite(e) for e in v)}
     want = []
-    for q in (i for i in able if i % 50 == 0):
-        best = sorted((-int(able[q] @ able[c]), c) for c in able if c != q)[:5]
-        want += [(q, k, c, -s) for k, (s, c) in enumerate(best, 1)]
+    for q, (i, own) in able.items():
+        if i is not None and i % 50 == 0:
+            best = sorted((-int(own @ v), c is None, c or 0) for r, (c, v) in able.items() if r != q)[:5]
+            want += [(i, k, None if none else c, -s) for k, (s, none, c) in enumerate(best, 1)]
+    assert sum(i == 50 for i, *_ in want) == 15  # three rows with that id, each a query
     for pivots, block in ((32, 4096), (4, 37), (0, 64)):
         got = pivot_topk.top_k(df, F.col("vec_id") % 50 == 0, pivots=pivots, block=block, query_block=3).collect()
-        assert sorted(map(tuple, got)) == sorted(want)
-    assert pivot_topk.top_k(df.where("vec_id in (50, 51)"), F.col("vec_id") == 50).count() == 1  # fewer than k
+        assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert pivot_topk.top_k(df.where("vec_id in (51, 100)"), F.col("vec_id") == 100).count() == 1  # fewer than k
     assert pivot_topk.top_k(df.limit(0), F.col("vec_id") == 50).count() == 0
 
 
@@ -307,7 +375,7 @@ def test_bounds_spare_evaluations():
     x = np.repeat(centers, 100, axis=0) + rng.integers(-3, 4, (2000, 8))
     pivots = x[rng.choice(2000, 32, replace=False)]
     d = pivot_topk._distances(x, pivots)
-    (q, c, s), evaluated = pivot_topk.search_block(np.array([0]), x[:1], d[:1], np.arange(2000), x, d, np.array([-np.inf]), 5)
+    (q, c, s), evaluated = pivot_topk.search_block(np.array([0]), x[:1], d[:1], np.arange(2000), np.arange(2000), x, d, np.array([-np.inf]), 5)
     scores = x @ x[0]
     scores[0] = -np.inf
     assert sorted(s.tolist(), reverse=True) == sorted(scores.tolist(), reverse=True)[:5]
@@ -321,35 +389,58 @@ def page_rows():
     long = "<p>" + "x" * 200 + "</p>"
     tricky = "WARC/1.1\r\nContent-Length: 5\r\n\r\nabc\r\n\r\nWARC/1.1\r\n" + "é漢" * 60
     return [(5, "http://a/5", long), (3, "http://a/3", long), (9, None, long), (1, "http://a/1", "short"), (2, "http://a/2", "short"), (4, "u\r\nX: y", tricky),
-            (6, "http://a/6", None), (7, "http://a/7", ""), (8, "http://a/8", tricky), (9, None, long), (None, "http://a/n", long), (11, "x", "y" * 100), (12, "x", "y" * 99)]
+            (6, "http://a/6", None), (7, "http://a/7", ""), (8, "http://a/8", tricky), (9, None, long), (None, "http://a/n", long), (None, "http://a/n", long), (None, "http://a/m", None), (None, None, ""),
+            (11, "x", "y" * 100), (12, "x", "y" * 99), (13, "x", "z" * 120), (13, "w", "z" * 120), (None, "q", "v" * 150), (None, "q", "v" * 150)]
+
+
+def plain_captures(rows):
+    """(page_id, bytes, digest, type, refers to) of every row."""
+    order = sorted(range(len(rows)), key=lambda r: (rows[r][0] is None, rows[r][0] or 0, rows[r][1] is not None, rows[r][1] or "", r))
+    first, out = {}, []
+    for r in order:
+        page, _, html = rows[r]
+        payload = (html or "").encode()
+        digest = hashlib.sha256(payload).hexdigest()
+        revisit = len(payload) >= 100 and digest in first
+        out.append((page, len(payload), digest, "revisit" if revisit else "response", first[digest] if revisit else None))
+        first.setdefault(digest, page)
+    return sorted(out, key=str)
 
 
-def test_archives_round_trip(spark):
+def test_archives_round_trip(spark, monkeypatch):
     rows = page_rows()
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("kind", F.lit("x")).withColumn("payload", F.lit("y"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"kind": F.lit("x"), "payload": F.lit("y"), "occurrence": F.lit(9), "copies": F.lit(4)})
+    monkeypatch.setattr(warc, "CLASS_BYTES", 64)  # several size classes
     path = scratch_path(spark, "warc-test")
     warc.write_archives(pages.repartition(3), path, records_per_file=4)
     records = warc.read_records(spark, path, keep_payload=True).cache()
     captures = warc.assemble(records).collect()
-    digest = {p: hashlib.sha256((h or "").encode()).hexdigest() for p, _, h in rows}
-    size = {p: len((h or "").encode()) for p, _, h in rows}
-    assert len(captures) == len({(p, d) for p, d in digest.items()})
-    by_page = {}
+    assert len(captures) == len(rows)
+    pages_of = {c.capture_id: dict((f.key, f.value) for f in c.metadata.fields).get("page-id") for c in captures}
+    got = []
     for c in captures:
         fields = dict((f.key, f.value) for f in c.metadata.fields)
-        page = int(fields["page-id"]) if "page-id" in fields else None
-        by_page[page] = c
-        assert int(fields["payload-length"]) == size[page] and c.request is not None and c.response.payload_digest == digest[page]
-        first = min(p for p in digest if p is not None and digest[p] == digest[page])
-        if size[page] >= 100 and page != first:
-            assert c.response.kind == "revisit" and bytes(c.response.payload) == b""
-        else:
-            assert c.response.kind == "response" and hashlib.sha256(bytes(c.response.payload)).hexdigest() == digest[page]
-    assert by_page[5].response.refers_to == by_page[3].capture_id and by_page[4].response.target_uri == "u%0D%0AX: y"
-    assert set(by_page) == set(digest)
+        page, sha = pages_of[c.capture_id], hashlib.sha256(bytes(c.response.payload)).hexdigest()
+        assert c.request is not None and (c.response.kind == "revisit" or sha == c.response.payload_digest)
+        refers = None if c.response.refers_to is None else pages_of[c.response.refers_to]
+        got.append((page and int(page), int(fields["payload-length"]), c.response.payload_digest, c.response.kind, refers and int(refers)))
+    assert sorted(got, key=str) == plain_captures(rows)
+    assert "u%0D%0AX: y" in {c.response.target_uri for c in captures}
     records.unpersist()
 
 
+def test_large_pages_in_bounded_files(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 12_000_000)
+    rows = [(i, f"http://a/{i}", f"{i} " + "0123456789" * 500_000) for i in range(8)] + [(100 + i, None, "small") for i in range(300)]
+    path = scratch_path(spark, "warc-large")
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content").collect()
+    sizes = [len(gzip.decompress(bytes(f.content))) for f in files]
+    assert max(sizes) < 13_000_000 and len(sizes) < 20
+    out = warc.assemble(warc.read_records(spark, path)).collect()
+    assert len(out) == len(rows) and sum(c.response.kind == "response" for c in out) == len(rows)
+
+
 def test_parser_takes_records_by_length():
     data = b"WARC/1.1\r\nWARC-Type: metadata\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
     out = list(warc.parse_records(io.BytesIO(data)))
