@@ -5,15 +5,19 @@ a shorter text is one shingle). Documents with equal sets are one class, whateve
 only classes are compared. Two documents are linked if their sets have a Jaccard similarity of
 ``THRESHOLD`` or more.
 
-The forest has ``TREES`` prefix tries over minhash labels of ``DEPTH`` values. Classes that
-share a prefix of the current depth in some tree are candidates. A pair of similarity s is found
-with probability 1 - (1 - s^depth)^TREES. The depth is the longest at which a pair at the
-threshold itself is found with the target's probability, so that no pair's chance depends on
-what else is in the corpus; from the pairs found the recall is estimated again (each stands for
-1/probability pairs) and prefixes are shortened while it is below the target. Within a bucket candidates are
-compared by a byte sketch of all labels, with a margin that no linked pair falls short of in
-practice (more than four standard deviations). Sketch-similar classes form clusters, and all
-pairs within a cluster are then verified exactly on their whole shingle sets (64-bit hashes).
+The forest has ``TREES`` prefix tries over minhash labels of ``DEPTH`` values. Classes that share
+a prefix in some tree are candidates: a bucket of the current length, sorted by the rest of the
+labels, holds its longer prefixes as runs. A pair of similarity s is found with probability
+1 - (1 - s^depth)^TREES. Prefixes begin at the longest at which a pair at the threshold itself is
+found with the target's probability, so that no pair's chance depends on what else is in the
+corpus. Recall is audited: a bounded sample of classes (``AUDIT``, chosen by a hash) is compared
+with every class by the whole sketch, and the share of its similar pairs that share a prefix is
+averaged by number of such pairs (1, 2 to 3, 4 to 7 ...); the worst of these counts. While it is
+below the target, prefixes are shortened by a value, and only pairs without a longer common prefix are
+compared anew. Within a bucket candidates are compared by a byte sketch of all labels, with a
+margin that no linked pair falls short of in practice (more than four standard deviations).
+Sketch-similar classes form clusters, and all pairs within a cluster are then verified exactly
+on their whole shingle sets (64-bit hashes).
 
 A large bucket or cluster is dealt out as pairs of blocks of bounded size, each a group of its
 own; a group returns link counts per class and a spanning forest of its links, never the pairs.
@@ -45,6 +49,7 @@ DEPTH = 7
 LEAST_DEPTH = 3
 TARGET_RECALL = 0.999
 SKETCH_THRESHOLD = 0.64
+AUDIT = 256
 NO_ID = -(2**63)
 
 # --- shingles and signatures ------------------------------------------------------------
@@ -117,82 +122,81 @@ def _signature_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                     labels.append(None)
                     sketches.append(None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), *(pa.array(x, pa.binary()) for x in (nodes, labels, sketches))],
-            names=["doc_id", "node", "labels", "sketch"],
+            [batch.column("doc_id"), batch.column("t"), *(pa.array(x, pa.binary()) for x in (nodes, labels, sketches))],
+            names=["doc_id", "t", "node", "labels", "sketch"],
         )
 
 
 # --- candidates -------------------------------------------------------------------------
 
-EDGES = "a binary, b binary, bin int, n long"
+EDGES = "a binary, b binary"
+
+
+def _labels(column) -> np.ndarray:
+    """``rows x trees x values`` from the labels' bytes."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype="<u4").reshape(-1, TREES, DEPTH)
 
 
 def _key_task(depth: int):
+    """A row per class and tree: the hashed prefix, and the rest of the label (its first value apart)."""
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            values = np.frombuffer(b"".join(batch.column("labels").to_pylist()), dtype="<u4").reshape(-1, TREES, DEPTH)
+            values = _labels(batch.column("labels"))
             factors = np.random.default_rng(5).integers(0, 2**63, (TREES, depth), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
             keys = grams.mix64((values[:, :, :depth] * factors).sum(axis=2, dtype=np.uint64) + np.arange(TREES, dtype=np.uint64) * _FACTORS[0])
+            after = values[:, :, depth] if depth < DEPTH else np.zeros(values.shape[:2], dtype=np.uint32)
             rows = np.repeat(np.arange(batch.num_rows), TREES)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.tile(np.arange(TREES, dtype=np.int32), batch.num_rows)), batch.column("node").take(pa.array(rows))],
-                names=["key", "tree", "node"],
+                [pa.array(keys.reshape(-1).view(np.int64)), pa.array(after.reshape(-1).astype(np.int64)), batch.column("node").take(pa.array(rows))],
+                names=["key", "after", "node"],
             )
 
     return task
 
 
-def _compare_task(depth: int):
-    """Sketch-similar pairs of each bucket: a spanning forest, and the pairs counted by similarity."""
+def _compare_task(again: bool):
+    """A spanning forest of the sketch-similar pairs of each bucket; ``again``: of those that do not
+    share a longer prefix, the others having been compared before."""
 
     def work(t: pa.Table, bounds: np.ndarray) -> pa.RecordBatch | None:
         sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint8).reshape(t.num_rows, -1)
-        tree, block = t.column("tree").to_numpy(), t.column("block").to_numpy()
+        after, block = t.column("after").to_numpy(), t.column("block").to_numpy()
         same = t.column("bi").to_numpy() == t.column("bj").to_numpy()
-        left, right, bins = [], [], np.zeros(101, dtype=np.int64)
+        left, right = [], []
         one_block = np.where(same, np.arange(t.num_rows), -1 - block)  # rows of one block: all sides differ
         for a, b in pairs_within(bounds, one_block):
+            if again:
+                new = after[a] != after[b]
+                a, b = a[new], b[new]
             for s in range(0, len(a), 50_000):
                 i, j = a[s : s + 50_000], b[s : s + 50_000]
-                equal = sketch[i] == sketch[j]
-                similar = (equal.mean(axis=1) - 1 / 256) / (1 - 1 / 256)
+                similar = ((sketch[i] == sketch[j]).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
                 keep = similar >= SKETCH_THRESHOLD
-                if not keep.any():
-                    continue
-                i, j, equal, similar = i[keep], j[keep], equal[keep], similar[keep]
-                left.append(i)
-                right.append(j)
-                meets = equal.reshape(len(i), TREES, DEPTH)[:, :, :depth].all(axis=2)
-                counted = (meets.argmax(axis=1) == tree[i]) & (similar >= THRESHOLD)  # once, in its first tree
-                bins += np.bincount((similar[counted] * 100).astype(int), minlength=101)[:101]
-        if not left:
+                left.append(i[keep])
+                right.append(j[keep])
+        i, j = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (left, right))
+        if not len(i):
             return None
-        i, j = np.concatenate(left), np.concatenate(right)
         label = spanning(t.num_rows, i, j)
         linked = np.flatnonzero(label != np.arange(t.num_rows))
-        node, used = t.column("node").combine_chunks(), np.flatnonzero(bins)
-        pad = len(used)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([*node.take(pa.array(linked)).to_pylist(), *[None] * pad], pa.binary()),
-                pa.array([*node.take(pa.array(label[linked])).to_pylist(), *[None] * pad], pa.binary()),
-                pa.array([*[None] * len(linked), *used.tolist()], pa.int32()),
-                pa.array([*[0] * len(linked), *bins[used].tolist()], pa.int64()),
-            ],
-            names=["a", "b", "bin", "n"],
-        )
+        node = t.column("node").combine_chunks()
+        return pa.RecordBatch.from_arrays([node.take(pa.array(linked)), node.take(pa.array(label[linked]))], names=["a", "b"])
 
     return lambda batches: grouped(batches, ["key", "bi", "bj"], work)
 
 
-def _candidates(classes: DataFrame, depth: int) -> DataFrame:
-    """Sketch-similar edges and pair counts of the buckets at a prefix length."""
-    keys = classes.select("node", "labels").mapInArrow(_key_task(depth), "key long, tree int, node binary")
-    buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = keys.join(buckets, "key").join(classes.select("node", "sketch"), "node")
-    return cut_lineage(block_pairs(members, ["key"], "size").mapInArrow(_compare_task(depth), EDGES), "candidates")
+def _candidates(classes: DataFrame, depth: int, again: bool = False) -> DataFrame:
+    """Sketch-similar edges of the buckets at a prefix length."""
+    keys = classes.select("node", "labels").mapInArrow(_key_task(depth), "key long, after long, node binary")
+    buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("after").alias("low"), F.max("after").alias("high")).where("size > 1")
+    if again:
+        buckets = buckets.where("low <> high")
+    members = keys.join(buckets.select("key", "size"), "key").join(classes.select("node", "sketch"), "node")
+    dealt = block_pairs(members, ["key"], "size").sortWithinPartitions("key", "bi", "bj", "after", "node")
+    return cut_lineage(dealt.mapInArrow(_compare_task(again), EDGES), "candidates")
 
 
 def found_chance(similarity: float, depth: int, trees: int = TREES) -> float:
@@ -205,35 +209,72 @@ def _depth() -> int:
     return max(able, default=LEAST_DEPTH)
 
 
-def _recall(found: DataFrame, depth: int) -> float:
-    """Estimated share of linked pairs that this depth finds."""
-    counts = found.where("bin is not null").groupBy("bin").agg(F.sum("n").alias("n")).collect()  # at most 101 rows
-    seen = sum(r.n for r in counts)
-    all_pairs = sum(r.n / found_chance(min(1.0, r.bin / 100 + 0.005), depth) for r in counts)
-    return seen / all_pairs if seen else 1.0
-
+def audited_recall(classes: DataFrame, sample: int = AUDIT) -> dict[int, float]:
+    """By prefix length, the mean share of the similar pairs of a bounded sample of classes that share
+    such a prefix in some tree: the lowest of the means by number of pairs."""
+    chosen = classes.select("node", "labels").orderBy(F.xxhash64("node"), "node").limit(sample).toArrow()
+    if not chosen.num_rows:
+        return {}
+    own, nodes = _labels(chosen.column("labels")), chosen.column("node").to_pylist()
+    least = ((1 - 1 / 256) * THRESHOLD + 1 / 256) * TREES * DEPTH  # bytes that agree
+    sketch, place = own.astype(np.uint8).reshape(len(own), -1), {n: i for i, n in enumerate(nodes)}
 
-def clusters(classes: DataFrame) -> DataFrame:
-    """``node, cluster`` of the classes that have a sketch-similar candidate."""
-    depth = _depth()
-    while True:
-        found = _candidates(classes, depth)
-        if depth <= LEAST_DEPTH or _recall(found, depth) >= TARGET_RECALL:
-            break
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros((len(own), DEPTH + 1), dtype=np.int64)  # pairs by longest common prefix
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            values = _labels(batch.column("labels"))
+            others = values.astype(np.uint8).reshape(len(values), -1)
+            at = [place.get(n, -1) for n in batch.column("node").to_pylist()]
+            for i in range(len(own)):
+                rows = np.flatnonzero(np.count_nonzero(others == sketch[i], axis=1) >= least)
+                if len(rows):
+                    rows = rows[np.array([at[r] != i for r in rows.tolist()])]
+                    shared = np.cumprod(values[rows] == own[i], axis=2).sum(axis=2).max(axis=1, initial=0)
+                    found[i] += np.bincount(shared, minlength=DEPTH + 1)
+        i, d = np.nonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(d), pa.array(found[i, d])], names=["i", "shared", "n"])
+
+    rows = classes.select("node", "labels").mapInArrow(task, "i long, shared long, n long").groupBy("i", "shared").agg(F.sum("n").alias("n")).toArrow()
+    pairs = np.zeros((len(own), DEPTH + 1))
+    pairs[rows["i"].to_numpy(), rows["shared"].to_numpy()] = rows["n"].to_numpy()
+    total = pairs.sum(axis=1)
+    has = total > 0
+    share = np.cumsum(pairs[has, ::-1], axis=1)[:, ::-1] / total[has, None]  # with a common prefix of d or more
+    group = np.floor(np.log2(total[has])).astype(int)
+    return {d: min((float(share[group == g, d].mean()) for g in np.unique(group)), default=1.0) for d in range(LEAST_DEPTH, DEPTH + 1)}
+
+
+def clusters(classes: DataFrame, depth: int | None = None, rounds: list[int] | None = None) -> DataFrame:
+    """``node, cluster`` of the classes that have a sketch-similar candidate; ``rounds`` collects the
+    prefix lengths taken, from ``depth`` (see ``_depth``) on."""
+    depth = depth or _depth()
+    recall = audited_recall(classes)
+    rounds = [] if rounds is None else rounds
+    rounds.append(depth)
+    found = _candidates(classes, depth)
+    while depth > LEAST_DEPTH and recall.get(depth, 1.0) < TARGET_RECALL:
         depth -= 1
-    return components(found.where("a is not null").select("a", "b")).withColumnRenamed("component", "cluster")
+        rounds.append(depth)
+        found = found.unionByName(_candidates(classes, depth, again=True))
+    return components(found).withColumnRenamed("component", "cluster")
 
 
 # --- verification -----------------------------------------------------------------------
 
 
 def _shingle_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    last = None
     for batch in batches:
         texts, wanted = grams.texts_of(batch.column("text")), batch.column("node").to_pylist()
         keep, sets = [], []
         for i, text in enumerate(texts):
+            if wanted[i] == last:  # rows with equal id and text follow each other
+                continue
+            last = wanted[i]
             unique = np.unique(shingles([text])[0])
-            if len(unique) and set_key(unique) == wanted[i]:  # not another text of a repeated id
+            if len(unique) and set_key(unique) == wanted[i]:
                 keep.append(i)
                 sets.append(unique.view(np.int64))
         rows = batch.take(pa.array(keep, pa.int64()))
@@ -318,21 +359,23 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     """``doc_id, n_links, class_id`` for every row of ``docs(doc_id, text)``: the number of other
     documents linked directly, and the smallest id reachable by links (its own, if none)."""
     own = docs.select("doc_id", "text")
-    signed = cut_lineage(own.mapInArrow(_signature_task, "doc_id long, node binary, labels binary, sketch binary"), "signatures")
-    # labels and sketch depend on the class alone
+    keyed = own.select("doc_id", "text", F.xxhash64("text").alias("t"))
+    signed = cut_lineage(keyed.mapInArrow(_signature_task, "doc_id long, t long, node binary, labels binary, sketch binary"), "signatures")
+    # labels and sketch depend on the class alone; the text of its smallest id (null last) stands for it
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t"))
     classes = cut_lineage(
         signed.where("node is not null").groupBy("node").agg(
-            F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("labels").alias("labels"), F.first("sketch").alias("sketch")
-        ),
+            first.alias("of"), F.count(F.lit(1)).alias("copies"), F.first("labels").alias("labels"), F.first("sketch").alias("sketch")
+        ).select("node", F.col("of.doc_id").alias("rep"), F.col("of.t").alias("t"), "copies", "labels", "sketch"),
         "classes",
     )
     member = clusters(classes)
     sizes = member.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
     wanted = (
-        member.join(sizes, "cluster").join(classes.select("node", "rep", "copies"), "node")
+        member.join(sizes, "cluster").join(classes.select("node", "rep", "t", "copies"), "node")
         .withColumn("rep", F.coalesce("rep", F.lit(NO_ID)))
     )
-    texts = own.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("rep"), "text").join(wanted, "rep")
+    texts = keyed.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("rep"), "t", "text").join(wanted, ["rep", "t"])
     sets = texts.mapInArrow(_shingle_task, "cluster binary, node binary, copies long, size long, shingles array<long>")
     sets = sets.dropDuplicates(["node"])
     verified = cut_lineage(block_pairs(sets, ["cluster"], "size").mapInArrow(_verify_task, VERIFIED), "verified")
@@ -365,4 +408,4 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     found = jaccard_groups(docs)
     gone = found.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("_near_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_near_id"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["_near_id"], "left_anti")
