@@ -6,7 +6,8 @@ it) are compared with each other and every list keeps its best ``k``; pairs of o
 not compared again. Rounds end when few lists change.
 
 A list all of whose entries are above the threshold is saturated: there may be more links than
-it can hold. Threshold edges form clusters, and within a cluster all pairs are compared in
+it can hold. Saturated lists are enlarged, to ``ENLARGED`` times the length at most (all links of
+a large group would be the square of its size). Threshold edges form clusters, and within a cluster all pairs are compared in
 double precision, in blocks of bounded size that return link counts and a spanning forest. A
 link between two clusters is in no list only if both its nodes are saturated (a list that is not
 holds all links of its node), so the saturated nodes of different clusters are compared too:
@@ -22,8 +23,9 @@ of twice the length; if the last attempt is below it too, all pairs of nodes are
 blocks, at a cost of the square of their number.
 
 Null vectors, those without length, and those with null or non-finite components link with
-nothing. Shorter vectors count as padded with zeros. Rows that repeat an id count once, with
-the smallest vector. An empty table gives no rows.
+nothing. Shorter vectors count as padded with zeros. Every row is a vector of its own and is
+returned, also where ids are repeated or null; a component's id is the smallest id in it (null if
+it has none). An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -52,6 +54,7 @@ SETTLED = 0.01  # share of list entries that change in the last round
 AUDIT = 1024
 TARGET_RECALL = 0.995
 ATTEMPTS = 3
+ENLARGED = 4  # times the usual length, at most, of a saturated list
 WHOLE_BLOCK = 2048
 MARGIN = 0.01  # the rounds work on half-precision vectors
 
@@ -68,21 +71,21 @@ def _halves(column) -> np.ndarray:
 
 
 def nodes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """``vec_id, h, h2`` of every vector (null hashes: takes no part), the nodes
-    ``node, copies, embedding, unit``, and the dimension."""
-    one = vectors.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    """``vec_id, h, h2`` of every row (null hashes: takes no part), the nodes
+    ``node`` (a number), ``low`` (smallest id), ``copies, embedding, unit``, and the dimension."""
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    able = F.col("embedding").isNotNull() & finite & F.exists("embedding", lambda x: x != 0) & F.col("vec_id").isNotNull()
+    able = F.col("embedding").isNotNull() & finite & F.exists("embedding", lambda x: x != 0)
     keyed = cut_lineage(
-        one.select(
+        vectors.select(
             "vec_id", F.when(able, F.xxhash64("embedding")).alias("h"), F.when(able, F.xxhash64(F.lit(1), "embedding")).alias("h2"),
             F.when(able, F.col("embedding")).alias("embedding"),
         ),
         "vectors",
     )
     grouped_ = keyed.where("h is not null").groupBy("h", "h2").agg(
-        F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("embedding").alias("embedding")
+        F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("copies"), F.first("embedding").alias("embedding")
     )
+    grouped_ = grouped_.withColumn("node", F.monotonically_increasing_id())
     dims = keyed.agg(F.max(F.size("embedding"))).head()[0] or 0
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +94,7 @@ def nodes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame, int]:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([u.tobytes() for u in units], pa.binary())], names=[*b.schema.names, "unit"])
 
     kind = keyed.schema["embedding"].dataType.simpleString()
-    nodes = cut_lineage(grouped_.mapInArrow(task, f"h long, h2 long, node long, copies long, embedding {kind}, unit binary"), "nodes")
+    nodes = cut_lineage(grouped_.mapInArrow(task, f"h long, h2 long, low long, copies long, embedding {kind}, node long, unit binary"), "nodes")
     return keyed.select("vec_id", "h", "h2"), nodes, dims
 
 
@@ -105,27 +108,33 @@ def _edges(src, dst, sim, fresh) -> pa.RecordBatch:
     )
 
 
-def _best(src, dst, sim, fresh, k: int) -> pa.RecordBatch:
-    """The best ``k`` distinct neighbours of each source; an entry that was there stays old."""
+def _best(src, dst, sim, fresh, k) -> pa.RecordBatch:
+    """The best ``k`` (a number, or one per row) distinct neighbours of each source; an entry that was
+    there stays old."""
+    most = np.broadcast_to(np.asarray(k), src.shape)
     order = np.lexsort((fresh, dst, src))
-    src, dst, sim, fresh = src[order], dst[order], sim[order], fresh[order]
+    src, dst, sim, fresh, most = src[order], dst[order], sim[order], fresh[order], most[order]
     first = np.ones(len(src), dtype=bool)
     first[1:] = (src[1:] != src[:-1]) | (dst[1:] != dst[:-1])
-    src, dst, sim, fresh = src[first], dst[first], sim[first], fresh[first]
+    src, dst, sim, fresh, most = src[first], dst[first], sim[first], fresh[first], most[first]
     order = np.lexsort((dst, -sim, src))
-    src, dst, sim, fresh = src[order], dst[order], sim[order], fresh[order]
+    src, dst, sim, fresh, most = src[order], dst[order], sim[order], fresh[order], most[order]
     rank = np.arange(len(src)) - np.searchsorted(src, src)
-    keep = rank < k
+    keep = rank < most
     return _edges(src[keep], dst[keep], sim[keep], fresh[keep])
 
 
-def _lists(edges: DataFrame, k: int) -> DataFrame:
-    """The best ``k`` entries per source of an edge table."""
+def _lists(edges: DataFrame, k: int, enlarged: DataFrame | None = None, larger: int = 0) -> DataFrame:
+    """The best ``k`` entries per source of an edge table; ``larger`` for the ``enlarged(node)`` sources."""
+    most = F.lit(k)
+    if enlarged is not None:
+        edges = edges.join(enlarged.select(F.col("node").alias("src"), F.lit(larger).alias("own")), "src", "left")
+        most = F.coalesce("own", most)
 
     def work(t: pa.Table, bounds: np.ndarray) -> pa.RecordBatch:
-        return _best(*(t.column(c).to_numpy() for c in ("src", "dst", "sim", "fresh")), k)
+        return _best(*(t.column(c).to_numpy() for c in ("src", "dst", "sim", "fresh", "most")))
 
-    dealt = edges.repartition("src").sortWithinPartitions("src")
+    dealt = edges.select("src", "dst", "sim", "fresh", most.alias("most")).repartition("src").sortWithinPartitions("src")
     return cut_lineage(dealt.mapInArrow(lambda batches: grouped(batches, ["src"], work), EDGE), "neighbours")
 
 
@@ -214,6 +223,30 @@ def descend(nodes: DataFrame, lists: DataFrame | None, n: int, dims: int, k: int
     return lists
 
 
+def _saturated(lists: DataFrame, k: int, threshold: float) -> DataFrame:
+    """``node`` of lists of ``k`` entries or more, all of them above the threshold."""
+    held = lists.groupBy("src").agg(F.min("sim").alias("low"), F.count(F.lit(1)).alias("held"))
+    return held.where((F.col("held") >= k) & (F.col("low") >= threshold - MARGIN)).select(F.col("src").alias("node"))
+
+
+def enlarge(nodes: DataFrame, lists: DataFrame, k: int, threshold: float) -> DataFrame:
+    """Lists that are saturated grow to twice their length, up to ``ENLARGED`` times ``k``: their entries
+    are compared with each other once more, and they keep the best of what comes of it."""
+    size = k
+    while size < ENLARGED * k:
+        full = cut_lineage(_saturated(lists, size, threshold), "full")
+        if full.isEmpty():
+            break
+        size *= 2
+        again = lists.drop("fresh").join(full.withColumn("fresh", F.lit(True)), F.col("src") == F.col("node"), "left")
+        again = again.select("src", "dst", "sim", F.coalesce("fresh", F.lit(False)).alias("fresh"))
+        found = _round(nodes, again, size)
+        # lists enlarged before keep their length
+        longer = full.unionByName(lists.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > k).select(F.col("src").alias("node"))).distinct()
+        lists = _lists(lists.unionByName(found), k, longer, size)
+    return lists
+
+
 LINKS = "node long, links long, label long"
 
 
@@ -305,8 +338,7 @@ def _near_balls(balls: DataFrame, n: int, threshold: float) -> DataFrame:
 
 def saturated_links(nodes: DataFrame, lists: DataFrame, member: DataFrame, dims: int, k: int, threshold: float) -> DataFrame | None:
     """Links between saturated nodes of different clusters ``member(node, component)``, as ``verified_links``."""
-    held = lists.groupBy("src").agg(F.min("sim").alias("low"), F.count(F.lit(1)).alias("held"))
-    full = held.where((F.col("held") >= k) & (F.col("low") >= threshold - MARGIN)).select(F.col("src").alias("node"))
+    full = _saturated(lists, k, threshold)
     own = cut_lineage(member.join(full, "node"), "saturated")
     sizes = own.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     if sizes.limit(2).count() < 2:
@@ -369,7 +401,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, k: int = NEIG
     n = nodes.count()
     lists: DataFrame | None = None
     for attempt in range(ATTEMPTS):
-        lists = descend(nodes, lists, n, dims, k, attempt)
+        lists = enlarge(nodes, descend(nodes, lists, n, dims, k, attempt), k, threshold)
         links = verified_links(nodes, lists, dims, threshold, k)
         if audit(nodes, links, dims, threshold) >= TARGET_RECALL:
             break
@@ -378,10 +410,13 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, k: int = NEIG
         links = all_links(nodes, n, dims, threshold)
     counts = links.groupBy("node").agg(F.sum("links").alias("links"))
     groups = components(links.select(F.col("node").alias("a"), F.col("label").alias("b")))
+    named = groups.join(nodes.select("node", "low"), "node")
+    lowest = named.groupBy("component").agg(F.min("low").alias("lowest"))
+    groups = cut_lineage(groups.join(lowest, "component").select("node", "lowest"), "components")
     info = (
-        nodes.select("h", "h2", "node", "copies").join(counts, "node", "left").join(groups, "node", "left")
+        nodes.select("h", "h2", "node", "low", "copies").join(counts, "node", "left").join(groups, "node", "left")
         .where("copies > 1 or links is not null")
-        .select("h", "h2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
+        .select("h", "h2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("lowest", "low").alias("component_id"))
     )
     joined = keyed.join(cut_lineage(info, "linked"), ["h", "h2"], "left")  # equal vectors are a split of the join
     out = joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
