@@ -8,11 +8,14 @@ which every record is taken by its ``Content-Length``; files hold a bounded numb
 Assembly brings the records of a transaction together by their concurrent-to identifier and
 emits one nested row per capture, wherever the records lay.
 
-A capture is known by page id and payload digest, so rows that repeat both are one capture.
+Every row is a capture of its own: its records are named after page id, payload, URL and, where rows
+are equal in all three, an occurrence number. Of equal payloads the row with the smallest page id
+(null last), then URL (null first), then occurrence is the response.
 Null html is an empty payload, a null URL leaves the header out, line breaks in a URL are
-percent-encoded. A null page id is kept (it sorts after all others when a response is chosen).
-Equal payloads that make up most of the table are one key of a join that adaptive execution
-can split; only digests and ids are aggregated. An empty table gives no rows.
+percent-encoded. Equal payloads that make up most of the table are one key of a join that adaptive
+execution can split; only digests, URLs and ids are aggregated. Files are bounded in records and in
+bytes: captures are written by size class, with fewer records to a file the larger they are.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,18 +30,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from raterkit.llm.tables import table
-from raterkit.session import scratch_path
+from raterkit.session import cut_lineage, scratch_path
 
 LEAST_PAYLOAD = 100
 RECORDS_PER_FILE = 6000
+CLASS_BYTES = 1 << 16  # payloads of the smallest size class; each next class is twice as large
+FILE_BYTES = 1 << 27  # payload bytes of a file
 DATE = "2000-01-01T00:00:00Z"
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def _record_id(kind: str, page_id: Column, digest: Column) -> Column:
-    """A urn:uuid made of page id, payload digest and kind."""
-    h = F.md5(F.concat_ws("|", F.lit(kind), F.coalesce(page_id.cast("string"), F.lit("null")), digest).cast("binary"))
+def _record_id(kind: str, page_id: Column, digest: Column, url: Column, occurrence: Column) -> Column:
+    """A urn:uuid made of what tells a capture apart, and the kind of record."""
+    parts = [F.coalesce(page_id.cast("string"), F.lit("null")), digest, occurrence.cast("string"), F.coalesce(F.concat(F.lit("at "), url), F.lit(""))]
+    h = F.md5(F.concat_ws("|", F.lit(kind), *parts).cast("binary"))
     dashed = F.regexp_replace(h, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
     return F.concat(F.lit("<urn:uuid:"), dashed, F.lit(">"))
 
@@ -53,29 +59,55 @@ def _record(headers: list[tuple[str, Column | str]], block: Column) -> Column:
     return F.concat(F.lit("WARC/1.1\r\n"), *lines, length, block)
 
 
-def choose_responses(pages: DataFrame, least: int = LEAST_PAYLOAD) -> DataFrame:
-    """``pages`` with payload, its length and digest, and the first page with that payload
-    (null where the payload is shorter than ``least`` bytes)."""
+def captures_of(pages: DataFrame, least: int = LEAST_PAYLOAD) -> tuple[DataFrame, list[int]]:
+    """``pages`` with payload, its length, digest and size class, ``occurrence`` among equal rows, and page
+    and URL of the response for that payload (``first_at``, null where there is one capture of it or
+    it is shorter than ``least`` bytes); and the size classes."""
     own = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumns(
         {"payload_digest": F.sha2("html", 256), "payload_bytes": F.octet_length("html").cast("long")}
     )
+    own = own.withColumn("size_class", F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.lit(1), F.col("payload_bytes")) / CLASS_BYTES))).cast("int"))
+    key = ["payload_digest", "page_id", "url"]
+    rows = cut_lineage(own.groupBy(*key, "payload_bytes", "size_class").agg(F.count(F.lit(1)).alias("copies")), "captures")
+    classes = [r.size_class for r in rows.select("size_class").distinct().collect()]  # 40 at most: a value has under 2**31 bytes
     firsts = (
-        own.where(F.col("payload_bytes") >= least)
+        rows.where(F.col("payload_bytes") >= least)
         .groupBy("payload_digest")
-        .agg(F.min("page_id").alias("first_page"), F.count(F.lit(1)).alias("n"))
+        .agg(F.min(F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "url")).alias("first_at"), F.sum("copies").alias("n"))
         .where("n > 1")
         .drop("n")
     )
-    return own.join(firsts.hint("shuffle_hash"), "payload_digest", "left")
+    repeats = rows.where("copies > 1").select(*key, "copies")
+    if repeats.isEmpty():
+        own = own.withColumn("occurrence", F.lit(0))
+    else:  # equal rows are written once for each of them
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key]
+        marked = own.join(repeats.select(*[F.col(c).alias(f"_{c}") for c in key], "copies"), same, "left").drop(*[f"_{c}" for c in key])
+        single = marked.where("copies is null").drop("copies").withColumn("occurrence", F.lit(0))
+        each = F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))).alias("occurrence")
+        several = marked.where("copies is not null").dropDuplicates(key).select(*own.columns, each)
+        own = single.unionByName(several)
+    return own.join(firsts, "payload_digest", "left"), classes
 
 
 def write_archives(pages: DataFrame, path: str, least: int = LEAST_PAYLOAD, records_per_file: int = RECORDS_PER_FILE) -> None:
     """Write the captures of ``pages(page_id, url, html)`` as gzip archives under ``path``."""
-    p = choose_responses(pages, least)
+    captures, classes = captures_of(pages, least)
+    if not classes:
+        _write(captures, path, records_per_file)
+    for c in sorted(classes):
+        most = 3 * max(1, FILE_BYTES // (CLASS_BYTES << c))  # three records to a capture
+        _write(captures.where(F.col("size_class") == c), path, min(records_per_file, most))
+
+
+def _write(p: DataFrame, path: str, records_per_file: int) -> None:
     digest, page = F.col("payload_digest"), F.col("page_id")
-    is_revisit = F.col("first_page").isNotNull() & ~page.eqNullSafe(F.col("first_page"))
+    at, none = (F.col("url"), F.col("occurrence")), F.lit(0)
+    is_first = page.eqNullSafe(F.col("first_at.page_id")) & F.col("url").eqNullSafe(F.col("first_at.url")) & (F.col("occurrence") == none)
+    is_revisit = F.col("first_at").isNotNull() & ~is_first
     url = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
-    capture, first = _record_id("response", page, digest), _record_id("response", F.col("first_page"), digest)
+    capture = _record_id("response", page, digest, *at)
+    first = _record_id("response", F.col("first_at.page_id"), digest, F.col("first_at.url"), none)
     http = F.concat(
         F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit(END)
     )
@@ -83,7 +115,7 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST_PAYLOAD, reco
     payload = ("WARC-Payload-Digest", F.concat(F.lit("sha256:"), digest))
     http_response = ("Content-Type", "application/http;msgtype=response")
     request = _record(
-        [("WARC-Type", "request"), ("WARC-Record-ID", _record_id("request", page, digest)), *about, ("WARC-Concurrent-To", capture),
+        [("WARC-Type", "request"), ("WARC-Record-ID", _record_id("request", page, digest, *at)), *about, ("WARC-Concurrent-To", capture),
          ("Content-Type", "application/http;msgtype=request")],
         F.concat(F.lit("GET "), F.coalesce(url, F.lit("/")), F.lit(" HTTP/1.1" + END)),
     )
@@ -97,12 +129,12 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST_PAYLOAD, reco
         F.lit("payload-length: "), F.col("payload_bytes").cast("string"), F.lit("\r\n"),
     )
     metadata = _record(
-        [("WARC-Type", "metadata"), ("WARC-Record-ID", _record_id("metadata", page, digest)), *about, ("WARC-Concurrent-To", capture),
+        [("WARC-Type", "metadata"), ("WARC-Record-ID", _record_id("metadata", page, digest, *at)), *about, ("WARC-Concurrent-To", capture),
          ("Content-Type", "application/warc-fields")],
         fields,
     )
     rows = p.select(F.explode(F.array(request, F.when(is_revisit, revisit).otherwise(response), metadata)).alias("value"))
-    rows.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    rows.write.mode("append").option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
 RECORDS = (
