@@ -74,7 +74,8 @@ def _identity(line: Column) -> list[Column]:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    return docs.select(*_doc_key(), F.posexplode(F.split("text", "\n", -1)).alias("p", "line"))
+    keyed = docs.select(*_doc_key(), "text")  # once per text, not per line
+    return keyed.select(*DOC, F.posexplode(F.split("text", "\n", -1)).alias("p", "line"))
 
 
 def _segment(n: Column) -> Column:
