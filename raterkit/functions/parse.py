@@ -36,7 +36,8 @@ _DIGITS = [chr(c) for c in range(128, sys.maxunicode + 1) if unicodedata.categor
 _DIGIT_VALUES = "".join(str(unicodedata.decimal(c)) for c in _DIGITS)
 
 # A text that can be one JSON object begins and ends with braces.
-_BRACED = r"^\s*\{[\s\S]*\}\s*$"
+# ("any character" is a dot: the class [\s\S] costs eight times as much)
+_BRACED = r"(?s)^\s*\{.*\}\s*$"
 # The reader stops after a value, so only what stands inside another value is read to its end.
 _IN_LIST = "v array<struct<_:string>>, _rest string"
 _IN_OBJECT = "v struct<_:string>, _rest string"
@@ -124,7 +125,7 @@ def score_field(parsed: Column | str, raw: Column | str, key: str) -> Column:
 
 
 # The strict object anywhere in the text, rewritten to "g,l,c,t" in one regex pass.
-_STRICT_WHOLE = r"(?U)^[\s\S]*?" + STRICT_PATTERN + r"[\s\S]*$"
+_STRICT_WHOLE = r"(?Us)^.*?" + STRICT_PATTERN + r".*$"
 
 
 def with_parsed(df, raw: str = "raw", out: str = "parsed"):

@@ -17,12 +17,15 @@ from pyspark.sql import types as T
 from raterkit.functions.parse import is_json_object
 from raterkit.functions.text import path_safe_name
 from raterkit.operators.align import sample_map
-from raterkit.operators.staging import keep_where
 from raterkit.sources.sinks import committed_attempts, question_folder
 
 CORRUPT = "_corrupt_record"
-_WHOLE_OBJECT = r"^\s*\{[\s\S]*\}\s*$"
+_WHOLE_OBJECT = r"(?s)^\s*\{.*\}\s*$"
 _BRACE_WITHIN = r"\}\s*\S"
+# what the parse of a line as an element of a list does not tell: a bracket after an object, a token in single quotes
+_BRACKET_OR_QUOTE = r"\}\s*\]|[{\[,:]\s*'"
+_JSON_SPACE = " \t\n\r"
+_FEEDS = "\x0b\x0c"  # may follow the last brace, but are no white space of JSON
 CHECKPOINT_NAME = "checkpoint.jsonl"
 SAMPLE_GLOB = "question_*_samples.jsonl"
 # sample files as the sampler names them, or as Spark's writer names them (write_samples)
@@ -60,32 +63,41 @@ SAMPLE_SCHEMA = T.StructType([
 def parse_jsonl_lines(lines: DataFrame, schema: T.StructType, value: str = "value") -> DataFrame:
     """Keep the text lines that are one whole JSON object and expand them with ``schema``.
 
-    Dropped: blank lines, broken JSON, text or another object after it, bare arrays or numbers. The
-    corrupt-record column lives inside the parsed struct, so any later query is allowed.
+    Dropped: blank lines, broken JSON, text or another object after it, bare arrays or numbers. A line is
+    parsed once, as the only element of a list, so that what follows its first object is read as
+    well; only lines with a bracket after an object, or with single quotes, take a second look. The
+    records come out of a generator, below which no later filter is pushed (it would parse again).
     Other columns of ``lines`` (file name, partition values) are kept.
     """
-    full = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType(), True)])
+    v = F.col(value)
+    listed = T.StructType([T.StructField("v", T.ArrayType(schema), True), T.StructField(CORRUPT, T.StringType(), True)])
+    text = F.concat(F.lit('{"v":['), F.rtrim(v, F.lit(_JSON_SPACE + _FEEDS)), F.lit("]}"))
     parsed = lines.withColumn(
-        "_r", F.from_json(value, full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+        "_r", F.from_json(text, listed, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
     )
-    # the reader stops after the first object: a line with a brace before its last may hold a second
-    alone = ~F.col(value).rlike(_BRACE_WITHIN) | is_json_object(value)
-    ok = F.col(value).rlike(_WHOLE_OBJECT) & F.col("_r").isNotNull() & F.col(f"_r.{CORRUPT}").isNull() & alone
-    kept = keep_where(parsed, ok)
+    odd = ((v.contains("]") | v.contains("'")) & v.rlike(_BRACKET_OR_QUOTE)) | ~F.rtrim(v, F.lit(_JSON_SPACE)).endswith("}")
+    # a line with a brace before its last may hold a second object
+    alone = ~odd | ~v.rlike(_BRACE_WITHIN) | is_json_object(value)
+    ok = v.rlike(_WHOLE_OBJECT) & F.col(f"_r.{CORRUPT}").isNull() & (F.size("_r.v") == 1) & alone
     others = [c for c in lines.columns if c != value]
-    return kept.select(*[F.col(f"_r.`{f.name}`").alias(f.name) for f in schema.fields], *others)
+    kept = parsed.select(*others, F.explode(F.when(ok, F.col("_r.v"))).alias("_record"))
+    return kept.select(*[F.col(f"_record.`{f.name}`").alias(f.name) for f in schema.fields], *others)
 
 
-def read_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType, *,
-               recursive: bool = False, glob: str | None = None) -> DataFrame:
-    """One JSON object per line (see ``parse_jsonl_lines``); adds ``_source_file``."""
+def _lines(spark: SparkSession, path: str | list[str], recursive: bool = False, glob: str | None = None) -> DataFrame:
+    """Text lines ``value`` with their ``_source_file``."""
     reader = spark.read
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    lines = reader.text(path).select("value", F.col("_metadata.file_path").alias("_source_file"))
-    return parse_jsonl_lines(lines, schema)
+    return reader.text(path).select("value", F.col("_metadata.file_path").alias("_source_file"))
+
+
+def read_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType, *,
+               recursive: bool = False, glob: str | None = None) -> DataFrame:
+    """One JSON object per line (see ``parse_jsonl_lines``); adds ``_source_file``."""
+    return parse_jsonl_lines(_lines(spark, path, recursive, glob), schema)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame | None:
@@ -187,14 +199,15 @@ def read_responses(spark: SparkSession, path: str, checkpoint: str | None = None
     if path.endswith((".jsonl", ".json")):
         df = read_jsonl(spark, path, RESPONSE_SCHEMA).where(has_model)
     else:
-        df = read_jsonl(spark, path, RESPONSE_SCHEMA, recursive=True, glob="*.{jsonl,json}")
-        df = df.where(has_model & ~F.col("_source_file").endswith("/" + CHECKPOINT_NAME))
+        lines = _lines(spark, path, recursive=True, glob="*.{jsonl,json}")
+        lines = lines.where(~F.col("_source_file").endswith("/" + CHECKPOINT_NAME))
         left_out = uncommitted_attempts(spark, path)
         if left_out:
-            df = df.where(~F.regexp_extract("_source_file", _ATTEMPT, 2).isin(left_out))
+            lines = lines.where(~F.regexp_extract("_source_file", _ATTEMPT, 2).isin(left_out))
         own = _files(spark, checkpoint) if checkpoint else None
-        if own is not None:
-            df = df.join(own, "_source_file", "left_anti")
+        if own is not None:  # lines of other files are not parsed, and none is shuffled to find that out
+            lines = lines.join(F.broadcast(own), "_source_file", "left_anti")
+        df = parse_jsonl_lines(lines, RESPONSE_SCHEMA).where(has_model)
     if not df.isEmpty():
         return df
     ck_path = checkpoint or f"{path.rstrip('/')}/{CHECKPOINT_NAME}"

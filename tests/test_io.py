@@ -311,3 +311,28 @@ def test_pending_plan_equals_the_anti_join(spark):
     got = SC.pending_plan(samples, ["a", "b"], 3, done).select(cols)
     assert got.count() == want.count() and got.exceptAll(want).count() == 0
     assert SC.pending_plan(samples, ["a", "b"], 3, None).count() == plan.count()
+
+
+def test_lines_with_odd_ends(spark):
+    good = ['{"grammar":"1"}', ' {"grammar":"2"}\t', '{"grammar":"3"}\x0c', "{'grammar':'4'}", '{"grammar":"5","x":[{"a":{}}]}', '{"grammar":"6, \'x\'","x":{}}', "{}",
+            '{"x":{"a":1},"grammar":"8]}"}']
+    bad = ['{"grammar":"1"} {"grammar":"2"}', '{"grammar":"1"},{}', '{"grammar":"1"}],"v":[{}', '{"grammar":"1"}]} {}', "{'grammar':'1','x':{}}", '{"x":{}}\x0c', '{"grammar":"1"}}', "[1]", "", "null",
+           '{"grammar":"1"', '\x0c{"grammar":"1"}', '{"grammar":"1"},}', '{"grammar":"7"}\u2028', '{"grammar":"1"} x {}', None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(good + bad)], "i int, value string")
+    out = {r.i: r.grammar for r in J.parse_jsonl_lines(df, J.SCORES).collect()}
+    assert out == dict(enumerate(["1", "2", "3", "4", "5", "6, 'x'", None, "8]}"]))
+
+
+def test_response_lines_are_parsed_once(spark):
+    d = _tmp()
+    good = {"model": "m", "run": 1, "sample_row": 3, "question_id": "q1", "respondent_id": "r", "raw": "{}", "parsed": {"grammar": 7, "lexical": 6, "coherence": 5, "task": 4}}
+    os.makedirs(os.path.join(d, "check point"))
+    for name, run in (("a.jsonl", 1), ("check point/b.json", 2)):
+        with open(os.path.join(d, name), "w") as f:
+            f.write(json.dumps({**good, "run": run}) + "\n")
+    df = align_inputs(J.read_responses(spark, d, checkpoint=os.path.join(d, "check point")), None, source="question_id")
+    assert [r.run for r in df.collect()] == [1]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("StructField(model,") == 1  # no filter repeats the parse
+    # the checkpoint's lines go before the parse, and no line is shuffled for it
+    assert plan.index("Generate") < plan.index("LeftAnti") and "rightHint=(strategy=broadcast)" in plan
