@@ -24,7 +24,7 @@ from raterkit.operators.align import align_inputs
 from raterkit.plans import responses as rsp
 from raterkit.plans.analysis import Analysis, testdata_analysis
 from raterkit.plans.tables import table
-from raterkit.session import scratch_path
+from raterkit.session import cut_lineage, scratch_path
 from raterkit.sources import jsonl as JS
 from raterkit.sources import sinks as SK
 from raterkit.sources.answers import with_row_ordinal
@@ -636,7 +636,9 @@ def _file_responses(spark, sf_dir, columns):
 
 
 def _file_aligned(spark, sf_dir, columns, prompt_map=None):
-    a = align_inputs(_file_responses(spark, sf_dir, columns), prompt_map)
+    # parsed once; the probes for the prompt columns and the result read the written records
+    responses = cut_lineage(_file_responses(spark, sf_dir, columns).drop("response", "_source_file"), "responses")
+    a = align_inputs(responses, prompt_map)
     return rounded(a.select("model", "run", "essay_id", "prompt_category", "prompt_question", "prompt_category_source", "total_score"))
 
 

@@ -62,7 +62,8 @@ def _from_cells(spark: SparkSession, inputs: str, out_dir: str, checkpoint: str
 
 def _from_responses(spark: SparkSession, inputs: str, checkpoint: str | None, pmap: DataFrame | None):
     """The same from all responses."""
-    responses = read_responses(spark, inputs, checkpoint=checkpoint)
+    # parsed once: the probes below and the result read the written records
+    responses = cut_lineage(read_responses(spark, inputs, checkpoint=checkpoint).drop("response", "_source_file"), "responses")
     source = category_source(responses, pmap).first()[0]
     # a category that only the map has is attached to the essays, not carried per response
     defer = pmap is not None and source == "samples.category" and not values_present(responses, ["prompt_category", "prompt_question"])
