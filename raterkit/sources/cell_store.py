@@ -16,10 +16,10 @@ import uuid
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from raterkit.operators.align import align_inputs, values_present
+from raterkit.operators.align import align_inputs
 from raterkit.operators.cells import cells_of
 from raterkit.sources.jsonl import read_response_files, response_files
 
@@ -69,11 +69,14 @@ def stored_cells(spark: SparkSession, store: str, inputs: str, checkpoint: str |
     epoch = log[0].epoch if log else uuid.uuid4().hex
     new = files.collect()  # names, as Spark's own listing holds them
     if new:
+        # which optional columns have values is observed as the cells are made: the files are parsed once
+        seen = Observation()
         responses = read_response_files(spark, [r.path for r in new])
-        present = sorted(values_present(responses, OPTIONAL))
+        responses = responses.observe(seen, *[F.max(F.col(c).isNotNull()).alias(c) for c in OPTIONAL])
         aligned = align_inputs(responses, None, source="samples.category", defer_prompts=True)
         generation = uuid.uuid4().hex
         cells_of(aligned).write.parquet(f"{store}/cells/{generation}")
+        present = sorted(c for c in OPTIONAL if seen.get[c])
         spark.createDataFrame([tuple(r) for r in new], _FILES).write.parquet(f"{store}/files/{generation}")
         line = spark.createDataFrame([(epoch, generation, present)], "epoch string, generation string, present array<string>")
         line.withColumn("written", F.current_timestamp()).coalesce(1).write.mode("append").json(f"{store}/log")
