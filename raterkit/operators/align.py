@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from raterkit.functions.parse import SCORES_TYPE, with_scores
+from raterkit.session import cut_lineage
 
 UNMAPPED_CATEGORY = "unknown"
 
@@ -130,6 +131,10 @@ def align_inputs(responses: DataFrame, prompt_map: DataFrame | None = None, sour
     if defer_prompts:
         df = typed_responses(responses).drop("prompt_category", "prompt_question")
         return df.withColumns({"essay_id": identity, "prompt_category_source": F.lit(source or "samples.category")})
+    if prompt_map is not None:
+        # written once, so that its size is known before the join: a map of few questions is broadcast, and
+        # responses are not dealt out by question, of which there may be three
+        prompt_map = cut_lineage(prompt_map, "prompts")
     kept = responses.where(F.col("model").isNotNull())
     optional = ["prompt_category", "category", "topic", "prompt_question", "question", "prompt"]
     if source is None:

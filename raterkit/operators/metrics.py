@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from raterkit.functions.parse import is_error
 from raterkit.operators.icc import with_counts
+from raterkit.session import cut_lineage
 
 AUTO_APPROVE = "Auto-Approve"
 FLAGGED = "Flagged for Review"
@@ -41,8 +42,8 @@ def collapse_duplicate_runs(aligned: DataFrame) -> DataFrame:
 def attach_prompts(essays: DataFrame, prompts: DataFrame) -> DataFrame:
     """Prompt category and question from the question-grain prompt table (left join on the
     question; an unmapped question gets category 'unknown'). The table has one row per
-    question, so AQE broadcasts it after measuring it."""
-    p = prompts.select("question_id", "prompt_category", "prompt_question")
+    question; it is written first, so that Spark knows its size and broadcasts a small one."""
+    p = cut_lineage(prompts.select("question_id", "prompt_category", "prompt_question"), "prompts")
     out = essays.drop("prompt_category", "prompt_question").join(p, "question_id", "left")
     out = out.withColumn("prompt_category", F.coalesce(F.col("prompt_category"), F.lit("unknown")))
     return out.select(*[c for c in ESSAY_OUTPUT if c in out.columns])

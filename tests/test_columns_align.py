@@ -139,3 +139,19 @@ def test_essay_key_is_unique_when_attributes_differ(spark):
     assert (out["r|q|1"].range_total, out["r|q|1"].prompt_category, out["r|q|1"].n_runs) == (8.0, "P1", 2)
     assert (out["|q|1"].respondent_id, out["|q|1"].prompt_category) == ("", "P2")
     assert metrics.apply_hitl(metrics.essay_metrics(df)).where("essay_id = 'r|q|1'").first().hitl_status == metrics.FLAGGED
+
+
+def test_prompt_map_join_deals_no_response_by_question(spark):
+    from raterkit.operators.align import sample_map
+    from raterkit.operators.metrics import attach_prompts
+
+    responses = spark.createDataFrame([("m", i, "7", f"q{i % 2}", str(i)) for i in range(6)], "model string, run int, sample_row string, question_id string, respondent_id string")
+    responses = responses.withColumns({"raw": F.lit("x"), "total_score": F.lit(1.0)})
+    samples = spark.createDataFrame([("q0", "c", "Q", 2), ("q0", "b", "P", 1), ("q2", "d", "R", 3)], "question_id string, category string, question string, row int")
+    a = align_inputs(responses, sample_map(samples), source="samples.category")
+    essays = attach_prompts(responses, sample_map(samples))
+    for df in (a, essays):
+        assert {(r.question_id, r.prompt_category) for r in df.select("question_id", "prompt_category").collect()} == {("q0", "b"), ("q1", "unknown")}
+    for df in (a, attach_prompts(responses, sample_map(samples))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
