@@ -13,15 +13,14 @@ become one. It is trained by Adam on the conditional likelihood over a small lab
 ``labelled_table``: marked examples of each form, and numbers and words that are none (dates,
 prices, versions, references), with digits and words drawn by a fixed seed. So the model is the
 same whatever the corpus. Decoding is Viterbi over lines (no kind spans a line break) in numpy
-batches. A line with fewer than ``LEAST_DIGITS`` digits, without @ and without the word dot can
-hold none of the kinds and is not tokenised. A token whose shape no kind has is outside whatever stands
+batches; every line is looked at. A token whose shape no kind has is outside whatever stands
 around it, so a line falls into stretches between such tokens, which are decoded on their own
 with the same result; stretches in which no token can gain from leaving the outside label are
 outside throughout. Both are exact, and a long line is no large matrix.
 
 Null and empty texts have no spans. Repeated rows give repeated results. Added spans never overlap
-base spans, their labels must beat leaving them outside by ``MIN_GAIN`` in log odds, and they must
-have as many digits as their kind needs (``DIGITS``).
+base spans, their labels must beat leaving them outside by ``MIN_GAIN`` in log odds, they must
+have as many digits as their kind needs (``DIGITS``), and an address must have an @ or the word at.
 """
 
 from __future__ import annotations
@@ -42,7 +41,6 @@ from raterkit.llm.tables import table
 
 KINDS = ("email", "ip", "card", "phone")
 EXAMPLES = 12  # of each form in the labelled table
-LEAST_DIGITS = 4
 DIGITS = {"email": (0, 99), "ip": (4, 12), "card": (13, 19), "phone": (7, 15)}  # of an added span
 MIN_GAIN = 2.0
 EPOCHS = 30
@@ -448,24 +446,6 @@ def train(examples: int = EXAMPLES) -> Field:
 # --- finding ----------------------------------------------------------------------------
 
 
-def _candidate_lines(text: str, points: np.ndarray) -> np.ndarray:
-    """Places of the characters of all lines that can hold a span, of texts that are one."""
-    breaks = np.flatnonzero(points == 10)  # the last character is one
-    digits = np.concatenate(([0], np.cumsum((points >= 48) & (points <= 57), dtype=np.int64)))[breaks]
-    wanted = np.diff(digits, prepend=0) >= LEAST_DIGITS
-    marks = np.flatnonzero(points == 64)
-    for word in ("dot", "DOT", "Dot"):
-        at = text.find(word)
-        while at >= 0:
-            marks = np.append(marks, at)
-            at = text.find(word, text.index("\n", at))
-    wanted[np.searchsorted(breaks, marks)] = True
-    lines = np.flatnonzero(wanted)
-    first, last = np.concatenate(([0], breaks + 1))[lines], breaks[lines] + 1
-    sizes = last - first
-    return np.repeat(first - np.concatenate(([0], np.cumsum(sizes)[:-1])) if len(sizes) else first, sizes) + np.arange(sizes.sum())
-
-
 def find_spans(texts: list[str], field: Field | None) -> list[tuple[list[Span], list[Span]]]:
     """Base spans and added spans of each text."""
     out = []
@@ -474,14 +454,16 @@ def find_spans(texts: list[str], field: Field | None) -> list[tuple[list[Span],
         added: list[list[Span]] = [[] for _ in base]
         if field is not None:
             points, starts = grams.code_points(texts[lo:hi])
-            places = _candidate_lines("\n".join(texts[lo:hi]) + "\n", points)
-            if len(places):
-                _add_spans(field, points[places], places, starts, base, added)
+            _add_spans(field, points, starts, base, added)
         out += zip(base, added)
     return out
 
 
-def _add_spans(field: Field, points: np.ndarray, places: np.ndarray, starts: np.ndarray, base: list[list[Span]], added: list[list[Span]]) -> None:
+# shapes of what every form of an address has: @, or the word at
+_AT = [2 * shape + space for shape in (25 + 1 + _SYMBOLS.index("@"), _FIRST_CUE + CUES.index("at")) for space in (0, 1)]
+
+
+def _add_spans(field: Field, points: np.ndarray, starts: np.ndarray, base: list[list[Span]], added: list[list[Span]]) -> None:
     t = tokens(points)
     y = field.decode(t)
     line_ends = np.append(t.lines[1:], len(y))
@@ -500,7 +482,9 @@ def _add_spans(field: Field, points: np.ndarray, places: np.ndarray, starts: np.
         least, most = DIGITS[kind]
         if not least <= int(((digits >= 48) & (digits <= 57)).sum()) <= most:
             continue
-        start, end = int(places[t.starts[b]]), int(places[t.ends[e - 1] - 1]) + 1
+        if kind == "email" and not np.isin(t.shapes[b:e], _AT).any():
+            continue
+        start, end = int(t.starts[b]), int(t.ends[e - 1])
         text = int(np.searchsorted(starts, start, side="right")) - 1
         s, f = start - int(starts[text]), end - int(starts[text])
         if all(f <= x or z <= s for x, z, _ in base[text]):

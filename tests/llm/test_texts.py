@@ -421,6 +421,16 @@ def test_field_on_one_very_long_line():
     assert (5, 19, "phone") in added and (len(text) - 14, len(text), "phone") in added
 
 
+def test_pii_lines_without_digits_or_marks():
+    field = pii_crf.train()
+    for text, span in (("john.doe at example.com", "john.doe at example.com"), ("see\nmail anna (at) firm.org", "anna (at) firm.org"), ("anna(at)firm.org", "anna(at)firm.org")):
+        added = pii_crf.find_spans([text], field)[0][1]
+        assert [text[s:f] for s, f, kind in added if kind == "email"] == [span], text
+    # words with stops are no address without an @ or an at, however many
+    for text in ("shnd. " * 40 + "ninou oninou", "Des. Des. Sur, Sur, " * 20):
+        assert pii_crf.find_spans([text], field)[0] == ([], [])
+
+
 def test_pii_query_and_odd_rows(spark):
     docs = odd_docs(spark).unionByName(spark.read.parquet(f"{SF_SMALL}/documents.parquet"), allowMissingColumns=True)
     out = pii_crf.find(docs, pii_crf.train()).collect()
