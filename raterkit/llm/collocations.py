@@ -274,6 +274,8 @@ def frequent_phrases(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]
         by_hash = relation.mapInArrow(_hash_counts(bits, WORDS_HELD), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
         often = _bit_table(spark, by_hash.where(F.col("n") >= least).select("id"))
         of_level = _parts(spark, relation.mapInArrow(_next_level(bits, often, WORDS_HELD), LEVEL), f"level-{k}")
+        for table_of_bits in (bits, often):  # what they serve is written; on disk they are 16 MB for every process
+            table_of_bits.destroy()
         exact = of_level("counts", "lang", "prefix", "word", "id", "count").groupBy("lang", "prefix", "word", "id").agg(F.sum("count").alias("f"))
         starts = level.select("lang", F.col("id").alias("prefix"), F.col("phrase").alias("start"))
         named = exact.where(F.col("f") >= least).join(starts, ["lang", "prefix"]).join(last_words, ["lang", "word"])

@@ -135,3 +135,19 @@ def test_shards_of_documents(spark):
     assert out.columns == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
     sizes = [r["size"] for r in out.groupBy("shard").agg(F.sum("size").alias("size")).collect()]
     assert len(sizes) == 16 and max(sizes) < 1.02 * sum(sizes) / 16
+
+
+def test_collocations_leave_no_bit_table_behind(spark):
+    import os
+
+    from raterkit.llm.collocations import frequent_phrases
+
+    def kept() -> int:
+        at = spark.sparkContext._temp_dir
+        return sum(os.path.getsize(os.path.join(at, f)) for f in os.listdir(at))
+
+    docs = spark.createDataFrame([(i, "en", "one two three four") for i in range(3)], "doc_id long, lang string, text string")
+    before = kept()
+    every, _ = frequent_phrases(docs, 3)
+    assert kept() - before < 1 << 24  # a table is as large
+    assert {(r.phrase, r.f) for r in every.where("words = 4").collect()} == {("one two three four", 3)}
