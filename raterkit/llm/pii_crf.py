@@ -20,7 +20,7 @@ outside throughout. Both are exact, and a long line is no large matrix.
 
 Null and empty texts have no spans. Repeated rows give repeated results. Added spans never overlap
 base spans, their labels must beat leaving them outside by ``MIN_GAIN`` in log odds, they must
-have as many digits as their kind needs (``DIGITS``), and an address must have an @ or the word at.
+have as many digits as their kind needs (``DIGITS``), and an address must have one @ or word at.
 """
 
 from __future__ import annotations
@@ -459,7 +459,7 @@ def find_spans(texts: list[str], field: Field | None) -> list[tuple[list[Span],
     return out
 
 
-# shapes of what every form of an address has: @, or the word at
+# shapes of what every form of an address has once: @, or the word at
 _AT = [2 * shape + space for shape in (25 + 1 + _SYMBOLS.index("@"), _FIRST_CUE + CUES.index("at")) for space in (0, 1)]
 
 
@@ -482,7 +482,7 @@ def _add_spans(field: Field, points: np.ndarray, starts: np.ndarray, base: list[
         least, most = DIGITS[kind]
         if not least <= int(((digits >= 48) & (digits <= 57)).sum()) <= most:
             continue
-        if kind == "email" and not np.isin(t.shapes[b:e], _AT).any():
+        if kind == "email" and np.isin(t.shapes[b:e], _AT).sum() != 1:
             continue
         start, end = int(t.starts[b]), int(t.ends[e - 1])
         text = int(np.searchsorted(starts, start, side="right")) - 1
