@@ -7,12 +7,13 @@ A single text is never cut: a chunk holds at least one whole text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 CHUNK_CHARS = 250_000
+ROWS_READ = 256  # rows whose texts are taken from a batch at a time
 SEPARATOR = "\n"
 
 
@@ -28,6 +29,13 @@ def chunks(texts: list[str], most: int = CHUNK_CHARS) -> Iterator[tuple[int, int
         yield start, len(texts)
 
 
+def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of ``ROWS_READ`` rows, so that a task never holds all texts of a batch as strings."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS_READ):
+            yield batch.slice(at, ROWS_READ)
+
+
 def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of the texts, each followed by one separator, and the start of each text
     (with the total length as last entry)."""

@@ -25,6 +25,7 @@ from raterkit.llm.tables import id_remainder, table
 BITS = 15
 SMOOTHING = 0.5
 MAX_LANGUAGES = 1000
+LANGUAGES_HELD = 64  # languages whose counts a task sums up before it passes them on
 UNDETERMINED = "und"
 FAMILIAR_DOCS = 0.005  # an n-gram is familiar to a language if this share of its documents has it
 FAMILIAR_GRAMS = 0.5  # a text is in a language if this share of its n-grams is familiar
@@ -60,14 +61,27 @@ def _count_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[str, np.ndarray] = {}
     having: dict[str, np.ndarray] = {}  # documents with an n-gram
     docs: dict[str, int] = {}
-    for batch in batches:
+
+    def summed() -> Iterator[pa.RecordBatch]:
+        for lang, own in counts.items():
+            used = np.flatnonzero(own)
+            yield pa.RecordBatch.from_pydict({
+                "lang": pa.array([lang] * (len(used) + 1)),
+                "bucket": pa.array(np.concatenate(([-1], used)), pa.int32()),  # -1: documents
+                "n": pa.array(np.concatenate(([docs[lang]], own[used])), pa.int64()),
+                "docs": pa.array(np.concatenate(([docs[lang]], having[lang][used])), pa.int64()),
+            })
+        for held in (counts, having, docs):
+            held.clear()
+
+    for batch in grams.slices(batches):
         langs = batch.column("lang").to_pylist()
         texts = grams.texts_of(batch.column("text"))
         order = sorted(range(len(langs)), key=lambda i: langs[i])
         langs, texts = [langs[i] for i in order], [texts[i] for i in order]
         for lo, hi in grams.chunks(texts):
             buckets, at = hashed_grams(texts[lo:hi])
-            present = np.zeros((hi - lo, 1 << BITS), dtype=bool)
+            present = np.zeros((hi - lo, 1 << BITS), dtype=bool)  # ``grams.ROWS_READ`` rows at most
             present[np.repeat(np.arange(hi - lo), np.diff(at)), buckets] = True
             i = lo
             while i < hi:
@@ -79,14 +93,9 @@ def _count_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 having[langs[i]] = having.get(langs[i], 0) + present[i - lo : j - lo].sum(axis=0)
                 docs[langs[i]] = docs.get(langs[i], 0) + j - i
                 i = j
-    for lang, own in counts.items():
-        used = np.flatnonzero(own)
-        yield pa.RecordBatch.from_pydict({
-            "lang": pa.array([lang] * (len(used) + 1)),
-            "bucket": pa.array(np.concatenate(([-1], used)), pa.int32()),  # -1: documents
-            "n": pa.array(np.concatenate(([docs[lang]], own[used])), pa.int64()),
-            "docs": pa.array(np.concatenate(([docs[lang]], having[lang][used])), pa.int64()),
-        })
+        if len(counts) > LANGUAGES_HELD:
+            yield from summed()
+    yield from summed()
 
 
 @dataclass
@@ -172,7 +181,7 @@ def identify(
     schema = source.drop("_lid_text").schema.add(names[0], "string").add(names[1], "double")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in grams.slices(batches):
             langs, scores = shared.value.predict(grams.texts_of(batch.column(batch.num_columns - 1)))
             columns = [*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
@@ -211,7 +220,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, languages:
     wanted = None if languages is None else set(languages)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in grams.slices(batches):
             names, _, known = shared.value.judge(grams.texts_of(batch.column(at)))
             keep = known if wanted is None else known & np.array([x in wanted for x in names], dtype=bool)
             yield batch.filter(pa.array(keep, pa.bool_()))

@@ -3,9 +3,11 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,6 +123,24 @@ def test_language_odd_rows_and_empty_table(spark):
     assert language_id.train(empty).predict(["abc"])[0] == ["und"]
 
 
+def test_language_counts_need_memory_for_few_texts_at_a_time():
+    rows = [("ab", f"l{i % 200:03d}") for i in range(5000)] + [("", "en")] * 5000
+    batch = pa.RecordBatch.from_pydict({"text": [t for t, _ in rows], "lang": [x for _, x in rows]})
+    tracemalloc.start()
+    found = list(language_id._count_task(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150 << 20  # all 10,000 texts by 2**BITS buckets would be 330 MB
+    docs = [(x, n, d) for b in found for x, k, n, d in zip(*(b.column(c).to_pylist() for c in ("lang", "bucket", "n", "docs"))) if k == -1]
+    assert sum(n for _, n, _ in docs) == 10_000 and sum(n for x, n, _ in docs if x == "en") == 5000
+    counts = np.zeros(1 << language_id.BITS, dtype=np.int64)
+    for b in found:
+        bucket, n = b.column("bucket").to_numpy(), b.column("n").to_numpy()
+        np.add.at(counts, bucket[bucket >= 0], n[bucket >= 0])
+    one = language_id.hashed_grams(["ab"])[0]
+    assert np.array_equal(counts, 5000 * np.bincount(one, minlength=len(counts)))
+
+
 def test_language_stage_without_labels(spark):
     docs = odd_docs(spark)
     lettered = sorted(str(r.doc_id) for r in docs.collect() if any(map(str.isalpha, r.text or "")))
