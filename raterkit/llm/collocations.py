@@ -8,10 +8,12 @@ adjacent positions (a phrase can only be frequent if both its parts without an e
 counted by group in Spark; the groups that are frequent are joined back (semi-join) and the next
 level is written. Counts are partial sums of tasks, so no word or phrase is one task's.
 
-Groups are counted twice. The first count is by a 64-bit hash alone and sorts out what cannot be
-frequent, which is most of it; the second is by word, or by phrase and last word, over what is
-left, and is the result. The semi-join goes through a bit table of fixed size (``BITS``), which
-is all that is broadcast: a group that it lets through in error costs time, never a result.
+Groups are counted twice. The first count is by slot of a bit table of fixed size (``BITS``), the last
+bits of a group's hash, and sorts out what cannot be frequent, which is most of it; the second is by
+word, or by phrase and last word, over what is left, and is the result. Counts pass between tasks in
+blocks, too: a row holds a task's counts of one range of slots, or of one part of the hashes. The
+semi-join goes through the bit table, which is all that is broadcast: a group that it lets through in
+error (it shares a slot) costs time, never a result.
 Relations name words and phrases by their hashes; phrases get their texts from joins of the
 frequent groups. Scores are exact (38-digit decimals, integer division).
 
@@ -38,9 +40,10 @@ LONGEST = 5
 LEAST = 100
 REPORTED = 2000
 BITS = 1 << 27
+BLOCK = 1 << 16  # slots of the bit table that are counted together: their places in a block have 16 bits
+PARTS = 8  # exact counts of a language's phrases are dealt by so many bits of their hashes
 CHUNK_BYTES = 1 << 18
 WORDS_HELD = 1 << 20  # words, or pairs, that a task sums up before it passes counts on
-ROWS_READ = 256  # documents whose texts are taken from a batch at a time
 
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
 _WORD, _BLANK, _BREAK = 0, 1, 2
@@ -75,23 +78,84 @@ def word_runs(texts: list[bytes], lang: str) -> tuple[bytes, np.ndarray, np.ndar
     return joined, starts.astype(np.int32), ends.astype(np.int32), ids, run
 
 
-SCAN = "kind string, lang string, word string, id long, count long, ids array<long>"
+def _in_lists(part: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, list[pa.Array]]:
+    """The distinct values of ``part``, which is in order, and the columns as a list for each of them."""
+    first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+    at = pa.array(np.append(first, len(part)).astype(np.int32))
+    return part[first], [pa.ListArray.from_arrays(at, pa.array(c)) for c in columns]
 
 
-def _scan_rows(kind: str, lang: str, n: int, word=None, id=None, count=None, ids=None) -> pa.RecordBatch:
-    none = [None] * n
-    return pa.record_batch({
-        "kind": pa.array([kind] * n),
-        "lang": pa.array([lang] * n, pa.string()),
-        "word": pa.array(word or none, pa.binary()).cast(pa.string()),
-        "id": pa.array(none if id is None else id, pa.int64()),
-        "count": pa.array(none if count is None else count, pa.int64()),
-        "ids": pa.array(ids or none, pa.list_(pa.int64())),
-    })
+SLOTS = "block int, slots array<short>, counts array<int>"
+
+
+def _slot_counts(ids: list[np.ndarray], slots: int, least: int) -> pa.RecordBatch:
+    """How often the ids fall in each slot of the bit table (``least`` stands for more), a row per block."""
+    found, n = np.unique(np.concatenate(ids) & (slots - 1), return_counts=True)
+    place = (found % BLOCK).astype(np.uint16).view(np.int16)
+    block, lists = _in_lists(found // BLOCK, place, np.minimum(n, least).astype(np.int32))
+    return pa.record_batch([pa.array(block.astype(np.int32)), *lists], names=["block", "slots", "counts"])
+
+
+SCAN = "kind string, lang string, count long, ids array<long>, " + SLOTS
+
+
+def _scan_rows(kind: str, n: int, **columns) -> pa.RecordBatch:
+    kinds = {"lang": pa.string(), "count": pa.int64(), "ids": pa.list_(pa.int64()), "block": pa.int32(), "slots": pa.list_(pa.int16()), "counts": pa.list_(pa.int32())}
+    out = {"kind": pa.array([kind] * n)}
+    for name, of in kinds.items():
+        own = columns.get(name)
+        out[name] = pa.nulls(n, of) if own is None else own if isinstance(own, pa.Array) else pa.array(own, of)
+    return pa.record_batch(out)
+
+
+def _texts_by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, tuple]]:
+    """``lang`` and ``word_runs`` of chunks of the texts that have words."""
+    for batch in grams.slices(batches):
+        texts: dict[str, list[bytes]] = {}
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
+            texts.setdefault(lang, []).append(text)
+        for lang, own in texts.items():
+            for lo, hi in grams.chunks(own, CHUNK_BYTES):
+                found = word_runs(own[lo:hi], lang)
+                if len(found[3]):
+                    yield lang, found
+
+
+def _scan(most: int, slots: int, least: int) -> Callable:
+    """Runs of word hashes, a row per chunk of texts, how many they are, and counts of words by slot of the
+    bit table, summed over ``most`` words at a time."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        totals: dict[str, int] = {}
+        size = 0
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            if held:
+                own = _slot_counts(held, slots, least)
+                yield _scan_rows("slots", own.num_rows, **dict(zip(own.schema.names, own.columns)))
+                yield _scan_rows("totals", len(totals), lang=list(totals), count=list(totals.values()))
+            held.clear()
+            totals.clear()
+
+        for lang, (*_, ids, run) in _texts_by_language(batches):
+            yield _scan_rows("runs", 1, lang=[lang], ids=[run])
+            held.append(ids)
+            totals[lang] = totals.get(lang, 0) + len(ids)
+            size += len(ids)
+            if size >= most:
+                yield from counted()
+                size = 0
+        yield from counted()
+
+    return scan
+
+
+WORDS = "lang string, word string, id long, count long"
 
 
 def _word_counts(lang: str, held: list[tuple]) -> Iterator[pa.RecordBatch]:
-    """Counts of the words of some chunks, and their sum."""
+    """Counts of the words of some chunks."""
     ids = np.concatenate([h[3] for h in held])
     if not len(ids):
         return
@@ -104,35 +168,27 @@ def _word_counts(lang: str, held: list[tuple]) -> Iterator[pa.RecordBatch]:
         at = first[order[lo:hi]] - base
         for k, s, e in zip(order[lo:hi].tolist(), h[1][at].tolist(), h[2][at].tolist()):
             words[k] = h[0][s:e]
-    yield _scan_rows("words", lang, len(found), word=words, id=found, count=n)
-    yield _scan_rows("totals", lang, 1, count=[len(ids)])
+    yield pa.record_batch({"lang": pa.array([lang] * len(found)), "word": pa.array(words, pa.binary()).cast(pa.string()), "id": pa.array(found), "count": pa.array(n, pa.int64())})
 
 
-def _scan(most: int) -> Callable:
-    """Runs of word hashes, a row per chunk of texts, and counts of words, summed over ``most`` at a time."""
+def _frequent_words(often, most: int) -> Callable:
+    """Counts of the words in the bit table, with their texts, summed over ``most`` words at a time."""
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[tuple]] = {}
         size = 0
-        for batch in (b.slice(at, ROWS_READ) for b in batches for at in range(0, b.num_rows, ROWS_READ)):
-            texts: dict[str, list[bytes]] = {}
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                texts.setdefault(lang, []).append(text)
-            for lang, own in texts.items():
-                for lo, hi in grams.chunks(own, CHUNK_BYTES):
-                    found = word_runs(own[lo:hi], lang)
-                    if len(found[3]):
-                        yield _scan_rows("runs", lang, 1, ids=[found[4]])
-                        held.setdefault(lang, []).append(found[:4])
-                        size += len(found[3])
-                    if size >= most:
-                        for name, parts in held.items():
-                            yield from _word_counts(name, parts)
-                        held, size = {}, 0
+        for lang, (joined, starts, ends, ids, _) in _texts_by_language(batches):
+            keep = _among(often.value, ids)
+            held.setdefault(lang, []).append((joined, starts[keep], ends[keep], ids[keep]))
+            size += len(ids)
+            if size >= most:
+                for name, parts in held.items():
+                    yield from _word_counts(name, parts)
+                held, size = {}, 0
         for name, parts in held.items():
             yield from _word_counts(name, parts)
 
-    return scan
+    return count
 
 
 def _extended(prefix: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -169,43 +225,45 @@ def _adjacent(batch: pa.RecordBatch, bits: np.ndarray) -> Iterator[tuple[str, np
             yield lang, position[at], phrase[at], last[at + 1], _extended(phrase[at], last[at + 1])
 
 
-def _hash_counts(bits, most: int) -> Callable:
-    """Partial counts of joint phrases by hash."""
+def _phrase_slots(bits, most: int, slots: int, least: int) -> Callable:
+    """Counts of joint phrases by slot of the bit table, summed over ``most`` at a time."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-
-        def summed() -> pa.RecordBatch:
-            found, n = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            return pa.record_batch({"id": pa.array(found), "n": pa.array(n, pa.int64())})
-
         size = 0
         for batch in batches:
             for *_, joint in _adjacent(batch, bits.value):
                 held.append(joint)
                 size += len(joint)
                 if size >= most:
-                    yield summed()
-                    size = 0
+                    yield _slot_counts(held, slots, least)
+                    held, size = [], 0
         if held:
-            yield summed()
+            yield _slot_counts(held, slots, least)
 
     return count
 
 
-LEVEL = "kind string, lang string, prefix long, word long, id long, count long, position array<int>, phrase array<long>, last array<long>"
+LEVEL = "kind string, lang string, part int, position array<int>, phrase array<long>, last array<long>, count array<long>"
+
+
+def _summed(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of (phrase, next word), each once and in order."""
+    prefix, word, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((word, prefix))
+    prefix, word, n = prefix[order], word[order], n[order]
+    first = np.flatnonzero(np.concatenate(([True], (prefix[1:] != prefix[:-1]) | (word[1:] != word[:-1]))))
+    return prefix[first], word[first], np.add.reduceat(n, first)
 
 
 def _next_level(bits, frequent, most: int) -> Callable:
-    """The relation of the next level, and exact partial counts of its phrases."""
+    """The relation of the next level, and exact partial counts of its phrases in parts by their hashes."""
 
     def rows(kind: str, lang: str, n: int, **columns) -> pa.RecordBatch:
         out = {"kind": pa.array([kind] * n), "lang": pa.array([lang] * n, pa.string())}
-        for name in ("prefix", "word", "id", "count"):
-            out[name] = pa.array(columns.get(name, [None] * n), pa.int64())
-        for name, of in (("position", pa.int32()), ("phrase", pa.int64()), ("last", pa.int64())):
-            out[name] = pa.array([columns[name]] if name in columns else [None] * n, pa.list_(of))
+        for name, of in (("part", pa.int32()), ("position", pa.list_(pa.int32())), *((c, pa.list_(pa.int64())) for c in ("phrase", "last", "count"))):
+            own = columns.get(name)
+            out[name] = pa.nulls(n, of) if own is None else own if isinstance(own, pa.Array) else pa.array(own, of)
         return pa.record_batch(out)
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,12 +272,11 @@ def _next_level(bits, frequent, most: int) -> Callable:
 
         def counted() -> Iterator[pa.RecordBatch]:
             for name, parts in held.items():
-                prefix, word, joint = (np.concatenate(x) for x in zip(*parts, strict=True))
-                order = np.lexsort((word, prefix))
-                prefix, word, joint = prefix[order], word[order], joint[order]
-                first = np.flatnonzero(np.concatenate(([True], (prefix[1:] != prefix[:-1]) | (word[1:] != word[:-1]))))
-                n = np.diff(np.append(first, len(prefix)))
-                yield rows("counts", name, len(first), prefix=prefix[first], word=word[first], id=joint[first], count=n)
+                prefix, word, n = _summed([(p, w, np.ones(len(p), dtype=np.int64)) for p, w in parts])
+                part = (_extended(prefix, word).view(np.uint64) >> np.uint64(64 - PARTS)).astype(np.int32)
+                order = np.argsort(part, kind="stable")
+                part, (prefix, word, n) = _in_lists(part[order], prefix[order], word[order], n[order])
+                yield rows("counts", name, len(part), part=pa.array(part), phrase=prefix, last=word, count=n)
             held.clear()
 
         for batch in batches:
@@ -227,9 +284,9 @@ def _next_level(bits, frequent, most: int) -> Callable:
                 keep = _among(frequent.value, joint)
                 if keep.any():
                     position, phrase, last, joint = position[keep], phrase[keep], last[keep], joint[keep]
-                    held.setdefault(lang, []).append((phrase, last, joint))
+                    held.setdefault(lang, []).append((phrase, last))
                     size += len(joint)
-                    yield rows("occurrences", lang, 1, position=position.astype(np.int32), phrase=joint, last=last)
+                    yield rows("occurrences", lang, 1, position=[position.astype(np.int32)], phrase=[joint], last=[last])
                 if size >= most:
                     yield from counted()
                     size = 0
@@ -238,14 +295,65 @@ def _next_level(bits, frequent, most: int) -> Callable:
     return extend
 
 
+PHRASES = "lang string, prefix long, word long, id long, f long"
+
+
+def _frequent_in_part(most: int, least: int) -> Callable:
+    """The phrases of a language and part that are found ``least`` times or more."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size, limit, lang = 0, most, None
+        for batch in batches:
+            lang = batch.column("lang")[0].as_py() if batch.num_rows else lang
+            held.append(tuple(batch.column(c).flatten().to_numpy() for c in ("phrase", "last", "count")))
+            size += len(held[-1][0])
+            if size >= limit:
+                held = [_summed(held)]
+                size = len(held[0][0])
+                limit = most + 2 * size
+        prefix, word, n = _summed(held)
+        prefix, word, n = (x[n >= least] for x in (prefix, word, n))
+        ids = _extended(prefix, word)
+        yield pa.record_batch({"lang": pa.array([lang] * len(n), pa.string()), "prefix": pa.array(prefix), "word": pa.array(word), "id": pa.array(ids), "f": pa.array(n)})
+
+    return add
+
+
+def _often_in_block(least: int) -> Callable:
+    """The 64-bit words of the bit table with slots that are found ``least`` times or more."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, block = np.zeros(BLOCK, dtype=np.int64), 0
+        for batch in batches:
+            block = batch.column("block")[0].as_py() if batch.num_rows else block
+            slots, counts = (batch.column(c).flatten().to_numpy() for c in ("slots", "counts"))
+            found += np.bincount(slots.view(np.uint16), weights=counts, minlength=BLOCK).astype(np.int64)
+        bits = np.packbits(found >= least, bitorder="little").view("<i8")
+        at = np.flatnonzero(bits)
+        yield pa.record_batch({"at": pa.array((block * (BLOCK // 64) + at).astype(np.int32)), "bits": pa.array(bits[at])})
+
+    return add
+
+
+def _broadcast_bits(spark: SparkSession, rows: DataFrame):
+    """The bit table of rows ``at, bits`` (``BITS / 64`` at most)."""
+    rows = rows.toArrow()
+    found = np.zeros(max(1, BITS // 64), dtype=np.int64)
+    found[rows["at"].to_numpy()] = rows["bits"].to_numpy()
+    return spark.sparkContext.broadcast(found)
+
+
+def _often_table(spark: SparkSession, blocks: DataFrame, least: int):
+    """The slots that were counted ``least`` times or more as a broadcast bit table."""
+    return _broadcast_bits(spark, blocks.groupBy("block").applyInArrow(_often_in_block(least), "at int, bits long"))
+
+
 def _bit_table(spark: SparkSession, frequent: DataFrame):
-    """The ids of ``frequent`` as a broadcast table of ``BITS`` bits (``BITS / 64`` rows at most come here)."""
+    """The ids of ``frequent`` as a broadcast table of ``BITS`` bits."""
     slot = F.col("id").bitwiseAND(F.lit(BITS - 1))
     one = F.expr("shiftleft(1L, cast(id & 63 as int))")
-    rows = frequent.groupBy(F.shiftright(slot, 6).cast("int").alias("at")).agg(F.bit_or(one).alias("bits")).toArrow()
-    found = np.zeros(BITS // 64, dtype=np.int64)
-    found[rows["at"].to_numpy()] = rows["bits"].to_numpy()
-    return spark.sparkContext.broadcast(found)
+    return _broadcast_bits(spark, frequent.groupBy(F.shiftright(slot, 6).cast("int").alias("at")).agg(F.bit_or(one).alias("bits")))
 
 
 def _parts(spark: SparkSession, rows: DataFrame, name: str) -> Callable:
@@ -261,24 +369,26 @@ def frequent_phrases(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]
     more, and ``lang, n``, the count of all words."""
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    scanned = _parts(spark, texts.mapInArrow(_scan(WORDS_HELD), SCAN), "words")
+    scanned = _parts(spark, texts.mapInArrow(_scan(WORDS_HELD, BITS, least), SCAN), "words")
     totals = scanned("totals", "lang", "count").groupBy("lang").agg(F.sum("count").alias("n"))
-    counts = scanned("words", "lang", "word", "id", "count")
-    often = cut_lineage(counts.groupBy("id").agg(F.sum("count").alias("f")).where(F.col("f") >= least).select("id"), "often")
-    exact = counts.join(often, "id").groupBy("lang", "word", "id").agg(F.sum("count").alias("f")).where(F.col("f") >= least)
+    often = _often_table(spark, scanned("slots", "block", "slots", "counts"), least)
+    counts = texts.mapInArrow(_frequent_words(often, WORDS_HELD), WORDS)
+    exact = counts.groupBy("lang", "word", "id").agg(F.sum("count").alias("f")).where(F.col("f") >= least)
     words = cut_lineage(exact.select("lang", "id", F.col("word").alias("phrase"), "f"), "frequent")
+    often.destroy()
     last_words = words.select("lang", F.col("id").alias("word"), F.col("phrase").alias("last_word"))
     relation, level, found = scanned("runs", "lang", "ids"), words, [words.select("lang", "phrase", F.lit(1).alias("words"), "f")]
     for k in range(2, LONGEST + 1):
         bits = _bit_table(spark, level)
-        by_hash = relation.mapInArrow(_hash_counts(bits, WORDS_HELD), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-        often = _bit_table(spark, by_hash.where(F.col("n") >= least).select("id"))
+        blocks = relation.mapInArrow(_phrase_slots(bits, WORDS_HELD, BITS, least), SLOTS)
+        often = _often_table(spark, blocks, least)
         of_level = _parts(spark, relation.mapInArrow(_next_level(bits, often, WORDS_HELD), LEVEL), f"level-{k}")
         for table_of_bits in (bits, often):  # what they serve is written; on disk they are 16 MB for every process
             table_of_bits.destroy()
-        exact = of_level("counts", "lang", "prefix", "word", "id", "count").groupBy("lang", "prefix", "word", "id").agg(F.sum("count").alias("f"))
+        counts = of_level("counts", "lang", "part", "phrase", "last", "count")
+        exact = counts.groupBy("lang", "part").applyInArrow(_frequent_in_part(WORDS_HELD, least), PHRASES)
         starts = level.select("lang", F.col("id").alias("prefix"), F.col("phrase").alias("start"))
-        named = exact.where(F.col("f") >= least).join(starts, ["lang", "prefix"]).join(last_words, ["lang", "word"])
+        named = exact.join(starts, ["lang", "prefix"]).join(last_words, ["lang", "word"])
         level = cut_lineage(named.select("lang", "id", F.concat_ws(" ", "start", "last_word").alias("phrase"), "f"), "frequent")
         found.append(level.select("lang", "phrase", F.lit(k).alias("words"), "f"))
         relation = of_level("occurrences", "lang", "position", "phrase", "last")

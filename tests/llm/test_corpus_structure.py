@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from raterkit.llm import collocations, sharding
@@ -151,3 +152,30 @@ def test_collocations_leave_no_bit_table_behind(spark):
     every, _ = frequent_phrases(docs, 3)
     assert kept() - before < 1 << 24  # a table is as large
     assert {(r.phrase, r.f) for r in every.where("words = 4").collect()} == {("one two three four", 3)}
+
+
+def test_counts_pass_between_tasks_in_blocks():
+    r = np.random.default_rng(5)
+    vocabulary = r.integers(-(1 << 62), 1 << 62, 40_000)
+    texts, least = [vocabulary[np.minimum(r.zipf(1.3, 60_000), 40_000) - 1] for _ in range(4)], 100
+    rows = [collocations._slot_counts([t[:30_000], t[30_000:]], 1 << 20, least) for t in texts]
+    assert all(b.num_rows <= (1 << 20) // collocations.BLOCK for b in rows)  # not a row for each word and task
+    found = set()
+    for block in range((1 << 20) // collocations.BLOCK):
+        own = [b.filter(np.asarray(b.column("block")) == block) for b in rows]
+        for out in collocations._often_in_block(least)(iter(own)):
+            for at, bits in zip(out.column("at").to_pylist(), out.column("bits").to_pylist()):
+                found |= {64 * at + k for k in range(64) if bits >> k & 1}
+    slots = Counter((np.concatenate(texts) & ((1 << 20) - 1)).tolist())
+    assert found == {s for s, n in slots.items() if n >= least} and found
+
+
+def test_phrases_of_many_tasks_are_summed_in_parts():
+    r = np.random.default_rng(6)
+    prefix, word = r.integers(0, 30, 5000), r.integers(0, 30, 5000)
+    tasks = [collocations._summed([(prefix[i : i + 500], word[i : i + 500], np.ones(500, dtype=np.int64))]) for i in range(0, 5000, 500)]
+    batches = [pa.RecordBatch.from_pydict({"lang": ["en"], "phrase": [p], "last": [w], "count": [n]}) for p, w, n in tasks]
+    want = {x: n for x, n in Counter(zip(prefix.tolist(), word.tolist())).items() if n >= 7}
+    for most in (1, 1 << 20):
+        (out,) = collocations._frequent_in_part(most, 7)(iter(batches))
+        assert {(x["prefix"], x["word"]): x["f"] for x in out.to_pylist()} == want
