@@ -82,18 +82,45 @@ def _in_lists(part: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, list[
     """The distinct values of ``part``, which is in order, and the columns as a list for each of them."""
     first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
     at = pa.array(np.append(first, len(part)).astype(np.int32))
-    return part[first], [pa.ListArray.from_arrays(at, pa.array(c)) for c in columns]
+    return part[first], [pa.ListArray.from_arrays(at, c if isinstance(c, pa.Array) else pa.array(c)) for c in columns]
 
 
 SLOTS = "block int, slots array<short>, counts array<int>"
 
 
-def _slot_counts(ids: list[np.ndarray], slots: int, least: int) -> pa.RecordBatch:
-    """How often the ids fall in each slot of the bit table (``least`` stands for more), a row per block."""
-    found, n = np.unique(np.concatenate(ids) & (slots - 1), return_counts=True)
-    place = (found % BLOCK).astype(np.uint16).view(np.int16)
-    block, lists = _in_lists(found // BLOCK, place, np.minimum(n, least).astype(np.int32))
-    return pa.record_batch([pa.array(block.astype(np.int32)), *lists], names=["block", "slots", "counts"])
+class SlotCounts:
+    """How often ids fall in each slot of the bit table (``least`` stands for more), a row per block.
+    Counts are summed until ``most`` slots are held."""
+
+    def __init__(self, slots: int, least: int, most: int):
+        self.slots, self.least, self.most = slots, least, most
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append((ids & (self.slots - 1), np.ones(len(ids), dtype=np.int32)))
+        self.size += len(ids)
+        if self.size >= self.most + (len(self.held[0][0]) if len(self.held) > 1 else 0):
+            self._sum()
+            if len(self.held[0][0]) >= self.most:
+                yield from self.rest()
+
+    def _sum(self) -> None:
+        found, n = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        order = np.argsort(found, kind="stable")
+        found, n = found[order], n[order]
+        first = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))
+        n = np.minimum(np.add.reduceat(n, first, dtype=np.int64), self.least).astype(np.int32)
+        self.held = [(found[first], n)]
+        self.size = len(first)
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.size:
+            self._sum()
+            ((found, n),) = self.held
+            block, lists = _in_lists(found // BLOCK, (found % BLOCK).astype(np.uint16).view(np.int16), n)
+            yield pa.record_batch([pa.array(block.astype(np.int32)), *lists], names=["block", "slots", "counts"])
+        self.held, self.size = [], 0
 
 
 SCAN = "kind string, lang string, count long, ids array<long>, " + SLOTS
@@ -123,39 +150,30 @@ def _texts_by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str,
 
 def _scan(most: int, slots: int, least: int) -> Callable:
     """Runs of word hashes, a row per chunk of texts, how many they are, and counts of words by slot of the
-    bit table, summed over ``most`` words at a time."""
+    bit table, summed until ``most`` slots are held."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        totals: dict[str, int] = {}
-        size = 0
+        held, totals = SlotCounts(slots, least, most), {}
 
-        def counted() -> Iterator[pa.RecordBatch]:
-            if held:
-                own = _slot_counts(held, slots, least)
-                yield _scan_rows("slots", own.num_rows, **dict(zip(own.schema.names, own.columns)))
-                yield _scan_rows("totals", len(totals), lang=list(totals), count=list(totals.values()))
-            held.clear()
-            totals.clear()
+        def counted(own: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in own:
+                yield _scan_rows("slots", b.num_rows, **dict(zip(b.schema.names, b.columns)))
 
         for lang, (*_, ids, run) in _texts_by_language(batches):
             yield _scan_rows("runs", 1, lang=[lang], ids=[run])
-            held.append(ids)
             totals[lang] = totals.get(lang, 0) + len(ids)
-            size += len(ids)
-            if size >= most:
-                yield from counted()
-                size = 0
-        yield from counted()
+            yield from counted(held.add(ids))
+        yield from counted(held.rest())
+        yield _scan_rows("totals", len(totals), lang=list(totals), count=list(totals.values()))
 
     return scan
 
 
-WORDS = "lang string, word string, id long, count long"
+WORDS = "lang string, part int, words array<string>, ids array<long>, counts array<long>"
 
 
-def _word_counts(lang: str, held: list[tuple]) -> Iterator[pa.RecordBatch]:
-    """Counts of the words of some chunks."""
+def _add_words(sums: dict[tuple[bytes, int], int], held: list[tuple]) -> None:
+    """Add the counts of the words of some chunks."""
     ids = np.concatenate([h[3] for h in held])
     if not len(ids):
         return
@@ -168,29 +186,72 @@ def _word_counts(lang: str, held: list[tuple]) -> Iterator[pa.RecordBatch]:
         at = first[order[lo:hi]] - base
         for k, s, e in zip(order[lo:hi].tolist(), h[1][at].tolist(), h[2][at].tolist()):
             words[k] = h[0][s:e]
-    yield pa.record_batch({"lang": pa.array([lang] * len(found)), "word": pa.array(words, pa.binary()).cast(pa.string()), "id": pa.array(found), "count": pa.array(n, pa.int64())})
+    for key, k in zip(zip(words, found.tolist()), n.tolist()):
+        sums[key] = sums.get(key, 0) + k
+
+
+def _word_parts(lang: str, sums: dict[tuple[bytes, int], int]) -> pa.RecordBatch:
+    ids = np.fromiter((i for _, i in sums), dtype=np.int64, count=len(sums))
+    part = (ids.view(np.uint64) >> np.uint64(64 - PARTS)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    words = pa.array([w for w, _ in sums], pa.binary()).cast(pa.string()).take(pa.array(order))
+    n = np.fromiter(sums.values(), dtype=np.int64, count=len(sums))
+    part, lists = _in_lists(part[order], words, ids[order], n[order])
+    return pa.record_batch([pa.array([lang] * len(part), pa.string()), pa.array(part), *lists], names=["lang", "part", "words", "ids", "counts"])
 
 
 def _frequent_words(often, most: int) -> Callable:
-    """Counts of the words in the bit table, with their texts, summed over ``most`` words at a time."""
+    """Counts of the words in the bit table, with their texts, summed until ``most`` words are held."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[tuple]] = {}
+        sums: dict[str, dict] = {}
         size = 0
+
+        def added() -> None:
+            for name, parts in held.items():
+                _add_words(sums.setdefault(name, {}), parts)
+            held.clear()
+
+        def passed_on() -> Iterator[pa.RecordBatch]:
+            for name, own in sums.items():
+                if own:
+                    yield _word_parts(name, own)
+            sums.clear()
+
         for lang, (joined, starts, ends, ids, _) in _texts_by_language(batches):
             keep = _among(often.value, ids)
             held.setdefault(lang, []).append((joined, starts[keep], ends[keep], ids[keep]))
             size += len(ids)
             if size >= most:
-                for name, parts in held.items():
-                    yield from _word_counts(name, parts)
-                held, size = {}, 0
-        for name, parts in held.items():
-            yield from _word_counts(name, parts)
+                added()
+                size = 0
+                if sum(map(len, sums.values())) >= most:
+                    yield from passed_on()
+        added()
+        yield from passed_on()
 
     return count
 
 
+def _frequent_words_in_part(least: int) -> Callable:
+    """The words of a language and part that are found ``least`` times or more."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[str, int], int] = {}
+        lang = None
+        for batch in batches:
+            lang = batch.column("lang")[0].as_py() if batch.num_rows else lang
+            words, ids, counts = (batch.column(c).flatten().to_pylist() for c in ("words", "ids", "counts"))
+            for word, i, n in zip(words, ids, counts):
+                sums[word, i] = sums.get((word, i), 0) + n
+        own = [(word, i, n) for (word, i), n in sums.items() if n >= least]
+        words, ids, counts = zip(*own) if own else ((), (), ())
+        yield pa.record_batch({"lang": pa.array([lang] * len(own), pa.string()), "id": pa.array(ids, pa.int64()), "phrase": pa.array(words, pa.string()), "f": pa.array(counts, pa.int64())})
+
+    return add
+
+
 def _extended(prefix: np.ndarray, word: np.ndarray) -> np.ndarray:
     """Hash of a phrase from that of its beginning and of its last word."""
     with np.errstate(over="ignore"):
@@ -226,20 +287,14 @@ def _adjacent(batch: pa.RecordBatch, bits: np.ndarray) -> Iterator[tuple[str, np
 
 
 def _phrase_slots(bits, most: int, slots: int, least: int) -> Callable:
-    """Counts of joint phrases by slot of the bit table, summed over ``most`` at a time."""
+    """Counts of joint phrases by slot of the bit table, summed until ``most`` slots are held."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
+        held = SlotCounts(slots, least, most)
         for batch in batches:
             for *_, joint in _adjacent(batch, bits.value):
-                held.append(joint)
-                size += len(joint)
-                if size >= most:
-                    yield _slot_counts(held, slots, least)
-                    held, size = [], 0
-        if held:
-            yield _slot_counts(held, slots, least)
+                yield from held.add(joint)
+        yield from held.rest()
 
     return count
 
@@ -373,8 +428,7 @@ def frequent_phrases(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]
     totals = scanned("totals", "lang", "count").groupBy("lang").agg(F.sum("count").alias("n"))
     often = _often_table(spark, scanned("slots", "block", "slots", "counts"), least)
     counts = texts.mapInArrow(_frequent_words(often, WORDS_HELD), WORDS)
-    exact = counts.groupBy("lang", "word", "id").agg(F.sum("count").alias("f")).where(F.col("f") >= least)
-    words = cut_lineage(exact.select("lang", "id", F.col("word").alias("phrase"), "f"), "frequent")
+    words = cut_lineage(counts.groupBy("lang", "part").applyInArrow(_frequent_words_in_part(least), "lang string, id long, phrase string, f long"), "frequent")
     often.destroy()
     last_words = words.select("lang", F.col("id").alias("word"), F.col("phrase").alias("last_word"))
     relation, level, found = scanned("runs", "lang", "ids"), words, [words.select("lang", "phrase", F.lit(1).alias("words"), "f")]

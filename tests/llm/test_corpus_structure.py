@@ -158,7 +158,8 @@ def test_counts_pass_between_tasks_in_blocks():
     r = np.random.default_rng(5)
     vocabulary = r.integers(-(1 << 62), 1 << 62, 40_000)
     texts, least = [vocabulary[np.minimum(r.zipf(1.3, 60_000), 40_000) - 1] for _ in range(4)], 100
-    rows = [collocations._slot_counts([t[:30_000], t[30_000:]], 1 << 20, least) for t in texts]
+    tasks = [collocations.SlotCounts(1 << 20, least, 25_000) for _ in texts]
+    rows = [b for x, t in zip(tasks, texts) for own in (x.add(t[:30_000]), x.add(t[30_000:]), x.rest()) for b in own]
     assert all(b.num_rows <= (1 << 20) // collocations.BLOCK for b in rows)  # not a row for each word and task
     found = set()
     for block in range((1 << 20) // collocations.BLOCK):
