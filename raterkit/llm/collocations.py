@@ -1,9 +1,9 @@
 """Phrase collocations by relational set mining: sorted occurrence relations, extended level by level.
 
 The relation of level k holds (piece, position, phrase, last word) of every occurrence of a
-frequent phrase of k words, sorted and written as a table in blocks: a row is a run of occurrences
-of one language, its columns are arrays, and positions leave a number out between pieces, so
-that neighbours never span two. Level k + 1 is the merge join of the relation with itself on
+frequent phrase of k words that has another beside it (what stands alone joins with nothing), sorted
+and written as a table in blocks: a row is a run of occurrences of one language, its columns are
+arrays, and positions leave a number out between pieces, so that neighbours never span two. Level k + 1 is the merge join of the relation with itself on
 adjacent positions (a phrase can only be frequent if both its parts without an end word are),
 counted by group in Spark; the groups that are frequent are joined back (semi-join) and the next
 level is written. Counts are partial sums of tasks, so no word or phrase is one task's.
@@ -11,7 +11,8 @@ level is written. Counts are partial sums of tasks, so no word or phrase is one
 Groups are counted twice. The first count is by slot of a bit table of fixed size (``BITS``), the last
 bits of a group's hash, and sorts out what cannot be frequent, which is most of it; the second is by
 word, or by phrase and last word, over what is left, and is the result. Counts pass between tasks in
-blocks, too: a row holds a task's counts of one range of slots, or of one part of the hashes. The
+blocks, too: a row holds a task's counts of one range of slots, or of one part of the hashes, and slots
+go as their distances, mostly a byte each. A task sums what is equal until its share of memory is full. The
 semi-join goes through the bit table, which is all that is broadcast: a group that it lets through in
 error (it shares a slot) costs time, never a result.
 Relations name words and phrases by their hashes; phrases get their texts from joins of the
@@ -24,6 +25,7 @@ rows, or no phrase that is frequent: no rows. Columns other than text and lang a
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -40,10 +42,11 @@ LONGEST = 5
 LEAST = 100
 REPORTED = 2000
 BITS = 1 << 27
-BLOCK = 1 << 16  # slots of the bit table that are counted together: their places in a block have 16 bits
+BLOCK = 1 << 16  # slots of the bit table that are counted together
 PARTS = 8  # exact counts of a language's phrases are dealt by so many bits of their hashes
 CHUNK_BYTES = 1 << 18
 WORDS_HELD = 1 << 20  # words, or pairs, that a task sums up before it passes counts on
+SLOTS_HELD = 4  # times as many slots of the bit table, which take 5 bytes each
 
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
 _WORD, _BLANK, _BREAK = 0, 1, 2
@@ -59,6 +62,14 @@ def _classes() -> np.ndarray:
 _KINDS = _classes()
 
 
+def _word_ids(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, lang: str) -> np.ndarray:
+    """Hashes of the words ``points[start:end]`` of a language, none of them 0."""
+    key = np.frombuffer(hashlib.blake2b(lang.encode(), digest_size=8).digest(), dtype=np.uint64)
+    ids = mix64(grams.span_hashes(points, starts, ends) ^ key).view(np.int64)
+    ids[ids == 0] = 1
+    return ids
+
+
 def word_runs(texts: list[bytes], lang: str) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The lower-cased texts as one, starts and ends of their words, the words' hashes, and these
     again with a 0 between words of different pieces (and after the last)."""
@@ -68,9 +79,7 @@ def word_runs(texts: list[bytes], lang: str) -> tuple[bytes, np.ndarray, np.ndar
     inside = np.concatenate(([False], kinds == _WORD, [False]))
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[0::2], edges[1::2]
-    key = np.frombuffer(hashlib.blake2b(lang.encode(), digest_size=8).digest(), dtype=np.uint64)
-    ids = mix64(grams.span_hashes(points, starts, ends) ^ key).view(np.int64)
-    ids[ids == 0] = 1
+    ids = _word_ids(points, starts, ends, lang)
     before = np.cumsum(kinds == _BREAK)[starts]
     parted = np.concatenate(([0], np.cumsum(before[1:] != before[:-1]))) if len(ids) else np.zeros(0, dtype=np.int64)
     run = np.zeros(len(ids) + (int(parted[-1]) if len(ids) else 0) + 1, dtype=np.int64)
@@ -85,51 +94,81 @@ def _in_lists(part: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, list[
     return part[first], [pa.ListArray.from_arrays(at, c if isinstance(c, pa.Array) else pa.array(c)) for c in columns]
 
 
-SLOTS = "block int, slots array<short>, counts array<int>"
+def _packed(numbers: np.ndarray) -> bytes:
+    """Whole numbers from 0 on, a byte for each below 255, deflated."""
+    far = numbers[numbers >= 255].astype("<u8")
+    return zlib.compress(len(numbers).to_bytes(4, "little") + np.minimum(numbers, 255).astype(np.uint8).tobytes() + far.tobytes(), 1)
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    raw = zlib.decompress(packed)
+    end = 4 + int.from_bytes(raw[:4], "little")
+    numbers = np.frombuffer(raw[4:end], dtype=np.uint8).astype(np.int64)
+    numbers[numbers == 255] = np.frombuffer(raw[end:], dtype="<u8").astype(np.int64)
+    return numbers
+
+
+SLOTS = "block int, slots binary, counts binary"
 
 
 class SlotCounts:
-    """How often ids fall in each slot of the bit table (``least`` stands for more), a row per block.
-    Counts are summed until ``most`` slots are held."""
+    """How often ids fall in each slot of the bit table (``least`` stands for more), a row per block: the
+    distances of its slots (of the first from the block's start) and their counts, both ``_packed``.
+    Counts are summed until ``most`` slots are held; ids wait in lots of up to ``WORDS_HELD``."""
 
     def __init__(self, slots: int, least: int, most: int):
         self.slots, self.least, self.most = slots, least, most
-        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.lot = min(most, WORDS_HELD)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.found, self.n = np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.min_scalar_type(self.least))
+        self.waiting: list[np.ndarray] = []
         self.size = 0
 
     def add(self, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
-        self.held.append((ids & (self.slots - 1), np.ones(len(ids), dtype=np.int32)))
+        self.waiting.append((ids & (self.slots - 1)).astype(np.uint32))
         self.size += len(ids)
-        if self.size >= self.most + (len(self.held[0][0]) if len(self.held) > 1 else 0):
+        if self.size >= self.lot:
             self._sum()
-            if len(self.held[0][0]) >= self.most:
+            if len(self.found) >= self.most:
                 yield from self.rest()
 
     def _sum(self) -> None:
-        found, n = (np.concatenate(x) for x in zip(*self.held, strict=True))
-        order = np.argsort(found, kind="stable")
-        found, n = found[order], n[order]
-        first = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))
-        n = np.minimum(np.add.reduceat(n, first, dtype=np.int64), self.least).astype(np.int32)
-        self.held = [(found[first], n)]
-        self.size = len(first)
+        """Merge what waits into the slots held, which are in order."""
+        new = np.sort(np.concatenate([np.zeros(0, dtype=np.uint32), *self.waiting]))
+        first = np.flatnonzero(np.concatenate(([True], new[1:] != new[:-1]))) if len(new) else np.zeros(0, dtype=np.int64)
+        n, new = np.diff(np.append(first, len(new))), new[first]
+        at = np.searchsorted(self.found, new)
+        held = np.zeros(len(new), dtype=bool)
+        inside = at < len(self.found)
+        held[inside] = self.found[at[inside]] == new[inside]
+        self.n[at[held]] = np.minimum(self.n[at[held]].astype(np.int64) + n[held], self.least)
+        self.found = np.insert(self.found, at[~held], new[~held])
+        self.n = np.insert(self.n, at[~held], np.minimum(n[~held], self.least))
+        self.waiting, self.size = [], 0
 
     def rest(self) -> Iterator[pa.RecordBatch]:
-        if self.size:
-            self._sum()
-            ((found, n),) = self.held
-            block, lists = _in_lists(found // BLOCK, (found % BLOCK).astype(np.uint16).view(np.int16), n)
-            yield pa.record_batch([pa.array(block.astype(np.int32)), *lists], names=["block", "slots", "counts"])
-        self.held, self.size = [], 0
+        self._sum()
+        if len(self.found):
+            block = self.found // BLOCK
+            first = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
+            steps = np.diff(self.found, prepend=self.found[:1])
+            steps[first] = self.found[first] % BLOCK
+            slots, counts = ([_packed(x[lo:hi]) for lo, hi in zip(first, [*first[1:], len(block)])] for x in (steps, self.n))
+            rows = [pa.array(block[first].astype(np.int32)), pa.array(slots, pa.binary()), pa.array(counts, pa.binary())]
+            yield pa.record_batch(rows, names=["block", "slots", "counts"])
+        self._clear()
 
 
-SCAN = "kind string, lang string, count long, ids array<long>, " + SLOTS
+SCAN = "kind string, lang string, count long, " + SLOTS
+_SCAN = {"lang": pa.string(), "count": pa.int64(), "block": pa.int32(), "slots": pa.binary(), "counts": pa.binary()}
 
 
-def _scan_rows(kind: str, n: int, **columns) -> pa.RecordBatch:
-    kinds = {"lang": pa.string(), "count": pa.int64(), "ids": pa.list_(pa.int64()), "block": pa.int32(), "slots": pa.list_(pa.int16()), "counts": pa.list_(pa.int32())}
+def _rows(of_kind: dict, kind: str, n: int, **columns) -> pa.RecordBatch:
+    """Rows of one kind; columns that are not given are null."""
     out = {"kind": pa.array([kind] * n)}
-    for name, of in kinds.items():
+    for name, of in of_kind.items():
         own = columns.get(name)
         out[name] = pa.nulls(n, of) if own is None else own if isinstance(own, pa.Array) else pa.array(own, of)
     return pa.record_batch(out)
@@ -149,27 +188,37 @@ def _texts_by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str,
 
 
 def _scan(most: int, slots: int, least: int) -> Callable:
-    """Runs of word hashes, a row per chunk of texts, how many they are, and counts of words by slot of the
-    bit table, summed until ``most`` slots are held."""
+    """How many words there are, and counts of words by slot of the bit table, summed until ``most`` slots
+    are held."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, totals = SlotCounts(slots, least, most), {}
 
         def counted(own: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in own:
-                yield _scan_rows("slots", b.num_rows, **dict(zip(b.schema.names, b.columns)))
+                yield _rows(_SCAN, "slots", b.num_rows, **dict(zip(b.schema.names, b.columns)))
 
-        for lang, (*_, ids, run) in _texts_by_language(batches):
-            yield _scan_rows("runs", 1, lang=[lang], ids=[run])
+        for lang, (*_, ids, _) in _texts_by_language(batches):
             totals[lang] = totals.get(lang, 0) + len(ids)
             yield from counted(held.add(ids))
         yield from counted(held.rest())
-        yield _scan_rows("totals", len(totals), lang=list(totals), count=list(totals.values()))
+        yield _rows(_SCAN, "totals", len(totals), lang=list(totals), count=list(totals.values()))
 
     return scan
 
 
-WORDS = "lang string, part int, words array<string>, ids array<long>, counts array<long>"
+WORDS = "kind string, lang string, ids array<long>, part int, words binary, counts binary"
+_WORDS = {"lang": pa.string(), "ids": pa.list_(pa.int64()), "part": pa.int32(), "words": pa.binary(), "counts": pa.binary()}
+
+
+def _side_by_side(run: np.ndarray, keep: np.ndarray) -> np.ndarray:
+    """The run with those of its words that are kept and have such a word beside them, a 0 after each stretch."""
+    run = run.copy()
+    run[np.flatnonzero(run)[~keep]] = 0
+    word = np.concatenate(([False], run != 0, [False]))
+    beside = word[1:-1] & (word[:-2] | word[2:])
+    run[~beside] = 0
+    return run[beside | np.concatenate(([False], beside[:-1]))]
 
 
 def _add_words(sums: dict[tuple[bytes, int], int], held: list[tuple]) -> None:
@@ -191,17 +240,21 @@ def _add_words(sums: dict[tuple[bytes, int], int], held: list[tuple]) -> None:
 
 
 def _word_parts(lang: str, sums: dict[tuple[bytes, int], int]) -> pa.RecordBatch:
-    ids = np.fromiter((i for _, i in sums), dtype=np.int64, count=len(sums))
-    part = (ids.view(np.uint64) >> np.uint64(64 - PARTS)).astype(np.int32)
+    """Words in order with a blank between them and their counts, a row per part."""
+    own = sorted(sums.items())
+    part = (np.array([i for (_, i), _ in own], dtype=np.int64).view(np.uint64) >> np.uint64(64 - PARTS)).astype(np.int32)
     order = np.argsort(part, kind="stable")
-    words = pa.array([w for w, _ in sums], pa.binary()).cast(pa.string()).take(pa.array(order))
-    n = np.fromiter(sums.values(), dtype=np.int64, count=len(sums))
-    part, lists = _in_lists(part[order], words, ids[order], n[order])
-    return pa.record_batch([pa.array([lang] * len(part), pa.string()), pa.array(part), *lists], names=["lang", "part", "words", "ids", "counts"])
+    first = np.flatnonzero(np.concatenate(([True], part[order][1:] != part[order][:-1])))
+    words, counts = [], []
+    for at in np.split(order, first[1:]):
+        words.append(zlib.compress(b" ".join([own[k][0][0] for k in at]), 1))
+        counts.append(_packed(np.array([own[k][1] for k in at], dtype=np.int64)))
+    return _rows(_WORDS, "words", len(first), lang=[lang] * len(first), part=part[order][first], words=words, counts=counts)
 
 
 def _frequent_words(often, most: int) -> Callable:
-    """Counts of the words in the bit table, with their texts, summed until ``most`` words are held."""
+    """Runs of the words in the bit table, a row per chunk of texts, and counts of them with their texts,
+    summed until ``most`` words are held."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[tuple]] = {}
@@ -219,8 +272,11 @@ def _frequent_words(often, most: int) -> Callable:
                     yield _word_parts(name, own)
             sums.clear()
 
-        for lang, (joined, starts, ends, ids, _) in _texts_by_language(batches):
+        for lang, (joined, starts, ends, ids, run) in _texts_by_language(batches):
             keep = _among(often.value, ids)
+            run = _side_by_side(run, keep)
+            if len(run):
+                yield _rows(_WORDS, "runs", 1, lang=[lang], ids=[run])
             held.setdefault(lang, []).append((joined, starts[keep], ends[keep], ids[keep]))
             size += len(ids)
             if size >= most:
@@ -238,16 +294,21 @@ def _frequent_words_in_part(least: int) -> Callable:
     """The words of a language and part that are found ``least`` times or more."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[str, int], int] = {}
+        sums: dict[bytes, int] = {}
         lang = None
         for batch in batches:
             lang = batch.column("lang")[0].as_py() if batch.num_rows else lang
-            words, ids, counts = (batch.column(c).flatten().to_pylist() for c in ("words", "ids", "counts"))
-            for word, i, n in zip(words, ids, counts):
-                sums[word, i] = sums.get((word, i), 0) + n
-        own = [(word, i, n) for (word, i), n in sums.items() if n >= least]
-        words, ids, counts = zip(*own) if own else ((), (), ())
-        yield pa.record_batch({"lang": pa.array([lang] * len(own), pa.string()), "id": pa.array(ids, pa.int64()), "phrase": pa.array(words, pa.string()), "f": pa.array(counts, pa.int64())})
+            for words, counts in zip(batch.column("words").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                for word, n in zip(zlib.decompress(words).split(b" "), _unpacked(counts).tolist(), strict=True):
+                    sums[word] = sums.get(word, 0) + n
+        often = [word for word, n in sums.items() if n >= least]
+        for lo, hi in grams.chunks(often, CHUNK_BYTES):
+            words = often[lo:hi]
+            sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+            ends = np.cumsum(sizes + 1) - 1
+            ids = _word_ids(np.frombuffer(b" ".join(words) + b" ", dtype=np.uint8), ends - sizes, ends, lang)
+            f = pa.array([sums[word] for word in words], pa.int64())
+            yield pa.record_batch({"lang": pa.array([lang] * len(words), pa.string()), "id": pa.array(ids), "phrase": pa.array(words, pa.binary()).cast(pa.string()), "f": f})
 
     return add
 
@@ -300,6 +361,7 @@ def _phrase_slots(bits, most: int, slots: int, least: int) -> Callable:
 
 
 LEVEL = "kind string, lang string, part int, position array<int>, phrase array<long>, last array<long>, count array<long>"
+_LEVEL = {"lang": pa.string(), "part": pa.int32(), "position": pa.list_(pa.int32()), **{c: pa.list_(pa.int64()) for c in ("phrase", "last", "count")}}
 
 
 def _summed(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -311,27 +373,25 @@ def _summed(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return prefix[first], word[first], np.add.reduceat(n, first)
 
 
-def _next_level(bits, frequent, most: int) -> Callable:
-    """The relation of the next level, and exact partial counts of its phrases in parts by their hashes."""
-
-    def rows(kind: str, lang: str, n: int, **columns) -> pa.RecordBatch:
-        out = {"kind": pa.array([kind] * n), "lang": pa.array([lang] * n, pa.string())}
-        for name, of in (("part", pa.int32()), ("position", pa.list_(pa.int32())), *((c, pa.list_(pa.int64())) for c in ("phrase", "last", "count"))):
-            own = columns.get(name)
-            out[name] = pa.nulls(n, of) if own is None else own if isinstance(own, pa.Array) else pa.array(own, of)
-        return pa.record_batch(out)
+def _next_level(bits, frequent, most: int, further: bool) -> Callable:
+    """The relation of the next level, if a ``further`` one follows, and exact partial counts of its phrases
+    in parts by their hashes, summed until half of ``most`` are held."""
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[tuple]] = {}
         size = 0
 
-        def counted() -> Iterator[pa.RecordBatch]:
+        def summed() -> int:
             for name, parts in held.items():
-                prefix, word, n = _summed([(p, w, np.ones(len(p), dtype=np.int64)) for p, w in parts])
+                held[name] = [_summed(parts)]
+            return sum(len(x[0]) for (x,) in held.values())
+
+        def passed_on() -> Iterator[pa.RecordBatch]:
+            for name, ((prefix, word, n),) in held.items():
                 part = (_extended(prefix, word).view(np.uint64) >> np.uint64(64 - PARTS)).astype(np.int32)
                 order = np.argsort(part, kind="stable")
                 part, (prefix, word, n) = _in_lists(part[order], prefix[order], word[order], n[order])
-                yield rows("counts", name, len(part), part=pa.array(part), phrase=prefix, last=word, count=n)
+                yield _rows(_LEVEL, "counts", len(part), lang=[name] * len(part), part=pa.array(part), phrase=prefix, last=word, count=n)
             held.clear()
 
         for batch in batches:
@@ -339,13 +399,19 @@ def _next_level(bits, frequent, most: int) -> Callable:
                 keep = _among(frequent.value, joint)
                 if keep.any():
                     position, phrase, last, joint = position[keep], phrase[keep], last[keep], joint[keep]
-                    held.setdefault(lang, []).append((phrase, last))
+                    held.setdefault(lang, []).append((phrase, last, np.ones(len(joint), dtype=np.int64)))
                     size += len(joint)
-                    yield rows("occurrences", lang, 1, position=[position.astype(np.int32)], phrase=[joint], last=[last])
+                    next_to = np.concatenate(([False], position[1:] - position[:-1] == 1, [False]))
+                    beside = next_to[1:] | next_to[:-1]
+                    if further and beside.any():
+                        yield _rows(_LEVEL, "occurrences", 1, lang=[lang], position=[position[beside].astype(np.int32)], phrase=[joint[beside]], last=[last[beside]])
                 if size >= most:
-                    yield from counted()
-                    size = 0
-        yield from counted()
+                    size = summed()
+                    if size >= most // 2:
+                        yield from passed_on()
+                        size = 0
+        summed()
+        yield from passed_on()
 
     return extend
 
@@ -382,8 +448,8 @@ def _often_in_block(least: int) -> Callable:
         found, block = np.zeros(BLOCK, dtype=np.int64), 0
         for batch in batches:
             block = batch.column("block")[0].as_py() if batch.num_rows else block
-            slots, counts = (batch.column(c).flatten().to_numpy() for c in ("slots", "counts"))
-            found += np.bincount(slots.view(np.uint16), weights=counts, minlength=BLOCK).astype(np.int64)
+            for slots, counts in zip(batch.column("slots").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                found[np.cumsum(_unpacked(slots))] += _unpacked(counts)  # each slot once in a row
         bits = np.packbits(found >= least, bitorder="little").view("<i8")
         at = np.flatnonzero(bits)
         yield pa.record_batch({"at": pa.array((block * (BLOCK // 64) + at).astype(np.int32)), "bits": pa.array(bits[at])})
@@ -424,19 +490,20 @@ def frequent_phrases(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]
     more, and ``lang, n``, the count of all words."""
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    scanned = _parts(spark, texts.mapInArrow(_scan(WORDS_HELD, BITS, least), SCAN), "words")
+    scanned = _parts(spark, texts.mapInArrow(_scan(SLOTS_HELD * WORDS_HELD, BITS, least), SCAN), "words")
     totals = scanned("totals", "lang", "count").groupBy("lang").agg(F.sum("count").alias("n"))
     often = _often_table(spark, scanned("slots", "block", "slots", "counts"), least)
-    counts = texts.mapInArrow(_frequent_words(often, WORDS_HELD), WORDS)
+    of_words = _parts(spark, texts.mapInArrow(_frequent_words(often, WORDS_HELD), WORDS), "level-1")
+    counts = of_words("words", "lang", "part", "words", "counts")
     words = cut_lineage(counts.groupBy("lang", "part").applyInArrow(_frequent_words_in_part(least), "lang string, id long, phrase string, f long"), "frequent")
     often.destroy()
     last_words = words.select("lang", F.col("id").alias("word"), F.col("phrase").alias("last_word"))
-    relation, level, found = scanned("runs", "lang", "ids"), words, [words.select("lang", "phrase", F.lit(1).alias("words"), "f")]
+    relation, level, found = of_words("runs", "lang", "ids"), words, [words.select("lang", "phrase", F.lit(1).alias("words"), "f")]
     for k in range(2, LONGEST + 1):
         bits = _bit_table(spark, level)
-        blocks = relation.mapInArrow(_phrase_slots(bits, WORDS_HELD, BITS, least), SLOTS)
+        blocks = relation.mapInArrow(_phrase_slots(bits, SLOTS_HELD * WORDS_HELD, BITS, least), SLOTS)
         often = _often_table(spark, blocks, least)
-        of_level = _parts(spark, relation.mapInArrow(_next_level(bits, often, WORDS_HELD), LEVEL), f"level-{k}")
+        of_level = _parts(spark, relation.mapInArrow(_next_level(bits, often, WORDS_HELD, k < LONGEST), LEVEL), f"level-{k}")
         for table_of_bits in (bits, often):  # what they serve is written; on disk they are 16 MB for every process
             table_of_bits.destroy()
         counts = of_level("counts", "lang", "part", "phrase", "last", "count")

@@ -180,3 +180,48 @@ def test_phrases_of_many_tasks_are_summed_in_parts():
     for most in (1, 1 << 20):
         (out,) = collocations._frequent_in_part(most, 7)(iter(batches))
         assert {(x["prefix"], x["word"]): x["f"] for x in out.to_pylist()} == want
+
+
+def test_counts_by_slot_take_little_room():
+    r = np.random.default_rng(7)
+    slots, least = 1 << 20, 300
+    ids = [np.concatenate((r.integers(-(1 << 62), 1 << 62, 4000), np.arange(k, k + 2), np.full(200, 77))) for k in range(10)]
+    held = collocations.SlotCounts(slots, least, 1 << 21)
+    rows = [b for own in ids for b in held.add(own)] + list(held.rest())
+    distinct = Counter((np.concatenate(ids) & (slots - 1)).tolist())
+    assert sum(b.get_total_buffer_size() for b in rows) < 2.5 * len(distinct)  # a slot's distance and its count: not 6 bytes
+    found = {}
+    for row in (x for b in rows for x in b.to_pylist()):
+        at = row["block"] * collocations.BLOCK + np.cumsum(collocations._unpacked(row["slots"]))
+        found.update(zip(at.tolist(), collocations._unpacked(row["counts"]).tolist(), strict=True))
+    assert found == {s: min(n, least) for s, n in distinct.items()} and found[77] == least
+
+
+def test_words_that_are_not_frequent_are_not_written(spark, monkeypatch):
+    import os
+
+    from raterkit.session import ensure_checkpoint_dir
+
+    def written() -> int:
+        at = ensure_checkpoint_dir(spark).removeprefix("file:")
+        return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(at) for f in names)
+
+    monkeypatch.setattr(collocations, "BITS", 1 << 22)
+    docs = [(i, "en", " ".join(f"w{i}x{k}" for k in range(1000)) + ". one two three") for i in range(200)]
+    df = spark.createDataFrame(docs, "doc_id long, lang string, text string").repartition(2)
+    before = written()
+    every, totals = collocations.frequent_phrases(df, 150)
+    assert written() - before < 4 * 200_000  # a hash for each word is 8
+    assert {(r.phrase, r.f) for r in every.collect()} == {(p, 200) for p in ("one", "two", "three", "one two", "two three", "one two three")}
+    assert totals.first().n == 200 * 1003
+
+
+def test_neighbours_stay_neighbours():
+    r = np.random.default_rng(8)
+    for _ in range(200):
+        run = r.integers(0, 4, r.integers(0, 30))
+        keep = r.random(np.count_nonzero(run)) < 0.6
+        left = run.copy()
+        left[np.flatnonzero(run)[~keep]] = 0
+        pairs = [[(a, b) for a, b in zip(x.tolist(), x[1:].tolist()) if a and b] for x in (left, collocations._side_by_side(run, keep))]
+        assert pairs[0] == pairs[1] and len(collocations._side_by_side(run, keep)) <= 3 * len(pairs[0])
