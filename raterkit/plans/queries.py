@@ -20,7 +20,7 @@ from raterkit.operators import clean as CL
 from raterkit.operators import report as RP
 from raterkit.operators import sample as SA
 from raterkit.operators import scoring as SC
-from raterkit.operators.align import align_inputs
+from raterkit.operators.align import align_inputs, typed_responses
 from raterkit.plans import responses as rsp
 from raterkit.plans.analysis import Analysis, testdata_analysis
 from raterkit.plans.tables import table
@@ -630,14 +630,16 @@ def _file_responses(spark, sf_dir, columns):
     }
     recs = rsp.responses(spark, sf_dir).withColumn("response", F.lit(None).cast("string"))
     recs = recs.select(*SC.RESPONSE_COLUMNS, *[own[c].alias(c) for c in columns])
-    recs.write.option("ignoreNullFields", "false").json(f"{base}/run 1")
-    SK.write_checkpoint(recs.select(*SC.RESPONSE_COLUMNS), f"{base}/check point")
+    # every record is on the disk twice; as text, that is thirty times the room of the table
+    SK.write_jsonl(recs, f"{base}/run 1", compression="gzip")
+    SK.write_checkpoint(recs.select(*SC.RESPONSE_COLUMNS), f"{base}/check point", compression="gzip")
     return JS.read_responses(spark, base, checkpoint=f"{base}/check point")
 
 
 def _file_aligned(spark, sf_dir, columns, prompt_map=None):
-    # parsed once; the probes for the prompt columns and the result read the written records
-    responses = cut_lineage(_file_responses(spark, sf_dir, columns).drop("response", "_source_file"), "responses")
+    # parsed and scored once; the probes for the prompt columns and the result read the written records, without texts
+    scored = typed_responses(_file_responses(spark, sf_dir, columns))
+    responses = cut_lineage(scored.drop("response", "raw", "parsed", *P.SCORE_FIELDS, "_source_file"), "responses")
     a = align_inputs(responses, prompt_map)
     return rounded(a.select("model", "run", "essay_id", "prompt_category", "prompt_question", "prompt_category_source", "total_score"))
 

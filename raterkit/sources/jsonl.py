@@ -27,6 +27,8 @@ _BRACKET_OR_QUOTE = r"\}\s*\]|[{\[,:]\s*'"
 _JSON_SPACE = " \t\n\r"
 _FEEDS = "\x0b\x0c"  # may follow the last brace, but are no white space of JSON
 CHECKPOINT_NAME = "checkpoint.jsonl"
+# response files: JSON lines as text, or as Spark's writer names them when it compresses (write_jsonl, write_checkpoint)
+RESPONSE_GLOB = "{*.jsonl,*.json,part-*.json.gz}"
 SAMPLE_GLOB = "question_*_samples.jsonl"
 # sample files as the sampler names them, or as Spark's writer names them (write_samples)
 SAMPLE_FILES_GLOB = "{question_*_samples.jsonl,part-*.json}"
@@ -128,7 +130,7 @@ def response_files(spark: SparkSession, path: str, checkpoint: str | None = None
     """The files that ``read_responses`` takes records from: ``path, length, modified`` (microseconds; no content)."""
     reader = spark.read.format("binaryFile")
     if not path.endswith((".jsonl", ".json")):
-        reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{jsonl,json}")
+        reader = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", RESPONSE_GLOB)
     found = reader.load(path).select("path", "length", F.unix_micros("modificationTime").alias("modified"))
     if path.endswith((".jsonl", ".json")):
         return found
@@ -187,7 +189,7 @@ def read_responses(spark: SparkSession, path: str, checkpoint: str | None = None
     """S3: response records from ``path``.
 
     * a path ending in ``.jsonl``/``.json`` is read as one file;
-    * a folder: every ``*.jsonl``/``*.json`` under it (recursively) except checkpoint files
+    * a folder: every ``*.jsonl``/``*.json``/``part-*.json.gz`` under it (recursively) except checkpoint files
       (by name, or every file under ``checkpoint`` when that folder is given) and of appends that
       were not completed (``sinks.append_responses``);
     * when that yields nothing, the checkpoint (``checkpoint`` or ``<path>/checkpoint.jsonl``);
@@ -199,7 +201,7 @@ def read_responses(spark: SparkSession, path: str, checkpoint: str | None = None
     if path.endswith((".jsonl", ".json")):
         df = read_jsonl(spark, path, RESPONSE_SCHEMA).where(has_model)
     else:
-        lines = _lines(spark, path, recursive=True, glob="*.{jsonl,json}")
+        lines = _lines(spark, path, recursive=True, glob=RESPONSE_GLOB)
         lines = lines.where(~F.col("_source_file").endswith("/" + CHECKPOINT_NAME))
         left_out = uncommitted_attempts(spark, path)
         if left_out:

@@ -10,7 +10,7 @@ import re
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession, Window
 from pyspark.sql import functions as F
 
 from raterkit.functions.text import path_safe
@@ -18,9 +18,23 @@ from raterkit.functions.text import path_safe
 PARTITION_COLUMNS = ["stem", "model_dir", "question"]
 
 
-def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """JSON lines (UTF-8, non-ASCII kept as is), NULL fields written as null."""
-    df.write.mode(mode).option("ignoreNullFields", "false").json(path)
+# a compressed file is read by one task, so it ends after so many records
+RECORDS_PER_COMPRESSED_FILE = 100_000
+
+
+def _json_writer(df: DataFrame, mode: str, compression: str | None) -> DataFrameWriter:
+    writer = df.write.mode(mode).option("ignoreNullFields", "false")
+    if compression is None:
+        return writer
+    return writer.option("compression", compression).option("maxRecordsPerFile", RECORDS_PER_COMPRESSED_FILE)
+
+
+def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite", compression: str | None = None) -> None:
+    """JSON lines (UTF-8, non-ASCII kept as is), NULL fields written as null.
+
+    ``compression="gzip"`` for lines that would not fit as text; ``sources.jsonl.read_responses`` reads both.
+    """
+    _json_writer(df, mode, compression).json(path)
 
 
 def write_json_document(df: DataFrame, path: str) -> None:
@@ -104,13 +118,13 @@ def question_folder(question_id: Column) -> Column:
     return F.nullif(question_id.cast("string"), F.lit(""))
 
 
-def write_checkpoint(records: DataFrame, checkpoint_dir: str) -> None:
+def write_checkpoint(records: DataFrame, checkpoint_dir: str, compression: str | None = None) -> None:
     """Append completed responses to the checkpoint folder (kept apart from the outputs), in folders by
     question and model, so that a resumed job reads those of its own requests only
-    (``sources.jsonl.completed_requests``). The folder columns are copies."""
+    (``sources.jsonl.completed_requests``). The folder columns are copies. ``compression`` as in ``write_jsonl``."""
     kept = records.select(*[c for c in records.columns if c not in ("stem", "model_safe", "question_text")])
     kept = kept.withColumns({"question_dir": question_folder(F.col("question_id")), "model_dir": path_safe(F.col("model"))})
-    kept.write.mode("append").option("ignoreNullFields", "false").partitionBy("question_dir", "model_dir").json(checkpoint_dir)
+    _json_writer(kept, "append", compression).partitionBy("question_dir", "model_dir").json(checkpoint_dir)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:

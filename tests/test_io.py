@@ -1,5 +1,7 @@
 """Sources and sinks round trips (S1-S11) and the incremental scoring stream, in fresh temp folders."""
 
+import glob
+import gzip
 import json
 import os
 import tempfile
@@ -12,6 +14,8 @@ from raterkit.operators import scoring as SC
 from raterkit.operators.align import align_inputs
 from raterkit.plans import responses as rsp
 from raterkit.plans.analysis import Analysis
+from raterkit.plans.queries import QUERIES
+from raterkit.session import ensure_checkpoint_dir
 from raterkit.sources import jsonl as J
 from raterkit.sources import sinks as K
 from raterkit.sources.answers import read_answers, with_row_ordinal
@@ -336,3 +340,63 @@ def test_response_lines_are_parsed_once(spark):
     assert plan.count("StructField(model,") == 1  # no filter repeats the parse
     # the checkpoint's lines go before the parse, and no line is shuffled for it
     assert plan.index("Generate") < plan.index("LeftAnti") and "rightHint=(strategy=broadcast)" in plan
+
+
+def test_compressed_responses_are_read_beside_text(spark, monkeypatch):
+    monkeypatch.setattr(K, "RECORDS_PER_COMPRESSED_FILE", 40)
+    d = _tmp()
+    base, ckpt = os.path.join(d, "eval run"), os.path.join(d, "eval run", "check point")
+    recs = spark.range(100).coalesce(1).selectExpr(
+        "concat('m', id % 2) AS model", "id AS run", "0 AS sample_row", "CAST(id % 2 AS STRING) AS question_id", "'r' AS respondent_id", "'{}' AS raw")
+    K.write_jsonl(recs, os.path.join(base, "new"), compression="gzip")
+    K.write_jsonl(recs.where("run < 10").withColumn("run", F.col("run") + 100), os.path.join(base, "old"))
+    K.write_checkpoint(recs, ckpt, compression="gzip")
+    with gzip.open(os.path.join(base, "backup.jsonl.gz"), "wt") as f:  # not a file of Spark's writer
+        f.write(json.dumps({"model": "m", "run": 999}) + "\n")
+    back = J.read_responses(spark, base, checkpoint=ckpt)
+    assert sorted(int(r.run) for r in back.collect()) == list(range(110))
+    # a compressed file is read by one task: it ends after so many records
+    assert sorted(len(gzip.open(p).readlines()) for p in glob.glob(f"{base}/new/part-*.json.gz")) == [20, 40, 40]
+    assert {os.path.basename(r.path) for r in J.response_files(spark, base, ckpt).collect()} == {
+        os.path.basename(p) for p in glob.glob(f"{base}/new/part-*.gz") + glob.glob(f"{base}/old/part-*.json")}
+    only = os.path.join(d, "only")
+    K.write_checkpoint(recs, os.path.join(only, "ckpt"), compression="gzip")
+    assert J.read_responses(spark, only, checkpoint=os.path.join(only, "ckpt")).count() == 100
+    samples = spark.createDataFrame([("0", "r")], "question_id string, respondent_id string")
+    assert J.completed_requests(spark, ckpt, samples, ["m0"]).count() == 50
+
+
+def _file_query(spark, name):
+    """The rows of a query on response files over 2,000 lineitems and 50 parts of its own, and the new folders
+    of its files and of its cut."""
+    d, kept = _tmp(), ensure_checkpoint_dir(spark).removeprefix("file:").rstrip("/")
+    spark.range(2000).selectExpr(
+        "id AS l_orderkey", "id % 50 AS l_partkey", "id % 7 AS l_suppkey", "CAST(id % 4 + 1 AS INT) AS l_linenumber",
+        "substring('ANR', CAST(id % 3 + 1 AS INT), 1) AS l_returnflag").coalesce(1).write.parquet(f"{d}/lineitem.parquet")
+    spark.range(50).selectExpr("id AS p_partkey", "concat('name ', id) AS p_name", "concat('type ', id) AS p_type").write.parquet(f"{d}/part.parquet")
+    before = set(os.listdir(kept))
+    rows = QUERIES[name](spark, d).collect()
+    new = sorted(set(os.listdir(kept)) - before)
+    one = lambda start: os.path.join(kept, next(x for x in new if x.startswith(start)))
+    return rows, one("eval with space-"), one("responses-")
+
+
+def _small_on_disk(spark, files, cut):
+    """Whether both copies of the 2,000 records are whole and take a fifth of their text, and the cut has no texts."""
+    for folder in ("run 1", "check point"):
+        text = spark.read.option("recursiveFileLookup", "true").text(f"{files}/{folder}")
+        n, size = text.agg(F.count(F.lit(1)), F.sum(F.length("value") + 1)).first()
+        disk = sum(os.path.getsize(os.path.join(p, f)) for p, _, fs in os.walk(f"{files}/{folder}") for f in fs)
+        if n != 2000 or disk * 5 > size:
+            return False
+    return not {"raw", "response", "parsed"} & set(spark.read.parquet(cut).columns)
+
+
+def test_file_topic_small_on_disk(spark):
+    rows, *folders = _file_query(spark, "file_topic")
+    assert _small_on_disk(spark, *folders)
+    got = {(r.model, r.run, r.essay_id, r.prompt_category, r.prompt_category_source) for r in rows}
+    assert len(rows) == 2000 and got == {
+        ("ANR"[i % 3], i % 4 + 1, f"{i % 50}|{i % 50 % 3}|{i % 50}", f"topic{i % 50 % 4}", "topic") for i in range(2000)}
+    # defects of l_orderkey % 17: null scores, an error, else four scores; model A has none for part 0
+    assert sum(r.total_score is None for r in rows) == sum(i % 17 < 2 or (i % 3 == 0 and i % 50 == 0) for i in range(2000))
