@@ -400,3 +400,12 @@ def test_file_topic_small_on_disk(spark):
         ("ANR"[i % 3], i % 4 + 1, f"{i % 50}|{i % 50 % 3}|{i % 50}", f"topic{i % 50 % 4}", "topic") for i in range(2000)}
     # defects of l_orderkey % 17: null scores, an error, else four scores; model A has none for part 0
     assert sum(r.total_score is None for r in rows) == sum(i % 17 < 2 or (i % 3 == 0 and i % 50 == 0) for i in range(2000))
+
+
+def test_file_category_small_on_disk(spark):
+    rows, *folders = _file_query(spark, "file_category")
+    assert _small_on_disk(spark, *folders)
+    got = {(r.model, r.run, r.essay_id, r.prompt_category, r.prompt_question, r.prompt_category_source) for r in rows}
+    assert len(rows) == 2000 and got == {
+        ("ANR"[i % 3], i % 4 + 1, f"{i % 50}|{i % 50 % 3}|{i % 50}", f"cat{i % 50 % 5}", f"Question {i % 50 % 3}", "category")
+        for i in range(2000)}
