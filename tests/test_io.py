@@ -409,3 +409,11 @@ def test_file_category_small_on_disk(spark):
     assert len(rows) == 2000 and got == {
         ("ANR"[i % 3], i % 4 + 1, f"{i % 50}|{i % 50 % 3}|{i % 50}", f"cat{i % 50 % 5}", f"Question {i % 50 % 3}", "category")
         for i in range(2000)}
+
+
+def test_file_question_id_small_on_disk(spark):
+    rows, *folders = _file_query(spark, "file_question_id")
+    assert _small_on_disk(spark, *folders)
+    got = {(r.model, r.run, r.essay_id, r.prompt_category, r.prompt_question, r.prompt_category_source) for r in rows}
+    assert len(rows) == 2000 and got == {
+        ("ANR"[i % 3], i % 4 + 1, f"{i % 50}|{i % 50 % 3}|{i % 50}", f"{i % 50 % 3}", None, "question_id") for i in range(2000)}
